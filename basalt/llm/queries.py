@@ -7,17 +7,37 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from basalt.llm.common import documents, text_or_empty
+from basalt.llm import langid, toxicity
+from basalt.llm.common import documents
 from basalt.llm.exact_dedup import exact_dedup, normalised
+from basalt.llm.hamming_topk import top_k
+from basalt.llm.license_scan import scan_licenses
 from basalt.llm.line_runs import drop_frequent_lines
 from basalt.llm.mixing import ordered_plan, plan_mix
 from basalt.llm.packing import pack
+from basalt.llm.simhash import near_duplicates
+from basalt.llm.unigram_counts import token_counts
+
+
+def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan_licenses(documents(spark, sf_dir))
 
 
 def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(documents(spark, sf_dir), carry={"text_sha256": F.sha2(normalised("text"), 256)})
 
 
+def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(documents(spark, sf_dir))
+
+
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet")
+    held_out = langid.fold("doc_id", 5) == 0
+    model = toxicity.fit(docs, labels.filter(~held_out))
+    return toxicity.score(docs, model).select("doc_id", held_out.alias("held_out"), "score", "predicted")
+
+
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(documents(spark, sf_dir))
 
@@ -26,15 +46,37 @@ def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return drop_frequent_lines(documents(spark, sf_dir)).select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
 
 
+def op7_hamming_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    return top_k(vectors, vectors.filter("vec_id % 20 = 0"))
+
+
+def op8_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    held_out = langid.fold("doc_id", 3) == 1
+    model = langid.train(docs.filter(~held_out))
+    return langid.identify(docs, model).select("doc_id", held_out.alias("held_out"), "lang_pred", "score", "cross_entropy", "rejected")
+
+
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ordered_plan(plan_mix(documents(spark, sf_dir))).select("doc_id", "size", "source_size", "target", "taken", F.round("position", 9).alias("position"))
 
 
+def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts(documents(spark, sf_dir))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_license_scan": op1_license_scan,
     "op2_exact_dedup": op2_exact_dedup,
+    "op3_simhash": op3_simhash,
+    "op4_toxicity": op4_toxicity,
     "op5_packing": op5_packing,
     "op6_line_dedup": op6_line_dedup,
+    "op7_hamming_topk": op7_hamming_topk,
+    "op8_langid": op8_langid,
     "op9_mixing": op9_mixing,
+    "op10_token_counts": op10_token_counts,
 }
 
 _LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -51,6 +93,11 @@ ORACLE_SQL: dict[str, str] = {
              often AS (SELECT k FROM keyed WHERE k <> '' GROUP BY k HAVING count(DISTINCT doc_id) >= 10)
         SELECT doc_id, count(*) AS n_lines, count(o.k) AS n_dropped, sha256(coalesce(string_agg(line, chr(10) ORDER BY n) FILTER (WHERE o.k IS NULL), '')) AS kept_sha256
         FROM keyed LEFT JOIN often o ON keyed.k = o.k GROUP BY doc_id""",
+    "op7_hamming_topk": """
+        WITH c AS (SELECT vec_id, array_to_string(list_transform(embedding, lambda x: CASE WHEN x > 0 THEN '1' ELSE '0' END), '')::BIT AS code FROM embeddings WHERE embedding IS NOT NULL),
+             d AS (SELECT q.vec_id AS query_id, c.vec_id AS neighbour_id, bit_count(xor(q.code, c.code))::INT AS distance FROM c q, c WHERE q.vec_id % 20 = 0),
+             r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, neighbour_id) AS rank FROM d)
+        SELECT query_id, neighbour_id, distance, rank::INT AS rank FROM r WHERE rank <= 10""",
     "op9_mixing": r"""
         WITH d AS (SELECT doc_id, CASE WHEN source IS NULL THEN '1' ELSE '0' || source END AS key,
                           md5(coalesce(doc_id::VARCHAR, '') || '#' || md5(coalesce(text, ''))) AS mark,
