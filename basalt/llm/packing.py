@@ -10,19 +10,22 @@
    gaps of all others; their documents are cut into their power-of-two parts, which go through the
    same first-fit decreasing. What is left over stays in sequences of a power of two, which need no padding.
 
-Tokens are a document's business, so the tokenizer runs on each white-space
-separated word once and is then remembered, in a table of bounded size: this
-tokenizer drops white space before anything else and never joins across it.
+The tokenizer drops white space before anything else and never joins across it, so
+a text's ids are those of its words one after another. Words and their ids are
+remembered in tables of bounded size.
 """
 
 from __future__ import annotations
 
+import re
+import struct
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -31,36 +34,65 @@ from basalt.llm.common import process_memo, scratch_table
 #: Characters that str.split() takes for white space and the tokenizer doesn't.
 _ODD_SPACE = "\x1c\x1d\x1e\x1f"
 PIECES = "chunk_start long, chunk_length long, ids_crc32 long, parts_crc32 array<long>, doc_tokens long, deal long"
+#: How the tokenizer splits a lower-cased word; words with other characters than these go to it whole.
+_SIMPLE = re.compile("[!-~\u00a1-\u012f\u0132-\u017f]+")
+_SPLIT = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
 
 
-class WordIds(dict):
-    """Word to its ids as little-endian uint32 bytes; forgets everything when it is full."""
+def _byte_letters() -> dict[int, str]:
+    """The letter that stands for each byte in a byte-level vocabulary: printable Latin-1 for itself, others by rank from U+0100 on; as a table from code points below 0x180 to the letters of their UTF-8 bytes."""
+    plain = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+    rest = [b for b in range(256) if b not in plain]
+    letter = {b: chr(b) if b in plain else chr(0x100 + rest.index(b)) for b in range(256)}
+    return {c: "".join(letter[b] for b in chr(c).encode()) for c in range(0x180)}
 
-    def __init__(self, tokenizer, most: int):
-        self.tokenizer, self.most = tokenizer, most
 
-    def __missing__(self, word: str) -> bytes:
+class Generations(dict):
+    """A table of bounded size that forgets what it hasn't been asked for since it was last full."""
+
+    def __init__(self, make, most: int):
+        self.make, self.most, self.old = make, most, {}
+
+    def __missing__(self, key: str) -> bytes:
+        value = self.old.get(key)
+        if value is None:
+            value = self.make(key)
         if len(self) >= self.most:
+            self.old = dict(self)
             self.clear()
-        ids = self[word] = self.encode(word)
-        return ids
+        self[key] = value
+        return value
+
+
+class WordIds:
+    """Ids of texts, as little-endian uint32 bytes, put together from remembered words.
+
+    A word is looked up as it stands, then by its parts (as the tokenizer splits it), and only an unseen part is
+    encoded. Words with characters beyond Latin letters, digits and ASCII signs go to the tokenizer whole.
+    """
+
+    def __init__(self, tokenizer, most: int):
+        self.tokenizer, self.model, self.letters = tokenizer, tokenizer.model, _byte_letters()
+        self.parts = Generations(self.encode_part, most)
+        self.words = Generations(self.encode_word, most)
 
     def encode(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
-    def learn(self, words: set[str]) -> None:
-        """Encode unseen words together, which is faster than one by one."""
-        new = [w for w in words if w not in self]
-        if len(self) + len(new) > self.most:
-            self.clear()
-            new = list(words)
-        for w, e in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True):
-            self[w] = np.array(e.ids, "<u4").tobytes()
+    def encode_part(self, part: str) -> bytes:
+        ids = [t.id for t in self.model.tokenize(part if part.isascii() else part.translate(self.letters))]
+        return struct.pack(f"<{len(ids)}I", *ids)
+
+    def encode_word(self, word: str) -> bytes:
+        if not _SIMPLE.fullmatch(word):
+            return self.encode(word)
+        low = word.lower()
+        return self.parts[low] if low.isalpha() else b"".join(map(self.parts.__getitem__, _SPLIT.findall(low)))
 
     def text(self, text: str) -> bytes:
         if any(c in text for c in _ODD_SPACE):
             return self.encode(text)
-        return b"".join(map(self.__getitem__, text.split()))
+        return b"".join(map(self.words.__getitem__, text.split()))
 
 
 def load_word_ids(path: str, most: int) -> WordIds:
@@ -93,23 +125,20 @@ def tokenise(df: DataFrame, id_col: str, text_col: str, tokenizer: str, end_id:
         for batch in batches:
             out: list[list] = [[] for _ in range(7)]
             column = batch.column(1)
-            for lo in range(0, len(column), 64):
-                texts = [t or "" for t in column.slice(lo, 64).to_pylist()]
-                words.learn({w for t in texts for w in t.split()})
-                for k, text in enumerate(texts):
-                    ids = words.text(text) + end
-                    n = len(ids) // 4
-                    # Dealt by the whole content, so that repeated ids don't share a group.
-                    deal = zlib.crc32(ids) | n % 0x7FFF << 32
-                    for start in range(0, n, length):
-                        chunk = ids[4 * start : 4 * (start + length)]
-                        size, parts, at = len(chunk) // 4, [], 0
-                        if size < length:
-                            for part in binary_parts(size):
-                                parts.append(zlib.crc32(chunk[at : at + 4 * part]))
-                                at += 4 * part
-                        for column_out, x in zip(out, (lo + k, start, size, zlib.crc32(chunk), parts, n, deal), strict=True):
-                            column_out.append(x)
+            for k, text in enumerate(column):
+                ids = words.text(text.as_py() or "") + end
+                n = len(ids) // 4
+                # Dealt by the whole content, so that repeated ids don't share a group.
+                deal = zlib.crc32(ids) | n % 0x7FFF << 32
+                for start in range(0, n, length):
+                    chunk = ids[4 * start : 4 * (start + length)]
+                    size, parts, at = len(chunk) // 4, [], 0
+                    if size < length:
+                        for part in binary_parts(size):
+                            parts.append(zlib.crc32(chunk[at : at + 4 * part]))
+                            at += 4 * part
+                    for column_out, x in zip(out, (k, start, size, zlib.crc32(chunk), parts, n, deal), strict=True):
+                        column_out.append(x)
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0).take(pa.array(out[0], pa.int64())), *(pa.array(x, pa.int64()) for x in out[1:4]), pa.array(out[4], pa.list_(pa.int64())), *(pa.array(x, pa.int64()) for x in out[5:])],
                 names=[id_col, "chunk_start", "chunk_length", "ids_crc32", "parts_crc32", "doc_tokens", "deal"],
@@ -208,7 +237,7 @@ def pack(
     end_id: int = 2,
     length: int = 4096,
     docs_per_group: int = 2048,
-    cache_words: int = 250_000,
+    cache_words: int = 150_000,
 ) -> DataFrame:
     """One row per piece: the id, start, length, ids_crc32, doc_tokens, sequence_id, offset.
 
