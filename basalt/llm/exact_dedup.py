@@ -106,7 +106,8 @@ def exact_dedup(
     groups = (
         survivors.groupBy(f"{_P}full")
         .agg(F.count(F.lit(1)).alias("group_size"), F.max(F.struct(f"{_P}id", f"{_P}row")).alias(f"{_P}keep"))
-        .select(F.col(f"{_P}full"), "group_size", F.col(f"{_P}keep.{_P}id").alias("keep_id"), F.col(f"{_P}keep.{_P}row").alias(f"{_P}keep_row"))
+        # A key of its own makes both sides of the join below fresh exchanges: then Spark can split the partition of a large group of copies.
+        .select(F.concat(f"{_P}full", F.lit("")).alias(f"{_P}full"), "group_size", F.col(f"{_P}keep.{_P}id").alias("keep_id"), F.col(f"{_P}keep.{_P}row").alias(f"{_P}keep_row"))
     )
     grouped = survivors.join(groups, f"{_P}full").select(
         F.col(f"{_P}id").alias(id_col), "keep_id", "group_size", (F.col(f"{_P}row") == F.col(f"{_P}keep_row")).alias("kept"), *carried

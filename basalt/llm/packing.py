@@ -254,7 +254,7 @@ def pack(
     chunks = scratch_table(tokenise(df, id_col, text_col, tokenizer, end_id, length, cache_words), "packing")
     groups = max(1, -(-chunks.filter("chunk_start = 0").count() // docs_per_group))
 
-    def run(key, group: pd.DataFrame) -> pd.DataFrame:
+    def run(key, group):
         group = group.sort_values(["deal", "chunk_start"], kind="stable")
         ids, starts, totals = group[id_col].tolist(), group["chunk_start"].tolist(), group["doc_tokens"].tolist()
         lengths, whole, parts = group["chunk_length"].tolist(), group["ids_crc32"].tolist(), group["parts_crc32"].tolist()
