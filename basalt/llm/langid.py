@@ -9,7 +9,7 @@ the most frequent of each language first, and so can be broadcast.
 
 A text gets, for each language, the mean negative log-probability of its letters; the lowest wins.
 Rejection is calibrated on the training counts: a text is rejected if it has no letter, or if its
-cross-entropy lies both above the midpoint of the language's own and that of guessing letters evenly, and more than
+cross-entropy lies both beyond `reject_at` of the way from the language's own to that of guessing letters evenly, and more than
 `reject_sigmas` standard errors above the language's own.
 
 Words are scored once and remembered in a table of bounded size.
@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from basalt.llm.common import process_memo
+from basalt.llm.common import process_memo, scratch_table
 
 ORDER = 5
 PAD = " "
@@ -94,7 +94,7 @@ def count_grams(df: DataFrame, text_col: str, lang_col: str) -> DataFrame:
 class Model:
     langs: list[str]
     grams: list[np.ndarray]  # by order - 1: sorted hashes
-    logs: list[np.ndarray]  # log-probabilities, a column for each language, NaN where it hasn't seen the n-gram
+    logs: list[np.ndarray]  # log-probabilities, a column for each language, backed off where it hasn't seen the n-gram
     contexts: list[np.ndarray]  # by order - 2: sorted hashes of contexts
     backoffs: list[np.ndarray]  # log back-off weights, 0 where unseen
     unseen: np.ndarray  # log-probability of a character that no language has
@@ -109,18 +109,26 @@ class Model:
         return np.add.reduceat(logs, np.cumsum(lengths) - lengths, axis=0), lengths
 
     def _letters(self, points: np.ndarray, starts: np.ndarray) -> np.ndarray:
-        last = starts + ORDER - 1
-        rows, found = _look_up(self.grams[0], gram_hashes(points, 1)[last])
-        logs = np.where(found[:, None], self.logs[0][rows], self.unseen)
-        logs = np.where(np.isnan(logs), self.unseen, logs)
-        for n in range(2, ORDER + 1):
-            at = last - n + 1
-            rows, found = _look_up(self.contexts[n - 2], gram_hashes(points, n - 1)[at])
-            logs = logs + np.where(found[:, None], self.backoffs[n - 2][rows], 0)
-            rows, found = _look_up(self.grams[n - 1], gram_hashes(points, n)[at])
-            own = self.logs[n - 1][rows]
-            logs = np.where(found[:, None] & ~np.isnan(own), own, logs)
-        return logs
+        """Log-probabilities of the character that ends each 5-gram: most are found whole, the rest back off order by order."""
+        out = np.zeros((len(starts), len(self.langs)))
+        open_, rest = np.arange(len(starts)), np.zeros((len(starts), len(self.langs)))
+        for n in range(ORDER, 0, -1):
+            first = starts[open_] + ORDER - n
+            rows, found = _look_up(self.grams[n - 1], _hashes_at(points, first, n))
+            out[open_[found]] = rest[found] + self.logs[n - 1][rows[found]]
+            open_, rest, first = open_[~found], rest[~found], first[~found]
+            if not len(open_):
+                break
+            if n > 1:
+                rows, found = _look_up(self.contexts[n - 2], _hashes_at(points, first, n - 1))
+                rest = rest + np.where(found[:, None], self.backoffs[n - 2][rows], 0)
+            else:
+                out[open_] = rest + self.unseen
+        return out
+
+
+def _hashes_at(points: np.ndarray, first: np.ndarray, n: int) -> np.ndarray:
+    return _row_hashes(points[first[:, None] + np.arange(n)])
 
 
 def _look_up(keys: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -130,7 +138,7 @@ def _look_up(keys: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarr
 
 def _kneser_ney(points: np.ndarray, counts: np.ndarray, letters: int) -> tuple[list, list]:
     """Of one language: by order, (hashes, log-probabilities) of n-grams and (hashes, log back-off weights) of contexts. points: a row for each distinct 5-gram."""
-    grams, contexts = [], []
+    grams, contexts, at = [], [], []
     for n in range(ORDER, 0, -1):
         tail = points[:, ORDER - n :]
         keys = _row_hashes(tail)
@@ -149,12 +157,13 @@ def _kneser_ney(points: np.ndarray, counts: np.ndarray, letters: int) -> tuple[l
         backoff = discount * types / total
         grams.append((keys, np.maximum(c - discount, 0) / total[own], own, _row_hashes(tail[first][:, 1:]) if n > 1 else None))
         contexts.append((context_keys, backoff))
-    grams, contexts = grams[::-1], contexts[::-1]
+        at.append(first)
+    grams, contexts, at = grams[::-1], contexts[::-1], at[::-1]
     out_grams, lower = [], None
     for n, (keys, p, own, suffix) in enumerate(grams, 1):
         below = 1 / letters if n == 1 else lower[1][np.searchsorted(lower[0], suffix)]
         lower = (keys, p + contexts[n - 1][1][own] * below)
-        out_grams.append((keys, np.log(lower[1])))
+        out_grams.append((keys, np.log(lower[1]), points[:, ORDER - n :][at[n - 1]]))
     return out_grams, [(k, np.log(b)) for k, b in contexts]
 
 
@@ -187,9 +196,19 @@ def build_model(rows: list[tuple[str, str, int]]) -> Model | None:
             values[np.searchsorted(keys, k), j] = v
         return keys, values
 
-    grams = [joint([t[0][n] for t in tables], np.nan) for n in range(ORDER)]
     contexts = [joint([t[1][n] for t in tables], 0) for n in range(1, ORDER)]
     unseen = np.array([t[1][0][1][0] - np.log(letters) for t in tables], np.float32)
+    grams: list[tuple[np.ndarray, np.ndarray]] = []
+    for n in range(ORDER):
+        parts = [t[0][n] for t in tables]
+        keys, values = joint([p[:2] for p in parts], np.nan)
+        _, one = np.unique(np.concatenate([p[0] for p in parts]), return_index=True)
+        own = np.concatenate([p[2] for p in parts])[one]
+        below = np.broadcast_to(unseen, values.shape)
+        if n:
+            rows, found = _look_up(contexts[n - 1][0], _row_hashes(own[:, :-1]))
+            below = np.where(found[:, None], contexts[n - 1][1][rows], 0) + grams[n - 1][1][_look_up(grams[n - 1][0], _row_hashes(own[:, 1:]))[0]]
+        grams.append((keys, np.where(np.isnan(values), below, values).astype(np.float32)))
     model = Model(langs, [g[0] for g in grams], [g[1] for g in grams], [c[0] for c in contexts], [c[1] for c in contexts], unseen, np.zeros(len(langs)), np.zeros(len(langs)), float(np.log(letters)))
     for j, (points, counts) in enumerate(own_points):
         logs = model._letters(points.ravel(), np.arange(len(points)) * ORDER)[:, j].astype(float)
@@ -200,7 +219,7 @@ def build_model(rows: list[tuple[str, str, int]]) -> Model | None:
 
 def train(df: DataFrame, text_col: str = "text", lang_col: str = "lang", max_grams: int = 1_500_000) -> Model | None:
     """A model of the languages of the rows of df that have text and language. All rows are counted; what the driver gets is bounded by max_grams in all."""
-    counted = count_grams(df.filter(F.col(text_col).isNotNull() & F.col(lang_col).isNotNull()), text_col, lang_col)
+    counted = scratch_table(count_grams(df.filter(F.col(text_col).isNotNull() & F.col(lang_col).isNotNull()), text_col, lang_col), "langid-grams")
     langs = max(1, counted.select("lang").distinct().count())
     best = counted.withColumn("k", F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "gram"))).filter(F.col("k") <= max_grams // langs)
     return build_model([(r.lang, r.gram, r.n) for r in best.select("lang", "gram", "n").toPandas().itertuples(index=False)])
@@ -209,11 +228,13 @@ def train(df: DataFrame, text_col: str = "text", lang_col: str = "lang", max_gra
 class Scorer:
     """Cross-entropies of texts; words are remembered."""
 
-    def __init__(self, model: Model, most: int = 300_000):
+    def __init__(self, model: Model, most: int = 200_000):
         self.model, self.most = model, most
         self.forget()
 
     def forget(self) -> None:
+        """Start anew; what is asked for again is taken from the words before."""
+        self.old: tuple[dict[str, int], np.ndarray] = (getattr(self, "row", {}), getattr(self, "logs", None))
         self.row: dict[str, int] = {}
         self.logs = np.zeros((1024, len(self.model.langs) + 1))
 
@@ -228,9 +249,12 @@ class Scorer:
         while len(self.logs) < base + len(new):
             self.logs = np.concatenate([self.logs, np.zeros_like(self.logs)])
         self.logs[base : base + len(new)] = 0
-        words, of = [], []
+        words, of, old = [], [], self.old[0]
         for k, token in enumerate(new):
             self.row[token] = base + k
+            if token in old:
+                self.logs[base + k] = self.old[1][old[token]]
+                continue
             for w in words_of(token):
                 words.append(w)
                 of.append(base + k)
@@ -243,7 +267,7 @@ class Scorer:
         return self.logs[np.fromiter(map(self.row.__getitem__, tokens), np.int64, len(tokens))].sum(axis=0)
 
 
-def identify(df: DataFrame, model: Model | None, id_col: str = "doc_id", text_col: str = "text", reject_sigmas: float = 6.0, carry: list[str] | None = None, prefix: str = "") -> DataFrame:
+def identify(df: DataFrame, model: Model | None, id_col: str = "doc_id", text_col: str = "text", reject_sigmas: float = 6.0, reject_at: float = 0.75, carry: list[str] | None = None, prefix: str = "") -> DataFrame:
     """One row per document: the id (or the columns of `carry`), lang_pred, score, cross_entropy, rejected, each behind `prefix`.
 
     lang_pred is the language of the lowest length-normalised cross-entropy, `und` if text is null or has no letter or there is no model; of equal languages
@@ -288,7 +312,7 @@ def identify(df: DataFrame, model: Model | None, id_col: str = "doc_id", text_co
                     preds.append(model.langs[j])
                     scores.append(float(1 / share.sum()))
                     entropies.append(float(mean[j]))
-                    rejected.append(bool(mean[j] > (own + model.even) / 2 and (mean[j] - own) * np.sqrt(n) > reject_sigmas * model.sigma[j]))
+                    rejected.append(bool(mean[j] > own + reject_at * (model.even - own) and (mean[j] - own) * np.sqrt(n) > reject_sigmas * model.sigma[j]))
                 yield pa.RecordBatch.from_arrays(
                     [*(b.column(k) for k in range(len(columns))), pa.array(preds, pa.string()), pa.array(scores, pa.float64()), pa.array(entropies, pa.float64()), pa.array(rejected, pa.bool_())],
                     names=[*columns, *names],
