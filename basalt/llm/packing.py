@@ -237,7 +237,7 @@ def pack(
     end_id: int = 2,
     length: int = 4096,
     docs_per_group: int = 2048,
-    cache_words: int = 150_000,
+    cache_words: int = 400_000,
 ) -> DataFrame:
     """One row per piece: the id, start, length, ids_crc32, doc_tokens, sequence_id, offset.
 
