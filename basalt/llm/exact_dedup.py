@@ -74,8 +74,8 @@ def exact_dedup(
     that other columns may have any name; the output's own names
     (keep_id, group_size, kept) win over carried ones.
 
-    Rows that repeat an id are told apart by their place in the input, so the
-    input must be read in the same order each time, as from files.
+    Rows that repeat an id are told apart by their place in the input; for such an
+    input it must be read in the same order each time, as from files.
     """
     carry = {k: v for k, v in (carry or {}).items() if k not in (id_col, "keep_id", "group_size", "kept")}
     text = text_or_empty(text_col)
@@ -105,11 +105,15 @@ def exact_dedup(
     survivors = rows.filter(f"{_P}open").withColumn(f"{_P}full", F.sha2(normalised(text), 256)).drop(f"{_P}text", f"{_P}open")
     groups = (
         survivors.groupBy(f"{_P}full")
-        .agg(F.count(F.lit(1)).alias("group_size"), F.max(F.struct(f"{_P}id", f"{_P}row")).alias(f"{_P}keep"))
+        .agg(
+            F.count(F.lit(1)).alias("group_size"),
+            F.max(F.struct(f"{_P}id", f"{_P}row")).alias(f"{_P}keep"),
+            F.max(F.struct(F.col(f"{_P}id"), (-F.col(f"{_P}row")).alias(f"{_P}back"))).alias(f"{_P}first"),
+        )
         # A key of its own makes both sides of the join below fresh exchanges: then Spark can split the partition of a large group of copies.
-        .select(F.concat(f"{_P}full", F.lit("")).alias(f"{_P}full"), "group_size", F.col(f"{_P}keep.{_P}id").alias("keep_id"), F.col(f"{_P}keep.{_P}row").alias(f"{_P}keep_row"))
+        .select(F.concat(f"{_P}full", F.lit("")).alias(f"{_P}full"), "group_size", F.col(f"{_P}keep.{_P}id").alias("keep_id"), F.col(f"{_P}keep.{_P}row").alias(f"{_P}keep_row"), (F.col(f"{_P}keep.{_P}row") == -F.col(f"{_P}first.{_P}back")).alias(f"{_P}one"))
     )
     grouped = survivors.join(groups, f"{_P}full").select(
-        F.col(f"{_P}id").alias(id_col), "keep_id", "group_size", (F.col(f"{_P}row") == F.col(f"{_P}keep_row")).alias("kept"), *carried
+        F.col(f"{_P}id").alias(id_col), "keep_id", "group_size", (F.col(f"{_P}id").eqNullSafe(F.col("keep_id")) & (F.col(f"{_P}one") | (F.col(f"{_P}row") == F.col(f"{_P}keep_row")))).alias("kept"), *carried
     )
     return alone.unionByName(grouped)
