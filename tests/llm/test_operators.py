@@ -1,0 +1,368 @@
+"""Each operator against a plain version of itself, on small inputs with nulls, empty texts, ties, repeats and clashing columns."""
+
+import hashlib
+import random
+import re
+import zlib
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from basalt.llm import exact_dedup, hamming_topk, langid, license_scan, line_runs, mixing, packing, simhash, toxicity, unigram_counts
+
+DOCS = "doc_id long, text string, lang string, source string, n_chars long, keep_id string, fp string, size string, bucket string"
+
+
+def frame(spark, rows, n=3):
+    """Documents with further columns whose names the operators use themselves."""
+    return spark.createDataFrame([(i, t, lang, s, None, "x", "y", "z", "b") for i, t, lang, s in rows], DOCS).repartition(n)
+
+
+def lower(t):
+    return (t or "").encode().lower().decode()
+
+
+@pytest.fixture(scope="module")
+def odd():
+    """Texts that operators trip over."""
+    return [None, "", " ", "\n\n", "a", "A", "É é", "\x1cb\x85c", "x" * 5000, "one two three four five six " * 400, "漢字 仮名 😀", "ends\r\n", None, ""]
+
+
+@pytest.fixture(scope="module")
+def rows(odd):
+    r = random.Random(3)
+    vocabulary = [r.choice("bcdfg") + r.choice("aeiou") + r.choice("lmnrs") for _ in range(60)]
+    texts = odd + [" ".join(r.choice(vocabulary) for _ in range(r.randint(1, 80))) for _ in range(60)]
+    texts += [texts[-1].upper(), texts[-2], texts[-2], texts[-3] + " end"]
+    return [(i, t, ("en", "fr", None)[i % 3], (None, "s1", "s2", "s10")[i % 4]) for i, t in enumerate(texts)] + [(None, "no id", "en", "s1"), (5, "A", "en", "s1"), (5, "A", "en", "s1")]
+
+
+def test_exact_dedup(spark, rows):
+    df = frame(spark, rows).persist()
+    got = exact_dedup.exact_dedup(df, prefix_chars=4, sketch_bits=8).select("doc_id", "keep_id", "group_size", "kept").collect()
+    groups = {}
+    for i, t, *_ in rows:
+        groups.setdefault(lower(t), []).append(i)
+    want = sorted((str(i), str(max(x for x in [-1, *g] if x is not None) if any(x is not None for x in g) else None), len(g)) for g in groups.values() for i in g)
+    assert sorted((str(r.doc_id), str(r.keep_id), r.group_size) for r in got) == want
+    assert sum(r.kept for r in got) == len(groups) and all(r.doc_id == r.keep_id for r in got if r.kept)
+    assert exact_dedup.exact_dedup(df.limit(0)).count() == 0
+
+
+def test_exact_dedup_slots_may_collide(spark):
+    df = frame(spark, [(i, f"text {i % 40}", None, None) for i in range(100)])
+    got = exact_dedup.exact_dedup(df, sketch_bits=6)
+    assert got.filter("kept").count() == 40 and got.agg(F.min("group_size"), F.max("group_size")).first()[:] == (2, 3)
+
+
+def bits(n, at):
+    for b in at:
+        n ^= 1 << b
+    return n
+
+
+@pytest.mark.parametrize("crowd", [0, 2, 1000])
+def test_links_give_the_components_of_all_pairs(spark, crowd):
+    r = random.Random(5)
+    base = [r.getrandbits(64) for _ in range(40)]
+    found = set(base) | {bits(b, r.sample(range(64), r.choice((1, 2, 3, 4)))) for b in base for _ in range(4)}
+    found |= {bits(base[0], c) for c in [(0,), (1,), (0, 1), (22,), (23,), (22, 23), (45, 46), (63,)]} | {0, (1 << 64) - 1, 3, 1}
+    fps = sorted(found)
+    parent = {f: f for f in fps}
+
+    def root(f):
+        while parent[f] != f:
+            f = parent[f]
+        return f
+
+    for k, a in enumerate(fps):
+        for b in fps[:k]:
+            if (a ^ b).bit_count() <= 2:
+                x, y = root(a), root(b)
+                parent[x] = y
+    want = {}
+    for f in fps:
+        want.setdefault(root(f), set()).add(simhash.signed(f))
+    df = spark.createDataFrame([(simhash.signed(f),) for f in fps], "fp long")
+    got = {}
+    for x in simhash.components(simhash.links(df, crowd)).collect():
+        got.setdefault(x.root, set()).add(x.node)
+    assert sorted(map(sorted, got.values())) == sorted(sorted(g) for g in want.values() if len(g) > 1)
+
+
+def test_golay_code_is_perfect():
+    t = simhash.golay_tables()
+    assert (t["count"][0] == 1).all() and t["count"].sum() == sum(len(list(simhash.combinations(range(23), w))) for w in range(6))
+
+
+def test_fingerprint_is_the_majority_of_hashes():
+    import xxhash
+
+    for text in [None, "", "A", "a b", "A b c D e f", "w " * 700, "é É ß"]:
+        words = (text or "").encode().lower().split()
+        shingles = [b" ".join(words[i : i + 3]) for i in range(max(1, len(words) - 2))] if words else []
+        h = [xxhash.xxh64_intdigest(s, seed=42) for s in shingles]
+        assert simhash.fingerprint(text) == sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h) > len(h))
+
+
+def test_near_duplicates(spark, rows):
+    df = frame(spark, rows).persist()
+    got = {(r.doc_id, r.fingerprint): r.component_id for r in simhash.near_duplicates(df).collect()}
+    prints = [(i, simhash.fingerprint(t)) for i, t, *_ in rows]
+    parent = list(range(len(prints)))
+
+    def root(k):
+        while parent[k] != k:
+            k = parent[k]
+        return k
+
+    for a in range(len(prints)):
+        for b in range(a):
+            if (prints[a][1] ^ prints[b][1]).bit_count() <= 2:
+                parent[root(a)] = root(b)
+    least = {}
+    for k, (i, _) in enumerate(prints):
+        least.setdefault(root(k), []).append(i)
+    want = {(i, f"{f:016x}"): min((x for x in least[root(k)] if x is not None), default=None) for k, (i, f) in enumerate(prints)}
+    assert got == want
+    stays = simhash.representatives(df)
+    assert stays.columns == df.columns and stays.count() == len(least)
+    assert simhash.near_duplicates(df.limit(0)).count() == 0 and simhash.representatives(df.limit(0)).count() == 0
+
+
+def test_packing_round_trip(spark, rows):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    tokenizer = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    tokenizer.encode_special_tokens = True
+    df = frame(spark, rows)
+    got = packing.pack(df, length=256, docs_per_group=20).collect()
+    want = sorted(tuple(tokenizer.encode(t or "", add_special_tokens=False).ids + [2]) for _, t, *_ in rows)
+    sequences, by_doc = {}, {}
+    for r in got:
+        sequences.setdefault(r.sequence_id, []).append(r)
+        by_doc.setdefault((r.doc_id, r.doc_tokens), []).append(r)
+    for rs in sequences.values():
+        at = 0
+        for r in sorted(rs, key=lambda r: r.offset):
+            assert r.offset == at
+            at += r.length
+        assert at <= 256
+    total = sum(map(len, want))
+    assert sum(r.length for r in got) == total
+    fills = [sum(r.length for r in rs) for rs in sequences.values()]
+    assert sum(0 if f & f - 1 == 0 else 256 - f for f in fills) < 0.02 * total
+    texts = {(i, len(ids)): ids for i, t, *_ in rows for ids in [tokenizer.encode(t or "", add_special_tokens=False).ids + [2]]}
+    for (i, n), rs in by_doc.items():
+        if sum(r.length for r in rs) == n:
+            at = 0
+            for r in sorted(rs, key=lambda r: r.start):
+                assert r.start == at and zlib.crc32(np.array(texts[i, n][at : at + r.length], "<u4").tobytes()) == r.ids_crc32
+                at += r.length
+            assert at == n
+    assert packing.pack(df.limit(0)).count() == 0
+
+
+def test_words_give_the_ids_of_whole_texts():
+    import public_tokenizers
+
+    words = packing.load_word_ids(public_tokenizers.path("word_bpe_49k.json"), 50)
+    r = random.Random(1)
+    for _ in range(500):
+        text = "".join(r.choice("aB1 '\"s.é ßİΣσς́x語😀\n\t\x1c\x85\xa0½ŉƁ<|endoftext|>") for _ in range(r.randint(0, 40)))
+        assert words.text(text) == words.encode(text)
+
+
+def test_first_fit_decreasing_takes_the_leftmost_bin():
+    r = random.Random(2)
+    for _ in range(50):
+        sizes, room = [r.randint(1, 60) for _ in range(40)], [r.randint(0, 100) for _ in range(r.randint(1, 30))]
+        left, want = list(room), [-1] * len(sizes)
+        for k in sorted(range(len(sizes)), key=lambda k: -sizes[k]):
+            for b, free in enumerate(left):
+                if free >= sizes[k]:
+                    left[b] -= sizes[k]
+                    want[k] = b
+                    break
+        assert packing.first_fit_decreasing(sizes, room) == want
+
+
+@pytest.mark.parametrize("limit", [0, 1000])
+def test_line_runs(spark, limit):
+    r = random.Random(4)
+    lines = ["", "  ", "common line", " COMMON line\t", "Ä", "ä", "rare one", "x" * 3000, "\x0bcommon line\r"] + [f"line {k}" for k in range(30)]
+    rows = [(i, r.choice([None, ""]) if i % 9 == 0 else "\n".join(r.choice(lines) for _ in range(r.randint(1, 9))), None, None) for i in range(120)] + [(1, "common line", None, None)]
+    key = lambda line: line.strip(" \t\n\x0b\x0c\r").encode().lower()
+    docs = {}
+    for k, (_, t, *_r) in enumerate(rows):
+        for x in {key(line) for line in (t or "").split("\n")}:
+            docs.setdefault(x, set()).add(k)
+    often = {x for x, own in docs.items() if x and len(own) >= 10}
+    want = sorted((i, "\n".join(x for x in (t or "").split("\n") if key(x) not in often), (t or "").count("\n") + 1, sum(key(x) in often for x in (t or "").split("\n"))) for i, t, *_ in rows)
+    df = frame(spark, rows).persist()
+    assert sorted(map(tuple, line_runs.drop_frequent_lines(df, broadcast_keys=limit).collect())) == want
+    assert line_runs.drop_frequent_lines(df.limit(0), broadcast_keys=limit).count() == 0
+
+
+def test_top_k(spark):
+    rng = np.random.default_rng(0)
+    vectors = rng.normal(size=(300, 64))
+    vectors[50:90] = vectors[50]
+    rows = [(k, v.tolist()) for k, v in enumerate(vectors)] + [(900, None), (901, []), (902, [float("nan")] * 64), (None, vectors[3].tolist()), (7, vectors[8].tolist())]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").withColumn("code", F.lit("x")).persist()
+    code = lambda v: sum(1 << b for b, x in enumerate(v[:64]) if x > 0)
+    want = set()
+    for q, v in rows:
+        if q is not None and q % 20 == 0 and v is not None:
+            near = sorted((((code(v) ^ code(w)).bit_count(), -1 if i is None else i) for i, w in rows if w is not None))[:10]
+            want |= {(q, None if i < 0 else i, d, k) for k, (d, i) in enumerate(near, 1)}
+    got = hamming_topk.top_k(df, df.filter("vec_id % 20 = 0"), shard_codes=100)
+    assert {tuple(r) for r in got.collect()} == want
+    assert hamming_topk.top_k(df.limit(0), df).count() == 0 and hamming_topk.top_k(df, df.limit(0)).count() == 0
+
+
+def test_token_counts_are_the_tokenizers(spark, rows):
+    import public_tokenizers
+    from tokenizers import Tokenizer, models, pre_tokenizers
+
+    vocabulary = unigram_counts.load_vocabulary(public_tokenizers.path("piece_bpe_32k.model"))
+    tokenizer = Tokenizer(models.Unigram(vocabulary, unk_id=0, byte_fallback=True))
+    tokenizer.pre_tokenizer = pre_tokenizers.Metaspace(replacement="▁", prepend_scheme="always", split=True)
+    r = random.Random(6)
+    texts = ["".join(r.choice("ab ▁e\nthéß語😀<>s0x4") for _ in range(r.randint(0, 60))) for _ in range(400)]
+    counter = unigram_counts.PieceCounter(vocabulary)
+    assert [counter.text(t) for t in texts] == [len(e.ids) for e in tokenizer.encode_batch(texts, add_special_tokens=False)]
+    got = unigram_counts.token_counts(frame(spark, rows)).collect()
+    assert sorted((str(x.doc_id), x.n_chars, x.n_tokens) for x in got) == sorted((str(i), len(t or ""), len(tokenizer.encode(t or "", add_special_tokens=False).ids)) for i, t, *_ in rows)
+    # Equal scores: the path whose last piece starts first stays.
+    tied = [("<unk>", 0.0), ("a", -1.0), ("b", -1.0), ("ab", -2.0), ("abc", -9.0), ("c", -7.0)]
+    exact = Tokenizer(models.Unigram(tied, unk_id=0))
+    assert unigram_counts.PieceCounter(tied).best("ab") == len(exact.encode("ab").ids)
+
+
+def brute_mix(rows):
+    key = lambda s: ("1",) if s is None else ("0", s.encode())
+    size = [len(re.findall(r"[^\x20\x09-\x0D]+", t or "")) for _, t, _l, _s in rows]
+    totals = {}
+    for n, (*_, s) in zip(size, rows, strict=True):
+        totals[key(s)] = totals.get(key(s), 0) + n
+    weight = {k: (5, 2, 1)[i % 3] for i, k in enumerate(sorted(totals))}
+    target, budget, open_ = {}, 1.5 * sum(totals.values()), set(totals)
+    while open_:
+        level = budget / sum(weight[k] for k in open_)
+        over = {k for k in open_ if level * weight[k] > 2 * totals[k]}
+        if not over:
+            target |= {k: level * weight[k] for k in open_}
+            break
+        target |= {k: 2.0 * totals[k] for k in over}
+        budget -= sum(2 * totals[k] for k in over)
+        open_ -= over
+    return size, totals, {k: target[k] for k in totals}, key
+
+
+def test_mixing(spark, rows):
+    df = frame(spark, rows).persist()
+    size, totals, target, key = brute_mix(rows)
+    plan = mixing.plan_mix(df, carry=["source"])
+    got = plan.withColumnRenamed("__mx_c_source", "source").collect()
+    taken = {}
+    for r in got:
+        assert r.source_size == totals[key(r.source)] and r.target == pytest.approx(target[key(r.source)]) and 0 <= r.taken <= 2 * r.size
+        taken[key(r.source)] = taken.get(key(r.source), 0) + r.taken
+    assert len(got) == len(rows) and sorted(r.size for r in got) == sorted(size)
+    assert all(abs(taken[k] - target[k]) <= 1 for k in target)
+    again = mixing.plan_mix(df.repartition(5)).collect()
+    assert sorted((str(r.doc_id), r.size, r.taken) for r in again) == sorted((str(r.doc_id), r.size, r.taken) for r in got)
+    stream = mixing.mix(df)
+    assert stream.columns == [*df.columns, "mix_position"]
+    rows_out = stream.collect()
+    assert sum(len(re.findall(r"[^\x20\x09-\x0D]+", r.text)) for r in rows_out) == sum(r.taken for r in got)
+    positions = [r.mix_position for r in rows_out]
+    assert positions == sorted(positions) and 0 <= positions[0] and positions[-1] <= 1
+    assert mixing.mix(df.limit(0)).count() == 0 and mixing.plan_mix(df.limit(0)).count() == 0
+
+
+def test_curriculum_inverts_the_integral(spark):
+    rows = spark.createDataFrame([(t / 20, s) for t in range(21) for s in (-0.5, 0.0, 0.25, 1.0)], "t double, s double")
+    demand = 100 * ((1 + F.col("s")) * F.col("t") - F.col("s") * F.col("t") ** 2)
+    back = rows.select("t", mixing.curriculum_time(demand, F.lit(100.0), F.col("s")).alias("b")).collect()
+    assert all(r.b == pytest.approx(r.t, abs=1e-6) for r in back)
+
+
+def test_license_scan(spark, odd):
+    gpl = license_scan.TEMPLATES["GPL-3.0"]
+    texts = [*odd, "words before. " + gpl + " and after", gpl.upper().replace(" ", "\n") + "\n" + gpl, gpl.replace("General", "Foo"), "this license is not licensed", "noise " * 300 + license_scan.TEMPLATES["MIT"] + " noise" * 300]
+    got = {r.doc_id: r for r in license_scan.scan_licenses(frame(spark, [(i, t, None, None) for i, t in enumerate(texts)])).collect()}
+    n = len(odd)
+    assert [got[i].license for i in range(n)] == [None] * n
+    assert [got[n + k].license for k in range(5)] == ["GPL-3.0", "GPL-3.0", "GPL-3.0", None, "MIT"]
+    assert got[n].coverage == 1 and (got[n].first_word, got[n].last_word) == (2, 13) and 0.8 < got[n + 2].coverage < 1
+    assert got[n + 4].first_word == 300
+
+
+def test_patience_alignment_is_a_common_subsequence():
+    r = random.Random(8)
+    for _ in range(300):
+        a, b = ([r.choice("abcdefgh") for _ in range(r.randint(0, 14))] for _ in "ab")
+        m = license_scan.align(a, b)
+        assert all(a[x] == b[y] for x, y in m)
+        assert all(x < x2 and y < y2 for (x, y), (x2, y2) in zip(m, m[1:], strict=False))
+    for _ in range(200):
+        v = [r.randint(0, 20) for _ in range(r.randint(0, 12))]
+        best = max((sum(1 for _ in s) for mask in range(1 << len(v)) for s in [[v[k] for k in range(len(v)) if mask >> k & 1]] if all(x < y for x, y in zip(s, s[1:], strict=False))), default=0) if len(v) <= 9 else None
+        found = license_scan.longest_increasing(v)
+        assert [v[k] for k in found] == sorted({v[k] for k in found}) and (best is None or len(found) == best)
+
+
+def test_toxicity_learns_words_and_misspellings(spark):
+    r = random.Random(9)
+    plain = ["table", "river", "window", "garden", "paper", "silver", "morning", "letter"]
+    make = lambda bad: " ".join(r.choice(plain) for _ in range(r.randint(8, 40))) + (f" {bad} {r.choice(plain)} {bad}" if bad else "")
+    rows = [(i, make(("dunderhead", "blockhead")[i // 4 % 2] if i % 4 == 0 else ""), None, None) for i in range(400)]
+    labels = spark.createDataFrame([(i, int(i % 4 == 0)) for i in range(400)] + [(None, 1), (3, None), (100000, 1)], "doc_id long, toxic int")
+    df = frame(spark, rows)
+    model = toxicity.fit(df, labels, max_per_class=80)
+    test = [(0, make("")), (1, make("dunderheads")), (2, make("Blockhead!")), (3, ""), (4, None), (5, make("dunderhaed"))]
+    got = {x.doc_id: x for x in toxicity.score(frame(spark, [(i, t, None, None) for i, t in test]), model).collect()}
+    assert [got[i].predicted for i in (0, 1, 2, 3, 4)] == [0, 1, 1, 0, 0] and got[5].score > got[0].score and got[3].score == got[4].score
+    empty = toxicity.fit(df, labels.limit(0))
+    assert all(0 <= x.score <= 1 for x in toxicity.score(df, empty).collect()) and toxicity.score(df.limit(0), model).count() == 0
+
+
+def test_language_models(spark, odd):
+    r = random.Random(10)
+    sounds = {"en": ["the", "ing", "and", "th", "wh"], "de": ["sch", "ein", "ung", "ch", "ö"]}
+    make = lambda lang, n: " ".join("".join(r.choice(sounds[lang]) for _ in range(r.randint(1, 4))) for _ in range(n))
+    rows = [(i, make(("en", "de")[i % 2], r.randint(2, 60)), ("en", "de")[i % 2], None) for i in range(200)]
+    df = frame(spark, [*rows, (500, None, "en", None), (501, "the", None, None)])
+    model = langid.train(df)
+    tests = [(1000 + i, make(lang, 12), lang, None) for i in range(40) for lang in ("en", "de")] + [(2000 + i, t, None, None) for i, t in enumerate(odd)] + [(3000, "12 34 !!", None, None), (3001, "привет мир это другой язык " * 5, None, None)]
+    got = {(x.doc_id, x.lang_pred, x.rejected) for x in langid.identify(frame(spark, tests), model).collect()}
+    assert {(i, lang, False) for i, _, lang, _ in tests[:80]} <= got
+    assert all((2000 + i, "und", True) in got for i in (0, 1, 2, 3)) and (3000, "und", True) in got
+    assert any(i == 3001 and rejected for i, _, rejected in got)
+    none = langid.train(df.limit(0))
+    assert none is None and {x.lang_pred for x in langid.identify(df, none).collect()} == {"und"}
+    assert langid.identify(df.limit(0), model).count() == 0
+
+
+def test_kneser_ney_sums_to_one(spark):
+    """For any context, probabilities of all letters and of what is left for unseen ones sum to one."""
+    rows = [("x", g, n) for g, n in (("    a", 3), ("   ab", 2), ("  ab ", 2), ("   a ", 1), ("    b", 1), ("   bb", 1), ("  bb ", 1))]
+    model = langid.build_model(rows)
+    letters = ["a", "b", " ", "z"]
+    for context in ("    ", "   a", "  ab", "qqqq", "   b"):
+        p = [np.exp(model._letters(langid._points(context + c), np.array([0]))[0, 0]) for c in letters]
+        assert sum(p) == pytest.approx(1, abs=1e-4)
+
+
+def test_folds(spark):
+    df = spark.range(50).select(F.col("id"), langid.fold("id", 5).alias("k"))
+    assert all(r.k == zlib.crc32(str(r.id).encode()) % 5 for r in df.collect())
+
+
+def test_hash_of_normalised_text(spark):
+    got = spark.createDataFrame([("ÀB",), (None,), ("Ab",)], "text string").select(F.sha2(exact_dedup.normalised("text"), 256)).collect()
+    assert [r[0] for r in got] == [hashlib.sha256(x.encode()).hexdigest() for x in ("Àb", "", "ab")]
