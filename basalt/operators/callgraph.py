@@ -38,7 +38,8 @@ def enrich(fns: DataFrame, edges: DataFrame, fn_key: str, value: str, source: st
     """Add a map from neighbour to its `value`, for neighbours that are in the dataset themselves; an empty map else. edges: (source, target)."""
     known = fns.select(F.col(fn_key).alias(target), F.col(value).alias("neighbour_value"))
     maps = edges.select(source, target).distinct().join(known, target).groupBy(source).agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct(target, "neighbour_value")))).alias(name))
-    empty = F.map_from_entries(F.array().cast(maps.schema[name].dataType.simpleString().replace("map<", "array<struct<k:", 1).replace(",", ",v:", 1).replace(">", ">>", 1)))
+    kind = maps.schema[name].dataType
+    empty = F.map_from_arrays(F.array().cast(f"array<{kind.keyType.simpleString()}>"), F.array().cast(f"array<{kind.valueType.simpleString()}>"))
     return fns.join(maps.withColumnRenamed(source, fn_key), fn_key, "left").withColumn(name, F.coalesce(name, empty))
 
 

@@ -119,7 +119,8 @@ def _per_function(instructions: DataFrame, edges: DataFrame, fn: str, run, schem
         return pd.DataFrame([(key[0], *r) for r in rows], columns=[fn, *names])
 
     kind = instructions.schema[fn].dataType.simpleString()
-    return instructions.select(fn, "block", "pos", "asm").groupBy(fn).cogroup(edges.filter("dst IS NOT NULL").select(fn, "src", "dst").groupBy(fn)).applyInPandas(group, f"`{fn}` {kind}, {schema}")
+    links = edges.filter("dst IS NOT NULL").select(F.col(fn).alias("edge_fn"), "src", "dst")  # a name of its own: both sides may come from one table
+    return instructions.select(fn, "block", "pos", "asm").groupBy(fn).cogroup(links.groupBy("edge_fn")).applyInPandas(group, f"`{fn}` {kind}, {schema}")
 
 
 def instruction_effects(instructions: DataFrame, fn: str) -> DataFrame:

@@ -11,7 +11,8 @@ from basalt.operators.splits import split_80_10_10
 
 def neighbour_list(c: str, k: int = 5):
     """The first k neighbours' records by key, without the keys."""
-    return F.slice(F.transform(F.array_sort(F.map_entries(F.coalesce(F.col(c), F.create_map().cast("map<string,struct<code:array<struct<id:int,asm:string>>,data_dep:array<struct<use_id:int,def_id:int>>>>")))), lambda e: e["value"]), 1, k)
+    values = F.transform(F.array_sort(F.map_entries(c), lambda a, b: F.when(a["key"] < b["key"], -1).when(a["key"] > b["key"], 1).otherwise(0)), lambda e: e["value"])
+    return F.slice(values, 1, k)
 
 
 def contrastive_set(dataset: DataFrame) -> DataFrame:
