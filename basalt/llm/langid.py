@@ -175,19 +175,14 @@ def _row_hashes(points: np.ndarray) -> np.ndarray:
     return out
 
 
-def build_model(rows: list[tuple[str, str, int]]) -> Model | None:
-    """From (lang, gram, n) rows; None without any."""
-    langs = sorted({r[0] for r in rows})
+def build_model(by_lang: dict[str, tuple[str, np.ndarray]]) -> Model | None:
+    """From each language's 5-grams, behind one another, and their counts; None without any."""
+    langs = sorted(by_lang)
     if not langs:
         return None
-    letters = len({r[1][-1] for r in rows}) + 1
-    tables, own_points = [], []
-    for lang in langs:
-        own = sorted((g, n) for code, g, n in rows if code == lang)
-        points = _points("".join(g for g, _ in own)).reshape(-1, ORDER)
-        counts = np.array([n for _, n in own], float)
-        tables.append(_kneser_ney(points, counts, letters))
-        own_points.append((points, counts))
+    own_points = [(_points(by_lang[lang][0]).reshape(-1, ORDER), by_lang[lang][1].astype(float)) for lang in langs]
+    letters = len(np.unique(np.concatenate([p[:, -1] for p, _ in own_points]))) + 1
+    tables = [_kneser_ney(points, counts, letters) for points, counts in own_points]
 
     def joint(parts: list[tuple[np.ndarray, np.ndarray]], empty: float) -> tuple[np.ndarray, np.ndarray]:
         keys = np.unique(np.concatenate([k for k, _ in parts]))
@@ -217,12 +212,15 @@ def build_model(rows: list[tuple[str, str, int]]) -> Model | None:
     return model
 
 
-def train(df: DataFrame, text_col: str = "text", lang_col: str = "lang", max_grams: int = 1_500_000) -> Model | None:
+def train(df: DataFrame, text_col: str = "text", lang_col: str = "lang", max_grams: int = 1_000_000) -> Model | None:
     """A model of the languages of the rows of df that have text and language. All rows are counted; what the driver gets is bounded by max_grams in all."""
     counted = scratch_table(count_grams(df.filter(F.col(text_col).isNotNull() & F.col(lang_col).isNotNull()), text_col, lang_col), "langid-grams")
     langs = max(1, counted.select("lang").distinct().count())
     best = counted.withColumn("k", F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "gram"))).filter(F.col("k") <= max_grams // langs)
-    return build_model([(r.lang, r.gram, r.n) for r in best.select("lang", "gram", "n").toPandas().itertuples(index=False)])
+    # As Arrow: rows as Python objects would take ten times the memory.
+    rows = best.groupBy("lang").agg(F.sort_array(F.collect_list(F.struct("gram", "n"))).alias("grams"))
+    rows = rows.select("lang", F.array_join(F.transform("grams", lambda g: g["gram"]), "").alias("text"), F.transform("grams", lambda g: g["n"]).alias("n")).toArrow()
+    return build_model({lang.as_py(): (text.as_py(), n.values.to_numpy()) for lang, text, n in zip(*rows.columns, strict=True)})
 
 
 class Scorer:

@@ -350,8 +350,8 @@ def test_language_models(spark, odd):
 
 def test_kneser_ney_sums_to_one(spark):
     """For any context, probabilities of all letters and of what is left for unseen ones sum to one."""
-    rows = [("x", g, n) for g, n in (("    a", 3), ("   ab", 2), ("  ab ", 2), ("   a ", 1), ("    b", 1), ("   bb", 1), ("  bb ", 1))]
-    model = langid.build_model(rows)
+    grams = {"    a": 3, "   ab": 2, "  ab ": 2, "   a ": 1, "    b": 1, "   bb": 1, "  bb ": 1}
+    model = langid.build_model({"x": ("".join(grams), np.array(list(grams.values())))})
     letters = ["a", "b", " ", "z"]
     for context in ("    ", "   a", "  ab", "qqqq", "   b"):
         p = [np.exp(model._letters(langid._points(context + c), np.array([0]))[0, 0]) for c in letters]
