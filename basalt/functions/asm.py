@@ -31,6 +31,7 @@ REGISTERS = set(ALIASES.values())
 ADDRESS_ORDER = ("rax", "rbx", "rcx", "rdx", "rsi", "rdi", *(f"r{n}" for n in range(8, 16)))
 #: Arguments of a call.
 ARGUMENTS = ("rdi", "rsi", "rdx", "rcx", "r8", "r9")
+#: Mnemonics that define the flags, and conditions of those that use them: fixed values.
 SETS_FLAGS = set("test add sub and or xor imul idiv cmp shl shr sar shld shrd rol ror rcl rcr sal sbb adc neg not inc dec mul div".split())
 _CONDITIONS = "nz z nb b nl l no o np p ns s nc c nge ge ng g ne e na a nae ae nbe be".split()
 USES_FLAGS = {f"{p}{c}" for p in ("j", "set", "cmov") for c in _CONDITIONS} | {"jle", "jcxz", "jecxz", "loop", "loope", "loopne", "adc"}
