@@ -247,13 +247,14 @@ def dependence_tables(spark, d):
 
 
 def _blocks(spark: SparkSession, d: str) -> DataFrame:
-    """A document's first three lines' sentences as blocks of three paths; every document, whole lines."""
-    lines = table(spark, d, "documents").select(F.col("doc_id").alias("fn"), F.posexplode(F.slice(F.split(T.text("text"), "\n"), 1, 3)).alias("path", "line"))
-    return lines.select("fn", "path", F.posexplode(F.split("line", r"\. ")).alias("pos", "content"))
+    """A document's lines, dealt in turn to three paths, as blocks: a block for each sentence."""
+    lines = table(spark, d, "documents").select(F.col("doc_id").alias("fn"), F.posexplode(F.split(T.text("text"), "\n")).alias("line", "s"))
+    blocks = lines.select("fn", "line", F.posexplode(F.split("s", r"\. ")).alias("i", "content"))
+    return blocks.select("fn", (F.col("line") % 3).alias("path"), (F.col("line") * 100000 + F.col("i")).alias("pos"), "content")
 
 
-@query("""WITH l AS (SELECT doc_id AS fn, unnest(string_split(coalesce(text, ''), chr(10))[1:3]) AS line, generate_subscripts(string_split(coalesce(text, ''), chr(10))[1:3], 1) - 1 AS path FROM documents),
-b AS (SELECT fn, path, unnest(string_split(line, '. ')) AS content, generate_subscripts(string_split(line, '. '), 1) - 1 AS pos FROM l),
+@query("""WITH l AS (SELECT doc_id AS fn, unnest(string_split(coalesce(text, ''), chr(10))) AS line, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) - 1 AS k FROM documents),
+b AS (SELECT fn, k % 3 AS path, unnest(string_split(line, '. ')) AS content, k * 100000 + generate_subscripts(string_split(line, '. '), 1) - 1 AS pos FROM l),
 h AS (SELECT *, substr(md5(regexp_replace(regexp_replace(content, '^\\s+', ''), '\\s+$', '')), 1, 8) AS x FROM b),
 f AS (SELECT *, first_value(path) OVER w AS p, first_value(pos) OVER w AS i FROM h WINDOW w AS (PARTITION BY fn, x ORDER BY path, pos))
 SELECT fn, path::INT AS path, pos::INT AS pos, CASE WHEN p = path AND i = pos THEN content ELSE 'Same as REF_' || p || '_' || i END AS shown FROM f""")
@@ -262,8 +263,8 @@ def prompt_refs(spark, d):
     return prompts.compressed(_blocks(spark, d), "fn").select("fn", "path", "pos", "shown")
 
 
-@query("""WITH l AS (SELECT doc_id AS fn, unnest(string_split(coalesce(text, ''), chr(10))[1:3]) AS line, generate_subscripts(string_split(coalesce(text, ''), chr(10))[1:3], 1) - 1 AS path FROM documents),
-b AS (SELECT fn, path, unnest(string_split(line, '. ')) AS content, generate_subscripts(string_split(line, '. '), 1) - 1 AS pos FROM l),
+@query("""WITH l AS (SELECT doc_id AS fn, unnest(string_split(coalesce(text, ''), chr(10))) AS line, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) - 1 AS k FROM documents),
+b AS (SELECT fn, k % 3 AS path, unnest(string_split(line, '. ')) AS content, k * 100000 + generate_subscripts(string_split(line, '. '), 1) - 1 AS pos FROM l),
 h AS (SELECT fn, path, pos, substr(md5(regexp_replace(regexp_replace(content, '^\\s+', ''), '\\s+$', '')), 1, 8) AS x, length(content) AS n FROM b),
 k AS (SELECT fn, max(path) AS m FROM h GROUP BY 1),
 o AS (SELECT fn, [0] AS o FROM k WHERE m = 0 UNION ALL SELECT fn, unnest([[0,1],[1,0]]) FROM k WHERE m = 1 UNION ALL SELECT fn, unnest([[0,1,2],[0,2,1],[1,0,2],[1,2,0],[2,0,1],[2,1,0]]) FROM k WHERE m = 2),
