@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import sys
 import tempfile
 import types
@@ -55,6 +56,11 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
-def process_memo() -> dict:
-    """What a Python worker keeps from task to task (loaded models, word tables), however this code has reached it."""
-    return sys.modules.setdefault("basalt_process_memo", types.ModuleType("basalt_process_memo")).__dict__
+def process_memo(owner: str) -> dict:
+    """What a Python worker keeps from task to task for one operator (loaded models, word tables), however this code has reached it. Workers outlive operators, so what another operator has left goes first."""
+    memo = sys.modules.setdefault("basalt_process_memo", types.ModuleType("basalt_process_memo")).__dict__
+    if memo.get("owner") != owner:
+        memo.pop("tables", None)
+        gc.collect()
+        memo["owner"] = owner
+    return memo.setdefault("tables", {})

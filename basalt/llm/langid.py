@@ -38,7 +38,8 @@ _PRIME = np.uint64(0x9E3779B97F4A7C15)
 
 
 def words_of(token: str) -> list[str]:
-    return _LETTERS.findall(token.lower())
+    """Runs of letters; such as have only signs like ½ are none."""
+    return [w for w in _LETTERS.findall(token.lower()) if w.isalpha() or any(map(str.isalpha, w))]
 
 
 def gram_hashes(points: np.ndarray, n: int) -> np.ndarray:
@@ -68,6 +69,7 @@ def count_grams(df: DataFrame, text_col: str, lang_col: str) -> DataFrame:
     """(lang, gram, n): 5-grams of each language's words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        process_memo("langid")
         for b in batches:
             by_lang: dict[str, Counter] = {}
             for text, lang in zip(b.column(0), b.column(1).to_pylist(), strict=True):
@@ -282,7 +284,7 @@ def identify(df: DataFrame, model: Model | None, id_col: str = "doc_id", text_co
     text_at = sent.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo = process_memo()
+        memo = process_memo("langid")
         model = shipped.value
         if model is not None and memo.get("langid", (None,))[0] != key:
             memo["langid"] = (key, Scorer(model))

@@ -156,7 +156,7 @@ def drop_frequent_lines(
     min_docs: int = 10,
     batches: int = 4,
     fan_in: int = 2,
-    broadcast_keys: int = 1_000_000,
+    broadcast_keys: int = 500_000,
 ) -> DataFrame:
     """One row per document: the id, the text without its frequent lines, n_lines, n_dropped.
 
@@ -176,12 +176,16 @@ def drop_frequent_lines(
         return pa.RecordBatch.from_arrays([ids, pa.array([r[0] for r in rows], pa.string()), *(pa.array([r[k] for r in rows], pa.int64()) for k in (1, 2))], names=names)
 
     if frequent.count() <= broadcast_keys:
-        rows = frequent.toPandas()
-        keys = spark.sparkContext.broadcast(np.ascontiguousarray(rows[["h1", "h2"]].to_numpy("int64")))
+        rows = frequent.toArrow()
+        keys = spark.sparkContext.broadcast(np.stack([rows["h1"].to_numpy(), rows["h2"].to_numpy()], axis=1))
 
         def run(arrow: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            known = set(map(tuple, keys.value.tolist()))
-            drop = lambda key: key_hash(key) in known
+            known = {(a << 64) + b for a, b in keys.value.tolist()}
+
+            def drop(key: bytes) -> bool:
+                a, b = key_hash(key)
+                return (a << 64) + b in known
+
             for b in arrow:
                 for lo in range(0, len(b), 512):
                     part = b.slice(lo, 512)

@@ -102,7 +102,7 @@ def load_word_ids(path: str, most: int) -> WordIds:
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
 
-    memo = process_memo()
+    memo = process_memo("packing")
     if (key := f"word_ids {path} {most}") not in memo:
         tokenizer = Tokenizer.from_file(path)
         tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text

@@ -62,6 +62,7 @@ def fingerprints(df: DataFrame, id_col: str, text_col: str, shingle: int = SHING
     """(id, fp): fp as a signed long."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        process_memo("simhash")
         for b in batches:
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([signed(fingerprint(t.as_py(), shingle)) for t in b.column(1)], pa.int64())], names=[id_col, "fp"])
 
@@ -78,7 +79,7 @@ def _remainders(words: np.ndarray) -> np.ndarray:
 
 def golay_tables() -> dict:
     """syndromes: of all 23-bit words. first, count: by excess over the covering radius and syndrome, where in `patterns` the error patterns stand that lead to a codeword."""
-    memo = process_memo()
+    memo = process_memo("simhash")
     if "golay" not in memo:
         syndrome = _remainders(np.arange(1 << _N, dtype=np.int32)).astype(np.int16)
         patterns, first, count = [], [], []
@@ -207,6 +208,7 @@ def representatives(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     placed = df.withColumn("simhash_place", F.monotonically_increasing_id())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        process_memo("simhash")
         for b in batches:
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([signed(fingerprint(t.as_py(), shingle)) for t in b.column(2)], pa.int64())], names=["id", "place", "fp"])
 

@@ -49,6 +49,7 @@ class PieceCounter:
         self.single = {p for p, _ in vocabulary if len(p) == 1}
         self.unknown = min(s for _, s in vocabulary) - UNKNOWN_PENALTY
         self.known: dict[str, int] = {}
+        self.old: dict[str, int] = {}
         self.most, self.longest = most, longest
 
     def best(self, word: str) -> int:
@@ -85,11 +86,12 @@ class PieceCounter:
     def word(self, word: str) -> int:
         if len(word) > self.longest:
             return self.best(word)
-        n = self.known.get(word)
+        n = self.old.get(word)
         if n is None:
-            if len(self.known) >= self.most:
-                self.known.clear()
-            n = self.known[word] = self.best(word)
+            n = self.best(word)
+        if len(self.known) >= self.most:  # what isn't asked for until the table is full again is forgotten
+            self.old, self.known = self.known, {}
+        self.known[word] = n
         return n
 
     def text(self, text: str) -> int:
@@ -98,9 +100,9 @@ class PieceCounter:
         parts = text.replace(MARK, " ").split(" ")
         if parts[0] == "":  # the text starts with a mark of its own
             del parts[0]
-        known, count = self.known, 0
+        count = 0
         for part in parts:
-            n = known.get(MARK + part)
+            n = self.known.get(MARK + part)
             count += self.word(MARK + part) if n is None else n
         return count
 
@@ -118,7 +120,7 @@ def token_counts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         vocabulary = public_tokenizers.path("piece_bpe_32k.model")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo = process_memo()
+        memo = process_memo("token counts")
         if (key := f"pieces {vocabulary}") not in memo:
             memo[key] = PieceCounter(load_vocabulary(vocabulary))
         counter = memo[key]
