@@ -126,6 +126,8 @@ def top_k(
                 out.append(pd.DataFrame({"code": q, "near": table.codes[rows].view(np.int64), "distance": distance.astype(np.int32)}))
         return pd.concat(out) if out else pd.DataFrame({"code": pd.Series(dtype="int64"), "near": pd.Series(dtype="int64"), "distance": pd.Series(dtype="int32")})
 
+    # As many partitions as shards: they are small to move but long to search, so Spark mustn't put them together by size.
+    dealt, distinct = dealt.repartition(shards, "shard"), distinct.repartition(shards, "shard")
     near = dealt.groupBy("shard").cogroup(distinct.groupBy("shard")).applyInPandas(run, "code long, near long, distance int")
     ids = near.join(index.withColumnRenamed("code", "near"), "near").select("code", "distance", F.explode("ids").alias("id"))
     by_code = Window.partitionBy("code").orderBy("distance", "id")
