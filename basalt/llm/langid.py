@@ -3,9 +3,9 @@
 Training counts, over all labelled documents, the character 5-grams of each language's words
 (runs of letters, lower-cased, padded so that each letter has four before it). Executors count each Arrow
 batch's distinct words once and send distinct 5-grams with counts; Spark adds them up. Lower
-orders need only the distinct 5-grams (continuation counts). The tables are sorted arrays of
-64-bit hashes with a row of log-probabilities, one for each language; they are bounded by max_grams in all,
-the most frequent of each language first, and so can be broadcast.
+orders need only the distinct 5-grams (continuation counts). Spark computes the model over all of them. The tables are sorted
+arrays of 64-bit hashes with a row of log-probabilities, one for each language; they hold every n-gram, grow with
+the distinct n-grams of the input, and are broadcast.
 
 A text gets, for each language, the mean negative log-probability of its letters; the lowest wins.
 Rejection is calibrated on the training counts: a text is rejected if it has no letter, or if its
@@ -25,7 +25,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from basalt.llm.common import process_memo, scratch_table
@@ -214,15 +214,65 @@ def build_model(by_lang: dict[str, tuple[str, np.ndarray]]) -> Model | None:
     return model
 
 
-def train(df: DataFrame, text_col: str = "text", lang_col: str = "lang", max_grams: int = 1_000_000) -> Model | None:
-    """A model of the languages of the rows of df that have text and language. All rows are counted; what the driver gets is bounded by max_grams in all."""
+def _hashed(df: DataFrame, n: int, values: int) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted hashes of the n-grams in column `gram`, and a row of the columns v0, v1, ... for each."""
+    names = [f"v{j}" for j in range(values)]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            keys = _row_hashes(_points("".join(b.column(0).to_pylist())).reshape(-1, n))
+            yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), *(b.column(k + 1) for k in range(values))], names=["key", *names])
+
+    found = df.select("gram", *names).mapInArrow(run, ", ".join(["key long", *(f"{v} float" for v in names)])).toArrow()
+    keys = found["key"].to_numpy().view(np.uint64)
+    order = np.argsort(keys)
+    out = np.empty((len(keys), values), np.float32)
+    for j, v in enumerate(names):
+        out[:, j] = found[v].to_numpy()[order]
+    return keys[order], out
+
+
+def train(df: DataFrame, text_col: str = "text", lang_col: str = "lang") -> Model | None:
+    """A model of the languages of the rows of df that have text and language; None without any.
+
+    Counts, discounts, back-off weights and probabilities are those of all 5-grams and are computed in Spark: a row for each
+    n-gram, a column for each language. The driver gets hashes and log-probabilities, which grow with the distinct n-grams.
+    """
     counted = scratch_table(count_grams(df.filter(F.col(text_col).isNotNull() & F.col(lang_col).isNotNull()), text_col, lang_col), "langid-grams")
-    langs = max(1, counted.select("lang").distinct().count())
-    best = counted.withColumn("k", F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "gram"))).filter(F.col("k") <= max_grams // langs)
-    # As Arrow: rows as Python objects would take ten times the memory.
-    rows = best.groupBy("lang").agg(F.sort_array(F.collect_list(F.struct("gram", "n"))).alias("grams"))
-    rows = rows.select("lang", F.array_join(F.transform("grams", lambda g: g["gram"]), "").alias("text"), F.transform("grams", lambda g: g["n"]).alias("n")).toArrow()
-    return build_model({lang.as_py(): (text.as_py(), n.values.to_numpy()) for lang, text, n in zip(*rows.columns, strict=True)})
+    langs = sorted(r[0] for r in counted.select("lang").distinct().collect())
+    if not langs:
+        return None
+    each = range(len(langs))
+    wide = counted.groupBy("gram").agg(*(F.sum(F.when(F.col("lang") == lang, F.col("n")).otherwise(0)).alias(f"c{j}") for j, lang in enumerate(langs)))
+    levels = [scratch_table(wide, "langid-5")]
+    for n in range(ORDER - 1, 0, -1):
+        # Of the lower orders the number of distinct characters before.
+        levels.append(scratch_table(levels[-1].groupBy(F.expr("substr(gram, 2)").alias("gram")).agg(*(F.count_if(F.col(f"c{j}") > 0).alias(f"c{j}") for j in each)), f"langid-{n}"))
+    levels.reverse()
+    letters = levels[0].count() + 1
+    grams, contexts, below, unseen = [], [], None, np.zeros(len(langs), np.float32)
+    for n, level in enumerate(levels, 1):
+        few = level.agg(*(F.count_if(F.col(f"c{j}") == k) for j in each for k in (1, 2))).first()
+        discounts = [ones / (ones + 2 * twos) if ones and twos else 0.5 for ones, twos in zip(few[::2], few[1::2], strict=True)]
+        own = level.withColumn("context", F.expr(f"substr(gram, 1, {n - 1})"))
+        sums = own.groupBy("context").agg(*(F.sum(f"c{j}").alias(f"t{j}") for j in each), *(F.count_if(F.col(f"c{j}") > 0).alias(f"y{j}") for j in each))
+        # A language that hasn't seen the context leaves all to the order below.
+        weights = scratch_table(sums.select("context", *(f"t{j}" for j in each), *(F.when(F.col(f"t{j}") > 0, discounts[j] * F.col(f"y{j}") / F.col(f"t{j}")).otherwise(1.0).alias(f"b{j}") for j in each)), f"langid-contexts-{n}")
+        joined = own.join(weights, "context")
+        if n > 1:
+            joined = joined.withColumn("suffix", F.expr("substr(gram, 2)")).join(below.select(F.col("gram").alias("suffix"), *(F.col(f"p{j}").alias(f"q{j}") for j in each)), "suffix")
+            contexts.append(_hashed(weights.select(F.col("context").alias("gram"), *(F.log(f"b{j}").cast("float").alias(f"v{j}") for j in each)), n - 1, len(langs)))
+        else:
+            joined = joined.select("*", *(F.lit(1 / letters).alias(f"q{j}") for j in each))
+            unseen = np.log(np.array([weights.first()[f"b{j}"] for j in each]) / letters).astype(np.float32)
+        share = [F.when(F.col(f"t{j}") > 0, F.greatest(F.col(f"c{j}") - F.lit(discounts[j]), F.lit(0.0)) / F.col(f"t{j}")).otherwise(0.0) for j in each]
+        below = scratch_table(joined.select("gram", *(f"c{j}" for j in each), *((share[j] + F.col(f"b{j}") * F.col(f"q{j}")).alias(f"p{j}") for j in each)), f"langid-probabilities-{n}")
+        grams.append(_hashed(below.select("gram", *(F.log(f"p{j}").cast("float").alias(f"v{j}") for j in each)), n, len(langs)))
+    # Entropy and spread of each language over all its letters.
+    moments = below.agg(*(F.sum(F.col(f"c{j}") * F.log(f"p{j}") ** k) / F.sum(f"c{j}") for j in each for k in (1, 2))).first()
+    means, squares = np.array(moments[::2]), np.array(moments[1::2])
+    sigma = np.sqrt(np.maximum(squares - means**2, 0))
+    return Model(langs, [g[0] for g in grams], [g[1] for g in grams], [c[0] for c in contexts], [c[1] for c in contexts], unseen, -means, sigma, float(np.log(letters)))
 
 
 class Scorer:

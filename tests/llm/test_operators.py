@@ -348,6 +348,30 @@ def test_language_models(spark, odd):
     assert langid.identify(df.limit(0), model).count() == 0
 
 
+def test_training_in_spark_is_that_of_the_plain_version(spark, rows):
+    df = frame(spark, rows)
+    model = langid.train(df)
+    by_lang = {}
+    for r in sorted(langid.count_grams(df.filter("text IS NOT NULL AND lang IS NOT NULL"), "text", "lang").collect(), key=lambda r: r.gram):
+        by_lang.setdefault(r.lang, []).append((r.gram, r.n))
+    want = langid.build_model({lang: ("".join(g for g, _ in own), np.array([n for _, n in own])) for lang, own in by_lang.items()})
+    assert model.langs == want.langs and model.even == pytest.approx(want.even)
+    for name in ("grams", "logs", "contexts", "backoffs"):
+        assert all(np.allclose(x, y, atol=1e-5) for x, y in zip(getattr(model, name), getattr(want, name), strict=True)), name
+    for name in ("unseen", "entropy", "sigma"):
+        assert np.allclose(getattr(model, name), getattr(want, name), atol=1e-4), name
+
+
+def test_training_keeps_every_gram(spark):
+    """More 5-grams of a language than any table size that was ever fixed."""
+    letters = np.random.default_rng(1).integers(0x4E00, 0x9FA0, (12_000, 50))
+    words = ["".join(map(chr, w)) for w in letters]
+    want = {w[k : k + 5] for w in (f"    {w} " for w in words) for k in range(len(w) - 4)}
+    rows = [(k, " ".join(words[k::40]), "zh", None) for k in range(40)] + [(99, "the other language", "en", None)]
+    model = langid.train(frame(spark, rows))
+    assert len(want) > 500_000 and abs(len(model.grams[4]) - len(want) - len("the other language")) < 6
+
+
 def test_kneser_ney_sums_to_one(spark):
     """For any context, probabilities of all letters and of what is left for unseen ones sum to one."""
     grams = {"    a": 3, "   ab": 2, "  ab ": 2, "   a ": 1, "    b": 1, "   bb": 1, "  bb ": 1}
