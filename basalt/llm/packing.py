@@ -4,7 +4,7 @@
    cut into whole sequences and a rest; of the rest the length, the CRC-32 and the
    CRC-32 of its power-of-two parts (the binary digits of its length, largest first) are
    kept, so that packing never needs the ids again.
-2. Deal documents to random groups by a hash, a bounded expected number to each, and pack each group alone:
+2. Deal documents to random groups by a hash of id, content and place in the input (copies go to all groups), a bounded expected number to each, and pack each group alone:
    first-fit decreasing of the rests over a tournament tree of bin capacities.
 3. The emptiest bins of a group are dissolved until their tokens can fill the
    gaps of all others; their documents are cut into their power-of-two parts, which go through the
@@ -26,6 +26,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import regex
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -33,7 +34,7 @@ from basalt.llm.common import process_memo, scratch_table
 
 #: Characters that str.split() takes for white space and the tokenizer doesn't.
 _ODD_SPACE = "\x1c\x1d\x1e\x1f"
-PIECES = "chunk_start long, chunk_length long, ids_crc32 long, parts_crc32 array<long>, doc_tokens long, deal long"
+PIECES = "chunk_start long, chunk_length long, ids_crc32 long, parts_crc32 array<long>, doc_tokens long, deal long, place long"
 #: How the tokenizer splits a lower-cased word; words with other characters than these go to it whole.
 _SIMPLE = re.compile("[!-~\u00a1-\u012f\u0132-\u017f]+")
 _SPLIT = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
@@ -122,13 +123,14 @@ def tokenise(df: DataFrame, id_col: str, text_col: str, tokenizer: str, end_id:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = load_word_ids(tokenizer, cache_words)
+        # The row's place in the input, so that neither copies nor repeated rows share a group. It is written with the chunks and stays.
+        place = TaskContext.get().partitionId() << 40
         for batch in batches:
-            out: list[list] = [[] for _ in range(7)]
+            out: list[list] = [[] for _ in range(8)]
             column = batch.column(1)
             for k, text in enumerate(column):
                 ids = words.text(text.as_py() or "") + end
                 n = len(ids) // 4
-                # Dealt by the whole content, so that repeated ids don't share a group.
                 deal = zlib.crc32(ids) | n % 0x7FFF << 32
                 for start in range(0, n, length):
                     chunk = ids[4 * start : 4 * (start + length)]
@@ -137,11 +139,12 @@ def tokenise(df: DataFrame, id_col: str, text_col: str, tokenizer: str, end_id:
                         for part in binary_parts(size):
                             parts.append(zlib.crc32(chunk[at : at + 4 * part]))
                             at += 4 * part
-                    for column_out, x in zip(out, (k, start, size, zlib.crc32(chunk), parts, n, deal), strict=True):
+                    for column_out, x in zip(out, (k, start, size, zlib.crc32(chunk), parts, n, deal, place), strict=True):
                         column_out.append(x)
+                place += 1
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0).take(pa.array(out[0], pa.int64())), *(pa.array(x, pa.int64()) for x in out[1:4]), pa.array(out[4], pa.list_(pa.int64())), *(pa.array(x, pa.int64()) for x in out[5:])],
-                names=[id_col, "chunk_start", "chunk_length", "ids_crc32", "parts_crc32", "doc_tokens", "deal"],
+                names=[id_col, "chunk_start", "chunk_length", "ids_crc32", "parts_crc32", "doc_tokens", "deal", "place"],
             )
 
     return df.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {id_type.simpleString()}, {PIECES}")
@@ -255,7 +258,7 @@ def pack(
     groups = max(1, -(-chunks.filter("chunk_start = 0").count() // docs_per_group))
 
     def run(key, group):
-        group = group.sort_values(["deal", "chunk_start"], kind="stable")
+        group = group.sort_values(["deal", "place", "chunk_start"], kind="stable")
         ids, starts, totals = group[id_col].tolist(), group["chunk_start"].tolist(), group["doc_tokens"].tolist()
         lengths, whole, parts = group["chunk_length"].tolist(), group["ids_crc32"].tolist(), group["parts_crc32"].tolist()
         part_crc = [dict(zip(np.cumsum([0, *binary_parts(n)[:-1]]).tolist(), p, strict=True)) if n < length else {} for n, p in zip(lengths, parts, strict=True)]
@@ -267,5 +270,5 @@ def pack(
                 at += n
         return pd.DataFrame(out, columns=[id_col, "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]).astype({id_col: group[id_col].dtype})
 
-    dealt = chunks.withColumn("pack_group", F.pmod(F.xxhash64("deal"), F.lit(groups)))
+    dealt = chunks.withColumn("pack_group", F.pmod(F.xxhash64(id_col, "deal", "place"), F.lit(groups)))
     return dealt.groupBy("pack_group").applyInPandas(run, f"`{id_col}` {id_type}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long")

@@ -165,6 +165,14 @@ def test_packing_round_trip(spark, rows):
     assert packing.pack(df.limit(0)).count() == 0
 
 
+def test_packing_spreads_copies_over_all_groups(spark):
+    rows = [(i % 3 or None, ("one text of many copies", None)[i % 4 == 0], None, None) for i in range(400)]
+    groups = {}
+    for r in packing.pack(frame(spark, rows), length=256, docs_per_group=20).collect():
+        groups[r.sequence_id >> 32] = groups.get(r.sequence_id >> 32, 0) + (r.start == 0)
+    assert sum(groups.values()) == 400 and len(groups) == 20 and max(groups.values()) < 50
+
+
 def test_words_give_the_ids_of_whole_texts():
     import public_tokenizers
 
