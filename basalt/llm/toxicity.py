@@ -18,8 +18,9 @@ import string
 import uuid
 import zlib
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -29,19 +30,22 @@ from pyspark.sql import functions as F
 from basalt.llm.common import process_memo
 
 BUCKETS = 1 << 18
+#: Tokens of more characters aren't remembered.
+LONG = 200
 
 
 def word_of(token: str) -> str:
     return token.strip(string.punctuation).lower()
 
 
-def features_of(word: str) -> list[int]:
-    """Buckets of a word and its 3- to 5-grams."""
+def features_of(word: str) -> Iterable[int]:
+    """Buckets of a word and its 3- to 5-grams; those of a long word one by one, as there can be millions."""
     if not word:
         return []
-    padded = f"<{word[:200]}>"
-    grams = [padded[i : i + n] for n in (3, 4, 5) for i in range(len(padded) - n + 1)]
-    return [zlib.crc32(g.encode("utf-8", "replace")) % BUCKETS for g in [word, *grams]]
+    padded = f"<{word}>"
+    grams = (padded[i : i + n] for n in (3, 4, 5) for i in range(len(padded) - n + 1))
+    found = (zlib.crc32(g.encode("utf-8", "replace")) % BUCKETS for g in chain((word,), grams))
+    return found if len(word) > LONG else list(found)
 
 
 @dataclass
@@ -132,6 +136,11 @@ class WordTotals(dict):
         self.slope, self.most = slope.tolist(), most
 
     def __missing__(self, token: str) -> complex:
+        if len(token) > LONG:
+            total, n = 0.0, 0
+            for n, f in enumerate(features_of(word_of(token)), 1):
+                total += self.slope[f]
+            return complex(total, n)
         if len(self) >= self.most:
             self.clear()
         found = features_of(word_of(token))

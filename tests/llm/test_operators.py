@@ -339,6 +339,21 @@ def test_toxicity_learns_words_and_misspellings(spark):
     assert all(0 <= x.score <= 1 for x in toxicity.score(df, empty).collect()) and toxicity.score(df.limit(0), model).count() == 0
 
 
+def test_toxicity_of_a_long_token_is_that_of_all_its_characters(spark):
+    slope = np.random.default_rng(3).normal(size=toxicity.BUCKETS)
+    model = toxicity.Model(slope, 0.0)
+    texts = ["y" * 300, "y" * 300 + "_dunderhead", "漢字" * 200 + "_dunderhead", "no " + "y_" * 400 + "z"]
+    got = {x.doc_id: x.score for x in toxicity.score(frame(spark, [(i, t, None, None) for i, t in enumerate(texts)]), model).collect()}
+    for i, text in enumerate(texts):
+        found = []
+        for w in text.split():
+            p = f"<{w}>"
+            found += [zlib.crc32(g.encode()) % toxicity.BUCKETS for g in [w, *(p[k : k + n] for n in (3, 4, 5) for k in range(len(p) - n + 1))]]
+        assert got[i] == pytest.approx(model.score(slope[found].sum(), len(found)))
+    bag = toxicity.bags(frame(spark, [(0, texts[1], None, None)]).withColumn("y", F.lit(1)), "text", "y").first()
+    assert sum(bag.counts) == 1 + sum(len(texts[1]) + 3 - n for n in (3, 4, 5))
+
+
 def test_language_models(spark, odd):
     r = random.Random(10)
     sounds = {"en": ["the", "ing", "and", "th", "wh"], "de": ["sch", "ein", "ung", "ch", "ö"]}
