@@ -18,13 +18,15 @@ import re
 from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
+from pathlib import Path
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
 _WORDS = re.compile(r"[a-z0-9]+(?:[.\-][a-z0-9]+)*")
 
-#: Notices of well-known public licenses, by SPDX identifier: fixed texts.
+#: Notices of well-known public licenses, by SPDX identifier: one-line ones and fragments here, and the standard notices
+#: (-notice) and full texts (-full) of the files in licenses/. Only the driver reads them.
 TEMPLATES: dict[str, str] = {
     "Apache-2.0": "Licensed under the Apache License, Version 2.0.",
     "MIT": "Released under the MIT License.",
@@ -36,6 +38,7 @@ TEMPLATES: dict[str, str] = {
     "Apache-2.0-text": "You may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0. Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an AS IS BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.",
     "BSD-text": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met.",
 }
+TEMPLATES |= {p.stem if p.stem.endswith("-notice") else f"{p.stem}-full": p.read_text() for p in sorted((Path(__file__).parent / "licenses").glob("*.txt"))}
 
 
 def words_of(text: str) -> list[str]:

@@ -310,6 +310,16 @@ def test_license_scan(spark, odd):
     assert got[n + 4].first_word == 300
 
 
+def test_standard_notices_and_full_texts_are_found(spark):
+    names = sorted(k for k in license_scan.TEMPLATES if k.endswith(("-full", "-notice")))
+    assert {"MIT-full", "Apache-2.0-full", "BSD-3-Clause-full", "GPL-3.0-full", "GPL-3.0-notice"} <= set(names)
+    texts = ["noise " * 30 + license_scan.TEMPLATES[k] + " noise" * 30 for k in names]
+    got = {r.doc_id: r for r in license_scan.scan_licenses(frame(spark, [(i, t, None, None) for i, t in enumerate(texts)])).collect()}
+    assert [got[i].license for i in range(len(names))] == names and all(r.coverage == 1 for r in got.values())
+    gpl = "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version. This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details. You should have received a copy of the GNU General Public License along with this program. If not, see http://www.gnu.org/licenses/."
+    assert license_scan.scan_licenses(frame(spark, [(1, gpl, None, None)])).first().license == "GPL-3.0-notice"
+
+
 def test_patience_alignment_is_a_common_subsequence():
     r = random.Random(8)
     for _ in range(300):
