@@ -18,6 +18,7 @@ import re
 from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
+from dataclasses import dataclass
 from pathlib import Path
 
 import pyarrow as pa
@@ -112,39 +113,66 @@ def densest(matched: list[tuple[int, int]], window: int) -> tuple[int, int, int]
     return best
 
 
-def coverage_of(text: list[str], template: list[str]) -> tuple[float, int, int]:
-    """(coverage, first, last word) of a template in a text: the best of the whole text's alignment and those of the windows around its rarest words."""
-    window = 2 * len(template)
-    n, first, last = densest(align(text, template), window)
-    if n < len(template):
-        # The whole text may have drawn anchors away from each other: align close by the template's least frequent word, too.
-        counts = Counter(w for w in text if w in set(template))
-        if counts:
-            rare = min(counts, key=lambda w: (counts[w], -len(w), w))
-            done = -1
-            for k, w in enumerate(text):
-                if w == rare and k > done:
-                    lo, hi = max(0, k - window), min(len(text), k + window)
-                    m, f, z = densest(align(text[lo:hi], template), window)
-                    if m > n:
-                        n, first, last = m, f + lo, z + lo
-                    done = k + window // 2
-    return n / len(template), first, last
-
-
-def scan(text: str, templates: dict[str, list[str]], needles: dict[str, list[str]], min_coverage: float) -> list[tuple[str, float, int, int]]:
+@dataclass
+class Template:
+    words: list[str]
+    counts: Counter
+    needles: dict[str, list[int]]  # with their places in the template
+
+
+def parse(text: str, min_coverage: float) -> Template | None:
+    """None for a text without words."""
+    words = words_of(text)
+    if not words:
+        return None
+    own = needles_of(words, min_coverage)
+    return Template(words, Counter(words), {w: [k for k, x in enumerate(words) if x == w] for w in own})
+
+
+def coverage_of(text: list[str], template: Template) -> tuple[float, int, int]:
+    """(coverage, first, last word) of a template in a text: the best of the whole text's alignment and those of windows at every needle.
+
+    A copy that is covered holds a needle: it lies within a window's length of it, and near the place that the needle's
+    place in the template gives. Both ranges are aligned on their own, unless they hold too few of the words.
+    """
+    size = len(template.words)
+    window = 2 * size
+    n, first, last = densest(align(text, template.words), window)
+    if n < size:
+        # The whole text may have drawn anchors away from each other. Ranges that start close together are one.
+        step, slack, ranges, done = size // 8, max(1, size // 5), set(), -1
+        for k, w in enumerate(text):
+            if w in template.needles:
+                if k > done:
+                    ranges.add((max(0, k - window), k + step + window))
+                    done = k + step
+                for at in template.needles[w]:
+                    lo = (k - at) // slack * slack
+                    ranges.add((max(0, lo - slack), lo + 2 * slack + size))
+        for lo, hi in sorted(ranges):
+            part = text[lo:hi]
+            if n < size and sum((Counter(part) & template.counts).values()) > n:
+                m, f, z = densest(align(part, template.words), window)
+                if m > n:
+                    n, first, last = m, f + lo, z + lo
+    return n / size, first, last
+
+
+def scan(text: str, templates: dict[str, Template], min_coverage: float) -> list[tuple[str, float, int, int]]:
     """(license, coverage, first word, last word) of all templates that are covered."""
-    low = text.lower()
-    open_ = [name for name, own in needles.items() if any(w in low for w in own)]
-    if not open_:
-        return []
-    words = _WORDS.findall(low)
-    held = Counter(words)
+    words = words_of(text)
+    distinct = set(words)
     out = []
-    for name in open_:
-        template = templates[name]
+    held = None
+    for name, template in templates.items():
+        least = min_coverage * len(template.words)
+        if len(words) < least or template.needles.keys().isdisjoint(distinct):
+            continue
         # No alignment matches more than the words that both have.
-        if sum((held & Counter(template)).values()) >= min_coverage * len(template):
+        if sum(map(template.counts.__getitem__, distinct & template.counts.keys())) < least:
+            continue
+        held = held or Counter(words)
+        if sum((held & template.counts).values()) >= least:
             coverage, first, last = coverage_of(words, template)
             if coverage >= min_coverage:
                 out.append((name, coverage, first, last))
@@ -168,15 +196,14 @@ def scan_licenses(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     Null and empty texts hold no license. A text of any length is scanned whole. Rows that share an id are scanned each. An empty
     input gives an empty result. Only the id and the text are read. Templates without words are ignored.
     """
-    parsed = {k: w for k, v in sorted((TEMPLATES if templates is None else templates).items()) if (w := words_of(v))}
-    needles = {k: needles_of(w, min_coverage) for k, w in parsed.items()}
+    parsed = {k: t for k, v in sorted((TEMPLATES if templates is None else templates).items()) if (t := parse(v, min_coverage))}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             rows = []
             for text in b.column(1):
-                found = scan(text.as_py() or "", parsed, needles, min_coverage)
-                best = min(found, key=lambda r: (-r[1], -len(parsed[r[0]]), r[0]), default=(None, 0.0, None, None))
+                found = scan(text.as_py() or "", parsed, min_coverage)
+                best = min(found, key=lambda r: (-r[1], -len(parsed[r[0]].words), r[0]), default=(None, 0.0, None, None))
                 rows.append((*best, [r[0] for r in found]))
             columns = list(zip(*rows, strict=True)) or [[]] * 5
             kinds = (pa.string(), pa.float64(), pa.int64(), pa.int64(), pa.list_(pa.string()))

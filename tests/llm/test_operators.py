@@ -310,6 +310,13 @@ def test_license_scan(spark, odd):
     assert got[n + 4].first_word == 300
 
 
+def test_license_copy_without_the_rarest_word(spark):
+    copies = "Issued under the MIT License. " * 2
+    texts = [copies + "noise " * n + "released" for n in (0, 2, 5, 8, 12, 40)]
+    got = license_scan.scan_licenses(frame(spark, [(i, t, None, None) for i, t in enumerate(texts)]))
+    assert [(r.license, r.coverage) for r in sorted(got.collect())] == [("MIT", 0.8)] * len(texts)
+
+
 def test_standard_notices_and_full_texts_are_found(spark):
     names = sorted(k for k in license_scan.TEMPLATES if k.endswith(("-full", "-notice")))
     assert {"MIT-full", "Apache-2.0-full", "BSD-3-Clause-full", "GPL-3.0-full", "GPL-3.0-notice"} <= set(names)
