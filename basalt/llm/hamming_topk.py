@@ -1,6 +1,6 @@
 """Exact top-k by Hamming distance with incremental multi-index hashing.
 
-Vectors become 64-bit codes (a bit for each of 64 dimensions, set where positive).
+Vectors become sign codes (a bit for each dimension, set where positive) of as many 64-bit words as the longest needs.
 Equal codes are collapsed, each with its k smallest ids, which is all that a
 result can need. Distinct codes are dealt to shards of a bounded expected size; queries go to every shard in blocks.
 In a shard, codes are cut into segments of about log2(shard) bits, and each segment has
@@ -25,27 +25,37 @@ from basalt.llm.common import scratch_table
 BITS = 64
 
 
-def code_of(vector: str) -> F.Column:
-    """The sign code of a vector column: bit i set where element i is over 0; missing, null and NaN elements count as not positive. Native."""
+def code_of(vector: str, words: int = 1) -> F.Column:
+    """The sign code of a vector column, as so many 64-bit words: bit i set where element i is over 0; missing, null and NaN elements count as not positive. Native."""
     v = F.col(vector)
-    bits = [F.when((F.get(v, F.lit(i)) > 0) & ~F.isnan(F.get(v, F.lit(i))), F.lit(1 << i if i < 63 else -(1 << 63)).cast("long")).otherwise(F.lit(0).cast("long")) for i in range(BITS)]
-    out = bits[0]
-    for b in bits[1:]:
-        out = out.bitwiseOR(b)
-    return F.when(v.isNotNull(), out)
+
+    def word(first: int) -> F.Column:
+        out = None
+        for i in range(BITS):
+            x = F.get(v, F.lit(first + i))
+            b = F.when((x > 0) & ~F.isnan(x), F.lit(1 << i if i < 63 else -(1 << 63)).cast("long")).otherwise(F.lit(0).cast("long"))
+            out = b if out is None else out.bitwiseOR(b)
+        return out
+
+    return F.when(v.isNotNull(), F.array(*(word(BITS * k) for k in range(words))))
+
+
+def _codes(column: pd.Series) -> np.ndarray:
+    return np.stack(column.to_numpy()).astype(np.int64).view(np.uint64)
 
 
 class SegmentIndex:
-    """Tables from segment value to codes, of one shard."""
+    """Tables from segment value to codes, of one shard. codes: a row of 64-bit words for each."""
 
     def __init__(self, codes: np.ndarray):
         self.codes = codes
-        self.m = max(1, round(BITS / max(1.0, np.log2(max(2, len(codes))))))
-        edges = [BITS * j // self.m for j in range(self.m + 1)]
+        self.bits = BITS * codes.shape[1]
+        self.m = max(1, round(self.bits / max(1.0, np.log2(max(2, len(codes))))))
+        edges = [self.bits * j // self.m for j in range(self.m + 1)]
         # A table of 2**width entries: segments stay at 20 bits at most.
         while max(b - a for a, b in zip(edges, edges[1:], strict=False)) > 20:
             self.m += 1
-            edges = [BITS * j // self.m for j in range(self.m + 1)]
+            edges = [self.bits * j // self.m for j in range(self.m + 1)]
         self.shift, self.width, self.order, self.first = edges[:-1], [b - a for a, b in zip(edges, edges[1:], strict=False)], [], []
         for j in range(self.m):
             values = self.values(codes, j)
@@ -54,17 +64,21 @@ class SegmentIndex:
         self.masks: dict[tuple[int, int], np.ndarray] = {}
 
     def values(self, codes: np.ndarray, j: int) -> np.ndarray:
-        return (codes >> np.uint64(self.shift[j]) & np.uint64((1 << self.width[j]) - 1)).astype(np.int64)
+        word, off = divmod(self.shift[j], BITS)
+        out = codes[..., word] >> np.uint64(off)
+        if off + self.width[j] > BITS:
+            out = out | codes[..., word + 1] << np.uint64(BITS - off)
+        return (out & np.uint64((1 << self.width[j]) - 1)).astype(np.int64)
 
     def flips(self, width: int, radius: int) -> np.ndarray:
         if (width, radius) not in self.masks:
             self.masks[width, radius] = np.array([sum(1 << b for b in bits) for bits in combinations(range(width), radius)], np.int64)
         return self.masks[width, radius]
 
-    def search(self, query: np.uint64, k: int) -> tuple[np.ndarray, np.ndarray]:
+    def search(self, query: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
         """Indices and distances of all codes that are no farther than the kth; distances in rising order."""
         seen = np.zeros(len(self.codes), bool)
-        at_distance = np.zeros(BITS + 1, np.int64)
+        at_distance = np.zeros(self.bits + 1, np.int64)
         found: list[tuple[np.ndarray, np.ndarray]] = []
         own = [int(self.values(query, j)) for j in range(self.m)]
         k = min(k, len(self.codes))
@@ -78,8 +92,8 @@ class SegmentIndex:
                     rows = self.order[j][np.repeat(first - np.cumsum(n) + n, n) + np.arange(n.sum())]
                     rows = rows[~seen[rows]]
                     seen[rows] = True
-                    distance = np.bitwise_count(self.codes[rows] ^ query)
-                    at_distance += np.bincount(distance, minlength=BITS + 1)
+                    distance = np.bitwise_count(self.codes[rows] ^ query).sum(axis=1, dtype=np.int64)
+                    at_distance += np.bincount(distance, minlength=self.bits + 1)
                     found.append((rows, distance))
                 covered = self.m * radius + j
                 if at_distance[: covered + 1].sum() >= k:
@@ -102,13 +116,15 @@ def top_k(
     """The k nearest rows of df for each row of queries, itself included if it is in df: query_id, id_col's neighbour_id, distance, rank from 1.
 
     Ties in distance go to the smaller id. A null vector has no code: it is neither found nor searched for;
-    vectors of other lengths are cut or filled with zeros. Null ids sort first. Rows that repeat an id are rows of
+    vectors shorter than the longest of both tables are filled with zeros. Null ids sort first. Rows that repeat an id are rows of
     their own. With fewer than k rows all are returned. Empty tables give an empty result. Only the id and the vector are read.
 
     Every shard answers exactly, whatever its size; shard_codes only sets how many there are.
     """
-    coded = df.select(F.col(id_col).alias("id"), code_of(vector_col).alias("code")).filter("code IS NOT NULL")
-    asked = queries.select(F.col(id_col).alias("query_id"), code_of(vector_col).alias("code")).filter("code IS NOT NULL")
+    longest = F.max(F.size(vector_col))
+    words = max(1, *(-(-(t.agg(longest).first()[0] or 0) // BITS) for t in (df, queries)))
+    coded = df.select(F.col(id_col).alias("id"), code_of(vector_col, words).alias("code")).filter("code IS NOT NULL")
+    asked = queries.select(F.col(id_col).alias("query_id"), code_of(vector_col, words).alias("code")).filter("code IS NOT NULL")
     # Spark keeps k rows of a code in each task before the shuffle.
     best = coded.withColumn("n", F.row_number().over(Window.partitionBy("code").orderBy("id"))).filter(F.col("n") <= k)
     index = scratch_table(best.groupBy("code").agg(F.sort_array(F.collect_list("id")).alias("ids")), "codes")
@@ -120,15 +136,15 @@ def top_k(
     def run(codes: pd.DataFrame, wanted: pd.DataFrame) -> pd.DataFrame:
         out = []
         if len(codes) and len(wanted):
-            table = SegmentIndex(codes["code"].to_numpy(np.int64).view(np.uint64))
-            for q in wanted["code"].to_numpy(np.int64):
-                rows, distance = table.search(q.view(np.uint64), k)
-                out.append(pd.DataFrame({"code": q, "near": table.codes[rows].view(np.int64), "distance": distance.astype(np.int32)}))
-        return pd.concat(out) if out else pd.DataFrame({"code": pd.Series(dtype="int64"), "near": pd.Series(dtype="int64"), "distance": pd.Series(dtype="int32")})
+            table = SegmentIndex(_codes(codes["code"]))
+            for q in _codes(wanted["code"]):
+                rows, distance = table.search(q, k)
+                out.append(pd.DataFrame({"code": [q.view(np.int64)] * len(rows), "near": list(table.codes[rows].view(np.int64)), "distance": distance.astype(np.int32)}))
+        return pd.concat(out) if out else pd.DataFrame({"code": pd.Series(dtype=object), "near": pd.Series(dtype=object), "distance": pd.Series(dtype="int32")})
 
     # As many partitions as shards: they are small to move but long to search, so Spark mustn't put them together by size.
     dealt, distinct = dealt.repartition(shards, "shard"), distinct.repartition(shards, "shard")
-    near = dealt.groupBy("shard").cogroup(distinct.groupBy("shard")).applyInPandas(run, "code long, near long, distance int")
+    near = dealt.groupBy("shard").cogroup(distinct.groupBy("shard")).applyInPandas(run, "code array<long>, near array<long>, distance int")
     ids = near.join(index.withColumnRenamed("code", "near"), "near").select("code", "distance", F.explode("ids").alias("id"))
     by_code = Window.partitionBy("code").orderBy("distance", "id")
     ranked = ids.withColumn("rank", F.row_number().over(by_code)).filter(F.col("rank") <= k)

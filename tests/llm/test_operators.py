@@ -231,6 +231,17 @@ def test_top_k(spark):
     assert hamming_topk.top_k(df.limit(0), df).count() == 0 and hamming_topk.top_k(df, df.limit(0)).count() == 0
 
 
+def test_top_k_of_all_dimensions(spark):
+    rng = np.random.default_rng(2)
+    vectors = rng.normal(size=(120, 150))
+    vectors[:, :64] = vectors[0, :64]
+    rows = [(k, v[: 150 - k % 2 * 40].tolist()) for k, v in enumerate(vectors)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").persist()
+    code = [sum(1 << b for b, x in enumerate(v) if x > 0) for _, v in rows]
+    want = {(q, i, d, k) for q in range(0, 120, 20) for k, (d, i) in enumerate(sorted(((code[q] ^ c).bit_count(), i) for i, c in enumerate(code))[:10], 1)}
+    assert {tuple(r) for r in hamming_topk.top_k(df, df.filter("vec_id % 20 = 0"), shard_codes=50).collect()} == want
+
+
 def test_token_counts_are_the_tokenizers(spark, rows):
     import public_tokenizers
     from tokenizers import Tokenizer, models, pre_tokenizers
