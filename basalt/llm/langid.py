@@ -8,9 +8,9 @@ arrays of 64-bit hashes with a row of log-probabilities, one for each language;
 the distinct n-grams of the input, and are broadcast.
 
 A text gets, for each language, the mean negative log-probability of its letters; the lowest wins.
-Rejection is calibrated on the training counts: a text is rejected if it has no letter, or if its
-cross-entropy lies both beyond `reject_at` of the way from the language's own to that of guessing letters evenly, and more than
-`reject_sigmas` standard errors above the language's own.
+Rejection is calibrated on the training counts of each language: a text is rejected if it has no letter, or if its
+cross-entropy lies both beyond `reject_at` of the way from the language's own to that of guessing evenly among the language's own letters, and more than
+`reject_sigmas` standard errors above the language's own. Without a model only texts without a letter are rejected.
 
 Words are scored once and remembered in a table of bounded size.
 """
@@ -102,7 +102,7 @@ class Model:
     unseen: np.ndarray  # log-probability of a character that no language has
     entropy: np.ndarray
     sigma: np.ndarray
-    even: float  # of guessing
+    even: np.ndarray  # cross-entropy of guessing evenly among a language's own letters
 
     def word_logs(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Sum of log-probabilities (a column for each language) and number of predicted characters of each word."""
@@ -206,7 +206,7 @@ def build_model(by_lang: dict[str, tuple[str, np.ndarray]]) -> Model | None:
             rows, found = _look_up(contexts[n - 1][0], _row_hashes(own[:, :-1]))
             below = np.where(found[:, None], contexts[n - 1][1][rows], 0) + grams[n - 1][1][_look_up(grams[n - 1][0], _row_hashes(own[:, 1:]))[0]]
         grams.append((keys, np.where(np.isnan(values), below, values).astype(np.float32)))
-    model = Model(langs, [g[0] for g in grams], [g[1] for g in grams], [c[0] for c in contexts], [c[1] for c in contexts], unseen, np.zeros(len(langs)), np.zeros(len(langs)), float(np.log(letters)))
+    model = Model(langs, [g[0] for g in grams], [g[1] for g in grams], [c[0] for c in contexts], [c[1] for c in contexts], unseen, np.zeros(len(langs)), np.zeros(len(langs)), np.log([len(t[0][0][0]) + 1 for t in tables]))
     for j, (points, counts) in enumerate(own_points):
         logs = model._letters(points.ravel(), np.arange(len(points)) * ORDER)[:, j].astype(float)
         model.entropy[j] = -np.average(logs, weights=counts)
@@ -250,6 +250,7 @@ def train(df: DataFrame, text_col: str = "text", lang_col: str = "lang") -> Mode
         levels.append(scratch_table(levels[-1].groupBy(F.expr("substr(gram, 2)").alias("gram")).agg(*(F.count_if(F.col(f"c{j}") > 0).alias(f"c{j}") for j in each)), f"langid-{n}"))
     levels.reverse()
     letters = levels[0].count() + 1
+    own_letters = levels[0].agg(*(F.count_if(F.col(f"c{j}") > 0) for j in each)).first()
     grams, contexts, below, unseen = [], [], None, np.zeros(len(langs), np.float32)
     for n, level in enumerate(levels, 1):
         few = level.agg(*(F.count_if(F.col(f"c{j}") == k) for j in each for k in (1, 2))).first()
@@ -272,7 +273,7 @@ def train(df: DataFrame, text_col: str = "text", lang_col: str = "lang") -> Mode
     moments = below.agg(*(F.sum(F.col(f"c{j}") * F.log(f"p{j}") ** k) / F.sum(f"c{j}") for j in each for k in (1, 2))).first()
     means, squares = np.array(moments[::2]), np.array(moments[1::2])
     sigma = np.sqrt(np.maximum(squares - means**2, 0))
-    return Model(langs, [g[0] for g in grams], [g[1] for g in grams], [c[0] for c in contexts], [c[1] for c in contexts], unseen, -means, sigma, float(np.log(letters)))
+    return Model(langs, [g[0] for g in grams], [g[1] for g in grams], [c[0] for c in contexts], [c[1] for c in contexts], unseen, -means, sigma, np.log(np.array(own_letters) + 1))
 
 
 class Scorer:
@@ -322,7 +323,7 @@ def identify(df: DataFrame, model: Model | None, id_col: str = "doc_id", text_co
 
     lang_pred is the language of the lowest length-normalised cross-entropy, `und` if text is null or has no letter or there is no model; of equal languages
     the first in order wins. score is the share of that language among all by likelihood of up to 40 letters of such a text, 0 for
-    `und`. rejected also marks texts that no learned language explains. Rows that share an id are scored each;
+    `und`. rejected marks texts without a letter and those that no learned language explains; without a model only the former. Rows that share an id are scored each;
     an empty input gives an empty result; texts are scored whole, whatever their length.
     """
     columns = carry or [id_col]
@@ -352,7 +353,7 @@ def identify(df: DataFrame, model: Model | None, id_col: str = "doc_id", text_co
                         preds.append(UNDETERMINED)
                         scores.append(0.0)
                         entropies.append(None)
-                        rejected.append(True)
+                        rejected.append(bool(scorer) or not any(map(words_of, tokens)))
                         continue
                     n = sums[-1]
                     mean = -sums[:-1] / n
@@ -362,7 +363,7 @@ def identify(df: DataFrame, model: Model | None, id_col: str = "doc_id", text_co
                     preds.append(model.langs[j])
                     scores.append(float(1 / share.sum()))
                     entropies.append(float(mean[j]))
-                    rejected.append(bool(mean[j] > own + reject_at * (model.even - own) and (mean[j] - own) * np.sqrt(n) > reject_sigmas * model.sigma[j]))
+                    rejected.append(bool(mean[j] > own + reject_at * (model.even[j] - own) and (mean[j] - own) * np.sqrt(n) > reject_sigmas * model.sigma[j]))
                 yield pa.RecordBatch.from_arrays(
                     [*(b.column(k) for k in range(len(columns))), pa.array(preds, pa.string()), pa.array(scores, pa.float64()), pa.array(entropies, pa.float64()), pa.array(rejected, pa.bool_())],
                     names=[*columns, *names],

@@ -69,11 +69,13 @@ class WordIds:
     """Ids of texts, as little-endian uint32 bytes, put together from remembered words.
 
     A word is looked up as it stands, then by its parts (as the tokenizer splits it), and only an unseen part is
-    encoded. Words with characters beyond Latin letters, digits and ASCII signs go to the tokenizer whole.
+    encoded. Words with characters beyond Latin letters, digits and ASCII signs, and those that hold one of the tokenizer's own special
+    strings (which hold no white space), go to the tokenizer whole.
     """
 
     def __init__(self, tokenizer, most: int):
         self.tokenizer, self.model, self.letters = tokenizer, tokenizer.model, _byte_letters()
+        self.special = [t.content for t in tokenizer.get_added_tokens_decoder().values()]
         self.parts = Generations(self.encode_part, most)
         self.words = Generations(self.encode_word, most)
 
@@ -85,7 +87,7 @@ class WordIds:
         return struct.pack(f"<{len(ids)}I", *ids)
 
     def encode_word(self, word: str) -> bytes:
-        if not _SIMPLE.fullmatch(word):
+        if not _SIMPLE.fullmatch(word) or any(x in word for x in self.special):
             return self.encode(word)
         low = word.lower()
         return self.parts[low] if low.isalpha() else b"".join(map(self.parts.__getitem__, _SPLIT.findall(low)))
@@ -105,9 +107,7 @@ def load_word_ids(path: str, most: int) -> WordIds:
 
     memo = process_memo("packing")
     if (key := f"word_ids {path} {most}") not in memo:
-        tokenizer = Tokenizer.from_file(path)
-        tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
-        memo[key] = WordIds(tokenizer, most)
+        memo[key] = WordIds(Tokenizer.from_file(path), most)
     return memo[key]
 
 

@@ -18,12 +18,21 @@ what pairs would link. No link is lost, none is emitted for all pairs of a group
 
 Links are between different fingerprints; components come from alternating large-star and
 small-star rounds over them, checkpointed, with one number a round going to the driver.
+
+`representatives` links by shingle similarity instead of a few bits. At a Jaccard similarity of 0.8 some 15 % of the bits
+differ, and anchors within covering radius plus so many bits would be most of all anchors. So fingerprints are
+wide (256 bits over distinct shingles: fewer are too blurred to tell 0.8 from 0.6), there are many codes, each the product of a
+Golay code over 23 chosen bits and the code of all words over a few more, and the threshold in each code is 0: a fingerprint
+goes to one anchor of each code, and two that are alike meet at one of them at least (the chance is in `meeting`). At an
+anchor all are compared in full. An anchor with more than `crowd` fingerprints deals them to finer anchors, those of two codes together, then of three
+and of four; so work stays linear in a large group of near copies, whose members have so many chances to be linked that the group holds.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-from itertools import combinations
+import math
+from collections.abc import Callable, Iterator
+from itertools import chain, combinations
 
 import numpy as np
 import pyarrow as pa
@@ -34,8 +43,11 @@ from pyspark.sql import functions as F
 from basalt.llm.common import cut, process_memo, scratch_table
 
 SHINGLE, SEED, BITS, MAX_DISTANCE = 3, 42, 64, 2
+#: Wide fingerprints: their bits, the number of codes and the chosen bits of a code beyond the Golay block for up to 2**20 fingerprints, and how many codes an anchor may join.
+WIDE, CODES, RAW, DEPTH = 256, 48, 6, 4
 #: Generator polynomial of the binary Golay code, and its length, redundancy and covering radius.
 _G, _N, _R, _RADIUS = 0b110001110101, 23, 11, 3
+_LOW = 12
 
 
 def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
@@ -78,38 +90,44 @@ def _remainders(words: np.ndarray) -> np.ndarray:
 
 
 def golay_tables() -> dict:
-    """syndromes: of all 23-bit words. first, count: by excess over the covering radius and syndrome, where in `patterns` the error patterns stand that lead to a codeword."""
+    """low, high: syndromes of the 12 low and 11 high bits of a word (a word's is their exclusive or). first, count: by excess over the covering radius and syndrome, where in `patterns` the error patterns stand that lead to a codeword."""
     memo = process_memo("simhash")
     if "golay" not in memo:
-        syndrome = _remainders(np.arange(1 << _N, dtype=np.int32)).astype(np.int16)
+        low = _remainders(np.arange(1 << _LOW, dtype=np.int32)).astype(np.int64)
+        high = _remainders(np.arange(1 << _N - _LOW, dtype=np.int32) << _LOW).astype(np.int64)
         patterns, first, count = [], [], []
         for excess in range(MAX_DISTANCE + 1):
             weights = range(_RADIUS + 1) if excess == 0 else [_RADIUS + excess]
             words = np.array([sum(1 << b for b in bits) for w in weights for bits in combinations(range(_N), w)], np.int32)
-            own = syndrome[words]
+            own = low[words & (1 << _LOW) - 1] ^ high[words >> _LOW]
             words = words[np.argsort(own, kind="stable")]
             n = np.bincount(own, minlength=1 << _R)
             first.append(sum(map(len, patterns)) + np.cumsum(n) - n)
             count.append(n)
             patterns.append(words)
-        memo["golay"] = {"syndromes": syndrome, "patterns": np.concatenate(patterns), "first": np.array(first), "count": np.array(count)}
+        memo["golay"] = {"low": low, "high": high, "patterns": np.concatenate(patterns), "first": np.array(first), "count": np.array(count)}
     return memo["golay"]
 
 
+def syndromes(words: np.ndarray) -> np.ndarray:
+    t = golay_tables()
+    return t["low"][words & (1 << _LOW) - 1] ^ t["high"][words >> _LOW]
+
+
 def anchors_of(fps: np.ndarray, distance: int) -> tuple[np.ndarray, np.ndarray]:
     """(index of fingerprint, anchor) for all anchors within covering radius plus distance. distance 0: the home anchors."""
     t = golay_tables()
     blocks = [(fps >> shift & (1 << _N) - 1).astype(np.int64) for shift in (0, _N)]
-    syndromes = [t["syndromes"][b].astype(np.int64) for b in blocks]
+    own = [syndromes(b) for b in blocks]
     rows, anchors = [], []
     for d1 in range(distance + 1):
         for d2 in range(distance + 1 - d1):
-            n1, n2 = t["count"][d1][syndromes[0]], t["count"][d2][syndromes[1]]
+            n1, n2 = t["count"][d1][own[0]], t["count"][d2][own[1]]
             n = n1 * n2
             row = np.repeat(np.arange(len(fps)), n)
             k = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
-            e1 = t["patterns"][t["first"][d1][syndromes[0]][row] + k // n2[row]]
-            e2 = t["patterns"][t["first"][d2][syndromes[1]][row] + k % n2[row]]
+            e1 = t["patterns"][t["first"][d1][own[0]][row] + k // n2[row]]
+            e2 = t["patterns"][t["first"][d2][own[1]][row] + k % n2[row]]
             # A codeword's high 12 bits tell which it is.
             rows.append(row)
             anchors.append((blocks[0][row] ^ e1) >> _R << _N - _R | (blocks[1][row] ^ e2) >> _R)
@@ -186,35 +204,235 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     An empty input gives an empty result. Only the id and the text are read.
     """
     rows = scratch_table(fingerprints(df, id_col, text_col, shingle), "simhash")
-    of = _component_minimum(rows, F.min(id_col), crowd).withColumnRenamed("least", "component_id")
+    of = _component_minimum(rows, F.min(id_col), lambda fps: links(fps, crowd)).withColumnRenamed("least", "component_id")
     return rows.join(of, "fp").select(id_col, F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def _component_minimum(rows: DataFrame, least: Column, crowd: int) -> DataFrame:
+def _component_minimum(rows: DataFrame, least: Column, link: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """(fp, least): the smallest of an aggregate of rows over each fingerprint's component."""
     fps = scratch_table(rows.groupBy("fp").agg(least.alias("first")), "simhash-fps")
-    roots = components(links(fps, crowd))
+    roots = components(link(fps.select("fp")))
     placed = fps.join(roots, fps.fp == roots.node, "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
     lowest = placed.groupBy("root").agg(F.min("first").alias("least"))
     return placed.select("fp", "root").join(lowest, "root").select("fp", "least")
 
 
-def representatives(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, crowd: int = 16) -> DataFrame:
-    """The rows of df that stay: of each component the one with the smallest id (of those with that id, the first in the input), all columns as they were.
+def wide_fingerprint(text: str | None, shingle: int = 5) -> bytes:
+    """The SimHash of WIDE bits over the distinct shingles: a bit set where over half of their hashes have it set; zeros without words."""
+    words = (text or "").encode().lower().split()
+    if not words:
+        return bytes(WIDE // 8)
+    hashed, seed = xxhash.xxh64_digest, SEED
+    digests = list({hashed(b" ".join(words[i : i + shingle]), seed) for i in range(max(1, len(words) - shingle + 1))})
+    votes = np.zeros(WIDE, np.int64)
+    for lo in range(0, len(digests), 1 << 14):
+        part = digests[lo : lo + (1 << 14)]
+        first = np.frombuffer(b"".join(part), "<u8")
+        # Further words of a hash are made of the first by a multiplicative mix.
+        wide = np.empty((len(part), WIDE // 64), np.uint64)
+        for k in range(WIDE // 64):
+            x = (first + np.uint64(k)) * np.uint64(0x9E3779B97F4A7C15)
+            x = (x ^ x >> np.uint64(32)) * np.uint64(0xD6E8FEB86659FD93)
+            wide[:, k] = x ^ x >> np.uint64(32)
+        bits = np.unpackbits(wide.view(np.uint8), axis=1)
+        votes += np.add.reduceat(bits, np.arange(0, len(bits), 255), axis=0, dtype=np.uint8).sum(axis=0, dtype=np.int64)
+    return np.packbits(votes * 2 > len(digests)).tobytes()
+
+
+def wide_distance(similarity: float) -> int:
+    """Differing bits at which two sets of shingles of that Jaccard similarity (and of equal size) are linked: as many as are expected, and half a standard deviation."""
+    share = math.acos(2 * similarity / (1 + similarity)) / math.pi
+    return round(WIDE * share + math.sqrt(WIDE * share * (1 - share)) / 2)
+
+
+def code_sizes(fingerprints: int) -> tuple[int, int]:
+    """(codes, raw): a code's further bits grow with the logarithm of the input, so that anchors stay small, and the number of codes so that the chance of meeting stays (for the share of bits that differs at a similarity of 0.8)."""
+    raw = max(RAW, math.ceil(math.log2(max(1, fingerprints))) - 14)
+    return min(1000, math.ceil(CODES * 0.85 ** (RAW - raw))), raw
+
+
+def _chosen(codes: int, raw: int) -> np.ndarray:
+    """A column for each code: the powers of two by which its chosen bits make a word."""
+    memo = process_memo("simhash")
+    if memo.get("chosen", ((0, 0), None))[0] != (codes, raw):
+        rng = np.random.default_rng(SEED)
+        columns = np.zeros((WIDE, codes))
+        for t in range(codes):
+            columns[rng.permutation(WIDE)[: _N + raw], t] = 2.0 ** np.arange(_N + raw)
+        memo["chosen"] = ((codes, raw), columns)
+    return memo["chosen"][1]
+
+
+def homes(fps: np.ndarray, codes: int = CODES, raw: int = RAW) -> np.ndarray:
+    """The home anchor in each code, a column for each, of fingerprints (rows of bytes)."""
+    t = golay_tables()
+    words = (np.unpackbits(fps, axis=1).astype(float) @ _chosen(codes, raw)).astype(np.int64)
+    block = words & (1 << _N) - 1
+    error = t["patterns"][t["first"][0][syndromes(block)]]
+    return words >> _N << _N - _R | (block ^ error) >> _R
+
+
+def _keys(anchors: np.ndarray, code: np.ndarray, depth: int) -> np.ndarray:
+    """Of each row one key: the code it is of (in the high 10 bits), and a hash of its anchors in that and the next depth - 1 codes."""
+    key = np.zeros(len(anchors), np.uint64)
+    rows = np.arange(len(anchors))
+    for k in range(depth):
+        key = (key ^ anchors[rows, (code + k) % anchors.shape[1]].astype(np.uint64)) * np.uint64(0x9E3779B97F4A7C15)
+        key ^= key >> np.uint64(31)
+    return (key >> np.uint64(10) | code.astype(np.uint64) << np.uint64(54)).view(np.int64)
+
+
+def meeting(share: float, fingerprints: int = 2000, seed: int = 1) -> float:
+    """The chance, by simulation, that fingerprints of which a share of the bits differs have an anchor in common."""
+    rng = np.random.default_rng(seed)
+    a = rng.integers(0, 256, (fingerprints, WIDE // 8), np.uint8)
+    b = a ^ np.packbits(rng.random((fingerprints, WIDE)) < share, axis=1)
+    return float((homes(a) == homes(b)).any(axis=1).mean())
+
+
+def _bytes_of(column: pa.Array) -> np.ndarray:
+    """A column of binary fingerprints as rows of bytes."""
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(-1, WIDE // 8)
+
+
+def _run_links(keys: np.ndarray, fps: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """(smallest, member) rows of fps, sorted by key, that are linked at their key, straight or by way of others there."""
+    edges = np.flatnonzero(np.diff(keys, prepend=keys[:1] - 1))
+    end = np.repeat(np.append(edges[1:], len(keys)), np.diff(np.append(edges, len(keys))))
+    rows = np.arange(len(keys))
+    n = end - rows - 1
+    words, label = fps.view(np.uint64), rows.copy()
+    # Some 2**18 pairs at a time.
+    cuts = np.searchsorted(np.cumsum(n), np.arange(0, n.sum() + (1 << 18), 1 << 18))
+    left, right = [], []
+    for lo, hi in zip(cuts, [*cuts[1:], len(n)], strict=True):
+        m = n[lo:hi]
+        a = np.repeat(rows[lo:hi], m)
+        b = a + 1 + np.arange(len(a)) - np.repeat(np.cumsum(m) - m, m)
+        near = np.bitwise_count(words[a] ^ words[b]).sum(axis=1, dtype=np.int64) <= most
+        left.append(a[near])
+        right.append(b[near])
+    a, b = np.concatenate(left), np.concatenate(right)
+    while True:
+        low = np.minimum(label[a], label[b])
+        before = label.copy()
+        np.minimum.at(label, a, low)
+        np.minimum.at(label, b, low)
+        label = label[label]
+        if (label == before).all():
+            break
+    member = np.flatnonzero(label != rows)
+    return label[member], member
+
+
+def wide_links(fps: DataFrame, most: int, crowd: int = 128) -> DataFrame:
+    """(a, b): links between different wide fingerprints of at most so many differing bits that meet at an anchor. fps: distinct fp (binary)."""
+    codes, raw = code_sizes(fps.count())
+
+    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        process_memo("simhash")
+        for batch in batches:
+            for lo in range(0, len(batch), 1024):
+                column = batch.column(0).slice(lo, 1024)
+                anchors = np.repeat(homes(_bytes_of(column), codes, raw), codes, axis=0)
+                keys = _keys(anchors, np.tile(np.arange(codes), len(column)), 1)
+                yield pa.RecordBatch.from_arrays([pa.array(keys), column.take(pa.array(np.repeat(np.arange(len(column)), codes)))], names=["key", "fp"])
+
+    def compare(depth: int):
+        """Rows sorted by (key, fp) to (a, b, null) for links and (null, fp, finer key) for those of crowds."""
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            process_memo("simhash")
+            held, crowded, pivot = None, None, None  # rows of the last key so far; that key, if it is a crowd; its first fingerprint
+
+            def out(a, b, key):
+                n = len(b)
+                none = [pa.nulls(n, pa.binary()), pa.nulls(n, pa.int64())]
+                wrap = lambda rows: pa.array([r.tobytes() for r in rows], pa.binary())
+                return pa.RecordBatch.from_arrays([none[0] if a is None else wrap(a), wrap(b), none[1] if key is None else pa.array(key)], names=["a", "b", "key"])
+
+            def overflow(keys, fps):
+                if depth < DEPTH:
+                    return out(None, fps, _keys(homes(fps, codes, raw), (keys.view(np.uint64) >> np.uint64(54)).astype(np.int64), depth + 1))
+                near = np.bitwise_count(fps.view(np.uint64) ^ pivot.view(np.uint64)).sum(axis=1, dtype=np.int64) <= most
+                near &= (fps != pivot).any(axis=1)
+                return out(np.repeat(pivot, near.sum(), axis=0), fps[near], None)
+
+            for batch in chain(batches, (None,)):
+                if batch is None:
+                    keys, fps, last = (*held, True) if held else (np.zeros(0, np.int64), np.zeros((0, WIDE // 8), np.uint8), True)
+                    held = None
+                else:
+                    keys, fps, last = batch.column(0).to_numpy(), _bytes_of(batch.column(1)), False
+                    if held:
+                        keys, fps = np.concatenate([held[0], keys]), np.concatenate([held[1], fps])
+                        held = None
+                if not len(keys):
+                    continue
+                if crowded is not None:
+                    n = int(np.searchsorted(keys != crowded, True)) if keys[0] == crowded else 0
+                    if n:
+                        yield overflow(keys[:n], fps[:n])
+                        keys, fps = keys[n:], fps[n:]
+                    if not len(keys):
+                        continue
+                    crowded = None
+                first = np.flatnonzero(np.diff(keys, prepend=keys[:1] - 1))
+                size = np.diff(np.append(first, len(keys)))
+                if not last and size[-1] <= crowd:  # may go on in the next batch
+                    held = keys[first[-1] :], fps[first[-1] :]
+                    keys, fps, first, size = keys[: first[-1]], fps[: first[-1]], first[:-1], size[:-1]
+                for lo, n in zip(first[size > crowd].tolist(), size[size > crowd].tolist(), strict=True):
+                    pivot = fps[lo : lo + 1]
+                    yield overflow(keys[lo : lo + n], fps[lo : lo + n])
+                    if lo + n == len(keys) and not last:
+                        crowded = int(keys[lo])
+                fit = np.repeat((size > 1) & (size <= crowd), size)
+                if fit.any():
+                    keys, fps = keys[fit], fps[fit]
+                    a, b = _run_links(keys, np.ascontiguousarray(fps), most)
+                    if len(b):
+                        yield out(fps[a], fps[b], None)
+
+        return run
+
+    rows, found = fps.select("fp").mapInArrow(spread, "key long, fp binary"), None
+    for depth in range(1, DEPTH + 1):
+        sorted_rows = rows.repartition("key").sortWithinPartitions("key", "fp")
+        level = scratch_table(sorted_rows.mapInArrow(compare(depth), "a binary, b binary, key long"), f"simhash-links-{depth}")
+        own = level.filter("a IS NOT NULL").select("a", "b")
+        found = own if found is None else found.unionByName(own)
+        rows = level.filter("a IS NULL").select("key", F.col("b").alias("fp"))
+        if rows.isEmpty():
+            break
+    return found.distinct()
+
+
+def representatives(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8, crowd: int = 128, broadcast_rows: int = 1_000_000) -> DataFrame:
+    """The rows of df that stay: of each group of near copies the one with the smallest id (of those with that id, the first in the input), all columns as they were.
+
+    Near copies are texts whose distinct shingles have a Jaccard similarity of `similarity` or more by their wide fingerprints (`wide_distance`); groups are
+    their components. Empty and null texts, and others without words, have fingerprint zero and are one group, of which one row stays. Null ids
+    come last, so that a row with an id stays if there is one. Rows that repeat an id are rows of their own. An empty input gives an empty
+    result. Columns may have any names. The input must be read in the same order each time, as from files.
 
-    Empty and null texts have fingerprint zero and are one component, of which one row stays. The input must be read in the same order each time, as from files.
+    Only the places of rows that go are joined with the input: broadcast up to `broadcast_rows` of them (8 bytes each), shuffled beyond.
     """
-    # The id and the place in the input, as one string that sorts like (id, place) and is hashed to find the row again.
-    placed = df.withColumn("simhash_place", F.monotonically_increasing_id())
+    mark = "simhash_place"
+    while mark in df.columns:
+        mark += "_"
+    placed = df.withColumn(mark, F.monotonically_increasing_id())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         process_memo("simhash")
         for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([signed(fingerprint(t.as_py(), shingle)) for t in b.column(2)], pa.int64())], names=["id", "place", "fp"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([wide_fingerprint(t.as_py(), shingle) for t in b.column(2)], pa.binary())], names=["id", "place", "fp"])
 
-    rows = placed.select(F.col(id_col).alias("id"), F.col("simhash_place").alias("place"), text_col).mapInArrow(run, f"id {df.schema[id_col].dataType.simpleString()}, place long, fp long")
+    rows = placed.select(F.col(id_col).alias("id"), F.col(mark).alias("place"), F.col(text_col).alias("text")).mapInArrow(run, f"id {df.schema[id_col].dataType.simpleString()}, place long, fp binary")
     rows = scratch_table(rows, "simhash")
     # Null ids last, so that a row with an id stays if there is one.
     whole = F.min(F.struct(F.col("id").isNull().alias("none"), F.col("id"), F.col("place")))
-    stays = _component_minimum(rows, whole, crowd).select(F.col("least.place").alias("simhash_place")).distinct()
-    return placed.join(stays, "simhash_place", "left_semi").select(*df.columns)
+    first = _component_minimum(rows, whole, lambda fps: wide_links(fps, wide_distance(similarity), crowd))
+    goes = scratch_table(rows.join(first, "fp").filter("place <> least.place").select(F.col("place").alias(mark)), "simhash-goes")
+    few = goes.count() <= broadcast_rows
+    return placed.join(F.broadcast(goes) if few else goes, mark, "left_anti").select(*df.columns)

@@ -126,9 +126,86 @@ def test_near_duplicates(spark, rows):
         least.setdefault(root(k), []).append(i)
     want = {(i, f"{f:016x}"): min((x for x in least[root(k)] if x is not None), default=None) for k, (i, f) in enumerate(prints)}
     assert got == want
-    stays = simhash.representatives(df)
-    assert stays.columns == df.columns and stays.count() == len(least)
-    assert simhash.near_duplicates(df.limit(0)).count() == 0 and simhash.representatives(df.limit(0)).count() == 0
+    assert simhash.near_duplicates(df.limit(0)).count() == 0
+
+
+def jaccard(a, b, k=5):
+    x, y = ({tuple(t.encode().lower().split()[i : i + k]) for i in range(max(1, len(t.split()) - k + 1))} for t in (a, b))
+    return len(x & y) / len(x | y)
+
+
+@pytest.mark.parametrize("crowd", [8, 128])
+def test_representatives_of_near_copies(spark, tmp_path, rows, crowd):
+    """Copies with a few words changed go, texts that share half of their shingles stay, whatever the crowd; other columns, repeats, nulls and clashing names stay as they are."""
+    r = random.Random(13)
+    word = lambda: "".join(r.choice("abcdefghij") for _ in range(6))
+    table = []
+    for k in range(60):
+        base = [word() for _ in range(r.randint(80, 400))]
+        table.append((10 * k, " ".join(base), None, None))
+        for c in range(3):
+            copy = list(base)
+            for _ in range(len(base) // 100):
+                copy[r.randrange(len(copy))] = word()
+            assert jaccard(table[-1 - c][1], " ".join(copy)) > 0.85
+            table.append((10 * k + 1 + c, " ".join(copy), None, None))
+        half = base[: len(base) // 2] + [word() for _ in range(len(base) // 2)]
+        table.append((10 * k + 5, " ".join(half), None, None))
+    table += [(2000, None, None, None), (2001, "", None, None), (None, " \n", None, None), (2002, "one word", None, None), (2002, "ONE  word", None, None), (None, "ONE word\t", None, None)]
+    df = frame(spark, table).withColumn("simhash_place", F.lit(1))
+    df.write.parquet(str(tmp_path / "t"))
+    df = spark.read.parquet(str(tmp_path / "t"))
+    stays = simhash.representatives(df, crowd=crowd)
+    assert stays.columns == df.columns
+    got = sorted(x.doc_id for x in stays.collect())
+    want = {10 * k + c for k in range(60) for c in (0, 5)} | {2000, 2002}
+    # The chance that a copy of so high a similarity has no anchor in common with any of its group is small, not nought.
+    assert want <= set(got) and len(got) <= len(want) + 3 and set(got) - want <= {10 * k + c for k in range(60) for c in (1, 2, 3)}
+    assert simhash.representatives(df, crowd=crowd, broadcast_rows=0).count() == len(got)
+    assert simhash.representatives(df.limit(0)).count() == 0
+
+
+def test_wide_links_are_all_pairs_that_meet(spark):
+    rng = np.random.default_rng(4)
+    base = rng.integers(0, 256, (30, 32), np.uint8)
+    fps = np.unique(np.concatenate([base, *(base ^ np.packbits(rng.random((30, 256)) < p, axis=1) for p in (0.01, 0.05, 0.1, 0.15, 0.2) for _ in range(3))]), axis=0)
+    homes = simhash.homes(fps)
+    near = {(a, b) for a in range(len(fps)) for b in range(a) if np.bitwise_count(fps[a] ^ fps[b]).sum() <= 42 and (homes[a] == homes[b]).any()}
+    group = list(range(len(fps)))
+    for a, b in near:
+        x, y = group[a], group[b]
+        group = [min(x, y) if g in (x, y) else g for g in group]
+    df = spark.createDataFrame([(bytearray(f.tobytes()),) for f in fps], "fp binary").repartition(3)
+    place = {f.tobytes(): k for k, f in enumerate(fps)}
+    got = {}
+    for x in simhash.components(simhash.wide_links(df, 42)).collect():
+        got.setdefault(bytes(x.root), set()).add(place[bytes(x.node)])
+    want = {}
+    for k, g in enumerate(group):
+        want.setdefault(g, set()).add(k)
+    assert sorted(map(sorted, got.values())) == sorted(sorted(g) for g in want.values() if len(g) > 1)
+
+
+@pytest.mark.parametrize("crowd", [4, 32])
+def test_a_crowd_of_near_copies_is_one_group(spark, crowd):
+    """Far more near copies of one text than an anchor compares go to finer anchors, and still hang together; others near them stay apart."""
+    rng = np.random.default_rng(6)
+    base, other = rng.integers(0, 256, (2, 32), np.uint8)
+    fps = np.unique(np.concatenate([base ^ np.packbits(rng.random((600, 256)) < 0.04, axis=1), [base, other]]), axis=0)
+    df = spark.createDataFrame([(bytearray(f.tobytes()),) for f in fps], "fp binary").repartition(3)
+    found = simhash.components(simhash.wide_links(df, 42, crowd)).collect()
+    assert len(found) == len(fps) - 1 and len({bytes(x.root) for x in found}) == 1
+
+
+def test_chance_of_meeting():
+    """Of pairs that differ in the bits expected at a similarity of 0.85 nine in ten meet at an anchor, of closer ones nearly all; more codes keep that for larger inputs."""
+    assert simhash.wide_distance(0.8) == 42 and simhash.code_sizes(10**5) == (48, 6)
+    assert simhash.meeting(0.13) > 0.9 and simhash.meeting(0.1) > 0.98 and simhash.meeting(0.5) < 0.01
+    codes, raw = simhash.code_sizes(5 * 10**7)
+    rng = np.random.default_rng(1)
+    a = rng.integers(0, 256, (500, 32), np.uint8)
+    b = a ^ np.packbits(rng.random((500, 256)) < 0.13, axis=1)
+    assert raw == 12 and (simhash.homes(a, codes, raw) == simhash.homes(b, codes, raw)).any(axis=1).mean() > 0.88
 
 
 def test_packing_round_trip(spark, rows):
@@ -136,7 +213,8 @@ def test_packing_round_trip(spark, rows):
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
-    tokenizer.encode_special_tokens = True
+    rows = [*rows, (900, "a<|endoftext|>b <|startoftext|> <|ENDOFTEXT|> c", None, None)]
+    assert 49407 in tokenizer.encode(rows[-1][1], add_special_tokens=False).ids
     df = frame(spark, rows)
     got = packing.pack(df, length=256, docs_per_group=20).collect()
     want = sorted(tuple(tokenizer.encode(t or "", add_special_tokens=False).ids + [2]) for _, t, *_ in rows)
