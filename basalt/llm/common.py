@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import ctypes
 import gc
 import sys
 import tempfile
 import types
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -27,10 +29,12 @@ def text_or_empty(text: str | Column) -> Column:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: the session's spark.checkpoint.dir, or a folder of our own where it is unset (tests, local runs)."""
+    """The folder that driver and executors share: the session's spark.checkpoint.dir, or a folder of our own where it is unset and all run in one process (tests); elsewhere an unset one is an error."""
     sc = spark.sparkContext
     configured = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not configured:
+        if not sc.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         configured = tempfile.mkdtemp(prefix="basalt-checkpoint-")
         sc.setCheckpointDir(configured)
     elif not sc.getCheckpointDir():
@@ -62,5 +66,10 @@ def process_memo(owner: str) -> dict:
     if memo.get("owner") != owner:
         memo.pop("tables", None)
         gc.collect()
+        pa.default_memory_pool().release_unused()
+        # glibc keeps what was freed unless it is asked; other C libraries lack the call.
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+        if trim is not None:
+            trim(0)
         memo["owner"] = owner
     return memo.setdefault("tables", {})

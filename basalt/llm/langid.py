@@ -70,7 +70,7 @@ def count_grams(df: DataFrame, text_col: str, lang_col: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         process_memo("langid")
-        for b in batches:
+        for b in (part for whole in batches for part in (whole.slice(lo, 4096) for lo in range(0, len(whole), 4096))):
             by_lang: dict[str, Counter] = {}
             for text, lang in zip(b.column(0), b.column(1).to_pylist(), strict=True):
                 by_lang.setdefault(lang, Counter()).update((text.as_py() or "").split())
@@ -318,13 +318,13 @@ class Scorer:
         return self.logs[np.fromiter(map(self.row.__getitem__, tokens), np.int64, len(tokens))].sum(axis=0)
 
 
-def identify(df: DataFrame, model: Model | None, id_col: str = "doc_id", text_col: str = "text", reject_sigmas: float = 6.0, reject_at: float = 0.75, carry: list[str] | None = None, prefix: str = "") -> DataFrame:
+def identify(df: DataFrame, model: Model | None, id_col: str = "doc_id", text_col: str = "text", reject_sigmas: float = 6.0, reject_at: float = 0.75, carry: list[str] | None = None, prefix: str = "", cache_words: int = 200_000) -> DataFrame:
     """One row per document: the id (or the columns of `carry`), lang_pred, score, cross_entropy, rejected, each behind `prefix`.
 
     lang_pred is the language of the lowest length-normalised cross-entropy, `und` if text is null or has no letter or there is no model; of equal languages
     the first in order wins. score is the share of that language among all by likelihood of up to 40 letters of such a text, 0 for
     `und`. rejected marks texts without a letter and those that no learned language explains; without a model only the former. Rows that share an id are scored each;
-    an empty input gives an empty result; texts are scored whole, whatever their length.
+    an empty input gives an empty result; texts are scored whole, whatever their length. A worker remembers up to cache_words words, twice.
     """
     columns = carry or [id_col]
     shipped = df.sparkSession.sparkContext.broadcast(model)
@@ -338,7 +338,7 @@ def identify(df: DataFrame, model: Model | None, id_col: str = "doc_id", text_co
         memo = process_memo("langid")
         model = shipped.value
         if model is not None and memo.get("langid", (None,))[0] != key:
-            memo["langid"] = (key, Scorer(model))
+            memo["langid"] = (key, Scorer(model, cache_words))
         scorer = memo["langid"][1] if model is not None else None
         for batch in batches:
             for lo in range(0, len(batch), 256):
