@@ -31,13 +31,22 @@ REGISTERS = set(ALIASES.values())
 ADDRESS_ORDER = ("rax", "rbx", "rcx", "rdx", "rsi", "rdi", *(f"r{n}" for n in range(8, 16)))
 #: Arguments of a call.
 ARGUMENTS = ("rdi", "rsi", "rdx", "rcx", "r8", "r9")
-#: Mnemonics that define the flags, and conditions of those that use them: fixed values.
+#: Mnemonics that define the flags, and those that use them: fixed values.
 SETS_FLAGS = set("test add sub and or xor imul idiv cmp shl shr sar shld shrd rol ror rcl rcr sal sbb adc neg not inc dec mul div".split())
-_CONDITIONS = "nz z nb b nl l no o np p ns s nc c nge ge ng g ne e na a nae ae nbe be".split()
-USES_FLAGS = {f"{p}{c}" for p in ("j", "set", "cmov") for c in _CONDITIONS} | {"jle", "jcxz", "jecxz", "loop", "loope", "loopne", "adc"}
-
+USES_FLAGS = set(
+    """
+    jnz jz jnb jb jnl jl jno jo jnp jp jns js jnc jc jnge jge jng jg jne je jna ja jnae jae jnbe jbe
+    setnz setz setnb setb setnl setl setno seto setnp setp setns sets setnc setc setnge setge setng setg setne sete setna seta setnae setae setnbe setbe
+    cmovnz cmovz cmovnb cmovb cmovnl cmovl cmovno cmovo cmovnp cmovp cmovns cmovs cmovnc cmovc cmovnge cmovge cmovng cmovg cmovne cmove cmovna cmova cmovnae cmovae cmovnbe cmovbe
+    jle jcxz jecxz loop loope loopne adc
+    """.split()
+)
+
+#: Size words and segments, which say nothing about what is accessed; labels with their numbers: fixed values.
 _SIZES = re.compile(r"(?:xmmword |dword |qword |word |byte |short )?ptr ")
-_LABELS = ("loc_", "off_", "unk_", "sub_", "arg_", "def_", "var_")
+_SEGMENTS = re.compile(r"^(?:[csfdeg]s:)+")
+_LABELLED = re.compile(r"(?:(?:loc|off|unk|sub|arg|def|var)_(?P<number>[0-9A-F]*))?\s*(?:locret)?(?P<rest>.*)", re.S)
+_CODE = re.compile(r"offset|off_|loc_|unk_")
 
 
 def is_hex(x: str) -> bool:
@@ -72,59 +81,88 @@ def is_important(x: str) -> bool:
 
 
 def _address_term(term: str) -> str:
-    term = term.strip()
-    if term[:4] in ("var_", "arg_"):
-        return term[4:].strip()
-    if "*" in term:
-        return "*".join(p.strip() for p in term.split("*"))
-    return ALIASES.get(term, term)
+    """A summand of an address: an index times its scale, a frame offset's name, or a whole register."""
+    x = term.strip()
+    if frame := re.match(r"(?:var_|arg_)", x):
+        return x[frame.end() :].strip()
+    return "*".join(p.strip() for p in x.split("*")) if "*" in x else ALIASES.get(x, x)
+
+
+def _address(x: str) -> str:
+    return f"[{'+'.join(map(_address_term, x[1:-1].split('+')))}]"
+
+
+def _by_name(operator: str, place: int, x: str) -> bool:
+    """Whether an operand is a name that stays as it is: imports, call targets, addresses of data."""
+    return operator == "extrn" or (operator, place) == ("call", 1) and len(x) > 3 or (operator, place) == ("lea", 2) and not (is_hex(x) or is_address(x))
+
+
+#: What an operand without its label can be, and its normal form; the first that fits counts. Arguments: mnemonic, place, operand; the label's number, operand.
+_FORMS = (
+    (lambda m, n, x: not x, lambda number, x: number),
+    (lambda m, n, x: x[0] + x[-1] == "()", lambda number, x: x[1:-1].strip()),
+    (_by_name, lambda number, x: x),
+    (lambda m, n, x: is_hex(x) or is_number(x), lambda number, x: CONST),
+    (lambda m, n, x: is_address(x), lambda number, x: number + _address(x)),
+    (lambda m, n, x: True, lambda number, x: number + ALIASES.get(x, x)),
+)
 
 
 def parse_operand(operator: str, place: int, operand: str) -> str:
     """An operand in normal form: constants and code labels as CONST, whole registers, addresses as [a+b]."""
-    x = operand.strip(" ")
-    if any(k in x for k in ("offset", "off_", "loc_", "unk_")) or ("sub_" in x and "lea" in operator):
-        return CONST
-    x = _SIZES.sub("", x).replace("-", "+").strip()
-    x = re.sub(r"^(?:[csfdeg]s:)+", "", x).strip()
-    if operator.startswith("j") and not is_register(x):
+    x = _SEGMENTS.sub("", _SIZES.sub("", operand.strip(" ")).replace("-", "+").strip()).strip()
+    to_code = _CODE.search(operand) or ("lea" in operator and "sub_" in operand) or (operator[:1] == "j" and not is_register(x))
+    if to_code:
         return CONST
-    kept = ""
-    if x[:4] in _LABELS:
-        digits = re.match(r"[0-9A-F]*", x[4:])[0]
-        kept, x = digits, x[4 + len(digits) :].strip()
-    if not x:
-        return kept
-    x = x.removeprefix("locret")
-    if not x:
-        return kept
-    if x[0] == "(" and x[-1] == ")":
-        return x[1:-1].strip()
-    if operator == "extrn" or (operator == "call" and place == 1 and len(x) > 3) or (operator == "lea" and place == 2 and not is_hex(x) and not is_address(x)):
-        return x
-    if is_hex(x) or is_number(x):
-        return CONST
-    if is_address(x):
-        return f"{kept}[{'+'.join(map(_address_term, x[1:-1].split('+')))}]"
-    return kept + ALIASES.get(x, x)
+    found = _LABELLED.fullmatch(x)
+    number, rest = found["number"] or "", found["rest"]
+    return next(form(number, rest) for fits, form in _FORMS if fits(operator, place, rest))
 
 
 def address_register(x: str) -> str | None:
     return next((r for r in ADDRESS_ORDER if r in x), None)
 
 
+@dataclass(frozen=True)
+class Kind:
+    """A class of instructions and what its operands are to it. Letters name variables: a, b the first and second operand; A, B the same with GLOBAL beside
+    memory off the stack; s the stack slot of the first operand; r the register of results."""
+
+    mnemonic: re.Pattern
+    operands: int | None  # 2 for two or more; None for any number
+    same: bool  # only if the first two are equal
+    defs: str
+    uses: str
+
+
+def _kind(mnemonic: str, operands: int | None, defs: str, uses: str, same: bool = False) -> Kind:
+    return Kind(re.compile(mnemonic), operands, same, defs, uses)
+
+
+#: The first kind that fits counts. `test` is one that defines its first operand, unless flags are strict.
+KINDS = (
+    _kind("^push$", None, "s", "a"),
+    _kind("^pop$", None, "a", "s"),
+    _kind("call", 1, "r", "A"),
+    _kind("j|ret", 1, "", "A"),
+    _kind("", 1, "a", "A"),
+    _kind("mov", 2, "A", "B"),
+    _kind("cmp", 2, "", "AB"),
+    _kind("xchg", 2, "", "", same=True),
+    _kind("xor", 2, "a", "", same=True),
+    _kind("", 2, "A", "AB"),
+)
+STRICT_TEST = _kind("test", 2, "", "AB")
+
+
 @dataclass
 class Effects:
+    """What an instruction defines and uses, each variable once."""
+
     operator: str
     defs: list[str] = field(default_factory=list)
     uses: list[str] = field(default_factory=list)
 
-    def touch(self, into: list[str], x: str) -> None:
-        """A variable, and GLOBAL with it if it is memory off the stack."""
-        into.append(x)
-        if is_global_memory(x):
-            into.append(GLOBAL)
-
 
 def split_instruction(code: str) -> tuple[str, list[str]]:
     """Mnemonic and up to three normalised operands; a comment after ';' is cut."""
@@ -132,54 +170,30 @@ def split_instruction(code: str) -> tuple[str, list[str]]:
     return operator, [parse_operand(operator, k, x) for k, x in enumerate(rest.split(",")[:3], 1)] if rest else []
 
 
+def _variables(letters: str, ops: list[str]) -> list[str]:
+    out = []
+    for letter in letters:
+        x = "rax" if letter == "r" else ops[letter in "bB"] if ops else ""
+        out.append(f"stack_{x}" if letter == "s" else x)
+        if letter.isupper() and is_global_memory(x):
+            out.append(GLOBAL)
+    return out
+
+
 @lru_cache(maxsize=100_000)
 def effects(code: str, strict_flags: bool = False) -> Effects:
-    """What an instruction defines and uses.
+    """What an instruction defines and uses, by its kind; beside that, addresses use their register, returns the result, and flags are set and used by mnemonic.
 
-    As in the model this follows, `test` also counts as defining its first operand, and a third
-    operand is only looked at for its address register; strict_flags keeps `test` from defining.
+    A third operand is only looked at for its address register. An instruction without operands has none of its kind's effects, `push` and `pop` apart.
     """
     operator, ops = split_instruction(code)
-    e = Effects(operator)
-    e.uses += [r for x in ops if x and is_address(x) and (r := address_register(x))]
-    if "ret" in operator:
-        e.uses.append("rax")
-    if operator in SETS_FLAGS:
-        e.defs.append(FLAGS)
-    if operator in USES_FLAGS:
-        e.uses.append(FLAGS)
-    if operator == "push":
-        slot = ops[0] if ops else ""
-        e.defs.append(f"stack_{slot}")
-        e.uses.append(slot)
-    elif operator == "pop":
-        slot = ops[0] if ops else ""
-        e.uses.append(f"stack_{slot}")
-        e.defs.append(slot)
-    elif len(ops) == 1:
-        if "call" in operator:
-            e.defs.append("rax")
-        elif "j" not in operator and "ret" not in operator:
-            e.defs.append(ops[0])
-        e.touch(e.uses, ops[0])
-    elif ops:
-        first, second = ops[:2]
-        compares = "test" in operator or "cmp" in operator
-        if compares:
-            e.touch(e.uses, first)
-            e.touch(e.uses, second)
-        if "mov" in operator:
-            e.touch(e.defs, first)
-            e.touch(e.uses, second)
-        elif "xchg" in operator and first == second:
-            pass
-        elif "xor" in operator and first == second:
-            e.defs.append(first)
-        elif "cmp" in operator:
-            e.touch(e.uses, first)
-            e.touch(e.uses, second)
-        elif not (strict_flags and compares):
-            e.touch(e.defs, first)
-            e.touch(e.uses, first)
-            e.touch(e.uses, second)
-    return e
+    defs = [FLAGS] if operator in SETS_FLAGS else []
+    uses = [r for x in ops if is_address(x) and (r := address_register(x))]
+    uses += ["rax"] * ("ret" in operator) + [FLAGS] * (operator in USES_FLAGS)
+    n, same = min(len(ops), 2), len(ops) > 1 and ops[0] == ops[1]
+    for kind in (STRICT_TEST, *KINDS) if strict_flags else KINDS:
+        if kind.operands in (None, n) and kind.mnemonic.search(operator) and (same or not kind.same):
+            defs += _variables(kind.defs, ops)
+            uses += _variables(kind.uses, ops)
+            break
+    return Effects(operator, list(dict.fromkeys(defs)), list(dict.fromkeys(uses)))

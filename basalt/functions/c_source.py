@@ -10,8 +10,7 @@ KEYWORDS = set(
     "if else for while switch case do goto break continue default return sizeof typedef static inline extern struct union enum const volatile register unsigned signed void char int float double short long auto".split()
 )
 #: What a function header looks like: a fixed pattern.
-_MODIFIER = r"(?:static|inline|extern|unsigned|signed|struct|const|volatile)?"
-HEADER = re.compile(rf"^\s*{_MODIFIER}\s*([a-zA-Z_][\w\s*]+)\s+(?P<name>[a-zA-Z_]\w*)\s*\(\s*([^)]*)\)\s*\{{", re.M)
+HEADER = re.compile(r"^\s*(?:static|inline|extern|unsigned|signed|struct|const|volatile)?\s*([a-zA-Z_][\w\s*]+)\s+(?P<name>[a-zA-Z_]\w*)\s*\(\s*([^)]*)\)\s*\{", re.M)
 
 
 def balanced(text: str, start: int) -> str:

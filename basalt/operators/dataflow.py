@@ -1,18 +1,17 @@
 """Def-use analysis of disassembled functions: reaching definitions, data dependences, importance slices.
 
-Instructions are numbered through a function's blocks in address order. One group a function.
+Instructions are numbered through a function's blocks in address order. A function's instructions are one row, gathered natively.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
 
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from basalt.functions import asm
-from basalt.operators.graphs import Graph, control_dependence, distances, graph_of, post_dominators, reverse
+from basalt.operators.graphs import Graph, control_dependence, distances, edge_lists, graph_of, map_functions, reverse
 
 MOST_INSTRUCTIONS = 2000
 
@@ -82,7 +81,7 @@ class Code:
         """(instruction, affected, share): how many important instructions (calls, returns, writes outside the frame) each one affects, by backward slices over data and control."""
         into = self.reaching()
         control: dict[int, list[int]] = {}
-        for n, p in control_dependence(self.graph, post_dominators(self.graph)):
+        for n, p in control_dependence(self.graph):
             control.setdefault(n, []).append(p)
         important = [i for i, e in enumerate(self.effects) if any(map(asm.is_important, e.defs)) or "call" in e.operator or "ret" in e.operator]
         affected: dict[int, set[int]] = {i: set() for i in range(len(self.asm))}
@@ -107,26 +106,41 @@ class Code:
         return [(i, len(a), len(a) / (1e-5 + len(important))) for i, a in affected.items()]
 
 
-def _per_function(instructions: DataFrame, edges: DataFrame, fn: str, run, schema: str) -> DataFrame:
+def _per_function(instructions: DataFrame, edges: DataFrame | None, fn: str, run: Callable[[Code], Iterable[tuple]], schema: str) -> DataFrame:
     """instructions: (fn, block, pos, asm); edges: (fn, src, dst). A function without instructions has no rows."""
-    names = [c.strip().split(" ")[0] for c in schema.split(", ")]
+    rows = F.sort_array(F.collect_list(F.struct(F.col("block").cast("long").alias("block"), "pos", "asm")))
+    whole = instructions.groupBy(fn).agg(rows.alias("rows")).select(fn, F.transform("rows", lambda r: r["block"]).alias("code_blocks"), F.transform("rows", lambda r: r["asm"]).alias("code_asm"))
+    none = F.array().cast("array<array<bigint>>")
+    if edges is None:
+        whole = whole.withColumn("links", none)
+    else:
+        links = edge_lists(edges.filter("dst IS NOT NULL").select(F.col(fn).alias("edge_fn"), "src", "dst"), "edge_fn")  # a name of its own: both sides may come from one table
+        whole = whole.join(links, F.col(fn) == F.col("edge_fn"), "left").select(fn, "code_blocks", "code_asm", F.coalesce("links", none).alias("links"))
 
-    def group(key, code, links):
-        blocks: dict[int, list[str]] = {}
-        for r in code.sort_values(["block", "pos"]).itertuples(index=False):
-            blocks.setdefault(int(r.block), []).append(r.asm)
-        rows = run(Code(blocks, zip(links["src"].tolist(), links["dst"].tolist(), strict=True))) if blocks else []
-        return pd.DataFrame([(key[0], *r) for r in rows], columns=[fn, *names])
+    def of(blocks: list[int], asms: list[str], links: list[list[int]]) -> Iterable[tuple]:
+        by_block: dict[int, list[str]] = {}
+        for b, a in zip(blocks, asms, strict=True):
+            by_block.setdefault(b, []).append(a or "")
+        return run(Code(by_block, links))
 
-    kind = instructions.schema[fn].dataType.simpleString()
-    links = edges.filter("dst IS NOT NULL").select(F.col(fn).alias("edge_fn"), "src", "dst")  # a name of its own: both sides may come from one table
-    return instructions.select(fn, "block", "pos", "asm").groupBy(fn).cogroup(links.groupBy("edge_fn")).applyInPandas(group, f"`{fn}` {kind}, {schema}")
+    return map_functions(whole, fn, of, schema)
 
 
 def instruction_effects(instructions: DataFrame, fn: str) -> DataFrame:
     """(fn, instr, block, asm, operator, defs, uses)."""
-    empty = instructions.sparkSession.createDataFrame([], f"`{fn}` {instructions.schema[fn].dataType.simpleString()}, src long, dst long")
-    return _per_function(instructions, empty, fn, lambda c: [(i, c.block_of[i], a, e.operator, e.defs, e.uses) for i, (a, e) in enumerate(zip(c.asm, c.effects, strict=True))], "instr bigint, block bigint, asm string, operator string, defs array<string>, uses array<string>")
+    return _per_function(instructions, None, fn, lambda c: [(i, c.block_of[i], a, e.operator, e.defs, e.uses) for i, (a, e) in enumerate(zip(c.asm, c.effects, strict=True))], "instr bigint, block bigint, asm string, operator string, defs array<string>, uses array<string>")
+
+
+def operand_forms(df: DataFrame, key: str, operator: str, place: str, operand: str) -> DataFrame:
+    """(key, form, register, kind): an operand in normal form, the register that an address in it uses, and what it is: a register, number, hex number, address off the stack, another address, or another name; `important` if its definition matters outside the function."""
+
+    def run(m: str, n: int, x: str) -> list[tuple]:
+        form = asm.parse_operand(m or "", n, x or "")
+        kinds = (("register", asm.is_register), ("number", asm.is_number), ("hex", asm.is_hex), ("global", asm.is_global_memory), ("address", asm.is_address), ("name", bool))
+        kind = next((k for k, test in kinds if test(form)), "empty")
+        return [(form, asm.address_register(form) if asm.is_address(form) else None, kind, asm.is_important(form))]
+
+    return map_functions(df.select(key, operator, F.col(place).cast("int").alias(place), operand), key, run, "form string, register string, kind string, important boolean")
 
 
 def reaching_definitions(instructions: DataFrame, edges: DataFrame, fn: str) -> DataFrame:
@@ -157,11 +171,10 @@ def dependence_graph(deps: DataFrame, fn: str) -> DataFrame:
 def dependence_distances(deps: DataFrame, fn: str, max_blocks: int) -> DataFrame:
     """(fn, positions): shortest distances among the first max_blocks instructions along dependences; -1 where there is none. Edges beyond are cut."""
 
-    def group(key, rows):
-        pairs = [(int(u), int(d)) for u, d in zip(rows["use_instr"], rows["def_instr"], strict=True) if u < max_blocks and d < max_blocks]
-        return pd.DataFrame({fn: [key[0]], "positions": [distances(graph_of(pairs), max_blocks)]})
+    def run(links: list[list[int]]) -> list[tuple]:
+        return [(distances(graph_of((u, d) for u, d in links if u < max_blocks and d < max_blocks), max_blocks),)]
 
-    return deps.groupBy(fn).applyInPandas(group, f"`{fn}` {deps.schema[fn].dataType.simpleString()}, positions array<array<int>>")
+    return map_functions(edge_lists(deps, fn, "use_instr", "def_instr"), fn, run, "positions array<array<int>>")
 
 
 def block_tokens(code: DataFrame, tokens: str, block_size: int, max_blocks: int, pad: str = "<pad>", inst: str = "<inst>", cls: str = "<cls>", node_size: int = 1, global_size: int = 1) -> DataFrame:

@@ -1,17 +1,19 @@
-"""Control-flow graphs of single functions: plain functions over adjacency, and a grouped map that applies them.
+"""Control-flow graphs of single functions: plain functions over adjacency, and a map that applies them.
 
-A function's graph is small and independent of others, so it is handled in one group: one shuffle by
-function, no job for each iteration. Every choice is total: paths are ordered by (length, nodes).
+A function's graph is small and independent of others: its edges are gathered into one row by a native aggregate, and rows go
+through Python in Arrow batches. One shuffle by function, no job for each iteration. Every choice is total: paths are ordered by (length, nodes).
 """
 
 from __future__ import annotations
 
 from collections import deque
-from collections.abc import Callable, Iterable
+from collections.abc import Callable, Iterable, Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import StructType
 
 Graph = dict[int, list[int]]
 
@@ -119,24 +121,59 @@ def post_dominators(g: Graph, classic: bool = False) -> dict[int, set[int]]:
     Paths that go round for ever are maximal, too: d doesn't post-dominate n if n reaches an exit or a cycle without d.
     `classic` asks for paths to exits alone; a node that reaches none then has only itself.
     """
-    out = {n: {n} for n in g}
-    exits = {n for n in g if not g[n]}
-    leads = {n for n in g if reachable(g, n) & exits}
-    for d in g:
-        rest = {a: [b for b in bs if b != d] for a, bs in g.items() if a != d}
-        ends = exits - {d}
-        if not classic:
-            ends |= {n for n in rest if any(n in reachable(rest, b) for b in rest[n])}
-        for n in rest:
-            if (not classic or n in leads) and not reachable(rest, n) & ends:
-                out[n].add(d)
+    bits = _post_dominator_bits(g, classic)
+    names = list(g)
+    return {n: {names[k] for k in _ones(bits[n])} for n in g}
+
+
+def _ones(x: int) -> Iterator[int]:
+    while x:
+        low = x & -x
+        yield low.bit_length() - 1
+        x ^= low
+
+
+def _post_dominator_bits(g: Graph, classic: bool) -> dict[int, int]:
+    """Sets as bits by a node's place in g: the node's own, and what all its successors' sets share. From empty sets up this ends at the paths that may be endless, from full ones down at the textbook's."""
+    place = {n: 1 << k for k, n in enumerate(g)}
+    pred = reverse(g)
+    order, seen = [], set()
+    for n in [*(n for n in g if not g[n]), *reversed(g)]:  # breadth first from the exits backwards, then what reaches none
+        todo = deque([] if n in seen else [n])
+        seen.add(n)
+        while todo:
+            order.append(x := todo.popleft())
+            fresh = [p for p in pred[x] if p not in seen]
+            seen.update(fresh)
+            todo.extend(fresh)
+    if classic:
+        leads = set()
+        todo = [n for n in g if not g[n]]
+        while todo:
+            if (x := todo.pop()) not in leads:
+                leads.add(x)
+                todo += pred[x]
+        succ = {n: [b for b in g[n] if b in leads] if n in leads else [] for n in g}
+        out = {n: (1 << len(g)) - 1 if succ[n] else place[n] for n in g}
+    else:
+        succ, out = g, dict.fromkeys(g, 0)
+    changed = True
+    while changed:
+        changed = False
+        for n in order:
+            shared = -1
+            for b in succ[n]:
+                shared &= out[b]
+            new = place[n] | shared if succ[n] else place[n]
+            if new != out[n]:
+                out[n], changed = new, True
     return out
 
 
-def control_dependence(g: Graph, pdom: dict[int, set[int]]) -> set[tuple[int, int]]:
+def control_dependence(g: Graph, classic: bool = False) -> set[tuple[int, int]]:
     """(n, p): p precedes a node that n post-dominates, and n doesn't post-dominate p."""
-    pred = reverse(g)
-    return {(n, p) for m in g for n in pdom[m] for p in pred[m] if n not in pdom[p]}
+    bits, names = _post_dominator_bits(g, classic), list(g)
+    return {(names[k], p) for p, bs in g.items() for m in bs for k in _ones(bits[m] & ~bits[p])}
 
 
 def back_edges(g: Graph) -> set[tuple[int, int]]:
@@ -176,17 +213,35 @@ def distances(g: Graph, n: int) -> list[list[int]]:
     return out
 
 
-def per_function(edges: DataFrame, fn: str, run: Callable[[Graph], Iterable[tuple]], schema: str, source: str = "src", target: str = "dst") -> DataFrame:
-    """Apply `run` to each function's graph: its rows behind the function's key. Rows with a null target only name a node."""
-    names = [c.strip().split(" ")[0] for c in schema.split(",")]
+def map_functions(df: DataFrame, fn: str, run: Callable[..., Iterable[tuple]], schema: str, batch: int = 500) -> DataFrame:
+    """Apply `run` to the columns behind the first of each row, which is a function's key: what it returns are rows behind the key. In Arrow batches."""
+    kinds = StructType.fromDDL(schema)
+    names = [f.name for f in kinds]
+    arrow = [to_arrow_type(f.dataType) for f in kinds]
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for lo in range(0, len(whole), batch):
+                b = whole.slice(lo, batch)
+                found = [(k, *r) for k, values in enumerate(zip(*(c.to_pylist() for c in b.columns[1:]), strict=True)) for r in run(*values)]
+                columns = list(zip(*found, strict=True)) or [()] * (len(names) + 1)
+                yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(columns[0], pa.int64())), *(pa.array(c, t) for c, t in zip(columns[1:], arrow, strict=True))], names=[fn, *names])
 
-    def group(key, rows):
-        pairs = rows.dropna(subset=["g_dst"])
-        g = graph_of(zip(pairs["g_src"].astype("int64").tolist(), pairs["g_dst"].astype("int64").tolist(), strict=True), rows["g_src"].dropna().astype("int64").tolist())
-        return pd.DataFrame([(key[0], *r) for r in run(g)], columns=[fn, *names])
+    return df.mapInArrow(rows, f"`{fn}` {df.schema[fn].dataType.simpleString()}, {schema}")
 
-    kind = edges.schema[fn].dataType.simpleString()
-    return edges.select(fn, F.col(source).alias("g_src"), F.col(target).alias("g_dst")).distinct().groupBy(fn).applyInPandas(group, f"`{fn}` {kind}, {schema}")
+
+def edge_lists(edges: DataFrame, fn: str, source: str = "src", target: str = "dst") -> DataFrame:
+    """(fn, links): each function's distinct (source, target) pairs, a target null where a row only names a node."""
+    return edges.groupBy(fn).agg(F.collect_set(F.array(F.col(source).cast("long"), F.col(target).cast("long"))).alias("links"))
+
+
+def _graph(links: list[list]) -> Graph:
+    return graph_of(((a, b) for a, b in links if b is not None), (a for a, _ in links if a is not None))
+
+
+def per_function(edges: DataFrame, fn: str, run: Callable[[Graph], Iterable[tuple]], schema: str, source: str = "src", target: str = "dst") -> DataFrame:
+    """Apply `run` to each function's graph: its rows behind the function's key. Rows with a null target only name a node."""
+    return map_functions(edge_lists(edges, fn, source, target), fn, lambda links: run(_graph(links)), schema)
 
 
 def edges_of(functions: DataFrame, fn: str, cfg: str = "cfg") -> DataFrame:
@@ -224,7 +279,20 @@ def post_dominance(edges: DataFrame, fn: str, classic: bool = False) -> DataFram
 
 
 def control_dependences(edges: DataFrame, fn: str, classic: bool = False) -> DataFrame:
-    return per_function(edges, fn, lambda g: sorted(control_dependence(g, post_dominators(g, classic))), "node bigint, depends_on bigint")
+    return per_function(edges, fn, lambda g: sorted(control_dependence(g, classic)), "node bigint, depends_on bigint")
+
+
+def back_edge_rows(edges: DataFrame, fn: str) -> DataFrame:
+    """(fn, src, dst): edges to a node that is still open in depth-first order."""
+    return per_function(edges, fn, lambda g: sorted(back_edges(g)), "src bigint, dst bigint")
+
+
+def broken_steps(paths_of: DataFrame, edges: DataFrame, fn: str, path: str = "path") -> DataFrame:
+    """(fn, path, broken): how many steps of each path are no edge of its function. Native. paths_of: (fn, path: array of nodes)."""
+    known = edges.filter("dst IS NOT NULL").groupBy(fn).agg(F.collect_set(F.struct(F.col("src").cast("long").alias("a"), F.col("dst").cast("long").alias("b"))).alias("known"))
+    steps = F.zip_with(F.slice(path, 1, F.greatest(F.size(path) - 1, F.lit(0))), F.slice(path, 2, F.greatest(F.size(path) - 1, F.lit(0))), lambda a, b: F.struct(a.alias("a"), b.alias("b")))
+    empty = F.array().cast("array<struct<a:bigint,b:bigint>>")
+    return paths_of.join(known, fn, "left").select(fn, path, F.size(F.filter(steps, lambda e: ~F.array_contains(F.coalesce("known", empty), e))).cast("long").alias("broken"))
 
 
 def consecutive_edges(rows: DataFrame, fn: str, state: Column, order: list[str]) -> DataFrame:

@@ -265,3 +265,20 @@ def test_require_fields(spark):
 def test_tagged_snippets(spark):
     df = spark.createDataFrame([(["a"], None, ["b", "c"])], "s array<string>, b array<string>, u array<string>")
     assert one_row(df.select(T.tagged_snippets("s", "b", "u", 2).alias("x"))).x == [T.TAG_STRONG + "a", T.TAG_UNCERTAIN + "b"]
+
+
+def test_post_dominators_of_a_large_function():
+    import time
+
+    r = random.Random(3)
+    g = graphs.graph_of([(k, k + 1) for k in range(999)] + [(r.randrange(1000), r.randrange(1000)) for _ in range(300)])
+    start = time.perf_counter()
+    found = graphs.post_dominators(g)
+    assert time.perf_counter() - start < 3 and len(found) == 1000 and found[999] == {999}
+
+
+def test_broken_steps(spark):
+    edges = spark.createDataFrame([("f", 1, 2), ("f", 2, 3), ("f", 3, None)], "fn string, src long, dst long")
+    paths = spark.createDataFrame([("f", [1, 2, 3]), ("f", [1, 3]), ("f", [3]), ("g", [1, 2]), ("f", [])], "fn string, path array<long>")
+    got = {(x.fn, tuple(x.path)): x.broken for x in graphs.broken_steps(paths, edges, "fn").collect()}
+    assert got == {("f", (1, 2, 3)): 0, ("f", (1, 3)): 1, ("f", (3,)): 0, ("g", (1, 2)): 1, ("f", ()): 0}
