@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from basalt.functions import text as T
+
 
 def calls_in(instructions: DataFrame, functions: DataFrame, imports: DataFrame | None = None) -> DataFrame:
     """(caller, callee, n) from instructions (fn, mnemonic, target): call* and bl*, thunks followed, imports and unknown targets left out. functions: (fn, thunk_of)."""
@@ -30,8 +32,27 @@ def call_counts(calls: DataFrame) -> DataFrame:
 
 
 def callers_of(counts: DataFrame) -> DataFrame:
-    """The inverse graph: (callee, callers: map from caller to count). A callee's callers are one row's map."""
-    return counts.groupBy("callee").agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("caller", "n")))).alias("callers"))
+    """The inverse graph, a row for each pair: (callee, caller, n)."""
+    return counts.select("callee", "caller", "n")
+
+
+def caller_maps(counts: DataFrame, most: int = 10_000) -> DataFrame:
+    """(callee, n_callers, callers: map from caller to count). A callee with more than `most` callers has a null map, so that no row grows without bound: `callers_of` has its callers."""
+    sizes = counts.groupBy("callee").agg(F.count(F.lit(1)).alias("n_callers"))
+    maps = counts.join(sizes.filter(F.col("n_callers") <= most).select("callee"), "callee", "left_semi").groupBy("callee").agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("caller", "n")))).alias("callers"))
+    return sizes.join(maps, "callee", "left")
+
+
+def thunk_links(functions: DataFrame) -> DataFrame:
+    """(fn, thunk_of) of (fn, name, code): a noise function that returns the call of a function of that name forwards to it. Of equal names the smallest fn."""
+    names = functions.groupBy(F.col("name").alias("target_name")).agg(F.min("fn").alias("thunk_of"))
+    marked = functions.select("fn", F.when(T.is_noise("code"), T.thunk_target("code")).alias("target_name"))
+    return marked.join(names, "target_name", "left").select("fn", "thunk_of")
+
+
+def without_external(functions: DataFrame, imports: DataFrame) -> DataFrame:
+    """Functions (fn, segment, code, mnemonic, ...) that are neither imported nor stubs of imports."""
+    return functions.filter(~T.is_external("segment", "code", "mnemonic")).join(imports.select("fn"), "fn", "left_anti")
 
 
 def enrich(fns: DataFrame, edges: DataFrame, fn_key: str, value: str, source: str, target: str, name: str) -> DataFrame:

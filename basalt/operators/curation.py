@@ -44,20 +44,25 @@ def quality_gates(df: DataFrame, source_required: bool = True) -> DataFrame:
     return df.filter(keep & source)
 
 
+def _short_key(c: str) -> Column:
+    """128 bits of a key; null stays null."""
+    return F.unhex(F.md5(F.col(c).cast("string")))
+
+
 def greedy_dedup(df: DataFrame, order: str, first: str, second: str) -> DataFrame:
     """In order, a row is kept unless a kept row has its `first` or its `second` key; null keys never clash. `order` is unique.
 
-    Rounds: a row that comes first for both keys among the undecided is kept, and all that share
+    Keys are compared by 128-bit hashes, so that no text is shuffled. Rounds: a row that comes first for both keys among the undecided is kept, and all that share
     a key with a kept row go. Rows equal in both keys are settled beforehand, so large groups of copies are
     one aggregated row. Rounds end when nothing is undecided; they are few, for a chain of n clashes n at most.
     """
-    narrow = df.select(F.col(order).alias("o"), F.col(first).alias("a"), F.col(second).alias("b"))
+    narrow = df.select(F.col(order).alias("o"), _short_key(first).alias("a"), _short_key(second).alias("b"))
     both = narrow.filter("a IS NOT NULL AND b IS NOT NULL").groupBy("a", "b").agg(F.min("o").alias("o")).select("o", "a", "b")
     todo = checkpointed(both.unionByName(narrow.filter("a IS NULL OR b IS NULL")))
     kept = None
     while True:
-        a = todo.groupBy("a").agg(F.min("o").alias("a_first"))
-        b = todo.groupBy("b").agg(F.min("o").alias("b_first"))
+        a = todo.filter("a IS NOT NULL").groupBy("a").agg(F.min("o").alias("a_first"))
+        b = todo.filter("b IS NOT NULL").groupBy("b").agg(F.min("o").alias("b_first"))
         ranked = todo.join(a, "a", "left").join(b, "b", "left")
         now = checkpointed(ranked.filter("(a IS NULL OR o = a_first) AND (b IS NULL OR o = b_first)").select("o", "a", "b"))
         kept = now if kept is None else kept.unionByName(now)
@@ -80,9 +85,22 @@ def apply_reference(df: DataFrame, references: DataFrame, project: str, source:
     return df.withColumn("key", key).join(references.select("key", "reference"), "key", "left")
 
 
+def reference_counters(df: DataFrame, arch: str, project: str, source: str, order: Sequence[str], exact: bool = False) -> DataFrame:
+    """(arch, items, added, total): rows, reference keys that no architecture before (in order of name) has, and keys so far. A row for each architecture is numbered in one task."""
+    first = collect_references(df, project, source, [arch, *order], exact).groupBy(arch).agg(F.count(F.lit(1)).alias("added"))
+    counted = df.groupBy(arch).agg(F.count(F.lit(1)).alias("items")).join(first, arch, "left").withColumn("added", F.coalesce("added", F.lit(0)).cast("long"))
+    return counted.withColumn("total", F.sum("added").over(Window.orderBy(arch).rowsBetween(Window.unboundedPreceding, 0)))
+
+
+def reference_totals(applied: DataFrame, by: str) -> DataFrame:
+    """(by, applied, missing): rows with and without a reference."""
+    return applied.groupBy(by).agg(F.count("reference").alias("applied"), F.count_if(F.col("reference").isNull()).alias("missing"))
+
+
 def dataset_columns(df: DataFrame) -> DataFrame:
-    """The dataset projection."""
-    return df.select("project_name", "function_addr", "strip_function_name", "strip_decompiled_code", "source_code", "comment", "cfg", "callers", "callees")
+    """The dataset projection, with the counts of calls that the neighbour maps stand for."""
+    calls = lambda c: F.coalesce(F.aggregate(F.map_values(c), F.lit(0).cast("long"), lambda a, n: a + F.coalesce(n.cast("long"), F.lit(0))), F.lit(0).cast("long")).alias(f"{c}_call_count")
+    return df.select("project_name", "function_addr", "strip_function_name", "strip_decompiled_code", "source_code", "comment", "cfg", "codeart", "callers", "callees", calls("callers"), calls("callees"))
 
 
 def baseline_columns(df: DataFrame) -> DataFrame:

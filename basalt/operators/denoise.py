@@ -37,6 +37,18 @@ def totals(tagged: DataFrame) -> DataFrame:
     return out.withColumn("checks", F.col("n_strong") + F.col("n_backup") + F.col("n_uncertain") + F.col("n_junk") == F.col("n_total"))
 
 
+def averages(bucketed: DataFrame) -> DataFrame:
+    """Mean number of fragments of each tag in a function's row; null buckets count as empty."""
+    mean = lambda t: F.avg(F.coalesce(F.array_size(f"filter_{t}"), F.lit(0))).alias(f"avg_{t}")
+    return bucketed.agg(mean(STRONG), mean(BACKUP), mean(UNCERTAIN))
+
+
+def mean_candidates(df: DataFrame, candidates: str) -> DataFrame:
+    """(mean_candidates): all candidates over all rows, whole number; 0 without rows."""
+    n = F.count(F.lit(1))
+    return df.agg(F.when(n > 0, F.floor(F.sum(F.coalesce(F.array_size(candidates), F.lit(0))) / n)).otherwise(0).cast("long").alias("mean_candidates"))
+
+
 def complete_labels(results: str | Column, n: Column) -> Column:
     """Indices from 0 to n - 1 that a reply has left out."""
     have = F.transform(F.col(results) if isinstance(results, str) else results, lambda r: r["index"].cast("int"))

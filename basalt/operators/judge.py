@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from basalt.functions import text as T
 
 CRITERIA = ("accuracy", "coverage", "effectiveness")
+#: A reply's tokens, each with its alternatives.
+TOKENS = "array<struct<token: string, top_logprobs: array<struct<token: string, logprob: double>>>>"
 
 
 def normalise(score: Column) -> Column:

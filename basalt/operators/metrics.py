@@ -1,20 +1,22 @@
 """Text metrics of summaries: BLEU, ROUGE-L, METEOR (exact and stem matches), and their dispatch.
 
-n-gram counting and matching are joins and aggregates; only the longest common subsequence and METEOR's
-alignment run in Arrow UDFs.
+A sample is one row and is scored in it: n-gram counts, longest common subsequences and METEOR's alignment run in Arrow
+UDFs without a shuffle; what follows from the counts are native expressions and aggregates.
 """
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType, IntegerType
+from pyspark.sql.types import ArrayType, DoubleType, IntegerType, LongType, StructField, StructType
 
 from basalt.functions import text as T
+from basalt.sources.shared import checkpointed
 
 TINY, SMALL = 1e-15, 1e-9
 ORDERS = 4
@@ -27,15 +29,35 @@ def ngram_counts(df: DataFrame, key: str, c: str) -> DataFrame:
     return w.select(key, F.inline(F.concat(*(grams(n) for n in range(1, ORDERS + 1))))).groupBy(key, "n", "gram").agg(F.count(F.lit(1)).alias("count"))
 
 
+def _bleu_counts(hyp: list[str], refs: list[list[str]]) -> tuple:
+    """(test_len, ref_len, correct_1..4) of one sample: matches clipped by the most that a reference has, the length of the reference closest in length, the shorter of two."""
+    grams = lambda w: Counter(tuple(w[i : i + n]) for n in range(1, ORDERS + 1) for i in range(len(w) - n + 1))
+    most: Counter = Counter()
+    for r in refs:
+        most |= grams(r)
+    matched = grams(hyp) & most
+    correct = [0] * ORDERS
+    for g, n in matched.items():
+        correct[len(g) - 1] += n
+    return (len(hyp), min((abs(len(r) - len(hyp)), len(r)) for r in refs)[1] if refs else 0, *correct)
+
+
+BLEU_COUNTS = ["test_len", "ref_len", *(f"correct_{n}" for n in range(1, ORDERS + 1))]
+
+
+@F.pandas_udf(StructType([StructField(c, LongType()) for c in BLEU_COUNTS]))
+def bleu_counts(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
+    """Counts in the row: words of the hypothesis, and an array of the references' words."""
+    for h, rs in batches:
+        yield pd.DataFrame([_bleu_counts(list(a), [list(r) for r in b]) for a, b in zip(h, rs, strict=True)], columns=BLEU_COUNTS)
+
+
 def bleu_statistics(pairs: DataFrame, key: str, hypothesis: str, reference: str) -> DataFrame:
-    """(key, test_len, ref_len, correct_1..4, guess_1..4) of one reference a sample; keys are unique."""
-    hyp, ref = ngram_counts(pairs, key, hypothesis), ngram_counts(pairs, key, reference).withColumnRenamed("count", "ref_count")
-    matched = hyp.join(ref, [key, "n", "gram"]).groupBy(key).agg(*(F.sum(F.when(F.col("n") == n, F.least("count", "ref_count"))).alias(f"correct_{n}") for n in range(1, ORDERS + 1)))
-    lengths = pairs.select(key, T.word_count(hypothesis).cast("long").alias("test_len"), T.word_count(reference).cast("long").alias("ref_len"))
-    out = lengths.join(matched, key, "left")
-    for n in range(1, ORDERS + 1):
-        out = out.withColumn(f"correct_{n}", F.coalesce(f"correct_{n}", F.lit(0)).cast("long")).withColumn(f"guess_{n}", F.greatest(F.lit(0), F.col("test_len") - (n - 1)).cast("long"))
-    return out
+    """(key, test_len, ref_len, correct_1..4, guess_1..4) of each sample, without a shuffle. reference: a text, or an array of texts."""
+    several = isinstance(pairs.schema[reference].dataType, ArrayType)
+    refs = F.transform(F.coalesce(reference, F.array().cast("array<string>")), T.words) if several else F.array(T.words(reference))
+    out = pairs.select(key, bleu_counts(T.words(hypothesis), refs).alias("counts")).select(key, "counts.*")
+    return out.select("*", *(F.greatest(F.lit(0), F.col("test_len") - (n - 1)).cast("long").alias(f"guess_{n}") for n in range(1, ORDERS + 1)))
 
 
 def bleu_columns(scale: float = 1.0) -> list[Column]:
@@ -85,6 +107,11 @@ def rouge_l(pairs: DataFrame, key: str, hypothesis: str, reference: str, beta: f
     return rows.select(key, F.when((F.col("h") == 0) | (F.col("r") == 0) | (F.col("lcs") == 0), F.lit(0.0)).otherwise((1 + b) * p * q / (q + b * p)).alias("rouge_l"))
 
 
+def mean_scores(scored: DataFrame, columns: list[str], scale: float = 100.0) -> DataFrame:
+    """One row: means of scores over all samples, scaled; NaN without samples."""
+    return scored.agg(*(F.coalesce(F.avg(c) * scale, F.lit(float("nan"))).alias(c) for c in columns))
+
+
 def _stem(w: str) -> str:
     """A word without a common English ending."""
     for s in ("ingly", "edly", "ings", "ing", "ies", "ed", "es", "ly", "s"):
@@ -133,16 +160,29 @@ SCORERS: dict[str, Scorer] = {"bleu": sentence_bleu, "rouge_l": rouge_l, "meteor
 
 
 def score_all(pairs: DataFrame, key: str, hypothesis: str, reference: str, scorers: dict[str, Scorer] | None = None) -> tuple[DataFrame, dict[str, str]]:
-    """All metrics of each sample, and the errors of those that could not be planned and are left out."""
+    """All metrics of each sample, and the errors of those that failed, which are left out. Each metric is computed at once, so that one that fails at run time costs itself alone."""
     out, errors = pairs.select(key), {}
     for name, scorer in (SCORERS if scorers is None else scorers).items():
         try:
-            out = out.join(scorer(pairs, key, hypothesis, reference), key, "left")
+            out = out.join(checkpointed(scorer(pairs, key, hypothesis, reference)), key, "left")
         except Exception as e:
             errors[name] = str(e)
     return out, errors
 
 
+def scorable(df: DataFrame, code: str, summaries: list[str]) -> DataFrame:
+    """Rows with code and at least one summary that isn't blank."""
+    some = F.lit(False)
+    for c in summaries:
+        some |= F.trim(T.text(c)) != ""
+    return df.filter((F.trim(T.text(code)) != "") & some)
+
+
+def averages_over_all(df: DataFrame, columns: list[str]) -> DataFrame:
+    """One row: means over all rows, a missing value counting as 0; 0 without rows."""
+    return df.agg(*(F.coalesce(F.avg(F.coalesce(c, F.lit(0))), F.lit(0.0)).alias(f"avg_{c}") for c in columns))
+
+
 def present_systems(df: DataFrame, systems: list[str]) -> list[str]:
     """Systems whose column exists and isn't null throughout."""
     there = [s for s in systems if s in df.columns]

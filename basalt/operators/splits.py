@@ -38,6 +38,9 @@ def top_n(df: DataFrame, by: Sequence[str], order: Sequence[str | Column], n: in
     return df.withColumn("rank", F.row_number().over(Window.partitionBy(*by).orderBy(*order))).filter(F.col("rank") <= n)
 
 
-def zip_by_position(a: DataFrame, b: DataFrame, order_a: Sequence[str], order_b: Sequence[str]) -> DataFrame:
-    """Pair rows by place in order: for checks against positional tools; joins by key are the rule here."""
-    return positions(a, order_a, "zip_position").join(positions(b, order_b, "zip_position"), "zip_position", "left")
+def zip_by_position(a: DataFrame, b: DataFrame, order_a: Sequence[str], order_b: Sequence[str], same_length: bool = False) -> DataFrame:
+    """Pair rows by place in order: for checks against positional tools; joins by key are the rule here. same_length: tables of different lengths are an error."""
+    left, right = positions(a, order_a, "zip_position"), positions(b, order_b, "zip_position")
+    if same_length and (sizes := (left.count(), right.count()))[0] != sizes[1]:
+        raise ValueError(f"tables of {sizes[0]} and {sizes[1]} rows can't be paired")
+    return left.join(right, "zip_position", "left")

@@ -8,12 +8,16 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def checkpoint_folder(spark: SparkSession) -> str:
-    """The session's spark.checkpoint.dir; a temporary folder only where none is set."""
+    """The session's spark.checkpoint.dir; a temporary folder where none is set and all runs in one process; elsewhere an unset one is an error."""
     sc = spark.sparkContext
-    folder = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir() or tempfile.mkdtemp(prefix="basalt-")
+    folder = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
+    if not folder:
+        if not sc.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        folder = tempfile.mkdtemp(prefix="basalt-")
     if not sc.getCheckpointDir():
         sc.setCheckpointDir(folder)
-    return folder
+    return folder.rstrip("/")
 
 
 def checkpointed(df: DataFrame) -> DataFrame:

@@ -15,21 +15,34 @@ def write_json(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").json(path)
 
 
+def write_json_array(df: DataFrame, path: str) -> None:
+    """One file with one JSON array, for reports: the rows of each partition are put together where they are, and one task writes them one after another."""
+    lines = df.select(F.to_json(F.struct(*df.columns), {"ignoreNullFields": "false"}).alias("value"))
+    numbered = lines.withColumn("at", F.monotonically_increasing_id())
+    first = numbered.agg(F.min("at").alias("first"))
+    comma = F.when(F.col("at") == F.col("first"), F.concat(F.lit("["), F.col("value"))).otherwise(F.concat(F.lit(","), F.col("value")))
+    body = numbered.join(F.broadcast(first)).select("at", comma.alias("value"))
+    end = df.sparkSession.range(1).select(F.lit((1 << 63) - 1).alias("at"), F.lit("]" if not df.isEmpty() else "[]").alias("value"))
+    body.unionByName(end).repartition(1).sortWithinPartitions("at").select("value").write.mode("overwrite").text(path)
+
+
 def missing(df: DataFrame, done: DataFrame, key: str) -> DataFrame:
     """Rows whose key isn't done yet."""
     return df.join(done.select(key), key, "left_anti")
 
 
-def append_missing(df: DataFrame, path: str, key: str, compute) -> None:
-    """Compute what a table at path lacks, and append it: a later call goes on from there."""
+def append_missing(df: DataFrame, path: str, key: str, compute, commits: int = 1) -> None:
+    """Compute what a table at path lacks, and append it: a later call goes on from there. With several commits, classes of the key's hash are computed and appended one after another, so that less is lost if the run ends."""
     spark = df.sparkSession
-    try:
-        todo = missing(df, spark.read.parquet(path), key)
-    except Exception as e:  # the first call finds no table
-        if "PATH_NOT_FOUND" not in str(e) and "UNABLE_TO_INFER_SCHEMA" not in str(e):
-            raise
-        todo = df
-    compute(todo).write.mode("append").parquet(path)
+    for k in range(commits):
+        part = df if commits == 1 else df.filter(F.pmod(F.xxhash64(key), F.lit(commits)) == k)
+        try:
+            todo = missing(part, spark.read.parquet(path), key)
+        except Exception as e:  # the first call finds no table
+            if "PATH_NOT_FOUND" not in str(e) and "UNABLE_TO_INFER_SCHEMA" not in str(e):
+                raise
+            todo = part
+        compute(todo).write.mode("append").parquet(path)
 
 
 def next_version(df: DataFrame, root: str, version: int) -> str:

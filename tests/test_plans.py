@@ -59,6 +59,61 @@ def test_augref_generate_evaluate(spark, dataset):
     assert all((r.accuracy, r.coverage, r.effectiveness) == (1.0, 0.0, None) for r in judged)
 
 
+def counting(folder, rule):
+    """A provider that notes each call in a folder and answers by a rule, and the number of calls so far."""
+    folder = str(folder)
+    os.mkdir(folder)
+
+    def provider(prompt):
+        import uuid
+
+        open(f"{folder}/{uuid.uuid4().hex}", "w").close()
+        return rule(prompt)
+
+    return provider, lambda: len(os.listdir(folder))
+
+
+def test_a_prompt_is_asked_once_and_a_second_run_asks_nothing(spark, dataset, tmp_path):
+    provider, calls = counting(tmp_path / "calls", StubProvider())
+    cands = dataset.select("fn_id", F.array(F.lit("x<asm_token>\nint g();"), F.lit("int h();")).alias("probed_sources"))
+    with_ref = pipeline.augref(dataset, provider, store=str(tmp_path / "s"), commits=3)
+    assert with_ref.count() == 10 and with_ref.count() == 10
+    keys = dataset.select(F.concat("project_name", F.substring("source_code", 1, 20))).distinct().count()
+    assert calls() == keys
+    out = pipeline.denoised(with_ref, cands, provider, str(tmp_path / "s"))
+    assert out.count() == 10 and all(len(r.filter_uncertain) == 2 for r in out.collect())
+    codes = dataset.select("strip_decompiled_code").distinct().count()
+    assert calls() == keys + 1 + codes  # all functions have the same fragments
+    pipeline.augref(dataset, provider, store=str(tmp_path / "s")).collect()
+    pipeline.denoised(with_ref, cands, provider, str(tmp_path / "s")).collect()
+    assert calls() == keys + 1 + codes
+
+
+def test_every_fragment_needs_a_label(spark, dataset, tmp_path):
+    provider, calls = counting(tmp_path / "calls", lambda p: '<think>{}</think>{"results": [{"index": 0, "is_junk": true}]}')
+    one, two = (dataset.select("fn_id", F.array(*map(F.lit, names)).alias("probed_sources")) for names in (["int g();"], ["int g();", "int h();"]))
+    assert pipeline.denoised(dataset, one, provider).count() == 10
+    before = calls()
+    with pytest.raises(Exception, match="fragments without label"):
+        pipeline.denoised(dataset, two, provider).collect()
+    assert calls() - before >= 5
+
+
+def test_judge_takes_expected_scores(spark):
+    class Scored:
+        def __call__(self, prompt):
+            return '{"A": {"accuracy": 1, "coverage": 1, "effectiveness": 1}}'
+
+        def with_logprobs(self, prompt):
+            alternatives = lambda *xs: [{"token": t, "logprob": p} for t, p in xs]
+            digits = [alternatives(("7", -0.5), ("9", -0.5)), alternatives(("10", -0.1)), alternatives(("3", 0.0), ("x", 0.0))]
+            return self(prompt), [{"token": "{", "top_logprobs": []}, *({"token": a[0]["token"], "top_logprobs": a} for a in digits)]
+
+    row = spark.createDataFrame([("f", "int f;", "does")], "fn_id string, source_code string, generated_summary_A string")
+    got = pipeline.judge_summaries(row, ["A"], Scored()).first()
+    assert (got.system, got.accuracy, got.coverage, got.effectiveness) == ("A", 0.7778, 1.0, 0.2222)
+
+
 def test_failures_are_rows(spark):
     def broken(prompt):
         raise OSError("down")
