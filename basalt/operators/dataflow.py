@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from basalt.functions import asm
@@ -131,6 +131,16 @@ def instruction_effects(instructions: DataFrame, fn: str) -> DataFrame:
     return _per_function(instructions, None, fn, lambda c: [(i, c.block_of[i], a, e.operator, e.defs, e.uses) for i, (a, e) in enumerate(zip(c.asm, c.effects, strict=True))], "instr bigint, block bigint, asm string, operator string, defs array<string>, uses array<string>")
 
 
+def numbered(instructions: DataFrame, fn: str, order: list[str], most: int = MOST_INSTRUCTIONS) -> DataFrame:
+    """Add `instr`, an instruction's number in its function from 0 by order (the block first), natively. A block is left out if the blocks before it have over `most` instructions."""
+    block = order[0]
+    sizes = instructions.groupBy(fn, block).agg(F.count(F.lit(1)).alias("n"))
+    before = F.coalesce(F.sum("n").over(Window.partitionBy(fn).orderBy(block).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    kept = sizes.select(fn, block, before.alias("before")).filter(F.col("before") <= most)
+    inside = F.row_number().over(Window.partitionBy(fn, block).orderBy(*order[1:])) - 1
+    return instructions.join(kept, [fn, block]).withColumn("instr", (F.col("before") + inside).cast("long")).drop("before")
+
+
 def operand_forms(df: DataFrame, key: str, operator: str, place: str, operand: str) -> DataFrame:
     """(key, form, register, kind): an operand in normal form, the register that an address in it uses, and what it is: a register, number, hex number, address off the stack, another address, or another name; `important` if its definition matters outside the function."""
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from basalt.functions import text as T
 from basalt.operators.splits import split_80_10_10
+from basalt.sources.sinks import write_table
 
 
 def neighbour_list(c: str, k: int = 5):
@@ -28,3 +29,8 @@ def signature_set(dataset: DataFrame) -> DataFrame:
 def probing_set(dataset: DataFrame) -> DataFrame:
     """Test functions to probe, with code and comment."""
     return split_80_10_10(dataset, ["fn_id"]).filter("split = 'test'").select("fn_id", "strip_decompiled_code", "comment", "codeart", neighbour_list("caller_code").alias("callers"), neighbour_list("callee_code").alias("callees"))
+
+
+def save(rows: DataFrame, path: str) -> None:
+    """A training set as a table, a folder for each split where it has splits."""
+    write_table(rows, path, "split")

@@ -6,7 +6,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from basalt.functions import text as T
@@ -60,6 +60,14 @@ def search(queries: DataFrame, keys: DataFrame, query_key: str, key: str, vector
     return ranked.select(F.col("q").alias(query_key), F.col("k").alias(key) if key != query_key else F.col("k").alias(f"found_{key}"), "score", "rank")
 
 
+def retrieve_from_files(spark: SparkSession, queries: str, keys: str, k: int = 5, threshold: float | None = None, pool_size: int | None = None) -> DataFrame:
+    """(query_id, key, score, rank) of saved (key, embedding) tables. pool_size: search only the first keys in order, as a caller may ask for."""
+    pool = spark.read.parquet(keys)
+    if pool_size is not None:
+        pool = pool.orderBy("key").limit(pool_size)
+    return search(spark.read.parquet(queries).withColumnRenamed("key", "query_id"), pool, "query_id", "key", "embedding", k, threshold)
+
+
 def rerank(candidates: DataFrame, query: str, index: str, query_vector: str, candidate_vector: str, n: int = 3) -> DataFrame:
     """Each query's own candidates by inner product: the n best, ties by candidate index. Native."""
     scored = candidates.withColumn("score", F.round(T.dot(query_vector, candidate_vector), 9))

@@ -11,29 +11,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from basalt.functions import asm
 from basalt.functions import text as T
-from basalt.operators import callgraph, curation, dataflow, denoise, graphs, judge, metrics, prompts, splits, vectors
-from basalt.sources.readers import c_functions
-from basalt.sources.sinks import latest_checkpoint
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE_SQL: dict[str, str] = {}
-
-
-def query(sql: str | None = None):
-    def register(f):
-        QUERIES[f.__name__] = f
-        if sql:
-            ORACLE_SQL[f.__name__] = sql
-        return f
-
-    return register
-
-
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
+from basalt.operators import callgraph, curation, denoise, graphs, judge, metrics, prompts, splits, vectors
+from basalt.plans.registry import query, table
 
 _TOKENS = r"len(regexp_extract_all(coalesce({}, ''), '[\p{{L}}\p{{N}}\p{{M}}\p{{Pc}}]+|[^\s\p{{L}}\p{{N}}\p{{M}}\p{{Pc}}]'))"
 _WORDS = r"len(regexp_extract_all(coalesce({}, ''), '\S+'))"
@@ -110,11 +90,16 @@ def call_counts(spark, d):
 @query("""WITH c AS (SELECT user_id, event_type, count(*) AS n FROM events GROUP BY ALL)
 SELECT event_type AS callee, count(*) AS n_callers, sum(n)::BIGINT AS n_calls, arg_max(user_id, (n, -user_id)) AS top_caller FROM c GROUP BY 1""")
 def callers_map(spark, d):
-    """SC10, AG2, SF17: the inverse graph as maps, summarised."""
+    """SC10, AG2: the inverse graph, summarised."""
     counts = callgraph.call_counts(table(spark, d, "events").select(F.col("user_id").alias("caller"), F.col("event_type").alias("callee")))
-    maps = callgraph.callers_of(counts)
-    top = F.array_max(F.transform(F.map_entries("callers"), lambda e: F.struct(e["value"], -e["key"])))
-    return maps.select("callee", F.size("callers").cast("long").alias("n_callers"), F.aggregate(F.map_values("callers"), F.lit(0).cast("long"), lambda a, x: a + x).alias("n_calls"), (-top["col2"]).alias("top_caller"))
+    return callgraph.callers_of(counts).groupBy("callee").agg(F.count(F.lit(1)).alias("n_callers"), F.sum("n").alias("n_calls"), F.max_by("caller", F.struct("n", -F.col("caller"))).alias("top_caller"))
+
+
+@query("""SELECT event_type AS caller, user_id AS callee, count(*) AS n, count(*) OVER (PARTITION BY user_id) AS n_callers FROM events GROUP BY ALL""")
+def caller_maps(spark, d):
+    """SC10, SF17: callers of each function as a map, unfolded again."""
+    counts = callgraph.call_counts(table(spark, d, "events").select(F.col("event_type").alias("caller"), F.col("user_id").alias("callee")))
+    return callgraph.caller_maps(counts).select("callee", "n_callers", F.explode("callers").alias("caller", "n"))
 
 
 @query("""SELECT o.o_orderkey, count(DISTINCT p.p_partkey) AS n_parts, sum(DISTINCT p.p_partkey)::BIGINT AS part_sum FROM orders o LEFT JOIN lineitem l ON l.l_orderkey = o.o_orderkey LEFT JOIN part p ON p.p_partkey = l.l_partkey AND p.p_size > 25 GROUP BY 1""")
@@ -140,19 +125,27 @@ _EDGES = f"""w AS (SELECT o_custkey AS fn, {_STATE} AS s, lead({_STATE}) OVER o
 edges AS (SELECT DISTINCT fn, s::BIGINT AS src, nxt::BIGINT AS dst FROM w WHERE nxt IS NOT NULL UNION SELECT fn, 0, s FROM w WHERE r = 1 UNION SELECT fn, s, 99 FROM w WHERE nxt IS NULL)"""
 
 
-def _walks(spark: SparkSession, d: str) -> DataFrame:
-    """Each customer's orders as a walk over states from 0 (entry) to 99 (exit), as (fn, src, dst)."""
+def _states(spark: SparkSession, d: str) -> DataFrame:
+    """Each customer's orders as states in turn, from 0 (entry) to 99 (exit)."""
     orders = table(spark, d, "orders").select(F.col("o_custkey").alias("fn"), "o_orderdate", "o_orderkey", F.expr(_STATE).cast("long").alias("s"))
-    order = Window.partitionBy("fn").orderBy("o_orderdate", "o_orderkey")
-    steps = orders.select("fn", F.col("s").alias("src"), F.coalesce(F.lead("s").over(order), F.lit(99)).alias("dst"), F.row_number().over(order).alias("r"))
-    first = steps.filter("r = 1").select("fn", F.lit(0).cast("long").alias("src"), F.col("src").alias("dst"))
-    return steps.select("fn", "src", F.col("dst").cast("long")).unionByName(first).distinct()
+    ends = orders.select("fn").distinct()
+    at = lambda when, key, state: ends.select("fn", F.to_timestamp(F.lit(when)).alias("o_orderdate"), F.lit(key).cast("long").alias("o_orderkey"), F.lit(state).cast("long").alias("s"))
+    return orders.unionByName(at("0001-01-01", -1, 0)).unionByName(at("9999-01-01", -1, 99))
+
+
+def _walks(spark: SparkSession, d: str) -> DataFrame:
+    """Each customer's orders as a graph of states that follow each other: (fn, src, dst)."""
+    return graphs.consecutive_edges(_states(spark, d), "fn", F.col("s"), ["o_orderdate", "o_orderkey"])
 
 
-@query(f"WITH {_EDGES} SELECT * FROM edges")
+@query(f"WITH {_EDGES} SELECT * FROM edges UNION SELECT fn, 99, NULL FROM edges")
 def cfg_edges(spark, d):
-    """GR1."""
-    return _walks(spark, d)
+    """GR1: block maps to edges; a block without successor names only itself."""
+    steps = _walks(spark, d)
+    blocks = steps.groupBy("fn", "src").agg(F.collect_set("dst").alias("successors"))
+    ends = steps.select("fn").distinct().select("fn", F.lit(99).cast("long").alias("src"), F.array().cast("array<bigint>").alias("successors"))
+    cfg = blocks.unionByName(ends).groupBy("fn").agg(F.map_from_entries(F.collect_list(F.struct("src", F.struct("successors")))).alias("cfg"))
+    return graphs.edges_of(cfg, "fn")
 
 
 @query(f"""WITH {_EDGES}, n AS (SELECT fn, src AS node FROM edges UNION SELECT fn, dst FROM edges)
@@ -193,78 +186,26 @@ def control_deps(spark, d):
     return graphs.control_dependences(_walks(spark, d), "fn")
 
 
-#: A function for the asm queries: block, position, disassembly.
-ASM_ROWS = [(1, 0, "push rbx"), (1, 1, "mov eax, [rbp+var_4]"), (1, 2, "test eax, eax"), (1, 3, "jz loc_3"), (2, 0, "mov [rcx+8], eax"), (2, 1, "add eax, 5"), (3, 0, "call foo"), (3, 1, "pop rbx"), (3, 2, "retn")]
-ASM_EDGES = [(1, 2), (1, 3), (2, 3)]
-
-
-def _asm(spark: SparkSession) -> tuple[DataFrame, DataFrame]:
-    rows = spark.createDataFrame([("f", *r) for r in ASM_ROWS], "fn string, block long, pos long, asm string")
-    return rows, spark.createDataFrame([("f", *e) for e in ASM_EDGES], "fn string, src long, dst long")
-
-
-@query()
-def instruction_effects(spark, d):
-    """SF8-SF13, GR9, FL16, WN8, WN9, FL15."""
-    return dataflow.instruction_effects(_asm(spark)[0], "fn")
-
-
-def _facts() -> str:
-    """The fixture's definitions and uses as VALUES, for SQL that finds dependences by its own way."""
-    rows = [(i, b, asm.effects(a)) for i, (b, _, a) in enumerate(ASM_ROWS)]
-    defs = ", ".join(f"({i}, {b}, '{v}')" for i, b, e in rows for v in sorted(set(e.defs)))
-    uses = ", ".join(f"({i}, {b}, '{v}')" for i, b, e in rows for v in sorted(set(e.uses)))
-    edges = ", ".join(str(e) for e in ASM_EDGES)
-    return f"""defs(i, b, v) AS (VALUES {defs}), uses(i, b, v) AS (VALUES {uses}), edges(s, t) AS (VALUES {edges}),
-    alive AS (SELECT d.* FROM defs d WHERE v <> 'CONST' AND (v = 'GLOBAL' OR NOT EXISTS (SELECT 1 FROM defs k WHERE k.b = d.b AND k.v = d.v AND k.i > d.i))),
-    into_block AS (SELECT t AS b, v, i FROM alive JOIN edges ON s = b UNION SELECT t, r.v, r.i FROM into_block r JOIN edges ON s = r.b WHERE r.v = 'GLOBAL' OR NOT EXISTS (SELECT 1 FROM defs k WHERE k.b = r.b AND k.v = r.v))"""
-
-
-@query(f"WITH RECURSIVE {_facts()} SELECT b::BIGINT AS block, v AS var, i::BIGINT AS def_instr FROM into_block")
-def reaching_definitions(spark, d):
-    """GR10."""
-    return dataflow.reaching_definitions(*_asm(spark), "fn").select("block", "var", "def_instr")
-
-
-@query(f"""WITH RECURSIVE {_facts()}, near AS (SELECT u.i, u.v, u.b, max(d.i) AS d FROM uses u LEFT JOIN defs d ON d.b = u.b AND d.v = u.v AND d.i < u.i GROUP BY ALL)
-SELECT DISTINCT i::BIGINT AS use_instr, d::BIGINT AS def_instr FROM (SELECT i, d FROM near WHERE d IS NOT NULL UNION SELECT n.i, r.i FROM near n JOIN into_block r ON r.b = n.b AND r.v = n.v WHERE n.d IS NULL)""")
-def data_deps(spark, d):
-    """GR14, JN14, ST7, WN11."""
-    return dataflow.data_dependences(*_asm(spark), "fn").select("use_instr", "def_instr")
-
-
-@query()
-def code_slices(spark, d):
-    """GR16, AG16."""
-    return dataflow.importance(*_asm(spark), "fn")
-
-
-@query()
-def dependence_tables(spark, d):
-    """GR15, GR17, FL14: index form and distances of a dependence graph."""
-    deps = dataflow.data_dependences(*_asm(spark), "fn")
-    return dataflow.dependence_graph(deps, "fn").join(dataflow.dependence_distances(deps, "fn", len(ASM_ROWS)), "fn")
-
-
 def _blocks(spark: SparkSession, d: str) -> DataFrame:
     """A document's lines, dealt in turn to three paths, as blocks: a block for each sentence."""
     lines = table(spark, d, "documents").select(F.col("doc_id").alias("fn"), F.posexplode(F.split(T.text("text"), "\n")).alias("line", "s"))
     blocks = lines.select("fn", "line", F.posexplode(F.split("s", r"\. ")).alias("i", "content"))
-    return blocks.select("fn", (F.col("line") % 3).alias("path"), (F.col("line") * 100000 + F.col("i")).alias("pos"), "content")
+    # Line and sentence in one number, 32 bits each: neither overflows.
+    return blocks.select("fn", (F.col("line") % 3).alias("path"), (F.shiftleft(F.col("line").cast("long"), 32) + F.col("i")).alias("pos"), "content")
 
 
 @query("""WITH l AS (SELECT doc_id AS fn, unnest(string_split(coalesce(text, ''), chr(10))) AS line, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) - 1 AS k FROM documents),
-b AS (SELECT fn, k % 3 AS path, unnest(string_split(line, '. ')) AS content, k * 100000 + generate_subscripts(string_split(line, '. '), 1) - 1 AS pos FROM l),
+b AS (SELECT fn, k % 3 AS path, unnest(string_split(line, '. ')) AS content, k * 4294967296 + generate_subscripts(string_split(line, '. '), 1) - 1 AS pos FROM l),
 h AS (SELECT *, substr(md5(regexp_replace(regexp_replace(content, '^\\s+', ''), '\\s+$', '')), 1, 8) AS x FROM b),
 f AS (SELECT *, first_value(path) OVER w AS p, first_value(pos) OVER w AS i FROM h WINDOW w AS (PARTITION BY fn, x ORDER BY path, pos))
-SELECT fn, path::INT AS path, pos::INT AS pos, CASE WHEN p = path AND i = pos THEN content ELSE 'Same as REF_' || p || '_' || i END AS shown FROM f""")
+SELECT fn, path::INT AS path, pos::BIGINT AS pos, CASE WHEN p = path AND i = pos THEN content ELSE 'Same as REF_' || p || '_' || i END AS shown FROM f""")
 def prompt_refs(spark, d):
     """GR21, SF6, SF7, PJ5."""
     return prompts.compressed(_blocks(spark, d), "fn").select("fn", "path", "pos", "shown")
 
 
 @query("""WITH l AS (SELECT doc_id AS fn, unnest(string_split(coalesce(text, ''), chr(10))) AS line, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) - 1 AS k FROM documents),
-b AS (SELECT fn, k % 3 AS path, unnest(string_split(line, '. ')) AS content, k * 100000 + generate_subscripts(string_split(line, '. '), 1) - 1 AS pos FROM l),
+b AS (SELECT fn, k % 3 AS path, unnest(string_split(line, '. ')) AS content, k * 4294967296 + generate_subscripts(string_split(line, '. '), 1) - 1 AS pos FROM l),
 h AS (SELECT fn, path, pos, substr(md5(regexp_replace(regexp_replace(content, '^\\s+', ''), '\\s+$', '')), 1, 8) AS x, length(content) AS n FROM b),
 k AS (SELECT fn, max(path) AS m FROM h GROUP BY 1),
 o AS (SELECT fn, [0] AS o FROM k WHERE m = 0 UNION ALL SELECT fn, unnest([[0,1],[1,0]]) FROM k WHERE m = 1 UNION ALL SELECT fn, unnest([[0,1,2],[0,2,1],[1,0,2],[1,2,0],[2,0,1],[2,1,0]]) FROM k WHERE m = 2),
@@ -317,27 +258,12 @@ def bleu_corpus(spark, d):
     return out.select(*(F.round(f"bleu_{n}", 6).alias(f"bleu_{n}") for n in range(1, 5)))
 
 
-@query()
-def rouge_l(spark, d):
-    """TX4, TX5, AG4. Nested folds in SQL are slow on whole texts; tests hold it against a plain table."""
-    return metrics.rouge_l(_pairs(spark, d), "sample", "hypothesis", "reference")
-
-
 @query()
 def meteor_approx(spark, d):
     """TX6, PJ15: exact and stem matches only."""
     return metrics.meteor(_pairs(spark, d), "sample", "hypothesis", "reference")
 
 
-@query()
-def metric_table(spark, d):
-    """TX7, AG5, AG6, JN7's long form: all metrics' averages with their rollup."""
-    pairs = _pairs(spark, d)
-    scored, _ = metrics.score_all(pairs, "sample", "hypothesis", "reference")
-    long = scored.unpivot("sample", [c for c in scored.columns if c != "sample"], "metric", "score").withColumn("system", F.lit("assistant"))
-    return metrics.metric_averages(long)
-
-
 _DOT = "round(list_dot_product(q.embedding::DOUBLE[], k.embedding::DOUBLE[]), 9)"
 _NORM = "WITH u AS (SELECT vec_id, list_transform(embedding::DOUBLE[], lambda x: x / sqrt(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[]))) AS embedding FROM embeddings)"
 _KNN = f"""{_NORM}, s AS (SELECT q.vec_id AS query_id, k.vec_id AS vec_id, {_DOT} AS score FROM u q, u k WHERE q.vec_id % 20 = 0),
@@ -419,15 +345,6 @@ def judge_scores(spark, d):
     return judge.averages(rows).select("system", *(F.round(c, 6).alias(c) for c in judge.CRITERIA))
 
 
-@query("SELECT k AS id, round(CASE k WHEN 1 THEN (7 * 0.5 + 8 * 0.25 + 9 * 0.25) WHEN 2 THEN 10.0 END, 6)::DOUBLE AS expected FROM (VALUES (1), (2), (3)) t(k)")
-def logprob_score(spark, d):
-    """SF15, LM8: the expectation over digit alternatives; null where none is a digit."""
-    alternatives = [(1, [("7", 0.4), ("8", 0.2), ("9", 0.2), ("x", 0.2)]), (2, [("10", 0.3)]), (3, [("no", 0.3)])]
-    rows = spark.createDataFrame(alternatives, "id int, top array<struct<token:string,logprob:double>>")
-    rows = rows.withColumn("top", F.transform("top", lambda x: F.struct(x["token"].alias("token"), F.log(x["logprob"]).alias("logprob"))))
-    return rows.select("id", F.round(T.expected_score("top"), 6).alias("expected"))
-
-
 @query("SELECT toxic::BIGINT AS system, count(*) FILTER (WHERE quality = 1) / count(*) AS accurate_share, count(*) FILTER (WHERE quality = 1) AS gold, count(*) FILTER (WHERE quality = 0) AS fatal FROM labels GROUP BY 1")
 def claim_accuracy(spark, d):
     """LM9."""
@@ -449,12 +366,6 @@ def json_salvage(spark, d):
     return table(spark, d, "events").select("event_id", F.try_variant_get(T.salvage_json(wrapped), "$.k", "long").alias("k"))
 
 
-@query("SELECT 'checkpoint-1200' AS checkpoint")
-def checkpoint_pick(spark, d):
-    """WN14."""
-    return latest_checkpoint(spark, spark.createDataFrame([("checkpoint-900",), ("checkpoint-1200",), ("checkpoint-x",), ("runs",)], "name string"))
-
-
 @query("SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)")
 def resume_missing(spark, d):
     """SK3, SK5, JN9."""
@@ -476,27 +387,3 @@ def missing_labels(spark, d):
     got = table(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.collect_list(F.struct((F.col("l_linenumber") - 1).alias("index"))).alias("results"))
     rows = table(spark, d, "orders").select("o_orderkey").join(got, "o_orderkey", "left").withColumn("results", F.coalesce("results", F.array().cast("array<struct<index:int>>")))
     return rows.select("o_orderkey", F.size(denoise.complete_labels("results", (F.col("o_orderkey") % 7).cast("int"))).cast("long").alias("n_missing"))
-
-
-#: Two C files for the extraction query.
-C_FILES = [("proj/a.c", "/* Adds two numbers. More. */\nstatic int add(int a, int b)\n{\n  return a + b;\n}\n\n// Loops\n// forever @x\nvoid spin(void) { while (1) { } }\nint open_(int a) { if (a) {\n"), ("other/b.c", "int f(void) { return 1; }")]
-
-
-@query("SELECT * FROM (VALUES ('proj', 'add', 'Adds two numbers'), ('proj', 'spin', 'Loops forever'), ('other', 'f', NULL)) t(project_name, function_name, comment)")
-def c_extraction(spark, d):
-    """SC2-SC5: functions, balanced bodies, first sentences of comments; an unclosed body is no function."""
-    files = spark.createDataFrame(C_FILES, "file_path string, text string").select(T.first_path_part("file_path").alias("project_name"), "file_path", "text")
-    return c_functions(files).select("project_name", "function_name", "comment")
-
-
-@query("SELECT * FROM (VALUES ('a', 'a'), ('t1', 'a'), ('t2', 'a'), ('c1', 'c2'), ('c2', 'c1')) t(fn, \"real\")")
-def thunk_resolution(spark, d):
-    """SC11: five steps at most, also in a cycle."""
-    return callgraph.resolve_thunks(spark.createDataFrame([("a", None), ("t1", "a"), ("t2", "t1"), ("c1", "c2"), ("c2", "c1")], "fn string, thunk_of string"))
-
-
-@query("SELECT * FROM (VALUES (1, true), (2, true), (3, false), (4, true), (5, true)) t(id, noise)")
-def noise_functions(spark, d):
-    """SC7, SC13: thunks, empty bodies and forwarders."""
-    rows = [(1, "// attributes: thunk\nint f() { return g(); }"), (2, "int f(int a)\n{\n  return g(a); // x\n}"), (3, "int f()\n{\n  a = 1;\n  return a;\n}"), (4, "void f() { ; }"), (5, "void f() { return; }")]
-    return spark.createDataFrame(rows, "id int, code string").select("id", T.is_noise("code").alias("noise"))

@@ -13,9 +13,9 @@ from basalt.functions.text import first_path_part
 from basalt.sources import schemas
 
 
-def c_files(spark: SparkSession, root: str) -> DataFrame:
-    """(project_name, file_path, text) of all *.c files below root; the project is the first folder of the path below it."""
-    files = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.c").option("wholetext", True).text(root)
+def c_files(spark: SparkSession, root: str, pattern: str = "*.c") -> DataFrame:
+    """(project_name, file_path, text) of all files below root whose names fit; the project is the first folder of the path below it."""
+    files = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", pattern).text(root, wholetext=True)
     tail = F.substring_index(F.col("_metadata.file_path"), root.rstrip("/").split("://")[-1] + "/", -1)
     return files.select(first_path_part(tail).alias("project_name"), tail.alias("file_path"), F.col("value").alias("text"))
 
@@ -31,9 +31,9 @@ def c_functions(files: DataFrame, with_comment: bool = True) -> DataFrame:
     return files.select("project_name", "file_path", "text").mapInPandas(run, schemas.SOURCE_FUNCTION)
 
 
-def disassembly(spark: SparkSession, path: str) -> DataFrame:
+def disassembly(spark: SparkSession, path: str, pattern: str = "*.json") -> DataFrame:
     """Functions of disassembler exports, one JSON object keyed by address per file: project_name, binary_name and the function's fields, addresses as numbers."""
-    files = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.json").option("wholetext", True).text(path)
+    files = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", pattern).text(path, wholetext=True)
     parsed = files.select(F.col("_metadata.file_path").alias("file_path"), F.explode(F.from_json("value", f"map<string, {schemas.DISASSEMBLED}>")).alias("ea", "f"))
     parts = F.split("file_path", "/")
     return parsed.select(

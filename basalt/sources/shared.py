@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -23,3 +24,8 @@ def checkpoint_folder(spark: SparkSession) -> str:
 def checkpointed(df: DataFrame) -> DataFrame:
     checkpoint_folder(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def scratch_folder(spark: SparkSession) -> str:
+    """A new folder of its own below the shared one."""
+    return f"{checkpoint_folder(spark)}/basalt-{uuid.uuid4().hex}"
