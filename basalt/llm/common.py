@@ -42,20 +42,33 @@ def shared_dir(spark: SparkSession) -> str:
     return configured.rstrip("/")
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Cut the lineage with a reliable checkpoint in the shared folder."""
+#: Rows of an intermediate table that one file holds where the number of rows is known.
+FILE_ROWS = 250_000
+
+
+def _files(df: DataFrame, rows: int | None) -> DataFrame:
+    return df if rows is None else df.coalesce(max(1, -(-rows // FILE_ROWS)))
+
+
+def cut(df: DataFrame, rows: int | None = None) -> DataFrame:
+    """Cut the lineage with a reliable checkpoint in the shared folder. rows: about how many there are, so that few rows aren't spread over many files."""
     shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    return _files(df, rows).checkpoint(eager=True)
 
 
-def scratch_table(df: DataFrame, name: str, partition_by: list[str] | None = None) -> DataFrame:
-    """Write a columnar intermediate once into the shared folder and read it back, so that it survives lost executors and isn't computed twice."""
+def scratch_table(df: DataFrame, name: str, partition_by: list[str] | None = None, rows: int | None = None) -> DataFrame:
+    """Write a columnar intermediate once into the shared folder and read it back, so that it survives lost executors and isn't computed twice. rows as for `cut`."""
     path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    writer = df.write.mode("error")
+    writer = _files(df, rows).write.mode("error")
     (writer.partitionBy(*partition_by) if partition_by else writer).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def own_key(c: str | Column) -> Column:
+    """A column as a join key of its own. Rows that are already dealt by the column are dealt anew by this key, so that Spark may split a partition in which one key has very many rows."""
+    return F.hex(c)
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 

@@ -244,10 +244,11 @@ def train(df: DataFrame, text_col: str = "text", lang_col: str = "lang") -> Mode
         return None
     each = range(len(langs))
     wide = counted.groupBy("gram").agg(*(F.sum(F.when(F.col("lang") == lang, F.col("n")).otherwise(0)).alias(f"c{j}") for j, lang in enumerate(langs)))
-    levels = [scratch_table(wide, "langid-5")]
+    most = counted.count()  # of all levels
+    levels = [scratch_table(wide, "langid-5", rows=most)]
     for n in range(ORDER - 1, 0, -1):
         # Of the lower orders the number of distinct characters before.
-        levels.append(scratch_table(levels[-1].groupBy(F.expr("substr(gram, 2)").alias("gram")).agg(*(F.count_if(F.col(f"c{j}") > 0).alias(f"c{j}") for j in each)), f"langid-{n}"))
+        levels.append(scratch_table(levels[-1].groupBy(F.expr("substr(gram, 2)").alias("gram")).agg(*(F.count_if(F.col(f"c{j}") > 0).alias(f"c{j}") for j in each)), f"langid-{n}", rows=most))
     levels.reverse()
     letters = levels[0].count() + 1
     own_letters = levels[0].agg(*(F.count_if(F.col(f"c{j}") > 0) for j in each)).first()
@@ -258,7 +259,7 @@ def train(df: DataFrame, text_col: str = "text", lang_col: str = "lang") -> Mode
         own = level.withColumn("context", F.expr(f"substr(gram, 1, {n - 1})"))
         sums = own.groupBy("context").agg(*(F.sum(f"c{j}").alias(f"t{j}") for j in each), *(F.count_if(F.col(f"c{j}") > 0).alias(f"y{j}") for j in each))
         # A language that hasn't seen the context leaves all to the order below.
-        weights = scratch_table(sums.select("context", *(f"t{j}" for j in each), *(F.when(F.col(f"t{j}") > 0, discounts[j] * F.col(f"y{j}") / F.col(f"t{j}")).otherwise(1.0).alias(f"b{j}") for j in each)), f"langid-contexts-{n}")
+        weights = scratch_table(sums.select("context", *(f"t{j}" for j in each), *(F.when(F.col(f"t{j}") > 0, discounts[j] * F.col(f"y{j}") / F.col(f"t{j}")).otherwise(1.0).alias(f"b{j}") for j in each)), f"langid-contexts-{n}", rows=most)
         joined = own.join(weights, "context")
         if n > 1:
             joined = joined.withColumn("suffix", F.expr("substr(gram, 2)")).join(below.select(F.col("gram").alias("suffix"), *(F.col(f"p{j}").alias(f"q{j}") for j in each)), "suffix")
@@ -267,7 +268,7 @@ def train(df: DataFrame, text_col: str = "text", lang_col: str = "lang") -> Mode
             joined = joined.select("*", *(F.lit(1 / letters).alias(f"q{j}") for j in each))
             unseen = np.log(np.array([weights.first()[f"b{j}"] for j in each]) / letters).astype(np.float32)
         share = [F.when(F.col(f"t{j}") > 0, F.greatest(F.col(f"c{j}") - F.lit(discounts[j]), F.lit(0.0)) / F.col(f"t{j}")).otherwise(0.0) for j in each]
-        below = scratch_table(joined.select("gram", *(f"c{j}" for j in each), *((share[j] + F.col(f"b{j}") * F.col(f"q{j}")).alias(f"p{j}") for j in each)), f"langid-probabilities-{n}")
+        below = scratch_table(joined.select("gram", *(f"c{j}" for j in each), *((share[j] + F.col(f"b{j}") * F.col(f"q{j}")).alias(f"p{j}") for j in each)), f"langid-probabilities-{n}", rows=most)
         grams.append(_hashed(below.select("gram", *(F.log(f"p{j}").cast("float").alias(f"v{j}") for j in each)), n, len(langs)))
     # Entropy and spread of each language over all its letters.
     moments = below.agg(*(F.sum(F.col(f"c{j}") * F.log(f"p{j}") ** k) / F.sum(f"c{j}") for j in each for k in (1, 2))).first()

@@ -14,7 +14,7 @@ levels, over 4096 hash buckets of each source and inside (source, bucket), so th
 source with a third of all rows is spread over 4096 groups.
 
 Everything is DataFrame code inside the JVM. The list of sources has one row for
-each source, ranked in one window; nothing is collected.
+each source, ranked in one window (one task for all sources: some tens of millions at most); nothing is collected.
 """
 
 from __future__ import annotations
@@ -24,7 +24,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from basalt.llm.common import SPACE, WORD, text_or_empty
+from basalt.llm.common import SPACE, WORD, scratch_table, text_or_empty
 
 _P = "__mx_"
 
@@ -81,8 +81,12 @@ def plan_mix(
     docs = df.select(
         F.col(id_col).alias(f"{_P}id"), key.alias("key"), mark.alias(f"{_P}mark"), word_count(text_col).alias("size"), *(F.col(c).alias(f"{_P}c_{c}") for c in carry)
     ).withColumn("bucket", F.substring(f"{_P}mark", 1, 3))
+    # Words are counted once: what follows reads the narrow rows. Carried columns come from one more pass over the input.
+    narrow = scratch_table(docs.drop(*(f"{_P}c_{c}" for c in carry)), "mixing")
+    if not carry:
+        docs = narrow
 
-    buckets = docs.groupBy("key", "bucket").agg(F.sum("size").alias("words"))
+    buckets = narrow.groupBy("key", "bucket").agg(F.sum("size").alias("words"))
     sources = source_targets(buckets.groupBy("key").agg(F.sum("words").alias("source_size")), weights, slopes, share, max_epochs)
     before = F.sum("words").over(Window.partitionBy("key").orderBy("bucket")) - F.col("words")
     buckets = buckets.select("key", "bucket", before.alias("before")).join(sources, "key")

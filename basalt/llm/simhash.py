@@ -40,7 +40,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from basalt.llm.common import cut, process_memo, scratch_table
+from basalt.llm.common import cut, own_key, process_memo, scratch_table
 
 SHINGLE, SEED, BITS, MAX_DISTANCE = 3, 42, 64, 2
 #: Wide fingerprints: their bits, the number of codes and the chosen bits of a code beyond the Golay block for up to 2**20 fingerprints, and how many codes an anchor may join.
@@ -176,17 +176,17 @@ def components(edges: DataFrame) -> DataFrame:
     smallest, in a small-star round its smaller ones and itself. A round is an
     aggregate, added up before the shuffle, and a join on the node. They end when no edge changes.
     """
-    now = cut(edges.select(F.greatest("a", "b").alias("v"), F.least("a", "b").alias("u")).filter("v <> u").distinct())
+    now = cut(edges.select(F.greatest("a", "b").alias("v"), F.least("a", "b").alias("u")).filter("v <> u").distinct())  # v links to the smaller u
     state = lambda e: tuple(e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("v", "u").cast("decimal(38,0)"))).first())
     before = state(now)
     while before[0]:
         both = now.select(F.col("v").alias("n"), F.col("u").alias("m")).unionByName(now.select(F.col("u").alias("n"), F.col("v").alias("m")))
-        smallest = both.groupBy("n").agg(F.least(F.min("m"), F.col("n")).alias("low"))
-        large = both.filter("m > n").join(smallest, "n").select(F.col("m").alias("v"), F.col("low").alias("u")).filter("v <> u").distinct()
+        smallest = both.groupBy("n").agg(F.min("m").alias("m")).select(own_key("n").alias("key"), F.least("m", "n").alias("low"))
+        large = both.filter("m > n").select(own_key("n").alias("key"), "m").join(smallest, "key").select(F.col("m").alias("v"), F.col("low").alias("u")).filter("v <> u").distinct()
         lowest = large.groupBy("v").agg(F.min("u").alias("low"))
         near = large.join(lowest, "v")
         small = near.select(F.col("u").alias("v"), F.col("low").alias("u")).unionByName(lowest.select("v", F.col("low").alias("u"))).filter("v <> u").distinct()
-        now = cut(small)
+        now = cut(small, before[0])
         after = state(now)
         if after == before:
             break
@@ -213,8 +213,8 @@ def _component_minimum(rows: DataFrame, least: Column, link: Callable[[DataFrame
     fps = scratch_table(rows.groupBy("fp").agg(least.alias("first")), "simhash-fps")
     roots = components(link(fps.select("fp")))
     placed = fps.join(roots, fps.fp == roots.node, "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
-    lowest = placed.groupBy("root").agg(F.min("first").alias("least"))
-    return placed.select("fp", "root").join(lowest, "root").select("fp", "least")
+    lowest = placed.groupBy("root").agg(F.min("first").alias("least")).select(own_key("root").alias("key"), "least")
+    return placed.select("fp", own_key("root").alias("key")).join(lowest, "key").select("fp", "least")
 
 
 def wide_fingerprint(text: str | None, shingle: int = 5) -> bytes:

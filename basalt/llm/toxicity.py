@@ -6,7 +6,8 @@ of two classes; both are trained jointly in numpy. Misspellings that training ha
 vectors, with words that it has.
 
 Training rows are a bounded sample: the `max_per_class` labelled documents of each class that
-come first by a hash of their id. The executors hash their texts to features; the driver gets these.
+come first by a hash of their id. The executors hash their texts to features; the driver gets these, which for a text of any length
+are 2**18 buckets with counts at most.
 
 As averaging and the softmax are linear in the embeddings, a trained model is one number for each
 bucket. A word's sum over its features is remembered, in a table of bounded size, so scoring a text adds up its words.
@@ -24,7 +25,7 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from basalt.llm.common import process_memo
@@ -113,13 +114,28 @@ def bags(df: DataFrame, text_col: str, label_col: str) -> DataFrame:
     return df.select(F.col(label_col).alias("label"), text_col).mapInArrow(run, "label int, buckets array<int>, counts array<int>")
 
 
+def first_by_hash(df: DataFrame, hashed: str, id_col: str, n: int, most: int) -> DataFrame:
+    """The `most` first of n rows by hash. Only rows below a threshold that lets somewhat more through are sorted, so that neither a task nor the merge of all tasks' rows grows with the input."""
+    share = min(1.0, (1.5 * most + 100) / max(1, n))
+    while True:
+        low = df if share >= 1 else df.filter(F.col(hashed) < int(2**64 * share) - 2**63)
+        if share >= 1 or low.count() >= most:
+            return low.orderBy(hashed, id_col).limit(most)
+        share *= 2
+
+
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", max_per_class: int = 1500) -> Model:
     """Fit on the documents that labels name. A label is 1 or 0; null labels and ids are left out; of several labels of an id the largest counts. Without labels every score is that of the prior."""
     marked = labels.filter(F.col(id_col).isNotNull() & F.col(label_col).isin(0, 1)).groupBy(id_col).agg(F.max(label_col).cast("int").alias("toxicity_label"))
-    prior = marked.agg(F.avg("toxicity_label")).first()[0] or 0.0
-    turn = F.row_number().over(Window.partitionBy("toxicity_label").orderBy(F.xxhash64(id_col), id_col))
+    marked = marked.withColumn("toxicity_hash", F.xxhash64(id_col))
+    sizes = {r[0]: r[1] for r in marked.groupBy("toxicity_label").agg(F.count(F.lit(1))).collect()}
+    prior = sizes.get(1, 0) / max(1, sum(sizes.values()))
     # 2 * max_per_class rows at most.
-    sample = marked.withColumn("toxicity_turn", turn).filter(F.col("toxicity_turn") <= max_per_class).drop("toxicity_turn")
+    sample = None
+    for label, n in sizes.items():
+        one = first_by_hash(marked.filter(F.col("toxicity_label") == label), "toxicity_hash", id_col, n, max_per_class).drop("toxicity_hash")
+        sample = one if sample is None else sample.unionByName(one)
+    sample = marked.drop("toxicity_hash") if sample is None else sample
     rows = docs.select(id_col, text_col).join(F.broadcast(sample), id_col)
     found = bags(rows, text_col, "toxicity_label").toArrow()
     labels_of = found["label"].to_numpy()

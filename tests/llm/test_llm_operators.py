@@ -40,7 +40,7 @@ def rows(odd):
 
 def test_exact_dedup(spark, rows):
     df = frame(spark, rows).persist()
-    got = exact_dedup.exact_dedup(df, prefix_chars=4, sketch_bits=8).select("doc_id", "keep_id", "group_size", "kept").collect()
+    got = exact_dedup.exact_dedup(df, prefix_chars=4, bits=8).select("doc_id", "keep_id", "group_size", "kept").collect()
     groups = {}
     for i, t, *_ in rows:
         groups.setdefault(lower(t), []).append(i)
@@ -50,9 +50,27 @@ def test_exact_dedup(spark, rows):
     assert exact_dedup.exact_dedup(df.limit(0)).count() == 0
 
 
+def test_distinct_texts(spark, rows, tmp_path):
+    df = frame(spark, rows).withColumn("__xd_keep_id", F.lit(1))
+    df.write.parquet(str(tmp_path / "t"))
+    df = spark.read.parquet(str(tmp_path / "t"))
+    last = {}
+    for i, t, *_ in rows:
+        last[lower(t)] = max(last.get(lower(t), -1), -1 if i is None else i)
+    want = sorted(str(None if i < 0 else i) for i in last.values())
+    for most in (0, 100):
+        stays = exact_dedup.distinct_texts(df, broadcast_rows=most)
+        assert stays.columns == df.columns and sorted(str(r.doc_id) for r in stays.collect()) == want
+    assert exact_dedup.distinct_texts(df.limit(0)).count() == 0
+
+
+def test_sketches_stay_small():
+    assert [exact_dedup.sketch_bits(n) for n in (0, 1000, 10**6, 10**7, 10**12)] == [16, 16, 24, 27, 27]
+
+
 def test_exact_dedup_slots_may_collide(spark):
     df = frame(spark, [(i, f"text {i % 40}", None, None) for i in range(100)])
-    got = exact_dedup.exact_dedup(df, sketch_bits=6)
+    got = exact_dedup.exact_dedup(df, bits=6)
     assert got.filter("kept").count() == 40 and got.agg(F.min("group_size"), F.max("group_size")).first()[:] == (2, 3)
 
 
