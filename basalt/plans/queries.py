@@ -58,9 +58,16 @@ def match_builds(spark, d):
     return curation.match_stripped(one, two).select(F.col("function_addr").alias("doc_id"), F.col("strip_function_name").cast("int").alias("toxic"), F.col("function_name").cast("int").alias("quality"))
 
 
-@query()
+_NEW = "NOT list_contains(texts, a) AND NOT list_contains(keys, b)"
+
+
+@query(f"""WITH RECURSIVE t AS (SELECT doc_id, hash(text) AS a, hash(concat_ws('::', source, substr(text, 1, 20))) AS b FROM documents WHERE {_TOKENS.format('text')} > 30 AND {_TOKENS.format('text')} < 9192),
+n AS (SELECT *, count(*) OVER (PARTITION BY a) + count(*) OVER (PARTITION BY b) AS n FROM t), c AS MATERIALIZED (SELECT *, row_number() OVER (ORDER BY doc_id) AS r FROM n WHERE n > 2),
+g AS (SELECT 0::BIGINT AS r, []::UBIGINT[] AS texts, []::UBIGINT[] AS keys, NULL::BIGINT AS doc_id
+      UNION ALL SELECT c.r, CASE WHEN {_NEW} THEN list_append(texts, a) ELSE texts END, CASE WHEN {_NEW} THEN list_append(keys, b) ELSE keys END, CASE WHEN {_NEW} THEN c.doc_id END FROM g JOIN c ON c.r = g.r + 1)
+SELECT doc_id FROM g WHERE doc_id IS NOT NULL UNION ALL SELECT doc_id FROM n WHERE n = 2""")
 def gates_and_dedup(spark, d):
-    """FL1-FL5, ST3, WN7: gates, then greedy dedup over two keys. The greedy rule has no short SQL; tests hold it against a loop."""
+    """FL1-FL5, ST3, WN7: gates, then greedy dedup over two keys."""
     docs = table(spark, d, "documents").filter(T.token_gate("text")).withColumn("base_key", T.reference_key("source", "text"))
     return curation.greedy_dedup(docs.select("doc_id", "text", "base_key"), "doc_id", "text", "base_key").select("doc_id")
 
@@ -95,7 +102,7 @@ def callers_map(spark, d):
     return callgraph.callers_of(counts).groupBy("callee").agg(F.count(F.lit(1)).alias("n_callers"), F.sum("n").alias("n_calls"), F.max_by("caller", F.struct("n", -F.col("caller"))).alias("top_caller"))
 
 
-@query("""SELECT event_type AS caller, user_id AS callee, count(*) AS n, count(*) OVER (PARTITION BY user_id) AS n_callers FROM events GROUP BY ALL""")
+@query("""SELECT *, count(*) OVER (PARTITION BY callee) AS n_callers FROM (SELECT event_type AS caller, user_id AS callee, count(*) AS n FROM events GROUP BY ALL)""")
 def caller_maps(spark, d):
     """SC10, SF17: callers of each function as a map, unfolded again."""
     counts = callgraph.call_counts(table(spark, d, "events").select(F.col("event_type").alias("caller"), F.col("user_id").alias("callee")))
