@@ -2,12 +2,12 @@
 
 The store keeps, for every line key seen so far, its 128-bit hash and the number of
 documents that hold it, in sorted runs (tables bucketed and sorted by hash).
-Documents come in batches. A new batch is first merge-anti-joined with the run
-of decided keys (those that have reached the threshold: they need no
+Documents come in batches. A new batch is dealt to the buckets, merge-anti-joined with
+the decided keys of all runs (those that have reached the threshold: they need no
 further counting), and what is left of it is added as a run of level 0. When a
-level holds `fan_in` runs they are merged, counts of a key added up, into one run of
-the next level; keys that reach the threshold on the way move to the decided run. All runs have the
-same buckets, so merging and anti-joining them needs no shuffle.
+level holds `fan_in` runs their undecided keys are merged, counts of a key added up, into one run of
+the next level, where some are decided. All runs have the
+same buckets, so merging and anti-joining them needs no shuffle; only the batch itself is shuffled, once.
 
 Counts of a batch are added up in each Arrow batch and again by Spark's partial aggregation
 before the shuffle, so a line that every document holds is a few rows.
@@ -64,7 +64,7 @@ def count_lines(df: DataFrame, id_col: str, text_col: str, batches: int) -> Data
 
 
 class LineRuns:
-    """Levelled sorted runs of (h1, h2, docs)."""
+    """Levelled sorted runs of (h1, h2, docs). A run is a table of two parts, `decided` or not, with the same buckets."""
 
     def __init__(self, spark: SparkSession, threshold: int, fan_in: int = 2, buckets: int | None = None):
         self.spark, self.threshold, self.fan_in = spark, threshold, fan_in
@@ -75,62 +75,56 @@ class LineRuns:
         self.made = 0
 
     def _write(self, rows: DataFrame) -> str:
+        """rows are dealt by bucket already: each task writes its own bucket's file."""
         self.made += 1
         table = f"{self.name}_{self.made}"
-        rows.repartition(self.buckets, "h1", "h2").write.bucketBy(self.buckets, "h1", "h2").sortBy("h1", "h2").format("parquet").saveAsTable(table)
+        marked = rows.select("h1", "h2", "docs", (F.col("docs") >= self.threshold).alias("decided"))
+        marked.write.partitionBy("decided").bucketBy(self.buckets, "h1", "h2").sortBy("h1", "h2").format("parquet").saveAsTable(table)
         return table
 
-    def _union(self, tables: list[str]) -> DataFrame:
-        out = self.spark.table(tables[0])
-        for t in tables[1:]:
-            out = out.unionByName(self.spark.table(t))
-        return out
+    def _part(self, table: str, decided: bool) -> DataFrame:
+        return self.spark.table(table).filter(F.col("decided") == decided).select("h1", "h2", "docs")
 
     def _drop(self, tables: list[str]) -> None:
         for t in tables:
             self.spark.sql(f"DROP TABLE IF EXISTS {t}")
 
-    def frequent(self) -> DataFrame | None:
-        """(h1, h2) of the decided keys."""
-        return self._union(self.decided).select("h1", "h2") if self.decided else None
-
     def append(self, batch: DataFrame) -> None:
-        """Add a batch of (h1, h2, docs), a row for each key."""
-        decided = self.frequent()
-        if decided is not None:
-            batch = batch.join(decided, ["h1", "h2"], "left_anti")
-        self._add(0, [self._write(batch.select("h1", "h2", "docs"))])
+        """Add a batch of (h1, h2, docs), a row for each key: dealt to the buckets once, merge-anti-joined with the decided keys of every run that has some, and written as a run."""
+        batch = batch.select("h1", "h2", "docs").repartition(self.buckets, "h1", "h2")
+        for t in self.decided:
+            batch = batch.join(self._part(t, True).select("h1", "h2").hint("merge"), ["h1", "h2"], "left_anti")
+        self._add(0, self._write(batch))
 
-    def _add(self, level: int, tables: list[str]) -> None:
+    def _add(self, level: int, table: str) -> None:
         while len(self.levels) <= level:
             self.levels.append([])
-        self.levels[level] += tables
+        self.levels[level].append(table)
+        self.decided.append(table)
         if len(self.levels[level]) >= self.fan_in:
             old, self.levels[level] = self.levels[level], []
-            self._add(level + 1, [self._merge(old)])
+            self._add(level + 1, self._write(self._merged(old)))
 
-    def _merge(self, tables: list[str]) -> str:
-        merged = scratch_table(self._union(tables).groupBy("h1", "h2").agg(F.sum("docs").alias("docs")), "line-merge")
-        reached = merged.filter(F.col("docs") >= self.threshold)
-        self.decided.append(self._write(reached))
-        rest = merged.filter(F.col("docs") < self.threshold)
-        run = self._write(rest)
-        self._drop(tables)
-        return run
+    def _merged(self, tables: list[str]) -> DataFrame:
+        """The undecided rows of runs, counts of a key added up: a merge of sorted buckets, without a shuffle."""
+        out = self._part(tables[0], False)
+        for t in tables[1:]:
+            other = self._part(t, False).withColumnRenamed("docs", "more").hint("merge")
+            out = out.join(other, ["h1", "h2"], "full").select("h1", "h2", (F.coalesce("docs", F.lit(0)) + F.coalesce("more", F.lit(0))).alias("docs"))
+        return out
 
     def finish(self) -> DataFrame:
         """Merge all runs of all levels, and give (h1, h2) of every key that has reached the threshold."""
         tables = [t for level in self.levels for t in level]
-        self.levels = []
+        frequent = [self._part(t, True).select("h1", "h2") for t in self.decided]
         if tables:
-            last = self._union(tables).groupBy("h1", "h2").agg(F.sum("docs").alias("docs")).filter(F.col("docs") >= self.threshold)
-            self.decided.append(self._write(last))
-        frequent = self.frequent()
-        if frequent is None:
-            frequent = self.spark.createDataFrame([], "h1 long, h2 long")
-        out = scratch_table(frequent, "line-frequent")
-        self._drop([*tables, *self.decided])
-        self.decided = []
+            frequent.append(self._merged(tables).filter(F.col("docs") >= self.threshold).select("h1", "h2"))
+        out = self.spark.createDataFrame([], "h1 long, h2 long")
+        for f in frequent:
+            out = out.unionByName(f)
+        out = scratch_table(out, "line-frequent")
+        self._drop(self.decided)
+        self.levels, self.decided = [], []
         return out
 
 
