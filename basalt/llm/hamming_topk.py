@@ -2,7 +2,8 @@
 
 Vectors become sign codes (a bit for each dimension, set where positive) of as many 64-bit words as the longest needs.
 Equal codes are collapsed, each with its k smallest ids, which is all that a
-result can need. Distinct codes are dealt to shards of a bounded expected size; queries go to every shard in blocks.
+result can need. Distinct codes are dealt to shards of a bounded expected size, which is what a task indexes; queries go to every shard in blocks. A search takes
+a small power of a shard's codes, so shards are large, and the number of (shard, block) pairs is queries times codes over both sizes.
 In a shard, codes are cut into segments of about log2(shard) bits, and each segment has
 a table from value to codes. A query looks at segment values within radius 0, then 1, then 2, of its
 own, one segment after another. With all segments searched to radius r - 1 and the first j of m to r, every
@@ -40,8 +41,13 @@ def code_of(vector: str, words: int = 1) -> F.Column:
     return F.when(v.isNotNull(), F.array(*(word(BITS * k) for k in range(words))))
 
 
+def _packed(code: str) -> F.Column:
+    """An array of words as bytes, which come to Python in one piece."""
+    return F.unhex(F.array_join(F.transform(code, lambda w: F.lpad(F.hex(w), 16, "0")), ""))
+
+
 def _codes(column: pd.Series) -> np.ndarray:
-    return np.stack(column.to_numpy()).astype(np.int64).view(np.uint64)
+    return np.frombuffer(b"".join(column), ">u8").astype(np.uint64).reshape(len(column), -1)
 
 
 class SegmentIndex:
@@ -111,7 +117,7 @@ def top_k(
     id_col: str = "vec_id",
     vector_col: str = "embedding",
     k: int = 10,
-    shard_codes: int = 16_384,
+    shard_codes: int = 65_536,
 ) -> DataFrame:
     """The k nearest rows of df for each row of queries, itself included if it is in df: query_id, id_col's neighbour_id, distance, rank from 1.
 
@@ -127,25 +133,30 @@ def top_k(
     asked = queries.select(F.col(id_col).alias("query_id"), code_of(vector_col, words).alias("code")).filter("code IS NOT NULL")
     # Spark keeps k rows of a code in each task before the shuffle.
     best = coded.withColumn("n", F.row_number().over(Window.partitionBy("code").orderBy("id"))).filter(F.col("n") <= k)
-    index = scratch_table(best.groupBy("code").agg(F.sort_array(F.collect_list("id")).alias("ids")), "codes")
-    shards = max(1, -(-index.count() // shard_codes))
+    index = scratch_table(best.groupBy("code").agg(F.sort_array(F.collect_list("id")).alias("ids")).withColumn("place", F.monotonically_increasing_id()), "codes")
     # Equal query codes are searched once.
-    distinct = asked.select("code").distinct().withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))))
-    dealt = index.select("code", F.pmod(F.xxhash64("code"), F.lit(shards)).cast("int").alias("shard"))
-
-    def run(codes: pd.DataFrame, wanted: pd.DataFrame) -> pd.DataFrame:
-        out = []
-        if len(codes) and len(wanted):
-            table = SegmentIndex(_codes(codes["code"]))
-            for q in _codes(wanted["code"]):
-                rows, distance = table.search(q, k)
-                out.append(pd.DataFrame({"code": [q.view(np.int64)] * len(rows), "near": list(table.codes[rows].view(np.int64)), "distance": distance.astype(np.int32)}))
-        return pd.concat(out) if out else pd.DataFrame({"code": pd.Series(dtype=object), "near": pd.Series(dtype=object), "distance": pd.Series(dtype="int32")})
-
-    # As many partitions as shards: they are small to move but long to search, so Spark mustn't put them together by size.
-    dealt, distinct = dealt.repartition(shards, "shard"), distinct.repartition(shards, "shard")
-    near = dealt.groupBy("shard").cogroup(distinct.groupBy("shard")).applyInPandas(run, "code array<long>, near array<long>, distance int")
-    ids = near.join(index.withColumnRenamed("code", "near"), "near").select("code", "distance", F.explode("ids").alias("id"))
-    by_code = Window.partitionBy("code").orderBy("distance", "id")
-    ranked = ids.withColumn("rank", F.row_number().over(by_code)).filter(F.col("rank") <= k)
-    return asked.join(ranked, "code").select("query_id", F.col("id").alias("neighbour_id"), "distance", "rank")
+    distinct = scratch_table(asked.select("code").distinct().withColumn("q", F.monotonically_increasing_id()), "query-codes")
+    n, wanted = index.count(), distinct.count()
+    shards = max(1, -(-n // shard_codes))
+    # Blocks of queries as large as shards; smaller ones, of 256 at least, where there would be fewer tasks than cores.
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    blocks = max(1, min(-(-wanted // 256), max(-(-wanted // shard_codes), -(-cores // shards))))
+    pairs = lambda own, step, others, stride: F.explode(F.transform(F.sequence(F.lit(0), F.lit(others - 1)), lambda o: own * step + o * stride)).alias("pair")
+    block_of, shard_of = F.pmod(F.xxhash64("code"), F.lit(blocks)), F.pmod(F.xxhash64("code"), F.lit(shards))
+    asks = distinct.select("q", _packed("code").alias("bits"), pairs(block_of, shards, shards, 1))
+    holds = index.select("place", _packed("code").alias("bits"), pairs(shard_of, 1, blocks, shards))
+
+    def run(codes: pd.DataFrame, queries: pd.DataFrame) -> pd.DataFrame:
+        if not len(codes) or not len(queries):
+            return pd.DataFrame({"q": [], "place": [], "distance": []}).astype({"q": "int64", "place": "int64", "distance": "int32"})
+        table = SegmentIndex(_codes(codes["bits"]))
+        found = [table.search(q, k) for q in _codes(queries["bits"])]
+        rows = np.concatenate([r for r, _ in found])
+        return pd.DataFrame({"q": np.repeat(queries["q"].to_numpy(), [len(r) for r, _ in found]), "place": codes["place"].to_numpy()[rows], "distance": np.concatenate([x for _, x in found]).astype(np.int32)})
+
+    # As many partitions as pairs: they are small to move but long to search, so Spark mustn't put them together by size.
+    holds, asks = holds.repartition(shards * blocks, "pair"), asks.repartition(shards * blocks, "pair")
+    near = holds.groupBy("pair").cogroup(asks.groupBy("pair")).applyInPandas(run, "q long, place long, distance int")
+    ids = near.join(index.select("place", "ids"), "place").select("q", "distance", F.explode("ids").alias("id"))
+    ranked = ids.withColumn("rank", F.row_number().over(Window.partitionBy("q").orderBy("distance", "id"))).filter(F.col("rank") <= k)
+    return asked.join(distinct, "code").join(ranked, "q").select("query_id", F.col("id").alias("neighbour_id"), "distance", "rank")
