@@ -58,11 +58,8 @@ class Model:
         return float(1 / (1 + np.exp(-np.clip(self.bias + total / max(1, features), -30, 30))))
 
 
-def train(bags: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, prior: float, dim: int = 8, steps: int = 800, rate: float = 0.5, batch: int = 32, seed: int = 7) -> Model:
-    """bags: (buckets, counts) of each text. prior: share of class 1 among all labelled rows, which the sample needn't have. Passes over the sample go on until `steps` batches are done."""
-    if not len(labels) or labels.min() == labels.max():
-        p = min(max(prior, 1e-6), 1 - 1e-6)
-        return Model(np.zeros(BUCKETS), float(np.log(p / (1 - p))))
+def matrices(bags: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, dim: int, steps: int, rate: float, batch: int, seed: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Embeddings of all buckets, weights and biases of the softmax, trained jointly: passes over the sample go on until `steps` batches are done."""
     rng = np.random.default_rng(seed)
     embedding = rng.normal(0, 0.1, (BUCKETS, dim)).astype(np.float32)
     weight, bias = rng.normal(0, 0.1, (dim, 2)).astype(np.float32), np.zeros(2, np.float32)
@@ -90,11 +87,18 @@ def train(bags: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, prior:
             for k, (x, g) in enumerate(((weight, mean.T @ error), (bias, error.sum(axis=0))), 1):
                 squares[k] += g**2
                 x -= 0.1 * rate * g / np.sqrt(squares[k])
-    odds = weight[:, 1] - weight[:, 0]
-    sampled = min(max(labels.mean(), 1e-6), 1 - 1e-6)
+    return embedding, weight, bias
+
+
+def train(bags: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, prior: float, dim: int = 8, steps: int = 800, rate: float = 0.5, batch: int = 32, seed: int = 7) -> Model:
+    """bags: (buckets, counts) of each text. prior: share of class 1 among all labelled rows, which the sample needn't have."""
     p = min(max(prior, 1e-6), 1 - 1e-6)
+    if not len(labels) or labels.min() == labels.max():
+        return Model(np.zeros(BUCKETS), float(np.log(p / (1 - p))))
+    embedding, weight, bias = matrices(bags, labels, dim, steps, rate, batch, seed)
+    sampled = min(max(labels.mean(), 1e-6), 1 - 1e-6)
     shift = np.log(p / (1 - p)) - np.log(sampled / (1 - sampled))
-    return Model((embedding @ odds).astype(np.float64), float(bias[1] - bias[0] + shift))
+    return Model((embedding @ (weight[:, 1] - weight[:, 0])).astype(np.float64), float(bias[1] - bias[0] + shift))
 
 
 def bags(df: DataFrame, text_col: str, label_col: str) -> DataFrame:

@@ -351,6 +351,7 @@ def test_token_counts_are_the_tokenizers(spark, rows):
     assert [counter.text(t) for t in texts] == [len(e.ids) for e in tokenizer.encode_batch(texts, add_special_tokens=False)]
     got = unigram_counts.token_counts(frame(spark, rows)).collect()
     assert sorted((str(x.doc_id), x.n_chars, x.n_tokens) for x in got) == sorted((str(i), len(t or ""), len(tokenizer.encode(t or "", add_special_tokens=False).ids)) for i, t, *_ in rows)
+    assert unigram_counts.token_counts(frame(spark, rows).limit(0)).count() == 0
     # Equal scores: the path whose last piece starts first stays.
     tied = [("<unk>", 0.0), ("a", -1.0), ("b", -1.0), ("ab", -2.0), ("abc", -9.0), ("c", -7.0)]
     exact = Tokenizer(models.Unigram(tied, unk_id=0))
@@ -417,6 +418,55 @@ def test_license_scan(spark, odd):
     assert got[n + 4].first_word == 300
 
 
+def common(a, b):
+    """Length of a longest common subsequence."""
+    row = [0] * (len(b) + 1)
+    for x in a:
+        before = 0
+        for j, y in enumerate(b):
+            here = row[j + 1]
+            row[j + 1] = before + 1 if x == y else max(here, row[j])
+            before = here
+    return row[-1]
+
+
+def test_license_coverage_is_that_of_the_best_window():
+    """Against longest common subsequences of all windows, on texts of recurring words: all that reach the coverage are found, with it, and no others."""
+    r = random.Random(5)
+    names = ["MIT", "Apache-2.0", "GPL-3.0", "CC-BY-NC-4.0", "All-Rights-Reserved", "CC-BY-4.0", "BSD-text"]
+    parsed = {k: license_scan.parse(license_scan.TEMPLATES[k], 0.8) for k in names}
+    reached = 0
+    for _ in range(1500):
+        name = r.choice(names)
+        words, text = parsed[name].words, []
+        for _ in range(r.randint(1, 5)):
+            if r.random() < 0.5:
+                for w in words:
+                    if r.random() > r.choice((0, 0.1, 0.2, 0.3)):
+                        text.append(w)
+                        while r.random() < r.choice((0, 0.2, 0.5)):
+                            text.append(r.choice([*words, "noise", "x", "y"]))
+            else:
+                text += [r.choice([*words, "noise", "x", "y", "z"]) for _ in range(r.randint(1, 30))]
+        window = 2 * len(words)
+        best = max(common(text[lo : lo + window], words) for lo in range(max(1, len(text) - window + 1)))
+        found = license_scan.scan(" ".join(text), {name: parsed[name]}, 0.8)
+        assert [f[1] for f in found] == ([best / len(words)] if best >= 0.8 * len(words) else []), (name, text)
+        if found:
+            _, _, first, last = found[0]
+            assert common(text[first : last + 1], words) == best and last - first < window
+            reached += 1
+    assert reached > 500
+
+
+def test_license_ties_repeats_and_empty_tables(spark):
+    text = "Licensed under CC BY-NC 4.0. " + "noise " * 40 + "All rights reserved."
+    df = frame(spark, [(1, text, None, None), (1, text, None, None), (None, text, None, None)])
+    got = [tuple(x) for x in license_scan.scan_licenses(df).collect()]
+    assert sorted(map(str, got)) == sorted(str((i, "CC-BY-NC-4.0", 1.0, 0, 4, ["All-Rights-Reserved", "CC-BY-NC-4.0"])) for i in (1, 1, None))
+    assert license_scan.scan_licenses(df.limit(0)).count() == 0 and license_scan.scan_licenses(df, templates={"none": "..."}).filter("license IS NOT NULL").count() == 0
+
+
 def test_license_copy_without_the_rarest_word(spark):
     copies = "Issued under the MIT License. " * 2
     texts = [copies + "noise " * n + "released" for n in (0, 2, 5, 8, 12, 40)]
@@ -463,6 +513,34 @@ def test_toxicity_learns_words_and_misspellings(spark):
     assert all(0 <= x.score <= 1 for x in toxicity.score(df, empty).collect()) and toxicity.score(df.limit(0), model).count() == 0
 
 
+def test_toxicity_is_the_softmax_over_the_mean_embedding():
+    rng = np.random.default_rng(8)
+    bags = [(np.unique(rng.integers(0, 500, 30)), None) for _ in range(60)]
+    bags = [(b, rng.integers(1, 4, len(b)).astype(np.float32)) for b, _ in bags]
+    labels = np.array([int(b[0] < 12) for b, _ in bags])
+    embedding, weight, bias = toxicity.matrices(bags, labels, 8, 100, 0.5, 16, 7)
+    model = toxicity.train(bags, labels, float(labels.mean()), 8, 100, 0.5, 16, 7)
+    for b, n in bags:
+        logits = (embedding[b] * n[:, None]).sum(axis=0) / n.sum() @ weight + bias
+        p = np.exp(logits - logits.max())
+        assert model.score(float((model.slope[b] * n).sum()), int(n.sum())) == pytest.approx(p[1] / p.sum(), abs=1e-4)
+
+
+def test_label_sample_is_the_first_by_hash(spark):
+    df = spark.range(5000).select(F.col("id").alias("doc_id"), F.xxhash64("id").alias("h"))
+    want = sorted(df.collect(), key=lambda r: (r.h, r.doc_id))
+    for most in (0, 1, 50, 4999, 6000):
+        assert sorted(toxicity.first_by_hash(df, "h", "doc_id", 5000, most).collect()) == sorted(want[:most])
+
+
+def test_toxicity_of_repeated_ids_and_very_long_texts(spark):
+    model = toxicity.Model(np.random.default_rng(4).normal(size=toxicity.BUCKETS), 0.1)
+    long = "word other thing " * 100_000
+    df = frame(spark, [(1, "a b", None, None), (1, "a b", None, None), (2, long, None, None), (3, long + "word other thing", None, None)])
+    got = sorted((x.doc_id, round(x.score, 4)) for x in toxicity.score(df, model).collect())
+    assert [i for i, _ in got] == [1, 1, 2, 3] and got[0] == got[1] and got[2][1] == got[3][1]
+
+
 def test_toxicity_of_a_long_token_is_that_of_all_its_characters(spark):
     slope = np.random.default_rng(3).normal(size=toxicity.BUCKETS)
     model = toxicity.Model(slope, 0.0)
@@ -529,6 +607,45 @@ def test_kneser_ney_sums_to_one(spark):
         assert sum(p) == pytest.approx(1, abs=1e-4)
 
 
+def test_probabilities_are_plain_kneser_ney():
+    """Against a recursive version over dictionaries."""
+    r = random.Random(2)
+    words = ["".join(r.choice("abcd") for _ in range(r.randint(1, 7))) for _ in range(60)]
+    grams = {}
+    for w in words:
+        padded = f"    {w} "
+        for k in range(len(w) + 1):
+            grams[padded[k : k + 5]] = grams.get(padded[k : k + 5], 0) + 1
+    model = langid.build_model({"x": ("".join(grams), np.array(list(grams.values())))})
+    counts = {5: grams}
+    for n in range(4, 0, -1):
+        before = {}
+        for g in counts[n + 1]:
+            before.setdefault(g[1:], set()).add(g[0])
+        counts[n] = {g: len(b) for g, b in before.items()}
+    letters = len(counts[1]) + 1
+
+    def probability(context, c):
+        n = len(context) + 1
+        below = probability(context[1:], c) if n > 1 else 1 / letters
+        own = {g: k for g, k in counts[n].items() if g[:-1] == context}
+        if not own:
+            return below
+        ones, twos = (sum(k == m for k in counts[n].values()) for m in (1, 2))
+        discount = ones / (ones + 2 * twos) if ones and twos else 0.5
+        return max(own.get(context + c, 0) - discount, 0) / sum(own.values()) + discount * len(own) / sum(own.values()) * below
+
+    for _ in range(300):
+        g = r.choice(list(grams)) if r.random() < 0.5 else "".join(r.choice("abcdz ") for _ in range(5))
+        assert model._letters(langid._points(g), np.array([0]))[0, 0] == pytest.approx(np.log(probability(g[:4], g[4])), abs=1e-4), g
+    assert model.even[0] == pytest.approx(np.log(letters))
+
+
+def test_without_a_model_only_texts_without_letters_are_rejected(spark, odd):
+    got = {x.doc_id: (x.lang_pred, x.rejected) for x in langid.identify(frame(spark, [(i, t, None, None) for i, t in enumerate(odd)]), None).collect()}
+    assert {p for p, _ in got.values()} == {"und"} and [r for _, r in sorted((i, r) for i, (_, r) in got.items())] == [not any(map(str.isalpha, t or "")) for t in odd]
+
+
 def test_folds(spark):
     df = spark.range(50).select(F.col("id"), langid.fold("id", 5).alias("k"))
     assert all(r.k == zlib.crc32(str(r.id).encode()) % 5 for r in df.collect())
