@@ -15,18 +15,26 @@ REPEAT_COST = 10
 def path_order(blocks: DataFrame, fn: str, path: str = "path", pos: str = "pos", content: str = "content", most: int = 3) -> DataFrame:
     """(fn, path_order, cost): the permutation of up to three paths in which showing each distinct block in full once and REPEAT_COST for every repeat costs least; of equals the first in order.
 
-    The cost of all permutations is natively the sum, over blocks, of the length where a block comes first and of the fixed cost elsewhere; as every
-    permutation shows the same blocks, the distinct ones once each, their costs agree unless blocks of one hash differ in length.
+    Of a distinct block only the length at its first place in each path and the number of all its places matter. These are aggregated, and permutations are
+    tried in a function's row, natively.
     """
     hashed = blocks.select(fn, F.col(path).alias("p"), F.col(pos).alias("i"), T.short_hash(content).alias("h"), F.char_length(content).cast("long").alias("n"))
-    paths = hashed.select(fn, "p").distinct().groupBy(fn).agg(F.sort_array(F.collect_list("p")).alias("ps"))
-    n = F.size("ps")
-    orders = F.array(*(F.struct(F.lit(k).alias("size"), F.array(*(F.lit(i) for i in o)).alias("o")) for k in range(1, most + 1) for o in permutations(range(k))))
-    tried = paths.select(fn, F.explode(F.transform(F.filter(orders, lambda o: o["size"] == n), lambda o: F.transform(o["o"], lambda i: F.get("ps", i)))).alias("path_order"))
-    placed = tried.join(hashed, fn).withColumn("at", F.array_position("path_order", F.col("p")))
-    first = F.row_number().over(Window.partitionBy(fn, "path_order", "h").orderBy("at", "i"))
-    cost = placed.withColumn("c", F.when(first == 1, F.col("n")).otherwise(REPEAT_COST)).groupBy(fn, "path_order").agg(F.sum("c").alias("cost"))
-    return cost.groupBy(fn).agg(F.min(F.struct("cost", "path_order")).alias("best")).select(fn, "best.path_order", "best.cost")
+    first = hashed.groupBy(fn, "h", "p").agg(F.min_by("n", "i").alias("n"), F.count(F.lit(1)).alias("c"))
+    each = first.groupBy(fn, "h").agg(F.collect_list(F.struct("p", "n")).alias("at"), F.sum("c").alias("c"))
+    whole = each.groupBy(fn).agg(F.collect_list(F.struct("at", "c")).alias("shown"), F.array_sort(F.array_distinct(F.flatten(F.collect_list(F.transform("at", lambda x: x["p"]))))).alias("ps"))
+    orders = F.array(*(F.array(*(F.lit(i) for i in o)) for k in range(1, most + 1) for o in permutations(range(k))))
+    tried = F.transform(F.filter(orders, lambda o: F.size(o) == F.size("ps")), lambda o: F.transform(o, lambda i: F.get("ps", i)))
+
+    def length(at: Column, order: Column) -> Column:
+        """Of a block, the length at the first path of the order that holds it."""
+        here = F.filter(F.transform(order, lambda p: F.get(F.filter(at, lambda x: x["p"] == p), F.lit(0))["n"]), lambda n: n.isNotNull())
+        return F.coalesce(F.get(here, F.lit(0)), F.lit(0).cast("long"))
+
+    def cost(order: Column) -> Column:
+        return F.aggregate("shown", F.lit(0).cast("long"), lambda total, b: total + length(b["at"], order) + (b["c"] - 1) * REPEAT_COST)
+
+    best = F.array_min(F.transform(tried, lambda o: F.struct(cost(o).alias("cost"), o.alias("path_order"))))
+    return whole.select(fn, best.alias("best")).filter("best IS NOT NULL").select(fn, "best.path_order", "best.cost")
 
 
 def compressed(blocks: DataFrame, fn: str, path: str = "path", pos: str = "pos", content: str = "content") -> DataFrame:

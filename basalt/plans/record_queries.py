@@ -9,6 +9,7 @@ import hashlib
 import json
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -116,6 +117,21 @@ def python_reprs(spark, d):
     return back.select("doc_id", *(F.get_json_object("j", f"$.{c}").alias(c) for c in ("lang", "source")), F.get_json_object("j", "$.n_chars").cast("long").alias("n_chars"))
 
 
+@query("SELECT doc_id, text, lang, source, n_chars FROM documents")
+def arrow_tables(spark, d):
+    """SC18: Arrow streams, a row of bytes for each batch, read back."""
+    docs = table(spark, d, "documents").select("doc_id", "text", "lang", "source", "n_chars")
+
+    def run(batches):
+        for b in batches:
+            sink = pa.BufferOutputStream()
+            with pa.ipc.new_stream(sink, b.schema) as out:
+                out.write_batch(b)
+            yield pa.RecordBatch.from_arrays([pa.array([sink.getvalue().to_pybytes()], pa.binary())], names=["content"])
+
+    return readers.arrow_records(docs.mapInArrow(run, "content binary"), "doc_id long, text string, lang string, source string, n_chars long")
+
+
 # Projections and gates
 
 def _functions(spark: SparkSession, d: str) -> DataFrame:

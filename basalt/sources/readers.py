@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -50,6 +51,22 @@ def records(spark: SparkSession, path: str, schema: str | None = None) -> DataFr
     return reader.option("multiLine", True).json(path) if path.endswith(".json") else reader.parquet(path)
 
 
+def arrow_records(files: DataFrame, schema: str, content: str = "content") -> DataFrame:
+    """Records of Arrow stream files, as datasets saved to disk hold them: files has their bytes, a row each (`arrow_files` reads them)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for data in b.column(0):
+                yield from pa.ipc.open_stream(data.as_buffer())
+
+    return files.select(content).mapInArrow(run, schema)
+
+
+def arrow_files(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """Records of all *.arrow files below path."""
+    return arrow_records(spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.arrow").load(path), schema)
+
+
 def binary_pairs(stripped: DataFrame, unstripped: DataFrame) -> DataFrame:
     """Binaries that both exports have: (project_name, binary_name)."""
     key = ["project_name", "binary_name"]

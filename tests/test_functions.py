@@ -117,3 +117,11 @@ def test_options():
     assert o.provider("gpt", {"MODEL": "b"})["model"] == "b"
     with pytest.raises(KeyError):
         o.provider("default", {})
+
+
+def test_literals_are_read_until_they_are_no_strings():
+    from basalt.functions import reprs
+
+    nested = repr(repr({"a": [1, (2, None)], "b": "x"}))
+    assert reprs._literal(nested) == '{"a": [1, [2, null]], "b": "x"}'
+    assert reprs._literal("no literal") is None and reprs._literal(None) is None and reprs._literal("'just text'") == '"just text"' and reprs._literal("12") == "12"

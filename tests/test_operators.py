@@ -282,3 +282,84 @@ def test_broken_steps(spark):
     paths = spark.createDataFrame([("f", [1, 2, 3]), ("f", [1, 3]), ("f", [3]), ("g", [1, 2]), ("f", [])], "fn string, path array<long>")
     got = {(x.fn, tuple(x.path)): x.broken for x in graphs.broken_steps(paths, edges, "fn").collect()}
     assert got == {("f", (1, 2, 3)): 0, ("f", (1, 3)): 1, ("f", (3,)): 0, ("g", (1, 2)): 1, ("f", ()): 0}
+
+
+def test_back_edges_are_what_keeps_a_graph_from_being_a_dag(spark):
+    r = random.Random(11)
+    for _ in range(40):
+        g = random_graph(r, 7)
+        back = graphs.back_edges(g)
+        rest = {n: [b for b in bs if (n, b) not in back] for n, bs in g.items()}
+        assert all(n not in graphs.reachable(rest, b) for n, bs in rest.items() for b in bs)
+        assert all(a in graphs.reachable(g, b) for a, b in back)
+    edges = spark.createDataFrame([("f", 1, 2), ("f", 2, 3), ("f", 3, 1), ("f", 3, 4), ("g", 5, 5)], "fn string, src long, dst long")
+    assert sorted(tuple(x) for x in graphs.back_edge_rows(edges, "fn").collect()) == [("f", 3, 1), ("g", 5, 5)]
+
+
+def plain_meteor(hyp, ref):
+    """METEOR by loops over all pairs: exact matches, then stems, each to the free word nearest to where the last match goes on."""
+    if not hyp or not ref:
+        return 0.0
+    pairs, weight = {}, 0.0
+    for form, w in ((str.lower, 1.0), (lambda x: metrics._stem(x.lower()), 0.6)):
+        free = [j for j in range(len(ref)) if j not in pairs.values()]
+        for i, x in enumerate(hyp):
+            if i in pairs:
+                continue
+            fits = [j for j in free if form(ref[j]) == form(x)]
+            if fits:
+                goal = pairs[i - 1] + 1 if i - 1 in pairs else i
+                j = min(fits, key=lambda j: (abs(j - goal), j))
+                pairs[i] = j
+                free.remove(j)
+                weight += w
+    if not pairs:
+        return 0.0
+    p, q = weight / len(hyp), weight / len(ref)
+    mean = p * q / (0.85 * p + 0.15 * q)
+    chunks = sum(1 for i in pairs if i - 1 not in pairs or pairs[i - 1] + 1 != pairs[i])
+    return mean if len(pairs) == 1 and chunks == 1 else mean * (1 - 0.6 * (chunks / len(pairs)) ** 0.2)
+
+
+def test_meteor_is_the_plain_version():
+    r = random.Random(12)
+    vocabulary = ["Run", "runs", "running", "the", "cat", "cats", "a", "Sat"]
+    for _ in range(500):
+        h, f = ([r.choice(vocabulary) for _ in range(r.randint(0, 9))] for _ in "hf")
+        assert metrics._meteor(h, f) == pytest.approx(plain_meteor(h, f)), (h, f)
+
+
+def test_path_order_is_the_cheapest_permutation(spark):
+    r = random.Random(13)
+    rows = [(f, p, i, r.choice(["aa", "bbb", " bbb", "cccccccccccccc", "cccccccccccccc  ", ""])) for f in range(40) for p in range(r.randint(1, 3)) for i in range(r.randint(1, 5))]
+    got = {x.fn: (x.path_order, x.cost) for x in prompts.path_order(spark.createDataFrame(rows, "fn long, path int, pos int, content string"), "fn").collect()}
+    for f in range(40):
+        own = [x for x in rows if x[0] == f]
+        costs = []
+        for order in permutations(sorted({x[1] for x in own})):
+            seen, cost = set(), 0
+            for p in order:
+                for _, _, _, c in sorted((x for x in own if x[1] == p), key=lambda x: x[2]):
+                    cost += 10 if c.strip() in seen else len(c)
+                    seen.add(c.strip())
+            costs.append((cost, list(order)))
+        assert got[f] == (min(costs)[1], min(costs)[0])
+
+
+def test_thunks_of_code_and_external_functions(spark):
+    rows = [("t", "go", "// attributes: thunk\nint go() { return real(1); }", ".text", "push"), ("r", "real", "int real(int a) { a = 2; return a; }", ".text", "push"), ("p", "x", "int x;", ".plt", "push"), ("e", "y", "  ", ".text", "push"), ("j", "z", "int z;", None, "jmp"), ("i", "w", "int w;", ".text", None)]
+    fns = spark.createDataFrame(rows, "fn string, name string, code string, segment string, mnemonic string")
+    assert {x.fn: x.thunk_of for x in callgraph.thunk_links(fns).collect()} == {"t": "r", "r": None, "p": None, "e": None, "j": None, "i": None}
+    assert sorted(x.fn for x in callgraph.without_external(fns, spark.createDataFrame([("i",)], "fn string")).collect()) == ["r", "t"]
+
+
+def test_caller_maps_have_a_bound(spark):
+    counts = spark.createDataFrame([(f"c{k}", "hub", 1) for k in range(30)] + [("c0", "leaf", 2)], "caller string, callee string, n long")
+    got = {x.callee: (x.n_callers, x.callers) for x in callgraph.caller_maps(counts, 10).collect()}
+    assert got == {"hub": (30, None), "leaf": (1, {"c0": 2})} and callgraph.callers_of(counts).count() == 31
+
+
+def test_bleu_of_several_references_takes_the_closest_length():
+    assert metrics._bleu_counts("a b c".split(), ["a b c d e".split(), "a x".split()])[:3] == (3, 2, 3)
+    assert metrics._bleu_counts("a a b".split(), ["a b".split(), "a a a".split()])[2:4] == (3, 2)
+    assert metrics._bleu_counts([], [[]]) == (0, 0, 0, 0, 0, 0)

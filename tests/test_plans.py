@@ -146,6 +146,15 @@ def test_readers(spark, tmp_path):
     (tmp_path / "bin/proj/x.json").write_text('{"16": {"function_name": "sub_10", "start_ea": 16, "decompiled_code": "c", "cfg": {"16": {"start_ea": 16, "instructions": [], "successors": []}}, "callees": {"32": 2}}}')
     row = readers.disassembly(spark, str(tmp_path / "bin")).first()
     assert (row.project_name, row.binary_name, row.function_addr, row.callees) == ("proj", "x", 16, {"32": 2}) and list(row.cfg) == [16]
+    import pyarrow as pa
+
+    rows = pa.table({"a": [1, 2], "b": ["x", None]})
+    with pa.OSFile(str(tmp_path / "data.arrow"), "wb") as sink, pa.ipc.new_stream(sink, rows.schema) as out:
+        out.write_table(rows)
+    assert [tuple(r) for r in readers.arrow_files(spark, str(tmp_path), "a long, b string").collect()] == [(1, "x"), (2, None)]
+    (tmp_path / "src/proj/sub/two.c").write_text("int f2(void) {\n return 1;\n}\n// Adds. More\nint f3(int a) {\n return a; }")
+    got = readers.c_functions(readers.c_files(spark, str(tmp_path / "src"))).filter("file_path LIKE '%two.c'").collect()
+    assert [(r.function_name, r.comment) for r in got] == [("f2", None), ("f3", "Adds")]
     (tmp_path / "r.jsonl").write_text('{"a": 1}\n{"a": 2}\n')
     (tmp_path / "r.json").write_text('[{"a": 1}, {"a": 2}]')
     assert readers.records(spark, str(tmp_path / "r.jsonl")).count() == readers.records(spark, str(tmp_path / "r.json")).count() == 2
