@@ -4,8 +4,9 @@ Training counts, over all labelled documents, the character 5-grams of each lang
 (runs of letters, lower-cased, padded so that each letter has four before it). Executors count each Arrow
 batch's distinct words once and send distinct 5-grams with counts; Spark adds them up. Lower
 orders need only the distinct 5-grams (continuation counts). Spark computes the model over all of them. The tables are sorted
-arrays of 64-bit hashes with a row of log-probabilities, one for each language; they hold every n-gram, grow with
-the distinct n-grams of the input, and are broadcast.
+arrays of 64-bit hashes with a row of log-probabilities, one for each language; they hold every n-gram. Up to `broadcast_bytes` they
+are broadcast, and a worker scores texts by look-up. A larger model stays in its tables: each distinct 5-gram of the texts is scored once by joins,
+and scores are added up by word and by document, with the same results.
 
 A text gets, for each language, the mean negative log-probability of its letters; the lowest wins.
 Rejection is calibrated on the training counts of each language: a text is rejected if it has no letter, or if its
@@ -232,11 +233,24 @@ def _hashed(df: DataFrame, n: int, values: int) -> tuple[np.ndarray, np.ndarray]
     return keys[order], out
 
 
-def train(df: DataFrame, text_col: str = "text", lang_col: str = "lang") -> Model | None:
+@dataclass
+class Tables:
+    """A model that is too large to be broadcast."""
+
+    langs: list[str]
+    grams: list[DataFrame]  # by order - 1: (gram, v0, v1, ...), log-probabilities by language
+    contexts: list[DataFrame]  # by order - 2: (gram, v0, v1, ...), log back-off weights
+    unseen: np.ndarray
+    entropy: np.ndarray
+    sigma: np.ndarray
+    even: np.ndarray
+
+
+def train(df: DataFrame, text_col: str = "text", lang_col: str = "lang", broadcast_bytes: int = 128 << 20) -> Model | Tables | None:
     """A model of the languages of the rows of df that have text and language; None without any.
 
     Counts, discounts, back-off weights and probabilities are those of all 5-grams and are computed in Spark: a row for each
-    n-gram, a column for each language. The driver gets hashes and log-probabilities, which grow with the distinct n-grams.
+    n-gram, a column for each language. The driver gets hashes and log-probabilities if they take `broadcast_bytes` at most.
     """
     counted = scratch_table(count_grams(df.filter(F.col(text_col).isNotNull() & F.col(lang_col).isNotNull()), text_col, lang_col), "langid-grams")
     langs = sorted(r[0] for r in counted.select("lang").distinct().collect())
@@ -263,18 +277,22 @@ def train(df: DataFrame, text_col: str = "text", lang_col: str = "lang") -> Mode
         joined = own.join(weights, "context")
         if n > 1:
             joined = joined.withColumn("suffix", F.expr("substr(gram, 2)")).join(below.select(F.col("gram").alias("suffix"), *(F.col(f"p{j}").alias(f"q{j}") for j in each)), "suffix")
-            contexts.append(_hashed(weights.select(F.col("context").alias("gram"), *(F.log(f"b{j}").cast("float").alias(f"v{j}") for j in each)), n - 1, len(langs)))
+            contexts.append(weights.select(F.col("context").alias("gram"), *(F.log(f"b{j}").cast("float").alias(f"v{j}") for j in each)))
         else:
             joined = joined.select("*", *(F.lit(1 / letters).alias(f"q{j}") for j in each))
             unseen = np.log(np.array([weights.first()[f"b{j}"] for j in each]) / letters).astype(np.float32)
         share = [F.when(F.col(f"t{j}") > 0, F.greatest(F.col(f"c{j}") - F.lit(discounts[j]), F.lit(0.0)) / F.col(f"t{j}")).otherwise(0.0) for j in each]
         below = scratch_table(joined.select("gram", *(f"c{j}" for j in each), *((share[j] + F.col(f"b{j}") * F.col(f"q{j}")).alias(f"p{j}") for j in each)), f"langid-probabilities-{n}", rows=most)
-        grams.append(_hashed(below.select("gram", *(F.log(f"p{j}").cast("float").alias(f"v{j}") for j in each)), n, len(langs)))
+        grams.append(below.select("gram", *(F.log(f"p{j}").cast("float").alias(f"v{j}") for j in each)))
     # Entropy and spread of each language over all its letters.
     moments = below.agg(*(F.sum(F.col(f"c{j}") * F.log(f"p{j}") ** k) / F.sum(f"c{j}") for j in each for k in (1, 2))).first()
     means, squares = np.array(moments[::2]), np.array(moments[1::2])
-    sigma = np.sqrt(np.maximum(squares - means**2, 0))
-    return Model(langs, [g[0] for g in grams], [g[1] for g in grams], [c[0] for c in contexts], [c[1] for c in contexts], unseen, -means, sigma, np.log(np.array(own_letters) + 1))
+    rest = (unseen, -means, np.sqrt(np.maximum(squares - means**2, 0)), np.log(np.array(own_letters) + 1))
+    if sum(t.count() for t in (*grams, *contexts)) * (8 + 4 * len(langs)) > broadcast_bytes:
+        return Tables(langs, grams, contexts, *rest)
+    hashed = [_hashed(t, n, len(langs)) for n, t in enumerate(grams, 1)]
+    backed = [_hashed(t, n, len(langs)) for n, t in enumerate(contexts, 1)]
+    return Model(langs, [k for k, _ in hashed], [v for _, v in hashed], [k for k, _ in backed], [v for _, v in backed], *rest)
 
 
 class Scorer:
@@ -319,7 +337,50 @@ class Scorer:
         return self.logs[np.fromiter(map(self.row.__getitem__, tokens), np.int64, len(tokens))].sum(axis=0)
 
 
-def identify(df: DataFrame, model: Model | None, id_col: str = "doc_id", text_col: str = "text", reject_sigmas: float = 6.0, reject_at: float = 0.75, carry: list[str] | None = None, prefix: str = "", cache_words: int = 200_000) -> DataFrame:
+def _by_joins(df: DataFrame, model: Tables, text_col: str, columns: list[str], names: list[str], reject_sigmas: float, reject_at: float) -> DataFrame:
+    """identify() with a model in tables. df must be read in the same order each time, as from files."""
+    mark, each = "langid_place", range(len(model.langs))
+    while mark in df.columns:
+        mark += "_"
+    placed = df.withColumn(mark, F.monotonically_increasing_id())
+
+    def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for lo in range(0, len(whole), 512):
+                b = whole.slice(lo, 512)
+                found = [(p, w, n) for p, t in zip(b.column(0).to_pylist(), b.column(1), strict=True) for w, n in Counter(w for token in (t.as_py() or "").split() for w in words_of(token)).items()]
+                yield pa.RecordBatch.from_arrays([pa.array([f[k] for f in found], t) for k, t in enumerate((pa.int64(), pa.string(), pa.int64()))], names=["place", "word", "n"])
+
+    held = scratch_table(placed.select(F.col(mark).alias("place"), F.col(text_col).alias("text")).mapInArrow(words, "place long, word string, n long"), "langid-words")
+    padded = F.concat(F.lit(PAD * (ORDER - 1)), F.col("word"), F.lit(PAD))
+    starts = F.sequence(F.lit(1), F.char_length("word") + 1)
+    pieces = held.select("word").distinct().select("word", F.explode(F.transform(starts, lambda k: F.substr(padded, k, F.lit(ORDER)))).alias("gram"))
+    scored = pieces.select("gram").distinct()
+    found = [F.lit(float(x)) for x in model.unseen]
+    for n in range(1, ORDER + 1):
+        tail = F.substr("gram", F.lit(ORDER - n + 1), F.lit(n))
+        if n > 1:
+            backs = model.contexts[n - 2].select(F.col("gram").alias("context"), *(F.col(f"v{j}").alias(f"b{j}") for j in each))
+            scored = scored.withColumn("context", F.substr(tail, F.lit(1), F.lit(n - 1))).join(backs, "context", "left").drop("context")
+            found = [F.coalesce(F.col(f"b{j}"), F.lit(0.0)) + F.col(f"l{j}") for j in each]
+        own = model.grams[n - 1].withColumnRenamed("gram", "tail")
+        scored = scored.withColumn("tail", tail).join(own, "tail", "left").drop("tail")
+        scored = scored.withColumns({f"l{j}": F.coalesce(F.col(f"v{j}").cast("double"), found[j]) for j in each}).select("gram", *(f"l{j}" for j in each))
+    by_word = pieces.join(scored, "gram").groupBy("word").agg(F.count(F.lit(1)).alias("m"), *(F.sum(f"l{j}").alias(f"l{j}") for j in each))
+    sums = held.join(by_word, "word").groupBy("place").agg(F.sum(F.col("n") * F.col("m")).alias("m"), *(F.sum(F.col("n") * F.col(f"l{j}")).alias(f"l{j}") for j in each))
+    mean = F.array(*(-F.col(f"l{j}") / F.col("m") for j in each))
+    best = sums.select("place", "m", mean.alias("mean"), (F.array_position(mean, F.array_min(mean)) - 1).cast("int").alias("j"))
+    at = lambda xs: F.get(F.array(*(F.lit(float(x)) for x in xs)), F.col("j"))
+    low, own, letters = F.get("mean", F.col("j")), at(model.entropy), F.least(F.col("m").cast("double"), F.lit(40.0))
+    share = F.aggregate("mean", F.lit(0.0), lambda total, x: total + F.exp((low - x) * letters))
+    far = (low > own + reject_at * (at(model.even) - own)) & ((low - own) * F.sqrt(F.col("m").cast("double")) > reject_sigmas * at(model.sigma))
+    decided = best.select(F.col("place").alias(mark), F.get(F.array(*map(F.lit, model.langs)), F.col("j")).alias("p"), (1 / share).alias("s"), low.alias("e"), far.alias("r"))
+    of = zip(names, (F.coalesce("p", F.lit(UNDETERMINED)), F.coalesce("s", F.lit(0.0)), F.col("e"), F.coalesce("r", F.lit(True))), strict=True)
+    left, right = placed.select(mark, *(F.col(c).alias(f"langid_c_{c}") for c in columns)), decided
+    return left.join(right, mark, "left").select(*(F.col(f"langid_c_{c}").alias(c) for c in columns), *(v.alias(n) for n, v in of))
+
+
+def identify(df: DataFrame, model: Model | Tables | None, id_col: str = "doc_id", text_col: str = "text", reject_sigmas: float = 6.0, reject_at: float = 0.75, carry: list[str] | None = None, prefix: str = "", cache_words: int = 200_000) -> DataFrame:
     """One row per document: the id (or the columns of `carry`), lang_pred, score, cross_entropy, rejected, each behind `prefix`.
 
     lang_pred is the language of the lowest length-normalised cross-entropy, `und` if text is null or has no letter or there is no model; of equal languages
@@ -328,10 +389,12 @@ def identify(df: DataFrame, model: Model | None, id_col: str = "doc_id", text_co
     an empty input gives an empty result; texts are scored whole, whatever their length. A worker remembers up to cache_words words, twice.
     """
     columns = carry or [id_col]
+    names = [prefix + c for c in ("lang_pred", "score", "cross_entropy", "rejected")]
+    if isinstance(model, Tables):
+        return _by_joins(df, model, text_col, columns, names, reject_sigmas, reject_at)
     shipped = df.sparkSession.sparkContext.broadcast(model)
     key = uuid.uuid4().hex
     fields = ", ".join(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in columns)
-    names = [prefix + c for c in ("lang_pred", "score", "cross_entropy", "rejected")]
     sent = columns if text_col in columns else [*columns, text_col]
     text_at = sent.index(text_col)
 

@@ -158,8 +158,11 @@ def links(fps: DataFrame, crowd: int = 16) -> DataFrame:
     crowded = scratch_table(crowded, "simhash-crowded")
     replicas = at_anchors(fps, MAX_DISTANCE)
     # Of a pair, the smaller is looked for at home: if its anchor is crowded, both go to the finer code.
-    home = homes.join(crowded, "anchor", "left_anti").select("anchor", F.col("fp").alias("a"))
+    some = not crowded.isEmpty()
+    home = (homes.join(crowded, "anchor", "left_anti") if some else homes).select("anchor", F.col("fp").alias("a"))
     compared = home.join(replicas.withColumnRenamed("fp", "b"), "anchor").filter((F.col("a") < F.col("b")) & _near(F.col("a"), F.col("b"))).select("a", "b")
+    if not some:
+        return compared.distinct()
     fine = replicas.join(crowded, "anchor", "left_semi").select("fp").distinct()
     flips = F.array(F.lit(0).cast("long"), *(F.lit(signed(1 << k)).cast("long") for k in range(BITS)))
     at_words = fine.select("fp", F.explode(flips).alias("flip")).select(F.col("fp").bitwiseXOR(F.col("flip")).alias("word"), "fp")

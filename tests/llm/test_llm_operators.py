@@ -587,6 +587,20 @@ def test_training_in_spark_is_that_of_the_plain_version(spark, rows):
         assert np.allclose(getattr(model, name), getattr(want, name), atol=1e-4), name
 
 
+def test_a_model_in_tables_gives_the_same_results(spark, rows, odd):
+    df = frame(spark, rows)
+    model, tables = langid.train(df), langid.train(df, broadcast_bytes=0)
+    assert isinstance(tables, langid.Tables) and np.allclose(model.entropy, tables.entropy)
+    texts = [*odd, "the thing", "привет мир " * 30, "bal rel x" * 9, "12 34"]
+    asked = frame(spark, [*rows, *((1000 + i, t, None, None) for i, t in enumerate(texts))]).withColumn("langid_place", F.lit(7)).persist()
+    one, two = (sorted(langid.identify(asked, m, carry=["doc_id", "text", "langid_place"]).collect(), key=str) for m in (model, tables))
+    assert len(one) == len(two) == len(rows) + len(texts)
+    for a, b in zip(one, two, strict=True):
+        assert (a.doc_id, a.text, a.langid_place, a.lang_pred, a.rejected) == (b.doc_id, b.text, b.langid_place, b.lang_pred, b.rejected)
+        assert a.score == pytest.approx(b.score, abs=1e-4) and (a.cross_entropy is None) == (b.cross_entropy is None) and (a.cross_entropy or 0) == pytest.approx(b.cross_entropy or 0, abs=1e-4)
+    assert langid.identify(asked.limit(0), tables).count() == 0
+
+
 def test_training_keeps_every_gram(spark):
     """More 5-grams of a language than any table size that was ever fixed."""
     letters = np.random.default_rng(1).integers(0x4E00, 0x9FA0, (12_000, 50))
