@@ -26,6 +26,8 @@ Golay code over 23 chosen bits and the code of all words over a few more, and th
 goes to one anchor of each code, and two that are alike meet at one of them at least (the chance is in `meeting`). At an
 anchor all are compared in full. An anchor with more than `crowd` fingerprints deals them to finer anchors, those of two codes together, then of three
 and of four; so work stays linear in a large group of near copies, whose members have so many chances to be linked that the group holds.
+At each anchor a forest of its closest pairs stands for all its links. Links so close that the similarity is beyond doubt are taken as they are; others
+that would join two groups are checked by LONG further bits of both texts, so that texts below the similarity aren't chained together.
 """
 
 from __future__ import annotations
@@ -45,6 +47,8 @@ from basalt.llm.common import cut, own_key, process_memo, scratch_table
 SHINGLE, SEED, BITS, MAX_DISTANCE = 3, 42, 64, 2
 #: Wide fingerprints: their bits, the number of codes and the chosen bits of a code beyond the Golay block for up to 2**20 fingerprints, and how many codes an anchor may join.
 WIDE, CODES, RAW, DEPTH = 256, 48, 6, 4
+#: Further bits that decide where WIDE ones leave doubt.
+LONG = 1024
 #: Generator polynomial of the binary Golay code, and its length, redundancy and covering radius.
 _G, _N, _R, _RADIUS = 0b110001110101, 23, 11, 3
 _LOW = 12
@@ -220,32 +224,32 @@ def _component_minimum(rows: DataFrame, least: Column, link: Callable[[DataFrame
     return placed.select("fp", own_key("root").alias("key")).join(lowest, "key").select("fp", "least")
 
 
-def wide_fingerprint(text: str | None, shingle: int = 5) -> bytes:
-    """The SimHash of WIDE bits over the distinct shingles: a bit set where over half of their hashes have it set; zeros without words."""
+def wide_fingerprint(text: str | None, shingle: int = 5, bits: int = WIDE, first_word: int = 0) -> bytes:
+    """The SimHash of so many bits over the distinct shingles: a bit set where over half of their hashes have it set; zeros without words. Other first words give other bits."""
     words = (text or "").encode().lower().split()
     if not words:
-        return bytes(WIDE // 8)
+        return bytes(bits // 8)
     hashed, seed = xxhash.xxh64_digest, SEED
     digests = list({hashed(b" ".join(words[i : i + shingle]), seed) for i in range(max(1, len(words) - shingle + 1))})
-    votes = np.zeros(WIDE, np.int64)
-    for lo in range(0, len(digests), 1 << 14):
-        part = digests[lo : lo + (1 << 14)]
+    votes = np.zeros(bits, np.int64)
+    for lo in range(0, len(digests), 1 << 12):
+        part = digests[lo : lo + (1 << 12)]
         first = np.frombuffer(b"".join(part), "<u8")
         # Further words of a hash are made of the first by a multiplicative mix.
-        wide = np.empty((len(part), WIDE // 64), np.uint64)
-        for k in range(WIDE // 64):
-            x = (first + np.uint64(k)) * np.uint64(0x9E3779B97F4A7C15)
+        wide = np.empty((len(part), bits // 64), np.uint64)
+        for k in range(bits // 64):
+            x = (first + np.uint64(first_word + k)) * np.uint64(0x9E3779B97F4A7C15)
             x = (x ^ x >> np.uint64(32)) * np.uint64(0xD6E8FEB86659FD93)
             wide[:, k] = x ^ x >> np.uint64(32)
-        bits = np.unpackbits(wide.view(np.uint8), axis=1)
-        votes += np.add.reduceat(bits, np.arange(0, len(bits), 255), axis=0, dtype=np.uint8).sum(axis=0, dtype=np.int64)
+        each = np.unpackbits(wide.view(np.uint8), axis=1)
+        votes += np.add.reduceat(each, np.arange(0, len(each), 255), axis=0, dtype=np.uint8).sum(axis=0, dtype=np.int64)
     return np.packbits(votes * 2 > len(digests)).tobytes()
 
 
-def wide_distance(similarity: float) -> int:
-    """Differing bits at which two sets of shingles of that Jaccard similarity (and of equal size) are linked: as many as are expected, and half a standard deviation."""
+def wide_distance(similarity: float, bits: int = WIDE, deviations: float = 0.0) -> int:
+    """Differing bits that are expected of two sets of shingles of that Jaccard similarity (and of equal size), and so many standard deviations."""
     share = math.acos(2 * similarity / (1 + similarity)) / math.pi
-    return round(WIDE * share + math.sqrt(WIDE * share * (1 - share)) / 2)
+    return round(bits * share + deviations * math.sqrt(bits * share * (1 - share)))
 
 
 def code_sizes(fingerprints: int) -> tuple[int, int]:
@@ -298,38 +302,49 @@ def _bytes_of(column: pa.Array) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(-1, WIDE // 8)
 
 
-def _run_links(keys: np.ndarray, fps: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
-    """(smallest, member) rows of fps, sorted by key, that are linked at their key, straight or by way of others there."""
+def _run_links(keys: np.ndarray, fps: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(a, b, distance) of rows of fps, sorted by key: of each key's links a forest of the closest that connects what they all connect."""
     edges = np.flatnonzero(np.diff(keys, prepend=keys[:1] - 1))
     end = np.repeat(np.append(edges[1:], len(keys)), np.diff(np.append(edges, len(keys))))
     rows = np.arange(len(keys))
     n = end - rows - 1
-    words, label = fps.view(np.uint64), rows.copy()
+    words = fps.view(np.uint64)
     # Some 2**18 pairs at a time.
     cuts = np.searchsorted(np.cumsum(n), np.arange(0, n.sum() + (1 << 18), 1 << 18))
-    left, right = [], []
+    found = []
     for lo, hi in zip(cuts, [*cuts[1:], len(n)], strict=True):
         m = n[lo:hi]
         a = np.repeat(rows[lo:hi], m)
         b = a + 1 + np.arange(len(a)) - np.repeat(np.cumsum(m) - m, m)
-        near = np.bitwise_count(words[a] ^ words[b]).sum(axis=1, dtype=np.int64) <= most
-        left.append(a[near])
-        right.append(b[near])
-    a, b = np.concatenate(left), np.concatenate(right)
-    while True:
-        low = np.minimum(label[a], label[b])
-        before = label.copy()
-        np.minimum.at(label, a, low)
-        np.minimum.at(label, b, low)
-        label = label[label]
-        if (label == before).all():
-            break
-    member = np.flatnonzero(label != rows)
-    return label[member], member
+        d = np.bitwise_count(words[a] ^ words[b]).sum(axis=1, dtype=np.int64)
+        near = d <= most
+        found.append((a[near], b[near], d[near]))
+    a, b, d = (np.concatenate(x) for x in zip(*found, strict=True))
+    order = np.argsort(d, kind="stable")
+    a, b, d = a[order], b[order], d[order]
+    label, taken, open_ = rows.copy(), [], np.arange(len(a))
+    while len(open_):
+        # Each component takes the first, so the closest, link that leaves it.
+        best = np.full(len(rows), len(a))
+        np.minimum.at(best, label[a[open_]], open_)
+        np.minimum.at(best, label[b[open_]], open_)
+        chosen = np.unique(best[best < len(a)])
+        taken.append(chosen)
+        while True:
+            low = np.minimum(label[a[chosen]], label[b[chosen]])
+            before = label.copy()
+            np.minimum.at(label, label[a[chosen]], low)
+            np.minimum.at(label, label[b[chosen]], low)
+            label = label[label]
+            if (label == before).all():
+                break
+        open_ = open_[label[a[open_]] != label[b[open_]]]
+    taken = np.concatenate(taken) if taken else np.zeros(0, np.int64)
+    return a[taken], b[taken], d[taken]
 
 
 def wide_links(fps: DataFrame, most: int, crowd: int = 128) -> DataFrame:
-    """(a, b): links between different wide fingerprints of at most so many differing bits that meet at an anchor. fps: distinct fp (binary)."""
+    """(a, b, distance): links between different wide fingerprints of at most so many differing bits that meet at an anchor, as far as they are needed to connect what all of them connect. fps: distinct fp (binary)."""
     codes, raw = code_sizes(fps.count())
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -342,24 +357,22 @@ def wide_links(fps: DataFrame, most: int, crowd: int = 128) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(keys), column.take(pa.array(np.repeat(np.arange(len(column)), codes)))], names=["key", "fp"])
 
     def compare(depth: int):
-        """Rows sorted by (key, fp) to (a, b, null) for links and (null, fp, finer key) for those of crowds."""
+        """Rows sorted by (key, fp) to (a, b, distance) for links and (null, fp, finer key) for those of crowds."""
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             process_memo("simhash")
             held, crowded, pivot = None, None, None  # rows of the last key so far; that key, if it is a crowd; its first fingerprint
 
-            def out(a, b, key):
-                n = len(b)
-                none = [pa.nulls(n, pa.binary()), pa.nulls(n, pa.int64())]
+            def out(a: np.ndarray | None, b: np.ndarray, value: np.ndarray) -> pa.RecordBatch:
                 wrap = lambda rows: pa.array([r.tobytes() for r in rows], pa.binary())
-                return pa.RecordBatch.from_arrays([none[0] if a is None else wrap(a), wrap(b), none[1] if key is None else pa.array(key)], names=["a", "b", "key"])
+                return pa.RecordBatch.from_arrays([pa.nulls(len(b), pa.binary()) if a is None else wrap(a), wrap(b), pa.array(value, pa.int64())], names=["a", "b", "value"])
 
-            def overflow(keys, fps):
+            def overflow(keys: np.ndarray, fps: np.ndarray) -> pa.RecordBatch:
                 if depth < DEPTH:
                     return out(None, fps, _keys(homes(fps, codes, raw), (keys.view(np.uint64) >> np.uint64(54)).astype(np.int64), depth + 1))
-                near = np.bitwise_count(fps.view(np.uint64) ^ pivot.view(np.uint64)).sum(axis=1, dtype=np.int64) <= most
-                near &= (fps != pivot).any(axis=1)
-                return out(np.repeat(pivot, near.sum(), axis=0), fps[near], None)
+                distance = np.bitwise_count(fps.view(np.uint64) ^ pivot.view(np.uint64)).sum(axis=1, dtype=np.int64)
+                near = (distance <= most) & (distance > 0)
+                return out(np.repeat(pivot, near.sum(), axis=0), fps[near], distance[near])
 
             for batch in chain(batches, (None,)):
                 if batch is None:
@@ -393,49 +406,76 @@ def wide_links(fps: DataFrame, most: int, crowd: int = 128) -> DataFrame:
                 fit = np.repeat((size > 1) & (size <= crowd), size)
                 if fit.any():
                     keys, fps = keys[fit], fps[fit]
-                    a, b = _run_links(keys, np.ascontiguousarray(fps), most)
+                    a, b, distance = _run_links(keys, np.ascontiguousarray(fps), most)
                     if len(b):
-                        yield out(fps[a], fps[b], None)
+                        yield out(fps[a], fps[b], distance)
 
         return run
 
     rows, found = fps.select("fp").mapInArrow(spread, "key long, fp binary"), None
     for depth in range(1, DEPTH + 1):
         sorted_rows = rows.repartition("key").sortWithinPartitions("key", "fp")
-        level = scratch_table(sorted_rows.mapInArrow(compare(depth), "a binary, b binary, key long"), f"simhash-links-{depth}")
-        own = level.filter("a IS NOT NULL").select("a", "b")
+        level = scratch_table(sorted_rows.mapInArrow(compare(depth), "a binary, b binary, value long"), f"simhash-links-{depth}")
+        own = level.filter("a IS NOT NULL").select("a", "b", F.col("value").alias("distance"))
         found = own if found is None else found.unionByName(own)
-        rows = level.filter("a IS NULL").select("key", F.col("b").alias("fp"))
+        rows = level.filter("a IS NULL").select(F.col("value").alias("key"), F.col("b").alias("fp"))
         if rows.isEmpty():
             break
-    return found.distinct()
+    return found.groupBy("a", "b").agg(F.min("distance").alias("distance"))
 
 
 def representatives(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8, crowd: int = 128, broadcast_rows: int = 1_000_000) -> DataFrame:
     """The rows of df that stay: of each group of near copies the one with the smallest id (of those with that id, the first in the input), all columns as they were.
 
-    Near copies are texts whose distinct shingles have a Jaccard similarity of `similarity` or more by their wide fingerprints (`wide_distance`); groups are
-    their components. Empty and null texts, and others without words, have fingerprint zero and are one group, of which one row stays. Null ids
+    Near copies are texts whose distinct shingles have a Jaccard similarity of `similarity` or more, as their wide fingerprints tell: a link needs no more differing bits than
+    are expected of it (and a standard deviation), and if it has more than are expected less two standard deviations and joins two groups, no more than are expected of LONG
+    further bits. Groups are the links' components. Empty and null texts, and others without words, have fingerprint zero and are one group, of which one row stays. Null ids
     come last, so that a row with an id stays if there is one. Rows that repeat an id are rows of their own. An empty input gives an empty
     result. Columns may have any names. The input must be read in the same order each time, as from files.
 
-    Only the places of rows that go are joined with the input: broadcast up to `broadcast_rows` of them (8 bytes each), shuffled beyond.
+    Only places of rows are joined with the input: broadcast up to `broadcast_rows` of them (8 bytes each), shuffled beyond.
     """
     mark = "simhash_place"
     while mark in df.columns:
         mark += "_"
     placed = df.withColumn(mark, F.monotonically_increasing_id())
+    here = lambda places: F.broadcast(places) if places.count() <= broadcast_rows else places
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         process_memo("simhash")
         for b in batches:
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([wide_fingerprint(t.as_py(), shingle) for t in b.column(2)], pa.binary())], names=["id", "place", "fp"])
 
+    def further(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        process_memo("simhash")
+        for b in batches:
+            bits = [np.frombuffer(wide_fingerprint(t.as_py(), shingle, LONG, WIDE // 64), np.int64) for t in b.column(1)]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(bits, pa.list_(pa.int64()))], names=["place", "bits"])
+
     rows = placed.select(F.col(id_col).alias("id"), F.col(mark).alias("place"), F.col(text_col).alias("text")).mapInArrow(run, f"id {df.schema[id_col].dataType.simpleString()}, place long, fp binary")
     rows = scratch_table(rows, "simhash")
+
+    def link(fps: DataFrame) -> DataFrame:
+        found = scratch_table(wide_links(fps, wide_distance(similarity, WIDE, 1), crowd), "simhash-found")
+        doubt = F.col("distance") > wide_distance(similarity, WIDE, -2)
+        sure = found.filter(~doubt).select("a", "b")
+        roots = components(sure)
+        root_of = lambda c: roots.select(F.col("node").alias(c), F.col("root").alias(f"{c}_root"))
+        joins = found.filter(doubt).join(root_of("a"), "a", "left").join(root_of("b"), "b", "left")
+        joins = scratch_table(joins.filter(F.coalesce("a_root", "a") != F.coalesce("b_root", "b")).select("a", "b").distinct(), "simhash-doubt")
+        if joins.isEmpty():
+            return sure
+        asked = joins.select(F.col("a").alias("fp")).union(joins.select(F.col("b").alias("fp"))).distinct()
+        places = scratch_table(rows.join(asked, "fp", "left_semi").groupBy("fp").agg(F.min("place").alias("place")), "simhash-asked")
+        texts = placed.select(F.col(mark).alias("place"), F.col(text_col).alias("text")).join(here(places.select("place")), "place", "left_semi")
+        bits = scratch_table(texts.mapInArrow(further, "place long, bits array<long>").join(places, "place").select("fp", "bits"), "simhash-bits")
+        of = lambda c: bits.select(F.col("fp").alias(c), F.col("bits").alias(f"{c}_bits"))
+        apart = F.aggregate(F.zip_with("a_bits", "b_bits", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda total, n: total + n)
+        close = joins.join(of("a"), "a").join(of("b"), "b").filter(apart <= wide_distance(similarity, LONG)).select("a", "b")
+        return sure.unionByName(close)
+
     # Null ids last, so that a row with an id stays if there is one.
     whole = F.min(F.struct(F.col("id").isNull().alias("none"), F.col("id"), F.col("place")))
-    first = _component_minimum(rows, whole, lambda fps: wide_links(fps, wide_distance(similarity), crowd))
+    first = _component_minimum(rows, whole, link)
     goes = scratch_table(rows.join(first, "fp").filter("place <> least.place").select(F.col("place").alias(mark)), "simhash-goes")
-    few = goes.count() <= broadcast_rows
-    return placed.join(F.broadcast(goes) if few else goes, mark, "left_anti").select(*df.columns)
+    return placed.join(here(goes), mark, "left_anti").select(*df.columns)

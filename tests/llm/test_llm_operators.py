@@ -215,9 +215,29 @@ def test_a_crowd_of_near_copies_is_one_group(spark, crowd):
     assert len(found) == len(fps) - 1 and len({bytes(x.root) for x in found}) == 1
 
 
+def test_forests_connect_what_all_links_connect():
+    rng = np.random.default_rng(9)
+    for most in (20, 42, 60):
+        base = rng.integers(0, 256, (12, 32), np.uint8)
+        fps = np.concatenate([base ^ np.packbits(rng.random((12, 256)) < p, axis=1) for p in (0.0, 0.03, 0.08, 0.12, 0.2)])
+        keys = np.sort(rng.integers(0, 4, len(fps)))
+        d = np.bitwise_count(fps[:, None] ^ fps[None]).sum(axis=2)
+        everything = [(a, b) for b in range(len(fps)) for a in range(b) if keys[a] == keys[b] and d[a, b] <= most]
+        a, b, distance = simhash._run_links(keys, np.ascontiguousarray(fps), most)
+
+        def groups(pairs):
+            group = list(range(len(fps)))
+            for x, y in pairs:
+                group = [min(group[x], group[y]) if g in (group[x], group[y]) else g for g in group]
+            return group
+
+        assert groups(zip(a.tolist(), b.tolist(), strict=True)) == groups(everything) and len(a) == len(fps) - len(set(groups(everything)))
+        assert (distance == d[a, b]).all() and (keys[a] == keys[b]).all()
+
+
 def test_chance_of_meeting():
     """Of pairs that differ in the bits expected at a similarity of 0.85 nine in ten meet at an anchor, of closer ones nearly all; more codes keep that for larger inputs."""
-    assert simhash.wide_distance(0.8) == 42 and simhash.code_sizes(10**5) == (48, 6)
+    assert [simhash.wide_distance(0.8, 256, k) for k in (-2, 0, 1)] == [27, 39, 45] and simhash.code_sizes(10**5) == (48, 6)
     assert simhash.meeting(0.13) > 0.9 and simhash.meeting(0.1) > 0.98 and simhash.meeting(0.5) < 0.01
     codes, raw = simhash.code_sizes(5 * 10**7)
     rng = np.random.default_rng(1)
