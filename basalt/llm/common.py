@@ -69,6 +69,12 @@ def own_key(c: str | Column) -> Column:
     return F.hex(c)
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a folder of intermediates in whatever store it is."""
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 

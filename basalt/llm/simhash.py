@@ -429,7 +429,7 @@ def representatives(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
     Near copies are texts whose distinct shingles have a Jaccard similarity of `similarity` or more, as their wide fingerprints tell: a link needs no more differing bits than
     are expected of it (and a standard deviation), and if it has more than are expected less two standard deviations and joins two groups, no more than are expected of LONG
-    further bits. Groups are the links' components. Empty and null texts, and others without words, have fingerprint zero and are one group, of which one row stays. Null ids
+    further bits (and half a deviation). Groups are the links' components. Empty and null texts, and others without words, have fingerprint zero and are one group, of which one row stays. Null ids
     come last, so that a row with an id stays if there is one. Rows that repeat an id are rows of their own. An empty input gives an empty
     result. Columns may have any names. The input must be read in the same order each time, as from files.
 
@@ -471,7 +471,7 @@ def representatives(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
         bits = scratch_table(texts.mapInArrow(further, "place long, bits array<long>").join(places, "place").select("fp", "bits"), "simhash-bits")
         of = lambda c: bits.select(F.col("fp").alias(c), F.col("bits").alias(f"{c}_bits"))
         apart = F.aggregate(F.zip_with("a_bits", "b_bits", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda total, n: total + n)
-        close = joins.join(of("a"), "a").join(of("b"), "b").filter(apart <= wide_distance(similarity, LONG)).select("a", "b")
+        close = joins.join(of("a"), "a").join(of("b"), "b").filter(apart <= wide_distance(similarity, LONG, 0.5)).select("a", "b")
         return sure.unionByName(close)
 
     # Null ids last, so that a row with an id stays if there is one.
