@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from basalt.llm.common import scratch_table
+from basalt.llm.common import process_memo, scratch_table
 
 _WHITE = b"\x20\x09\x0a\x0b\x0c\x0d"
 
@@ -173,8 +173,13 @@ def drop_frequent_lines(
         rows = frequent.toArrow()
         keys = spark.sparkContext.broadcast(np.stack([rows["h1"].to_numpy(), rows["h2"].to_numpy()], axis=1))
 
+        own = uuid.uuid4().hex
+
         def run(arrow: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            known = {(a << 64) + b for a, b in keys.value.tolist()}
+            memo = process_memo("lines")
+            if memo.get("keys", (None,))[0] != own:
+                memo["keys"] = (own, {(a << 64) + b for a, b in keys.value.tolist()})
+            known = memo["keys"][1]
 
             def drop(key: bytes) -> bool:
                 a, b = key_hash(key)
