@@ -44,30 +44,27 @@ def quality_gates(df: DataFrame, source_required: bool = True) -> DataFrame:
     return df.filter(keep & source)
 
 
-def _short_key(c: str) -> Column:
-    """128 bits of a key; null stays null."""
-    return F.unhex(F.md5(F.col(c).cast("string")))
+def _short_key(c: str, order: str) -> Column:
+    """128 bits of a key; a key of the row's own where it is null, so that nulls neither clash nor meet in one partition."""
+    return F.unhex(F.coalesce(F.md5(F.col(c).cast("string")), F.md5(F.concat(F.lit("null "), F.col(order).cast("string")))))
 
 
 def greedy_dedup(df: DataFrame, order: str, first: str, second: str) -> DataFrame:
-    """In order, a row is kept unless a kept row has its `first` or its `second` key; null keys never clash. `order` is unique.
+    """In order, a row is kept unless a kept row has its `first` or its `second` key; null keys never clash. `order` is unique and not null.
 
     Keys are compared by 128-bit hashes, so that no text is shuffled. Rounds: a row that comes first for both keys among the undecided is kept, and all that share
     a key with a kept row go. Rows equal in both keys are settled beforehand, so large groups of copies are
     one aggregated row. Rounds end when nothing is undecided; they are few, for a chain of n clashes n at most.
     """
-    narrow = df.select(F.col(order).alias("o"), _short_key(first).alias("a"), _short_key(second).alias("b"))
-    both = narrow.filter("a IS NOT NULL AND b IS NOT NULL").groupBy("a", "b").agg(F.min("o").alias("o")).select("o", "a", "b")
-    todo = checkpointed(both.unionByName(narrow.filter("a IS NULL OR b IS NULL")))
+    narrow = df.select(F.col(order).alias("o"), _short_key(first, order).alias("a"), _short_key(second, order).alias("b"))
+    todo = checkpointed(narrow.groupBy("a", "b").agg(F.min("o").alias("o")).select("o", "a", "b"))
     kept = None
     while True:
-        a = todo.filter("a IS NOT NULL").groupBy("a").agg(F.min("o").alias("a_first"))
-        b = todo.filter("b IS NOT NULL").groupBy("b").agg(F.min("o").alias("b_first"))
-        ranked = todo.join(a, "a", "left").join(b, "b", "left")
-        now = checkpointed(ranked.filter("(a IS NULL OR o = a_first) AND (b IS NULL OR o = b_first)").select("o", "a", "b"))
+        a = todo.groupBy("a").agg(F.min("o").alias("a_first"))
+        b = todo.groupBy("b").agg(F.min("o").alias("b_first"))
+        now = checkpointed(todo.join(a, "a").join(b, "b").filter("o = a_first AND o = b_first").select("o", "a", "b"))
         kept = now if kept is None else kept.unionByName(now)
-        rest = todo.join(now.select("o"), "o", "left_anti").join(now.filter("a IS NOT NULL").select("a"), "a", "left_anti").join(now.filter("b IS NOT NULL").select("b"), "b", "left_anti")
-        todo = checkpointed(rest.select("o", "a", "b"))
+        todo = checkpointed(todo.join(now.select("a"), "a", "left_anti").join(now.select("b"), "b", "left_anti").select("o", "a", "b"))
         if todo.isEmpty():
             break
     return df.join(kept.select(F.col("o").alias(order)), order, "left_semi")

@@ -32,7 +32,7 @@ def encode(df: DataFrame, c: str, encoder: Callable[[list[str]], np.ndarray], ba
 def search(queries: DataFrame, keys: DataFrame, query_key: str, key: str, vector: str, k: int = 5, threshold: float | None = None, block: int = 8192) -> DataFrame:
     """(query_key, key, score, rank): each query's k best keys by inner product, at least `threshold` if given; ties by key.
 
-    Keys are dealt to blocks; a set of queries meets every block, one matrix product each, and
+    Exact search: work is queries times keys. Keys are dealt to blocks; a set of queries meets every block, one matrix product each, and
     only the k best of a block go on. Scores are rounded to nine decimals, so the order doesn't depend on how sums were made.
     """
     n = max(1, -(-keys.count() // block))
