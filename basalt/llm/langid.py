@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from basalt.llm.common import process_memo, scratch_table
+from basalt.llm.common import own_key, process_memo, scratch_table
 
 ORDER = 5
 PAD = " "
@@ -366,8 +366,11 @@ def _by_joins(df: DataFrame, model: Tables, text_col: str, columns: list[str], n
         own = model.grams[n - 1].withColumnRenamed("gram", "tail")
         scored = scored.withColumn("tail", tail).join(own, "tail", "left").drop("tail")
         scored = scored.withColumns({f"l{j}": F.coalesce(F.col(f"v{j}").cast("double"), found[j]) for j in each}).select("gram", *(f"l{j}" for j in each))
-    by_word = pieces.join(scored, "gram").groupBy("word").agg(F.count(F.lit(1)).alias("m"), *(F.sum(f"l{j}").alias(f"l{j}") for j in each))
-    sums = held.join(by_word, "word").groupBy("place").agg(F.sum(F.col("n") * F.col("m")).alias("m"), *(F.sum(F.col("n") * F.col(f"l{j}")).alias(f"l{j}") for j in each))
+    # Some n-grams stand in very many words, some words in nearly all texts.
+    scored = scored.select(own_key("gram").alias("key"), *(f"l{j}" for j in each))
+    by_word = pieces.select("word", own_key("gram").alias("key")).join(scored, "key").groupBy("word").agg(F.count(F.lit(1)).alias("m"), *(F.sum(f"l{j}").alias(f"l{j}") for j in each))
+    by_word = by_word.withColumn("key", own_key("word")).drop("word")
+    sums = held.select("place", "n", own_key("word").alias("key")).join(by_word, "key").groupBy("place").agg(F.sum(F.col("n") * F.col("m")).alias("m"), *(F.sum(F.col("n") * F.col(f"l{j}")).alias(f"l{j}") for j in each))
     mean = F.array(*(-F.col(f"l{j}") / F.col("m") for j in each))
     best = sums.select("place", "m", mean.alias("mean"), (F.array_position(mean, F.array_min(mean)) - 1).cast("int").alias("j"))
     at = lambda xs: F.get(F.array(*(F.lit(float(x)) for x in xs)), F.col("j"))
