@@ -460,7 +460,9 @@ def representatives(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
         doubt = F.col("distance") > wide_distance(similarity, WIDE, -2)
         sure = found.filter(~doubt).select("a", "b")
         roots = components(sure)
-        root_of = lambda c: roots.select(F.col("node").alias(c), F.col("root").alias(f"{c}_root"))
+        # A text in the middle of a large group has very many links: up to a fifth of broadcast_rows roots (64 bytes each) go to the links instead.
+        few = roots.count() <= broadcast_rows // 5
+        root_of = lambda c: (F.broadcast if few else lambda x: x)(roots.select(F.col("node").alias(c), F.col("root").alias(f"{c}_root")))
         joins = found.filter(doubt).join(root_of("a"), "a", "left").join(root_of("b"), "b", "left")
         joins = scratch_table(joins.filter(F.coalesce("a_root", "a") != F.coalesce("b_root", "b")).select("a", "b").distinct(), "simhash-doubt")
         if joins.isEmpty():
