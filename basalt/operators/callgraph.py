@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from basalt.functions import text as T
+from basalt.operators import messages
 
 
 def calls_in(instructions: DataFrame, functions: DataFrame, imports: DataFrame | None = None) -> DataFrame:
@@ -55,10 +56,13 @@ def without_external(functions: DataFrame, imports: DataFrame) -> DataFrame:
     return functions.filter(~T.is_external("segment", "code", "mnemonic")).join(imports.select("fn"), "fn", "left_anti")
 
 
-def enrich(fns: DataFrame, edges: DataFrame, fn_key: str, value: str, source: str, target: str, name: str) -> DataFrame:
-    """Add a map from neighbour to its `value`, for neighbours that are in the dataset themselves; an empty map else. edges: (source, target)."""
+def enrich(fns: DataFrame, edges: DataFrame, fn_key: str, value: str, source: str, target: str, name: str, most: int = 1000) -> DataFrame:
+    """Add a map from neighbour to its `value`, for neighbours that are in the dataset themselves; an empty map else. edges: (source, target).
+
+    A function with more than `most` such neighbours keeps the first by key, so that no row grows without bound; they are picked before any value moves, and by each task for itself before they meet."""
     known = fns.select(F.col(fn_key).alias(target), F.col(value).alias("neighbour_value"))
-    maps = edges.select(source, target).distinct().join(known, target).groupBy(source).agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct(target, "neighbour_value")))).alias(name))
+    picked = first_neighbours(edges.join(known.select(target), target, "left_semi"), source, target, most).select(source, target)
+    maps = picked.join(known, target).groupBy(source).agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct(target, "neighbour_value")))).alias(name))
     kind = maps.schema[name].dataType
     empty = F.map_from_arrays(F.array().cast(f"array<{kind.keyType.simpleString()}>"), F.array().cast(f"array<{kind.valueType.simpleString()}>"))
     return fns.join(maps.withColumnRenamed(source, fn_key), fn_key, "left").withColumn(name, F.coalesce(name, empty))
@@ -77,7 +81,5 @@ def star_edges(callers: DataFrame, callees: DataFrame, k: int = 5) -> DataFrame:
 
 
 def mean_neighbours(edges: DataFrame, vectors: DataFrame, source: str, target: str) -> DataFrame:
-    """Mean of the neighbours' vectors, dimension by dimension. vectors: (target, embedding)."""
-    long = edges.join(vectors, target).select(source, F.posexplode("embedding").alias("dim", "x"))
-    means = long.groupBy(source, "dim").agg(F.avg("x").alias("x"))
-    return means.groupBy(source).agg(F.transform(F.sort_array(F.collect_list(F.struct("dim", "x"))), lambda s: s["x"]).alias("embedding"))
+    """(source, embedding): the mean of the neighbours' vectors. vectors: (target, embedding)."""
+    return messages.mean_messages(vectors, edges, target, "embedding", target, source).withColumnRenamed(target, source)

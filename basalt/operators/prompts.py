@@ -37,20 +37,29 @@ def path_order(blocks: DataFrame, fn: str, path: str = "path", pos: str = "pos",
     return whole.select(fn, best.alias("best")).filter("best IS NOT NULL").select(fn, "best.path_order", "best.cost")
 
 
-def compressed(blocks: DataFrame, fn: str, path: str = "path", pos: str = "pos", content: str = "content") -> DataFrame:
-    """(fn, path, pos, shown): a block in full where it comes first in its function, `Same as REF_<path>_<pos>` where it repeats."""
+def compressed(blocks: DataFrame, fn: str, path: str = "path", pos: str = "pos", content: str = "content", place: str | None = None) -> DataFrame:
+    """(fn, path, pos, shown, and place if given): a block in full where it comes first in its function, `Same as REF_<path>_<pos>` where it repeats. place: a column with the place at which a path is shown; its own number if not given."""
     h = blocks.withColumn("block_hash", T.short_hash(content))
-    w = Window.partitionBy(fn, "block_hash").orderBy(path, pos)
+    w = Window.partitionBy(fn, "block_hash").orderBy(place or path, pos)
     first = F.first(F.struct(F.col(path).alias("p"), F.col(pos).alias("i"))).over(w)
     marked = h.withColumn("first_at", first)
     here = (F.col("first_at.p") == F.col(path)) & (F.col("first_at.i") == F.col(pos))
     return marked.withColumn("shown", F.when(here, F.col(content)).otherwise(F.concat(F.lit("Same as REF_"), F.col("first_at.p").cast("string"), F.lit("_"), F.col("first_at.i").cast("string")))).drop("first_at", "block_hash")
 
 
-def rendered(shown: DataFrame, fn: str, path: str = "path", pos: str = "pos") -> DataFrame:
-    """(fn, prompt_blocks): all paths' blocks as one text."""
-    lines = shown.groupBy(fn, path).agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct(pos, "shown"))), lambda s: s["shown"]), "\n").alias("t"))
-    return lines.groupBy(fn).agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct(path, "t"))), lambda s: F.concat(F.lit("Path "), s[path].cast("string"), F.lit(":\n"), s["t"])), "\n\n").alias("prompt_blocks"))
+def rendered(shown: DataFrame, fn: str, path: str = "path", pos: str = "pos", place: str | None = None) -> DataFrame:
+    """(fn, prompt_blocks): all paths' blocks as one text, paths by number or by place."""
+    lines = shown.groupBy(fn, path).agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct(pos, "shown"))), lambda s: s["shown"]), "\n").alias("t"), F.min(place or path).alias("shown_at"))
+    whole = F.sort_array(F.collect_list(F.struct("shown_at", path, "t")))
+    return lines.groupBy(fn).agg(F.array_join(F.transform(whole, lambda s: F.concat(F.lit("Path "), s[path].cast("string"), F.lit(":\n"), s["t"])), "\n\n").alias("prompt_blocks"))
+
+
+def in_best_order(blocks: DataFrame, fn: str, path: str = "path", pos: str = "pos", content: str = "content", most: int = 4) -> DataFrame:
+    """(fn, prompt_blocks): paths in their cheapest order (`path_order`), repeated blocks referring to where they stand first in that order. Functions with more than `most` paths keep the order of path numbers."""
+    order = path_order(blocks, fn, path, pos, content, most).select(fn, "path_order")
+    at = F.coalesce(F.array_position("path_order", F.col(path)).cast("long"), F.col(path).cast("long"))
+    placed = blocks.join(order, fn, "left").withColumn("shown_place", at).drop("path_order")
+    return rendered(compressed(placed, fn, path, pos, content, "shown_place"), fn, path, pos, "shown_place")
 
 
 def reference_prompt(source: str | Column) -> Column:

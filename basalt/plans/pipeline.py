@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from basalt.functions import text as T
 from basalt.operators import callgraph, curation, dataflow, denoise, graphs, judge, metrics, prompts, splits
 from basalt.plans.providers import Provider, replies
+from basalt.sources.shared import kept
 
 MODES = ("M1", "M2", "M3", "M4")
 
@@ -43,8 +44,7 @@ def neighbours(dataset: DataFrame) -> DataFrame:
 def augref(dataset: DataFrame, provider: Provider, order: list[str] = ("fn_id",), store: str | None = None, commits: int = 1) -> DataFrame:
     """Add model-made references: one request for each distinct key, asked again once if the summary is poor. `store` keeps replies, so that a later run asks only what is new."""
     items = curation.collect_references(dataset, "project_name", "source_code", list(order)).select("key", prompts.reference_prompt("source_code").alias("prompt"))
-    poor = ("this function", "this code")
-    accept = lambda s, row: bool(s.strip()) and len(s.split()) <= 30 and not s.strip().lower().startswith(poor)
+    accept = lambda s, row: not T.bad_summary(s)
     got = replies(items, "prompt", provider, "reference", store, commits=commits, attempts=5, accept=accept, tries=2)
     return curation.apply_reference(dataset, got.select("key", "reference"), "project_name", "source_code")
 
@@ -56,11 +56,11 @@ def test_functions(dataset: DataFrame, limit: int = 200) -> DataFrame:
 
 
 def path_summaries(functions: DataFrame, provider: Provider, store: str | None = None) -> DataFrame:
-    """(fn_id, cfg_summary): representative paths, repeated blocks shown once, summarised by the provider."""
+    """(fn_id, cfg_summary): representative paths in the order that costs least, repeated blocks shown once, summarised by the provider."""
     paths = graphs.paths(graphs.edges_of(functions, "fn_id"), "fn_id")
     steps = paths.select("fn_id", F.posexplode("path").alias("path", "p")).select("fn_id", "path", F.posexplode("p").alias("pos", "block"))
-    texts = functions.select("fn_id", "cfg").join(steps, "fn_id").select("fn_id", "path", "pos", T.block_text("cfg", F.col("block")).alias("content"))
-    shown = prompts.rendered(prompts.compressed(texts, "fn_id"), "fn_id").select("fn_id", prompts.path_prompt("prompt_blocks").alias("prompt"))
+    texts = kept(functions.select("fn_id", "cfg").join(steps, "fn_id").select("fn_id", "path", "pos", T.block_text("cfg", F.col("block")).alias("content")))
+    shown = prompts.in_best_order(texts, "fn_id").select("fn_id", prompts.path_prompt("prompt_blocks").alias("prompt"))
     reply = replies(shown, "prompt", provider, "paths", store)
     return reply.select("fn_id", T.strip_quotes(F.coalesce(F.try_variant_get(T.salvage_json("paths"), "$.global_summary", "string"), F.lit(""))).alias("cfg_summary"))
 

@@ -22,8 +22,9 @@ _WORDS = r"len(regexp_extract_all(coalesce({}, ''), '\S+'))"
 @query(f"SELECT doc_id, {_TOKENS.format('text')}::BIGINT AS tokens, {_WORDS.format('text')}::BIGINT AS words FROM documents WHERE {_TOKENS.format('text')} > 30 AND {_TOKENS.format('text')} < 9192")
 def token_gate(spark, d):
     """PJ7, PJ8, FL1, FL3."""
-    counted = table(spark, d, "documents").select("doc_id", T.token_count("text").cast("long").alias("tokens"), T.word_count("text").cast("long").alias("words"))
-    return counted.filter("tokens > 30 AND tokens < 9192")
+    # Tokens are counted once a row: a filter on a column would be pushed below it, with the count.
+    counted = F.array(F.struct(T.token_count("text").cast("long").alias("tokens"), T.word_count("text").cast("long").alias("words")))
+    return table(spark, d, "documents").select("doc_id", F.inline(F.filter(counted, lambda n: (n["tokens"] > 30) & (n["tokens"] < 9192))))
 
 
 @query("""SELECT source || '::' || substr(text, 1, 20) AS key, min(doc_id) AS doc_id FROM documents WHERE trim(text) <> '' AND text IS NOT NULL GROUP BY 1""")
@@ -198,12 +199,6 @@ def post_dominators(spark, d):
     return graphs.post_dominance(_walks(spark, d), "fn")
 
 
-@query()
-def control_deps(spark, d):
-    """GR13."""
-    return graphs.control_dependences(_walks(spark, d), "fn")
-
-
 def _blocks(spark: SparkSession, d: str) -> DataFrame:
     """A document's lines, dealt in turn to three paths, as blocks: a block for each sentence."""
     lines = table(spark, d, "documents").select(F.col("doc_id").alias("fn"), F.posexplode(F.split(T.text("text"), "\n")).alias("line", "s"))
@@ -234,6 +229,21 @@ def prompt_order_cost(spark, d):
     return prompts.path_order(_blocks(spark, d), "fn").select("fn", "cost")
 
 
+@query("""WITH l AS (SELECT doc_id AS fn, unnest(string_split(coalesce(text, ''), chr(10))) AS line, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) - 1 AS k FROM documents),
+b AS (SELECT fn, k % 3 AS path, unnest(string_split(line, '. ')) AS content, k * 4294967296 + generate_subscripts(string_split(line, '. '), 1) - 1 AS pos FROM l),
+h AS (SELECT fn, path, pos, content, substr(md5(regexp_replace(regexp_replace(content, '^\\s+', ''), '\\s+$', '')), 1, 8) AS x, length(content) AS n FROM b),
+k AS (SELECT fn, max(path) AS m FROM h GROUP BY 1),
+o AS (SELECT fn, [0] AS o FROM k WHERE m = 0 UNION ALL SELECT fn, unnest([[0,1],[1,0]]) FROM k WHERE m = 1 UNION ALL SELECT fn, unnest([[0,1,2],[0,2,1],[1,0,2],[1,2,0],[2,0,1],[2,1,0]]) FROM k WHERE m = 2),
+c AS (SELECT o.fn, o.o, h.n, row_number() OVER (PARTITION BY o.fn, o.o, h.x ORDER BY list_position(o.o, h.path), h.pos) AS r FROM o JOIN h ON h.fn = o.fn),
+best AS (SELECT fn, min({'cost': cost, 'o': o}).o AS o FROM (SELECT fn, o, sum(CASE WHEN r = 1 THEN n ELSE 10 END) AS cost FROM c GROUP BY ALL) GROUP BY fn),
+f AS (SELECT h.*, list_position(o, path) AS place, first_value(path) OVER w AS p, first_value(pos) OVER w AS i FROM h JOIN best ON best.fn = h.fn WINDOW w AS (PARTITION BY h.fn, x ORDER BY list_position(o, path), pos)),
+t AS (SELECT fn, path, place, string_agg(CASE WHEN p = path AND i = pos THEN content ELSE 'Same as REF_' || p || '_' || i END, chr(10) ORDER BY pos) AS t FROM f GROUP BY ALL)
+SELECT fn, md5(string_agg('Path ' || path || ':' || chr(10) || t, chr(10) || chr(10) ORDER BY place)) AS prompt_md5 FROM t GROUP BY fn""")
+def prompt_in_order(spark, d):
+    """GR20, GR21, LM2: the whole prompt, paths in the cheapest order."""
+    return prompts.in_best_order(_blocks(spark, d), "fn").select("fn", F.md5("prompt_blocks").alias("prompt_md5"))
+
+
 _PAIRS = r"""p AS (SELECT conv_id || '/' || turn AS sample, text AS reference, lead(text) OVER w AS hypothesis, role, lead(role) OVER w AS next_role FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn)),
 pairs AS (SELECT sample, reference, hypothesis, regexp_extract_all(coalesce(reference, ''), '\S+') AS r, regexp_extract_all(coalesce(hypothesis, ''), '\S+') AS h FROM p WHERE role = 'user' AND next_role = 'assistant')"""
 

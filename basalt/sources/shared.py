@@ -29,3 +29,10 @@ def checkpointed(df: DataFrame) -> DataFrame:
 def scratch_folder(spark: SparkSession) -> str:
     """A new folder of its own below the shared one."""
     return f"{checkpoint_folder(spark)}/basalt-{uuid.uuid4().hex}"
+
+
+def kept(df: DataFrame) -> DataFrame:
+    """Write an intermediate once into a folder of its own and read it back, so that it isn't computed twice and survives lost executors."""
+    path = scratch_folder(df.sparkSession)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from basalt.plans import pipeline
 from basalt.plans.providers import StubProvider, ask, with_retry
-from basalt.plans import code_queries, queries, record_queries  # noqa: F401  they register queries
+from basalt.plans import code_queries, model_queries, queries, record_queries  # noqa: F401  they register queries
 from basalt.plans.registry import ORACLE_SQL, QUERIES
 from basalt.sources import readers
 from basalt.sources.schemas import BLOCK
