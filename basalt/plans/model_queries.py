@@ -11,8 +11,9 @@ from pyspark.sql import functions as F
 
 from basalt.functions import tables
 from basalt.functions import text as T
-from basalt.operators import flowgraph, messages
+from basalt.operators import flowgraph, messages, meteor
 from basalt.plans.code_queries import _files
+from basalt.plans.queries import _PAIRS, _pairs
 from basalt.plans.registry import ORACLE_SQL, query, table
 from basalt.sources import manifest, pickles
 from basalt.sources.shared import kept as _kept
@@ -178,3 +179,33 @@ def c_functions_sql(spark, d):
     tables.register(spark)
     _files(spark, d).select(T.first_path_part("file_path").alias("project_name"), "text").createOrReplaceTempView("basalt_c_files")
     return spark.sql("SELECT f.project_name, c.function_name, c.comment, substring_index(c.source_code, '\n', -1) AS tail FROM basalt_c_files f, LATERAL c_functions(f.text) c")
+
+
+# METEOR
+
+def _meteor_tables(pairs: DataFrame) -> dict[str, DataFrame]:
+    """Words that begin alike are synonyms; a pair's first two words say the same on both sides."""
+    words = pairs.select(F.explode(F.concat(meteor.tokens("hypothesis"), meteor.tokens("reference"))).alias("word")).distinct()
+    first = lambda c: F.array_join(F.slice(meteor.tokens(c), 1, 2), " ")
+    return {"synonyms": words.filter(F.length("word") > 3).select("word", F.substring("word", 1, 4).alias("class")), "paraphrases": pairs.select(first("hypothesis").alias("a"), first("reference").alias("b")).distinct()}
+
+
+_METEOR_TOKENS = r"regexp_extract_all(lower(coalesce({}, '')), '[\p{{L}}\p{{M}}\p{{N}}_]+(?:''[\p{{L}}\p{{M}}\p{{N}}_]+)*|[^\p{{L}}\p{{M}}\p{{N}}_\s]')"
+
+
+@query(f"""WITH {_PAIRS}, t AS (SELECT sample, {_METEOR_TOKENS.format("hypothesis")} AS hw, {_METEOR_TOKENS.format("reference")} AS rw FROM pairs),
+hc AS (SELECT sample, w, count(*) AS n FROM (SELECT sample, unnest(hw) AS w FROM t) GROUP BY ALL), rc AS (SELECT sample, w, count(*) AS n FROM (SELECT sample, unnest(rw) AS w FROM t) GROUP BY ALL),
+m AS (SELECT hc.sample, sum(least(hc.n, rc.n))::BIGINT AS n FROM hc JOIN rc ON hc.sample = rc.sample AND hc.w = rc.w GROUP BY hc.sample)
+SELECT t.sample, len(hw)::BIGINT AS hypothesis_words, len(rw)::BIGINT AS reference_words, coalesce(n, 0)::BIGINT AS exact FROM t LEFT JOIN m ON m.sample = t.sample""")
+def meteor_exact(spark, d):
+    """TX6's counts: an alignment of exact matches covers as many equal words as there are on both sides."""
+    found = meteor.meteor_counts(_pairs(spark, d), "sample", "hypothesis", "reference", kinds=[meteor.EXACT])
+    length = lambda side: F.col(f"{side}_content") + F.col(f"{side}_function")
+    return found.select("sample", length("hypothesis").alias("hypothesis_words"), length("reference").alias("reference_words"), F.col("hypothesis_content_0").alias("exact"))
+
+
+@query()
+def meteor_full(spark, d):
+    """TX6: exact, stem, synonym and paraphrase matches, with tables made of the texts."""
+    pairs = _pairs(spark, d)
+    return meteor.meteor(pairs, "sample", "hypothesis", "reference", **_meteor_tables(pairs), function_words=["the", "of", "la", "de", "que", "and"]).select("sample", F.round("meteor", 6).alias("meteor"))
