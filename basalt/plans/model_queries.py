@@ -5,19 +5,19 @@ from __future__ import annotations
 import gzip
 import pickle
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from basalt.functions import tables
 from basalt.functions import text as T
-from basalt.operators import flowgraph, messages, meteor
+from basalt.operators import decoding, flowgraph, learning, messages, meteor, vectors
 from basalt.plans.code_queries import _files
 from basalt.plans.queries import _PAIRS, _pairs
 from basalt.plans.registry import ORACLE_SQL, query, table
 from basalt.sources import manifest, pickles
-from basalt.sources.shared import kept as _kept
-from basalt.sources.shared import scratch_folder
+from basalt.sources.shared import kept, scratch_folder
 
 # Message passing. The graph: each vector has edges to the next three by id, of type 0 and 1, and the ids divisible by 50 to vector 7, a hub. The first vectors are the layer's weights.
 
@@ -168,7 +168,7 @@ def cache_refresh(spark, d):
     count = lambda rows: rows.select("entry", "doc_id", T.word_count("text").cast("long").alias("words"))
     manifest.refresh(first, store, ["doc_id"], count)
     old = manifest.results(spark, store).select("entry", F.col("doc_id").alias("old_id"))
-    state = _kept(manifest.changes(second, store, ["doc_id"]).select("entry", "doc_id", "state").join(old, "entry", "left").select("entry", F.coalesce("doc_id", "old_id").alias("doc_id"), "state"))
+    state = kept(manifest.changes(second, store, ["doc_id"]).select("entry", "doc_id", "state").join(old, "entry", "left").select("entry", F.coalesce("doc_id", "old_id").alias("doc_id"), "state"))
     manifest.refresh(second, store, ["doc_id"], count)
     return state.join(manifest.results(spark, store).select("entry", "words", "version"), "entry", "left").select("doc_id", "state", "words", F.col("version").cast("long").alias("version"))
 
@@ -209,3 +209,68 @@ def meteor_full(spark, d):
     """TX6: exact, stem, synonym and paraphrase matches, with tables made of the texts."""
     pairs = _pairs(spark, d)
     return meteor.meteor(pairs, "sample", "hypothesis", "reference", **_meteor_tables(pairs), function_words=["the", "of", "la", "de", "que", "and"]).select("sample", F.round("meteor", 6).alias("meteor"))
+
+
+# Training and decoding. The right vector of a pair is the left one turned round, with every other sign changed; held out are the ids whose CRC-32 is a multiple of five.
+
+def _pairs_of_vectors(spark: SparkSession, d: str) -> DataFrame:
+    rows = table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.transform("embedding", lambda x: x.cast("double")).alias("left"))
+    return rows.select("id", "left", F.transform(F.reverse("left"), lambda x, i: F.when(i % 2 == 0, x).otherwise(-x)).alias("right"), (F.crc32(F.col("id").cast("string")) % 5 == 0).alias("held_out"))
+
+
+@query()
+def dual_encoder(spark, d):
+    """VC7, VC14: a contrastive dual encoder trained on pairs, and for each pair held out the nearest right vector."""
+    pairs = _pairs_of_vectors(spark, d)
+    state = learning.train(pairs.filter("NOT held_out"), learning.Contrastive((64, 64), batch=256), scratch_folder(spark), epochs=4, steps=4, rate=0.05)
+    held = kept(learning.projected(learning.projected(pairs.filter("held_out").drop("held_out"), "left", state["left"], "u"), "right", state["right"], "v").select("id", "u", "v"))
+    found = vectors.search(held.select("id", "u"), held.select(F.col("id").alias("found_id"), F.col("v").alias("u")), "id", "found_id", "u", 1)
+    return found.select("id", "found_id", F.round("score", 6).alias("score"))
+
+
+@query()
+def distilled_ranker(spark, d):
+    """VC8: candidates of a vector are the right vectors of the next five, ranked by a student that has learned from a teacher's scores."""
+    pairs = _pairs_of_vectors(spark, d)
+    asked = pairs.select("id", "left", "held_out", F.explode(F.sequence(F.col("id"), F.col("id") + 4)).alias("candidate"))
+    rows = asked.join(pairs.select(F.col("id").alias("candidate"), "right", F.col("left").alias("own")), "candidate")
+    rows = kept(rows.select("id", "candidate", "left", "right", "held_out", (10 * T.dot(T.unit("left"), T.unit("own"))).alias("teacher")))
+    state = learning.train(rows.filter("NOT held_out"), learning.Distilled((64, 64)), scratch_folder(spark), epochs=4, steps=4, rate=0.05)
+    held = learning.projected(learning.projected(rows.filter("held_out").select("id", "candidate", "left", "right"), "left", state["left"], "u"), "right", state["right"], "v")
+    return vectors.rerank(held, "id", "candidate", "u", "v", 3).select("id", "candidate", "rank")
+
+
+_VOCABULARY, _STATE, _MARKER, _STEPS = 16, 8, 15, 6
+
+
+def _recurrent(spark: SparkSession, d: str) -> decoding.Recurrent:
+    """Weights are the first vectors: tokens 0 to 15, the recurrent rows 16 to 23, outputs 24 to 39, features 40 to 47."""
+    first = table(spark, d, "embeddings").filter("vec_id < 48").orderBy("vec_id").collect()
+    w = np.array([list(r.embedding) for r in first], float)
+    return decoding.Recurrent(w[:16, :_STATE], w[16:24, :_STATE], w[24:40, :_STATE], w[40:48])
+
+
+@query(f"""WITH RECURSIVE n AS (SELECT vec_id, embedding::DOUBLE[] AS x FROM embeddings), weight AS (SELECT list(x ORDER BY vec_id) AS w FROM n WHERE vec_id < 48),
+cells AS (SELECT w, list_transform(range(1, {_STATE + 1}), lambda i: list_slice(w[16 + i], 1, {_STATE})) AS rec, list_transform(range(1, {_VOCABULARY + 1}), lambda v: list_slice(w[24 + v], 1, {_STATE})) AS o FROM weight),
+prompt AS (SELECT vec_id, x, [(vec_id % 15)::INT, {_MARKER}, ((vec_id // 15) % 15)::INT] AS tokens FROM n),
+run(vec_id, k, h, token) AS (
+    SELECT vec_id, 0, list_transform(range({_STATE}), lambda i: 0.0::DOUBLE), NULL::INT FROM prompt
+    UNION ALL
+    SELECT vec_id, k + 1, h2, CASE WHEN k >= 2 THEN list_position(z, list_max(z)) - 1 END FROM (
+        SELECT *, list_transform(o, lambda v: list_dot_product(v, h2)) AS z FROM (
+            SELECT r.vec_id, k, o, list_transform(range(1, {_STATE + 1}), lambda i: (exp(2 * (CASE WHEN k = 1 THEN list_dot_product(w[40 + i], p.x) ELSE w[CASE WHEN k < 3 THEN p.tokens[k + 1] ELSE r.token END + 1][i] END + list_dot_product(rec[i], h))) - 1)
+                   / (exp(2 * (CASE WHEN k = 1 THEN list_dot_product(w[40 + i], p.x) ELSE w[CASE WHEN k < 3 THEN p.tokens[k + 1] ELSE r.token END + 1][i] END + list_dot_product(rec[i], h))) + 1)) AS h2
+            FROM run r JOIN prompt p ON p.vec_id = r.vec_id, cells WHERE k < {2 + _STEPS})))
+SELECT vec_id, array_to_string(list(token ORDER BY k), ' ') AS tokens FROM run WHERE token IS NOT NULL GROUP BY vec_id""")
+def probe_greedy(spark, d):
+    """VC10: continuations without chance, each vector put in at the marker of its prompt."""
+    rows = table(spark, d, "embeddings").select("vec_id", "embedding", F.array((F.col("vec_id") % 15).cast("int"), F.lit(_MARKER), (F.floor(F.col("vec_id") / 15) % 15).cast("int")).alias("prompt"))
+    found = decoding.decode(rows, _recurrent(spark, d), "vec_id", "prompt", "embedding", _MARKER, 1, _STEPS, None, 0.0)
+    return found.select("vec_id", F.array_join("tokens", " ").alias("tokens"))
+
+
+@query()
+def probe_sampled(spark, d):
+    """VC10: three draws a vector among the eight likeliest tokens that come to 0.9."""
+    rows = table(spark, d, "embeddings").select("vec_id", "embedding", F.array((F.col("vec_id") % 15).cast("int"), F.lit(_MARKER)).alias("prompt"))
+    return decoding.decode(rows, _recurrent(spark, d), "vec_id", "prompt", "embedding", _MARKER, 3, 12, 0, 0.8, 8, 0.9).select("vec_id", "sample", F.array_join("tokens", " ").alias("tokens"))
