@@ -208,14 +208,14 @@ def asm_texts(spark, d):
 
 
 @query(
-    f"""WITH {_CODE}, o AS (SELECT fn, list(split_part(asm, ' ', 1) ORDER BY block, pos, asm) AS o FROM code GROUP BY fn)
-SELECT fn, array_to_string(flatten(list_transform(range(1, 5), lambda r: [coalesce(o[r], '<pad>'), '<pad>'])) || ['<inst>', '<inst>', '<inst>', '<inst>', '<cls>'], ' ') AS tokens FROM o"""
+    f"""WITH {_CODE}, o AS (SELECT fn, list(string_split_regex(asm, '[ ,]+') ORDER BY block, pos, asm) AS o FROM code GROUP BY fn)
+SELECT fn, array_to_string(flatten(list_transform(range(1, 5), lambda r: [coalesce(o[r][1], '<pad>'), coalesce(o[r][2], '<pad>'), coalesce(o[r][3], '<pad>')])) || ['<inst>', '<inst>', '<inst>', '<inst>', '<cls>'], ' ') AS tokens FROM o"""
 )
 def block_tokens(spark, d):
-    """VC12: four instructions of two tokens each, padded, then node and global tokens."""
-    ordered = F.transform(F.sort_array(F.collect_list(F.struct("block", "pos", "asm"))), lambda s: F.array(F.split_part(s["asm"], F.lit(" "), F.lit(1))))
+    """VC12: four instructions of three tokens each, longer ones cut and shorter ones padded, then node and global tokens."""
+    ordered = F.transform(F.sort_array(F.collect_list(F.struct("block", "pos", "asm"))), lambda s: F.split(s["asm"], "[ ,]+"))
     rows = _instructions(spark, d).groupBy("fn").agg(ordered.alias("tokens"))
-    return dataflow.block_tokens(rows, "tokens", 2, 4).select("fn", F.array_join("input_tokens", " ").alias("tokens"))
+    return dataflow.block_tokens(rows, "tokens", 3, 4).select("fn", F.array_join("input_tokens", " ").alias("tokens"))
 
 
 @query()
@@ -224,11 +224,16 @@ def cfg_back_edges(spark, d):
     return graphs.back_edge_rows(_walks(spark, d), "fn")
 
 
-@query("SELECT DISTINCT o_custkey AS fn, 0::BIGINT AS broken FROM orders")
+@query("""WITH s AS (SELECT o_custkey AS fn, o_orderkey % 7 AS a, lead(o_orderkey % 7) OVER w AS b, lead(o_orderpriority) OVER w AS p FROM orders WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderkey)),
+e AS (SELECT DISTINCT fn, a, b FROM s WHERE b IS NOT NULL AND p <> '5-LOW')
+SELECT s.fn, count(*) FILTER (s.b IS NOT NULL AND e.fn IS NULL) AS broken FROM s LEFT JOIN e ON e.fn = s.fn AND e.a = s.a AND e.b = s.b GROUP BY s.fn""")
 def cfg_path_steps(spark, d):
-    """GR8: no step of a shortest path is missing from its graph."""
-    walks = _walks(spark, d)
-    return graphs.broken_steps(graphs.shortest_exit_paths(walks, "fn"), walks, "fn").select("fn", "broken")
+    """GR8: a customer's orders are a path through seven blocks; steps to an order of low priority are no edges, unless another order made the same step."""
+    w = Window.partitionBy("fn").orderBy("o_orderkey")
+    orders = table(spark, d, "orders").select(F.col("o_custkey").alias("fn"), "o_orderkey", "o_orderpriority", (F.col("o_orderkey") % 7).alias("src"))
+    steps = orders.select("fn", "src", F.lead("src").over(w).alias("dst"), F.lead("o_orderpriority").over(w).alias("p"))
+    paths = orders.groupBy("fn").agg(F.transform(F.sort_array(F.collect_list(F.struct("o_orderkey", "src"))), lambda x: x["src"]).alias("path"))
+    return graphs.broken_steps(paths, steps.filter("dst IS NOT NULL AND p <> '5-LOW'").select("fn", "src", "dst").distinct(), "fn").select("fn", "broken")
 
 
 #: A supplier's code: one in eight does something, the others forward to the supplier before; two of a hundred are four bytes long.
@@ -315,14 +320,16 @@ def c_tree(spark, d):
     return readers.c_files(spark, root, "*.txt").groupBy("project_name").agg(F.sum(F.char_length("text")).alias("chars"))
 
 
-@query("SELECT s_suppkey AS function_addr, 'fn_' || s_suppkey AS function_name, s_nationkey::BIGINT AS callee, 2::BIGINT AS n_blocks FROM supplier")
+@query("SELECT s_suppkey AS function_addr, 'fn_' || s_suppkey AS function_name, s_nationkey::BIGINT AS callee, (1 + s_suppkey % 5)::BIGINT AS n_blocks, (s_suppkey % 5)::BIGINT AS n_edges FROM supplier")
 def disassembly_export(spark, d):
     """SC6: JSON objects keyed by address, a file for each binary."""
     root = f"{scratch_folder(spark)}/export"
-    block = lambda a, succ: F.struct(F.lit(a).cast("string").alias("key"), F.struct(F.lit(a).cast("long").alias("start_ea"), F.array(*(F.lit(x).cast("long") for x in succ)).alias("successors")).alias("value"))
-    fields = F.struct("function_name", F.col("s_suppkey").alias("start_ea"), F.lit("int f;").alias("decompiled_code"), F.map_from_entries(F.array(block(1, [2]), block(2, []))).alias("cfg"), F.create_map(F.col("s_nationkey").cast("string"), F.lit(1)).alias("callees"))
+    # A chain of one to five blocks.
+    blocks = F.transform(F.sequence(F.lit(0).cast("long"), F.col("s_suppkey") % 5), lambda k: F.struct(k.cast("string").alias("key"), F.struct(k.alias("start_ea"), F.when(k < F.col("s_suppkey") % 5, F.array(k + 1)).otherwise(F.array().cast("array<bigint>")).alias("successors")).alias("value")))
+    fields = F.struct("function_name", F.col("s_suppkey").alias("start_ea"), F.col("s_name").alias("decompiled_code"), F.map_from_entries(blocks).alias("cfg"), F.create_map(F.col("s_nationkey").cast("string"), F.lit(1)).alias("callees"))
     rows = table(spark, d, "supplier").withColumn("function_name", F.concat(F.lit("fn_"), F.col("s_suppkey").cast("string")))
     objects = rows.groupBy(F.col("s_nationkey").alias("binary")).agg(F.to_json(F.map_from_entries(F.collect_list(F.struct(F.col("s_suppkey").cast("string"), fields)))).alias("value"))
     objects.write.partitionBy("binary").text(root)
     found = readers.disassembly(spark, root, "*.txt")
-    return found.select("function_addr", "function_name", F.map_keys("callees")[0].cast("long").alias("callee"), F.size("cfg").cast("long").alias("n_blocks"))
+    return found.select("function_addr", "function_name", F.map_keys("callees")[0].cast("long").alias("callee"), F.size("cfg").cast("long").alias("n_blocks"),
+                        F.aggregate(F.map_values("cfg"), F.lit(0).cast("long"), lambda n, b: n + F.size(b["successors"])).alias("n_edges"))

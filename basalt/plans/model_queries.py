@@ -12,8 +12,8 @@ from pyspark.sql import functions as F
 
 from basalt.functions import tables
 from basalt.functions import text as T
-from basalt.operators import decoding, flowgraph, learning, messages, meteor, vectors
-from basalt.plans.code_queries import _files
+from basalt.operators import dataflow, decoding, flowgraph, learning, messages, meteor, sparse_encoder, vectors
+from basalt.plans.code_queries import _CODE, _files, _instructions
 from basalt.plans.queries import _PAIRS, _pairs
 from basalt.plans.registry import ORACLE_SQL, query, table
 from basalt.sources import manifest, pickles
@@ -274,3 +274,59 @@ def probe_sampled(spark, d):
     """VC10: three draws a vector among the eight likeliest tokens that come to 0.9."""
     rows = table(spark, d, "embeddings").select("vec_id", "embedding", F.array((F.col("vec_id") % 15).cast("int"), F.lit(_MARKER)).alias("prompt"))
     return decoding.decode(rows, _recurrent(spark, d), "vec_id", "prompt", "embedding", _MARKER, 3, 12, 0, 0.8, 8, 0.9).select("vec_id", "sample", F.array_join("tokens", " ").alias("tokens"))
+
+
+# The sparse encoder. A customer is a function of four instructions (the first ones) of three tokens; instructions with the same operator are linked. A token's id is the sum of its length and its first character's code, modulo 38, plus 2; padding is 0, node tokens 1, the global token 2.
+
+_LAYOUT = sparse_encoder.Layout(4, 3)
+_D, _N = 4, 12 + 4 + 1
+
+
+#: Columns of the three projections in SQL.
+_PROJECTED = ", ".join("[" + ", ".join("list_dot_product(x, [" + ", ".join(f"w[{low + r}][{c}]" for r in range(1, _D + 1)) + "])" for c in range(1, _D + 1)) + f"] AS {name}" for name, low in (("q", 40), ("k", 44), ("v", 48)))
+
+
+def _encoder_weights(spark: SparkSession, d: str) -> sparse_encoder.Weights:
+    """From the first vectors: embeddings 0 to 39, projections 40 to 51, biases 52 and 53; two heads of two."""
+    w = np.array([list(r.embedding) for r in table(spark, d, "embeddings").filter("vec_id < 54").orderBy("vec_id").collect()], float)
+    return sparse_encoder.Weights(w[:40, :_D], w[40:44, :_D], w[44:48, :_D], w[48:52, :_D], w[52:54, :5])
+
+
+def _encoder_rows(spark: SparkSession, d: str) -> DataFrame:
+    first = F.slice(F.transform(F.sort_array(F.collect_list(F.struct("block", "pos", "asm"))), lambda s: F.split(s["asm"], "[ ,]+")), 1, 4)
+    rows = dataflow.block_tokens(_instructions(spark, d).groupBy("fn").agg(first.alias("tokens")), "tokens", 3, 4)
+    number = lambda t: F.when(t == "<pad>", 0).when(t == "<inst>", 1).when(t == "<cls>", 2).otherwise((F.length(t) + F.ascii(t)) % 38 + 2)
+    blocks = F.transform("tokens", lambda t, i: F.struct(i.alias("i"), F.get(t, F.lit(0)).alias("o")))
+    pairs = F.flatten(F.transform(blocks, lambda a: F.transform(F.filter(blocks, lambda b: (b["i"] < a["i"]) & (b["o"] == a["o"])), lambda b: F.struct(b["i"].alias("u"), a["i"].alias("v")))))
+    return rows.select("fn", F.transform("input_tokens", number).alias("ids"), pairs.alias("links"))
+
+
+@query(f"""WITH {_CODE}, wt AS (SELECT list(embedding::DOUBLE[] ORDER BY vec_id) AS w FROM embeddings WHERE vec_id < 54),
+o AS (SELECT fn, (list(string_split_regex(asm, '[ ,]+') ORDER BY block, pos, asm))[1:4] AS o FROM code GROUP BY fn),
+tk AS (SELECT fn, i, CASE WHEN i < 12 THEN i // 3 WHEN i < 16 THEN i - 12 END AS b, CASE WHEN i < 12 THEN 'l' WHEN i < 16 THEN 'n' ELSE 'g' END AS part, CASE WHEN i < 12 THEN o[i // 3 + 1][i % 3 + 1] END AS tok, CASE WHEN i < 16 THEN o[CASE WHEN i < 12 THEN i // 3 ELSE i - 12 END + 1][1] END AS op FROM o, range({_N}) r(i)),
+ids AS (SELECT *, CASE WHEN part = 'n' THEN 1 WHEN part = 'g' THEN 2 WHEN tok IS NULL THEN 0 ELSE (length(tok) + ascii(tok)) % 38 + 2 END AS id FROM tk),
+x AS (SELECT fn, i, b, part, op, id, w, list_slice(w[id + 1], 1, {_D}) AS x FROM ids, wt),
+p AS (SELECT fn, i, b, part, op, id, w, {_PROJECTED} FROM x),
+s AS (SELECT a.fn, a.i, h, b.v, (a.q[2 * h + 1] * b.k[2 * h + 1] + a.q[2 * h + 2] * b.k[2 * h + 2]) / sqrt(2.0::DOUBLE) + CASE WHEN a.part = 'n' AND b.part = 'n' THEN a.w[53 + h][greatest(-2, least(2, b.b - a.b)) + 3] ELSE 0 END AS s
+      FROM p a JOIN p b ON a.fn = b.fn, range(2) r(h)
+      WHERE (b.part <> 'l' OR b.id <> 0) AND (a.part = 'g' OR b.part = 'g' OR (a.b = b.b AND NOT (a.part = 'n' AND b.part = 'n')) OR (a.part = 'n' AND b.part = 'n' AND (a.i = b.i OR a.op = b.op)))),
+m AS (SELECT fn, i, h, max(s) AS m FROM s GROUP BY ALL),
+r AS (SELECT s.fn, s.i, s.h, sum(exp(s - m) * v[2 * s.h + 1]) / sum(exp(s - m)) AS y1, sum(exp(s - m) * v[2 * s.h + 2]) / sum(exp(s - m)) AS y2 FROM s JOIN m ON m.fn = s.fn AND m.i = s.i AND m.h = s.h GROUP BY ALL)
+SELECT fn, i::INT AS place, {", ".join(f"round(max(y{k % 2 + 1}) FILTER (h = {k // 2}), 6) AS x{k}" for k in range(_D))} FROM r GROUP BY fn, i""")
+def sparse_attention(spark, d):
+    """VC9: hidden vectors of all tokens, against dense attention under the same mask in SQL."""
+    found = sparse_encoder.encode(_encoder_rows(spark, d), "fn", "ids", "links", _LAYOUT, _encoder_weights(spark, d))
+    return found.select("fn", F.posexplode("hidden").alias("place", "x")).select("fn", "place", *(F.round(F.get("x", F.lit(k)), 6).alias(f"x{k}") for k in range(_D)))
+
+
+@query()
+def encoder_samples(spark, d):
+    """VC9: samples of masked tokens, what the encoder's head says of them, and how many pairs of blocks there are to tell linked from not."""
+    rows, w = _encoder_rows(spark, d), _encoder_weights(spark, d)
+    masked = kept(sparse_encoder.masked_tokens(rows, "fn", "ids", _LAYOUT, 3, 40))
+    encoded = sparse_encoder.encode(masked.join(rows.select("fn", "links"), "fn"), "fn", "ids", "links", _LAYOUT, w)
+    told = sparse_encoder.token_scores(encoded.join(masked.select("fn", "masked"), "fn"), "masked", w, "fn")
+    labels = masked.select("fn", F.inline(F.arrays_zip(F.col("masked").alias("place"), F.col("labels").alias("label"))))
+    pairs = sparse_encoder.linked_pairs(rows.withColumn("n", F.lit(_LAYOUT.blocks)), "fn", "links", "n")
+    counts = pairs.groupBy("fn").agg(F.count_if("linked").alias("n_linked"), F.count_if(~F.col("linked")).alias("n_free"))
+    return labels.join(told, ["fn", "place"]).join(counts, "fn", "left").select("fn", "place", "label", "token", F.coalesce("n_linked", F.lit(0)).alias("n_linked"), F.coalesce("n_free", F.lit(0)).alias("n_free"))

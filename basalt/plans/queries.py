@@ -321,7 +321,7 @@ def knn_threshold(spark, d):
 @query(f"""{_NORM}, s AS (SELECT q.vec_id AS query_id, k.vec_id AS vec_id, {_DOT} AS score FROM u q JOIN u k ON k.vec_id BETWEEN q.vec_id + 1 AND q.vec_id + 8)
 SELECT query_id, vec_id, rank::INT AS rank, round(score, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s) WHERE rank <= 3""")
 def rerank(spark, d):
-    """VC5, VC6, JN11: each query's own eight candidates."""
+    """VC5, JN11: each query's own eight candidates."""
     keys = _keys(spark, d)
     own = keys.select(F.col("key").alias("query_id"), F.col("embedding").alias("q"), F.explode(F.sequence(F.col("key") + 1, F.col("key") + 8)).alias("vec_id"))
     cands = own.join(keys.select(F.col("key").alias("vec_id"), F.col("embedding").alias("k")), "vec_id")
@@ -344,7 +344,7 @@ def bad_summary(spark, d):
 t AS (SELECT g.*, l.quality, l.toxic FROM g LEFT JOIN labels l USING (doc_id))
 SELECT doc_id, CASE WHEN toxic = 1 THEN 'junk' WHEN NOT hit THEN 'uncertain' WHEN quality = 1 THEN 'strong' WHEN quality = 0 THEN 'backup' ELSE 'junk' END AS tag FROM t""")
 def denoise_decision(spark, d):
-    """LM5, FL10, JN10: a feature counts only if it stands in the code."""
+    """LM5, FL10: a feature counts only if it stands in the code."""
     docs, bench, labels = (table(spark, d, t) for t in ("documents", "benchmark", "labels"))
     n = bench.count()
     rows = docs.withColumn("item_id", F.col("doc_id") % n).join(bench.select("item_id", F.col("text").alias("feature")), "item_id").join(labels, "doc_id", "left")

@@ -381,15 +381,17 @@ def mean_neighbours(spark, d):
 
 
 @query(f"""WITH u AS (SELECT vec_id, list_transform(embedding::DOUBLE[], lambda x: x / sqrt(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[]))) AS embedding FROM embeddings), pool AS (SELECT * FROM u ORDER BY vec_id LIMIT 100),
-s AS (SELECT q.vec_id AS query_id, k.vec_id AS vec_id, round(list_dot_product(q.embedding, k.embedding), 9) AS score FROM u q, pool k WHERE q.vec_id % 20 = 0)
-SELECT query_id, vec_id, rank::INT AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s) WHERE rank <= 3""")
+s AS (SELECT 'first' AS pool, q.vec_id AS query_id, k.vec_id AS vec_id, round(list_dot_product(q.embedding, k.embedding), 9) AS score FROM u q, pool k WHERE q.vec_id % 20 = 0
+UNION ALL SELECT 'all', q.vec_id, k.vec_id, round(list_dot_product(q.embedding, k.embedding), 9) FROM u q, u k WHERE q.vec_id % 20 = 0)
+SELECT pool, query_id, vec_id, rank::INT AS rank FROM (SELECT *, row_number() OVER (PARTITION BY pool, query_id ORDER BY score DESC, vec_id) AS rank FROM s) WHERE rank <= 3""")
 def retrieve_from_files(spark, d):
-    """VC4: queries and a pool from saved tables; a pool of the first keys is a feature of the operator."""
+    """VC4: queries and a pool from saved tables; all keys, and a pool of the first ones, which is a feature of the operator."""
     folder = scratch_folder(spark)
     keys = _keys(spark, d)
     sinks.write_table(keys, f"{folder}/keys")
     sinks.write_table(keys.filter("key % 20 = 0"), f"{folder}/queries")
-    return vectors.retrieve_from_files(spark, f"{folder}/queries", f"{folder}/keys", k=3, pool_size=100).select("query_id", F.col("key").alias("vec_id"), "rank")
+    found = lambda name, size: vectors.retrieve_from_files(spark, f"{folder}/queries", f"{folder}/keys", k=3, pool_size=size).select(F.lit(name).alias("pool"), "query_id", F.col("key").alias("vec_id"), "rank")
+    return found("all", None).unionByName(found("first", 100))
 
 
 # Training sets
@@ -503,10 +505,15 @@ def logprob_score(spark, d):
     return rows.select("l_orderkey", F.round(T.expected_score(F.concat("top", other)), 6).alias("expected"))
 
 
-@query("SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN round(7 + doc_id % 2 * 0.0, 6) END AS accuracy, CASE WHEN doc_id % 3 = 0 THEN 5.0::DOUBLE END AS effectiveness FROM documents")
+@query("""WITH t AS (SELECT l_orderkey, l_linenumber AS n, min(l_discount)::DOUBLE * 10 AS a, min(l_tax)::DOUBLE * 10 AS b FROM lineitem GROUP BY ALL),
+e AS (SELECT *, (exp(-a) * n + exp(-b) * (n + 2)) / (exp(-a) + exp(-b)) AS s, row_number() OVER (PARTITION BY l_orderkey ORDER BY n) AS r, count(*) OVER (PARTITION BY l_orderkey) AS c FROM t)
+SELECT l_orderkey, round(max(s) FILTER (r = 1 AND c = 3), 6) AS accuracy, round(max(s) FILTER (r = 2 AND c = 3), 6) AS coverage, round(max(s) FILTER (r = 3 AND c = 3), 6) AS effectiveness FROM e GROUP BY l_orderkey""")
 def weighted_scores(spark, d):
-    """LM8: scores by log-probabilities if there are three digits for each label."""
-    digit = lambda *alternatives: F.struct(F.lit(str(alternatives[0])).alias("token"), F.array(*(F.struct(F.lit(str(x)).alias("token"), F.lit(-1.0).alias("logprob")) for x in alternatives)).alias("top_logprobs"))
-    three, two = F.array(digit(6, 8), digit("{"), digit(3), digit(4, 6)), F.array(digit(6, 8), digit("{"), digit(3))
-    scores = judge.weighted_scores(F.when(F.col("doc_id") % 3 == 0, three).otherwise(two), 1)
-    return table(spark, d, "documents").select("doc_id", F.round(F.get(scores, F.lit(0)), 6).alias("accuracy"), F.get(scores, F.lit(2)).alias("effectiveness"))
+    """LM8: an order's lines are the digits of a reply, each with two alternatives by discount and tax; there are scores only where there are three digits."""
+    alternative = lambda n, lp: F.struct(n.cast("string").alias("token"), (-lp * 10).alias("logprob"))
+    lines = table(spark, d, "lineitem").groupBy("l_orderkey", F.col("l_linenumber").alias("n")).agg(F.min("l_discount").alias("a"), F.min("l_tax").alias("b"))
+    digit = F.struct("n", F.struct(F.col("n").cast("string").alias("token"), F.array(alternative(F.col("n"), F.col("a")), alternative(F.col("n") + 2, F.col("b"))).alias("top_logprobs")).alias("t"))
+    brace = F.struct(F.lit("{").alias("token"), F.array(F.struct(F.lit("{").alias("token"), F.lit(0.0).alias("logprob"))).alias("top_logprobs"))
+    replies = lines.groupBy("l_orderkey").agg(F.transform(F.sort_array(F.collect_list(digit)), lambda x: x["t"]).alias("digits"))
+    scores = judge.weighted_scores(F.concat(F.array(brace), "digits"), 1)
+    return replies.select("l_orderkey", *(F.round(F.get(scores, F.lit(k)), 6).alias(c) for k, c in enumerate(judge.CRITERIA)))

@@ -182,3 +182,46 @@ def test_entry(spark):
 
     assert entry.entry(spark).count() > 100
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+def test_http_provider(spark):
+    import json
+    import threading
+    from http.server import BaseHTTPRequestHandler, HTTPServer
+
+    from basalt.plans.providers import HttpProvider
+
+    asked = []
+
+    class Server(BaseHTTPRequestHandler):
+        def do_POST(self):
+            body = json.loads(self.rfile.read(int(self.headers["Content-Length"])))
+            asked.append((self.path, self.headers["Authorization"], body))
+            prompt = body["messages"][0]["content"]
+            if prompt == "fails":
+                self.send_error(500)
+                return
+            choice = {"message": {"content": f"reply to {prompt}"}}
+            if body.get("logprobs"):
+                choice["logprobs"] = {"content": [{"token": "7", "top_logprobs": [{"token": "7", "logprob": -0.1}, {"token": "8", "logprob": -2.5}]}]}
+            data = json.dumps({"choices": [choice]}).encode()
+            self.send_response(200)
+            self.end_headers()
+            self.wfile.write(data)
+
+        def log_message(self, *_):
+            pass
+
+    server = HTTPServer(("127.0.0.1", 0), Server)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    try:
+        provider = HttpProvider(f"http://127.0.0.1:{server.server_port}/v1/", "some-model", "key", max_tokens=9)
+        df = spark.createDataFrame([(1, "one"), (2, "fails"), (3, "three")], "k int, prompt string")
+        got = {r.k: (r.reply, r.reply_error) for r in ask(df, "prompt", provider, attempts=2, delay=0.01).collect()}
+        assert got[1] == ("reply to one", None) and got[3][0] == "reply to three" and got[2][0] is None and "500" in got[2][1]
+        assert provider.with_logprobs("x") == ("reply to x", [{"token": "7", "top_logprobs": [{"token": "7", "logprob": -0.1}, {"token": "8", "logprob": -2.5}]}])
+    finally:
+        server.shutdown()
+    assert sum(b["messages"][0]["content"] == "fails" for _, _, b in asked) == 2
+    path, authorization, body = asked[0]
+    assert path == "/v1/chat/completions" and authorization == "Bearer key" and body["model"] == "some-model" and body["max_tokens"] == 9
