@@ -26,8 +26,8 @@ Golay code over 23 chosen bits and the code of all words over a few more, and th
 goes to one anchor of each code, and two that are alike meet at one of them at least (the chance is in `meeting`). At an
 anchor all are compared in full. An anchor with more than `crowd` fingerprints deals them to finer anchors, those of two codes together, then of three
 and of four; so work stays linear in a large group of near copies, whose members have so many chances to be linked that the group holds.
-At each anchor a forest of its closest pairs stands for all its links. Links so close that the similarity is beyond doubt are taken as they are; others
-that would join two groups are checked by LONG further bits of both texts, so that texts below the similarity aren't chained together.
+At each anchor forests of its closest pairs stand for all its links. Links so close that the similarity is beyond doubt are taken as they are; others
+that would join two groups are checked by LONG further bits of both texts and then by their shingles, so that texts below the similarity aren't chained together.
 """
 
 from __future__ import annotations
@@ -46,9 +46,11 @@ from basalt.llm.common import cut, own_key, process_memo, scratch_table
 
 SHINGLE, SEED, BITS, MAX_DISTANCE = 3, 42, 64, 2
 #: Wide fingerprints: their bits, the number of codes and the chosen bits of a code beyond the Golay block for up to 2**20 fingerprints, and how many codes an anchor may join.
-WIDE, CODES, RAW, DEPTH = 256, 48, 6, 4
-#: Further bits that decide where WIDE ones leave doubt.
+WIDE, CODES, RAW, DEPTH = 256, 80, 6, 4
+#: Further bits that decide where WIDE ones leave doubt, before the shingles themselves do.
 LONG = 1024
+#: Forests of links that an anchor gives: a link in doubt that is refused has others beside it.
+FORESTS = 3
 #: Generator polynomial of the binary Golay code, and its length, redundancy and covering radius.
 _G, _N, _R, _RADIUS = 0b110001110101, 23, 11, 3
 _LOW = 12
@@ -246,6 +248,14 @@ def wide_fingerprint(text: str | None, shingle: int = 5, bits: int = WIDE, first
     return np.packbits(votes * 2 > len(digests)).tobytes()
 
 
+def shingle_set(text: str | None, shingle: int = 5) -> bytes:
+    """The distinct hashes of a text's shingles, 64 bits each."""
+    words = (text or "").encode().lower().split()
+    if not words:
+        return b""
+    return b"".join({xxhash.xxh64_digest(b" ".join(words[i : i + shingle]), SEED) for i in range(max(1, len(words) - shingle + 1))})
+
+
 def wide_distance(similarity: float, bits: int = WIDE, deviations: float = 0.0) -> int:
     """Differing bits that are expected of two sets of shingles of that Jaccard similarity (and of equal size), and so many standard deviations."""
     share = math.acos(2 * similarity / (1 + similarity)) / math.pi
@@ -302,8 +312,30 @@ def _bytes_of(column: pa.Array) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(-1, WIDE // 8)
 
 
-def _run_links(keys: np.ndarray, fps: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(a, b, distance) of rows of fps, sorted by key: of each key's links a forest of the closest that connects what they all connect."""
+def _forest(a: np.ndarray, b: np.ndarray, label: np.ndarray, among: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(links taken, labels after): of links in order of distance, a forest of the closest that connects what those `among` them connect of the labels."""
+    taken, open_, label = [], among[label[a[among]] != label[b[among]]], label.copy()
+    while len(open_):
+        # Each component takes the first, so the closest, link that leaves it.
+        best = np.full(len(label), len(a))
+        np.minimum.at(best, label[a[open_]], open_)
+        np.minimum.at(best, label[b[open_]], open_)
+        chosen = np.unique(best[best < len(a)])
+        taken.append(chosen)
+        while True:
+            low = np.minimum(label[a[chosen]], label[b[chosen]])
+            before = label.copy()
+            np.minimum.at(label, label[a[chosen]], low)
+            np.minimum.at(label, label[b[chosen]], low)
+            label = label[label]
+            if (label == before).all():
+                break
+        open_ = open_[label[a[open_]] != label[b[open_]]]
+    return np.concatenate(taken) if taken else np.zeros(0, np.int64), label
+
+
+def _run_links(keys: np.ndarray, fps: np.ndarray, most: int, sure: int = -1) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(a, b, distance) of rows of fps, sorted by key: of each key's links a forest of the closest that connects what they all connect, and FORESTS - 1 further ones of links above `sure` between what links up to it connect."""
     edges = np.flatnonzero(np.diff(keys, prepend=keys[:1] - 1))
     end = np.repeat(np.append(edges[1:], len(keys)), np.diff(np.append(edges, len(keys))))
     rows = np.arange(len(keys))
@@ -322,29 +354,21 @@ def _run_links(keys: np.ndarray, fps: np.ndarray, most: int) -> tuple[np.ndarray
     a, b, d = (np.concatenate(x) for x in zip(*found, strict=True))
     order = np.argsort(d, kind="stable")
     a, b, d = a[order], b[order], d[order]
-    label, taken, open_ = rows.copy(), [], np.arange(len(a))
-    while len(open_):
-        # Each component takes the first, so the closest, link that leaves it.
-        best = np.full(len(rows), len(a))
-        np.minimum.at(best, label[a[open_]], open_)
-        np.minimum.at(best, label[b[open_]], open_)
-        chosen = np.unique(best[best < len(a)])
-        taken.append(chosen)
-        while True:
-            low = np.minimum(label[a[chosen]], label[b[chosen]])
-            before = label.copy()
-            np.minimum.at(label, label[a[chosen]], low)
-            np.minimum.at(label, label[b[chosen]], low)
-            label = label[label]
-            if (label == before).all():
-                break
-        open_ = open_[label[a[open_]] != label[b[open_]]]
-    taken = np.concatenate(taken) if taken else np.zeros(0, np.int64)
+    closest, _ = _forest(a, b, rows, np.arange(len(a)))
+    taken, (_, group) = [closest], _forest(a, b, rows, np.flatnonzero(d <= sure))
+    left = np.setdiff1d(np.flatnonzero(d > sure), closest)
+    for _ in range(FORESTS - 1):
+        more, _ = _forest(a, b, group, left)
+        taken.append(more)
+        left = np.setdiff1d(left, more)
+    taken = np.concatenate(taken)
     return a[taken], b[taken], d[taken]
 
 
-def wide_links(fps: DataFrame, most: int, crowd: int = 128) -> DataFrame:
-    """(a, b, distance): links between different wide fingerprints of at most so many differing bits that meet at an anchor, as far as they are needed to connect what all of them connect. fps: distinct fp (binary)."""
+def wide_links(fps: DataFrame, most: int, crowd: int = 128, sure: int = -1) -> DataFrame:
+    """(a, b, distance): links between different wide fingerprints of at most so many differing bits that meet at an anchor, as far as they are needed to connect what all of them connect, those above `sure` several times over. fps: distinct fp (binary).
+
+    In a crowd at the finest anchors members are compared with pivots: the first member, and each later one that is near no pivot before it."""
     codes, raw = code_sizes(fps.count())
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -361,7 +385,7 @@ def wide_links(fps: DataFrame, most: int, crowd: int = 128) -> DataFrame:
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             process_memo("simhash")
-            held, crowded, pivot = None, None, None  # rows of the last key so far; that key, if it is a crowd; its first fingerprint
+            held, crowded, pivots = None, None, None  # rows of the last key so far; that key, if it is a crowd; its pivots
 
             def out(a: np.ndarray | None, b: np.ndarray, value: np.ndarray) -> pa.RecordBatch:
                 wrap = lambda rows: pa.array([r.tobytes() for r in rows], pa.binary())
@@ -370,9 +394,25 @@ def wide_links(fps: DataFrame, most: int, crowd: int = 128) -> DataFrame:
             def overflow(keys: np.ndarray, fps: np.ndarray) -> pa.RecordBatch:
                 if depth < DEPTH:
                     return out(None, fps, _keys(homes(fps, codes, raw), (keys.view(np.uint64) >> np.uint64(54)).astype(np.int64), depth + 1))
-                distance = np.bitwise_count(fps.view(np.uint64) ^ pivot.view(np.uint64)).sum(axis=1, dtype=np.int64)
-                near = (distance <= most) & (distance > 0)
-                return out(np.repeat(pivot, near.sum(), axis=0), fps[near], distance[near])
+                nonlocal pivots
+                left, right, distance = [], [], []
+                rest, begin = np.arange(len(fps)), 0
+                while True:
+                    # All that are left against the pivots that are new; what is near one is linked to it.
+                    near_any = np.zeros(len(rest), bool)
+                    for p in pivots[begin:]:
+                        d = np.bitwise_count(fps[rest].view(np.uint64) ^ p.view(np.uint64)).sum(axis=1, dtype=np.int64)
+                        near = d <= most
+                        near_any |= near
+                        near &= d > 0
+                        left.append(np.repeat(p[None], near.sum(), axis=0))
+                        right.append(fps[rest[near]])
+                        distance.append(d[near])
+                    begin, rest = len(pivots), rest[~near_any]
+                    if not len(rest):
+                        break
+                    pivots = np.concatenate([pivots, fps[rest[:1]]])
+                return out(np.concatenate(left), np.concatenate(right), np.concatenate(distance))
 
             for batch in chain(batches, (None,)):
                 if batch is None:
@@ -399,14 +439,14 @@ def wide_links(fps: DataFrame, most: int, crowd: int = 128) -> DataFrame:
                     held = keys[first[-1] :], fps[first[-1] :]
                     keys, fps, first, size = keys[: first[-1]], fps[: first[-1]], first[:-1], size[:-1]
                 for lo, n in zip(first[size > crowd].tolist(), size[size > crowd].tolist(), strict=True):
-                    pivot = fps[lo : lo + 1]
+                    pivots = fps[lo : lo + 1]
                     yield overflow(keys[lo : lo + n], fps[lo : lo + n])
                     if lo + n == len(keys) and not last:
                         crowded = int(keys[lo])
                 fit = np.repeat((size > 1) & (size <= crowd), size)
                 if fit.any():
                     keys, fps = keys[fit], fps[fit]
-                    a, b, distance = _run_links(keys, np.ascontiguousarray(fps), most)
+                    a, b, distance = _run_links(keys, np.ascontiguousarray(fps), most, sure)
                     if len(b):
                         yield out(fps[a], fps[b], distance)
 
@@ -427,9 +467,9 @@ def wide_links(fps: DataFrame, most: int, crowd: int = 128) -> DataFrame:
 def representatives(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8, crowd: int = 128, broadcast_rows: int = 1_000_000) -> DataFrame:
     """The rows of df that stay: of each group of near copies the one with the smallest id (of those with that id, the first in the input), all columns as they were.
 
-    Near copies are texts whose distinct shingles have a Jaccard similarity of `similarity` or more, as their wide fingerprints tell: a link needs no more differing bits than
-    are expected of it (and a standard deviation), and if it has more than are expected less two standard deviations and joins two groups, no more than are expected of LONG
-    further bits (and half a deviation). Groups are the links' components. Empty and null texts, and others without words, have fingerprint zero and are one group, of which one row stays. Null ids
+    Near copies are texts whose distinct shingles have a Jaccard similarity of `similarity` or more. Wide fingerprints tell where it is beyond doubt: a link has at most as many differing bits as
+    are expected of that similarity and two standard deviations, and is taken as it is if it has three less than expected. Between, links that join two groups are told by LONG
+    further bits in the same way, and what these leave in doubt by the shingles of both texts. Groups are the links' components. Empty and null texts, and others without words, have fingerprint zero and are one group, of which one row stays. Null ids
     come last, so that a row with an id stays if there is one. Rows that repeat an id are rows of their own. An empty input gives an empty
     result. Columns may have any names. The input must be read in the same order each time, as from files.
 
@@ -452,12 +492,29 @@ def representatives(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
             bits = [np.frombuffer(wide_fingerprint(t.as_py(), shingle, LONG, WIDE // 64), np.int64) for t in b.column(1)]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(bits, pa.list_(pa.int64()))], names=["place", "bits"])
 
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        process_memo("simhash")
+        for b in batches:
+            for lo in range(0, len(b), 64):
+                part = b.slice(lo, 64)
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([shingle_set(t.as_py(), shingle) for t in part.column(1)], pa.binary())], names=["place", "shingles"])
+
+    def similar(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            keep = []
+            for x, y in zip(b.column(2), b.column(3), strict=True):
+                x, y = (np.frombuffer(v.as_py(), np.uint64) for v in (x, y))
+                common = len(np.intersect1d(x, y, assume_unique=True))
+                keep.append(common >= similarity * (len(x) + len(y) - common))
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
     rows = placed.select(F.col(id_col).alias("id"), F.col(mark).alias("place"), F.col(text_col).alias("text")).mapInArrow(run, f"id {df.schema[id_col].dataType.simpleString()}, place long, fp binary")
     rows = scratch_table(rows, "simhash")
 
     def link(fps: DataFrame) -> DataFrame:
-        found = scratch_table(wide_links(fps, wide_distance(similarity, WIDE, 1), crowd), "simhash-found")
-        doubt = F.col("distance") > wide_distance(similarity, WIDE, -2)
+        sure_bits = wide_distance(similarity, WIDE, -3)
+        found = scratch_table(wide_links(fps, wide_distance(similarity, WIDE, 2), crowd, sure_bits), "simhash-found")
+        doubt = F.col("distance") > sure_bits
         sure = found.filter(~doubt).select("a", "b")
         roots = components(sure)
         # A text in the middle of a large group has very many links: up to a fifth of broadcast_rows roots (64 bytes each) go to the links instead.
@@ -467,14 +524,26 @@ def representatives(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
         joins = scratch_table(joins.filter(F.coalesce("a_root", "a") != F.coalesce("b_root", "b")).select("a", "b").distinct(), "simhash-doubt")
         if joins.isEmpty():
             return sure
-        asked = joins.select(F.col("a").alias("fp")).union(joins.select(F.col("b").alias("fp"))).distinct()
-        places = scratch_table(rows.join(asked, "fp", "left_semi").groupBy("fp").agg(F.min("place").alias("place")), "simhash-asked")
-        texts = placed.select(F.col(mark).alias("place"), F.col(text_col).alias("text")).join(here(places.select("place")), "place", "left_semi")
-        bits = scratch_table(texts.mapInArrow(further, "place long, bits array<long>").join(places, "place").select("fp", "bits"), "simhash-bits")
-        of = lambda c: bits.select(F.col("fp").alias(c), F.col("bits").alias(f"{c}_bits"))
-        apart = F.aggregate(F.zip_with("a_bits", "b_bits", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda total, n: total + n)
-        close = joins.join(of("a"), "a").join(of("b"), "b").filter(apart <= wide_distance(similarity, LONG, 0.5)).select("a", "b")
-        return sure.unionByName(close)
+
+        def of(pairs: DataFrame, run, schema: str, value: str) -> DataFrame:
+            """(fp, value) of one text of each fingerprint in the pairs."""
+            asked = pairs.select(F.col("a").alias("fp")).union(pairs.select(F.col("b").alias("fp"))).distinct()
+            places = scratch_table(rows.join(asked, "fp", "left_semi").groupBy("fp").agg(F.min("place").alias("place")), "simhash-asked")
+            texts = placed.select(F.col(mark).alias("place"), F.col(text_col).alias("text")).join(here(places.select("place")), "place", "left_semi")
+            return scratch_table(texts.mapInArrow(run, schema).join(places, "place").select("fp", value), f"simhash-{value}")
+
+        both = lambda pairs, values, c: pairs.join(values.select(F.col("fp").alias("a"), F.col(c).alias("x")), "a").join(values.select(F.col("fp").alias("b"), F.col(c).alias("y")), "b")
+        apart = F.aggregate(F.zip_with("x", "y", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda total, n: total + n)
+        told = both(joins, of(joins, further, "place long, bits array<long>", "bits"), "bits").select("a", "b", apart.alias("apart"))
+        told = scratch_table(told.filter(F.col("apart") <= wide_distance(similarity, LONG, 2)), "simhash-told")
+        clear = F.col("apart") <= wide_distance(similarity, LONG, -3)
+        # What even these bits leave in doubt is settled by the shingles of both texts.
+        open_ = scratch_table(told.filter(~clear).select("a", "b"), "simhash-open")
+        sure = sure.unionByName(told.filter(clear).select("a", "b"))
+        if open_.isEmpty():
+            return sure
+        exact = both(open_, of(open_, sets, "place long, shingles binary", "shingles"), "shingles").select("a", "b", "x", "y").mapInArrow(similar, "a binary, b binary")
+        return sure.unionByName(scratch_table(exact, "simhash-exact"))
 
     # Null ids last, so that a row with an id stays if there is one.
     whole = F.min(F.struct(F.col("id").isNull().alias("none"), F.col("id"), F.col("place")))

@@ -183,6 +183,31 @@ def test_representatives_of_near_copies(spark, tmp_path, rows, crowd):
     assert simhash.representatives(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("similarity", [0.79, 0.802, 0.82, 0.9])
+def test_recall_of_pairs(spark, tmp_path, similarity):
+    """Pairs of a true five-word Jaccard similarity a little over the limit or higher are linked, nine of ten at least; pairs under it never."""
+    r = random.Random(int(similarity * 1000))
+    table, n = [], 250
+    for k in range(n):
+        base = [f"{r.randrange(10**6):x}" for _ in range(r.randint(120, 400))]
+        copy = list(base)
+        if k % 2:  # a new end
+            shared = similarity * 2 * (len(base) - 4) / (1 + similarity)
+            low = 4 + (int(shared) if similarity < 0.8 else -int(-shared // 1))
+            copy[low:] = [f"n{r.randrange(10**6):x}" for _ in copy[low:]]
+        else:  # words changed here and there
+            while jaccard(" ".join(base), " ".join(copy)) > similarity + 0.02:
+                copy[r.randrange(len(copy))] = f"n{r.randrange(10**6):x}"
+        texts = " ".join(base), " ".join(copy)
+        table += [(2 * k, texts[0], None, None), (2 * k + 1, texts[1], None, None)]
+    alike = {k for k in range(n) if jaccard(table[2 * k][1], table[2 * k + 1][1]) >= 0.8}
+    frame(spark, table).write.parquet(str(tmp_path / "t"))
+    stays = {x.doc_id for x in simhash.representatives(spark.read.parquet(str(tmp_path / "t"))).collect()}
+    linked = {k for k in range(n) if 2 * k + 1 not in stays}
+    assert {2 * k for k in range(n)} <= stays and linked <= alike
+    assert len(linked) >= 0.9 * len(alike)
+
+
 def test_wide_links_are_all_pairs_that_meet(spark):
     rng = np.random.default_rng(4)
     base = rng.integers(0, 256, (30, 32), np.uint8)
@@ -215,7 +240,9 @@ def test_a_crowd_of_near_copies_is_one_group(spark, crowd):
     assert len(found) == len(fps) - 1 and len({bytes(x.root) for x in found}) == 1
 
 
-def test_forests_connect_what_all_links_connect():
+@pytest.mark.parametrize("forests", [1, 3])
+def test_forests_connect_what_all_links_connect(monkeypatch, forests):
+    monkeypatch.setattr(simhash, "FORESTS", forests)
     rng = np.random.default_rng(9)
     for most in (20, 42, 60):
         base = rng.integers(0, 256, (12, 32), np.uint8)
@@ -231,14 +258,20 @@ def test_forests_connect_what_all_links_connect():
                 group = [min(group[x], group[y]) if g in (group[x], group[y]) else g for g in group]
             return group
 
-        assert groups(zip(a.tolist(), b.tolist(), strict=True)) == groups(everything) and len(a) == len(fps) - len(set(groups(everything)))
+        assert groups(zip(a.tolist(), b.tolist(), strict=True)) == groups(everything) and len(set(zip(a.tolist(), b.tolist(), strict=True))) == len(a)
+        if forests == 1:
+            assert len(a) == len(fps) - len(set(groups(everything)))
+        # Links up to `sure` are one forest; those above it come several times over.
+        a2, b2, d2 = simhash._run_links(keys, np.ascontiguousarray(fps), most, 20)
+        close = lambda x, y, z: groups((i, j) for i, j, k in zip(x.tolist(), y.tolist(), z.tolist(), strict=True) if k <= 20)
+        assert close(a2, b2, d2) == groups((i, j) for i, j in everything if d[i, j] <= 20) and len(a2) <= len(a)
         assert (distance == d[a, b]).all() and (keys[a] == keys[b]).all()
 
 
 def test_chance_of_meeting():
     """Of pairs that differ in the bits expected at a similarity of 0.85 nine in ten meet at an anchor, of closer ones nearly all; more codes keep that for larger inputs."""
-    assert [simhash.wide_distance(0.8, 256, k) for k in (-2, 0, 1)] == [27, 39, 45] and simhash.code_sizes(10**5) == (48, 6)
-    assert simhash.meeting(0.13) > 0.9 and simhash.meeting(0.1) > 0.98 and simhash.meeting(0.5) < 0.01
+    assert [simhash.wide_distance(0.8, 256, k) for k in (-2, 0, 1)] == [27, 39, 45] and simhash.code_sizes(10**5) == (80, 6)
+    assert simhash.meeting(0.1515) > 0.93 and simhash.meeting(0.13) > 0.97 and simhash.meeting(0.1) > 0.99 and simhash.meeting(0.5) < 0.01
     codes, raw = simhash.code_sizes(5 * 10**7)
     rng = np.random.default_rng(1)
     a = rng.integers(0, 256, (500, 32), np.uint8)
