@@ -5,9 +5,10 @@ documents that hold it, in sorted runs (tables bucketed and sorted by hash).
 Documents come in batches. A new batch is dealt to the buckets, merge-anti-joined with
 the decided keys of all runs (those that have reached the threshold: they need no
 further counting), and what is left of it is added as a run of level 0. When a
-level holds `fan_in` runs their undecided keys are merged, counts of a key added up, into one run of
-the next level, where some are decided. All runs have the
-same buckets, so merging and anti-joining them needs no shuffle; only the batch itself is shuffled, once.
+level holds `fan_in` runs they are merged, counts of a key added up, into one run of
+the next level, and go: n batches leave at most fan_in - 1 runs on each of some log n levels, and no more are anti-joined. All runs have the
+same buckets, so merging two and anti-joining them needs no shuffle (Spark sorts each bucket's rows once more); the batch itself is shuffled, once, and in the end the few runs that are left.
+Runs are files below the session's checkpoint folder, and are deleted with their tables whether the job ends well or not.
 
 Counts of a batch are added up in each Arrow batch and again by Spark's partial aggregation
 before the shuffle, so a line that every document holds is a few rows.
@@ -18,6 +19,7 @@ from __future__ import annotations
 import uuid
 from collections import Counter
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -25,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from basalt.llm.common import process_memo, scratch_table
+from basalt.llm.common import process_memo, remove, scratch_table, shared_dir
 
 _WHITE = b"\x20\x09\x0a\x0b\x0c\x0d"
 
@@ -64,77 +66,88 @@ def count_lines(df: DataFrame, id_col: str, text_col: str, batches: int) -> Data
 
 
 class LineRuns:
-    """Levelled sorted runs of (h1, h2, docs). A run is a table of two parts, `decided` or not, with the same buckets."""
+    """Levelled sorted runs of (h1, h2, docs). A run is a table of two parts, `decided` or not, with the same buckets, in a folder of the store."""
 
     def __init__(self, spark: SparkSession, threshold: int, fan_in: int = 2, buckets: int | None = None):
         self.spark, self.threshold, self.fan_in = spark, threshold, fan_in
         self.buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
         self.name = f"line_runs_{uuid.uuid4().hex}"
+        self.folder = f"{shared_dir(spark)}/{self.name}"
         self.levels: list[list[str]] = []
-        self.decided: list[str] = []
         self.made = 0
 
+    @property
+    def runs(self) -> list[str]:
+        return [t for level in self.levels for t in level]
+
     def _write(self, rows: DataFrame) -> str:
         """rows are dealt by bucket already: each task writes its own bucket's file."""
         self.made += 1
         table = f"{self.name}_{self.made}"
         marked = rows.select("h1", "h2", "docs", (F.col("docs") >= self.threshold).alias("decided"))
-        marked.write.partitionBy("decided").bucketBy(self.buckets, "h1", "h2").sortBy("h1", "h2").format("parquet").saveAsTable(table)
+        marked.write.partitionBy("decided").bucketBy(self.buckets, "h1", "h2").sortBy("h1", "h2").format("parquet").option("path", f"{self.folder}/{table}").saveAsTable(table)
         return table
 
-    def _part(self, table: str, decided: bool) -> DataFrame:
-        return self.spark.table(table).filter(F.col("decided") == decided).select("h1", "h2", "docs")
+    def _decided(self, table: str) -> DataFrame:
+        return self.spark.table(table).filter("decided").select("h1", "h2")
 
     def _drop(self, tables: list[str]) -> None:
         for t in tables:
             self.spark.sql(f"DROP TABLE IF EXISTS {t}")
+            remove(self.spark, f"{self.folder}/{t}")
 
     def append(self, batch: DataFrame) -> None:
-        """Add a batch of (h1, h2, docs), a row for each key: dealt to the buckets once, merge-anti-joined with the decided keys of every run that has some, and written as a run."""
+        """Add a batch of (h1, h2, docs), a row for each key: dealt to the buckets once, merge-anti-joined with the decided keys of every run, and written as a run."""
         batch = batch.select("h1", "h2", "docs").repartition(self.buckets, "h1", "h2")
-        for t in self.decided:
-            batch = batch.join(self._part(t, True).select("h1", "h2").hint("merge"), ["h1", "h2"], "left_anti")
+        for t in self.runs:
+            batch = batch.join(self._decided(t).hint("merge"), ["h1", "h2"], "left_anti")
         self._add(0, self._write(batch))
 
     def _add(self, level: int, table: str) -> None:
         while len(self.levels) <= level:
             self.levels.append([])
         self.levels[level].append(table)
-        self.decided.append(table)
         if len(self.levels[level]) >= self.fan_in:
-            old, self.levels[level] = self.levels[level], []
-            self._add(level + 1, self._write(self._merged(old)))
+            old = self.levels[level]
+            merged = self._write(self._merged(old))
+            self.levels[level] = []
+            self._drop(old)
+            self._add(level + 1, merged)
 
     def _merged(self, tables: list[str]) -> DataFrame:
-        """The undecided rows of runs, counts of a key added up: a merge of sorted buckets, without a shuffle."""
-        out = self._part(tables[0], False)
+        """The rows of runs, counts of a key added up: a merge of buckets; of two runs without a shuffle."""
+        rows = lambda t: self.spark.table(t).select("h1", "h2", "docs")
+        out = rows(tables[0])
         for t in tables[1:]:
-            other = self._part(t, False).withColumnRenamed("docs", "more").hint("merge")
+            other = rows(t).withColumnRenamed("docs", "more").hint("merge")
             out = out.join(other, ["h1", "h2"], "full").select("h1", "h2", (F.coalesce("docs", F.lit(0)) + F.coalesce("more", F.lit(0))).alias("docs"))
         return out
 
-    def finish(self) -> DataFrame:
-        """Merge all runs of all levels, and give (h1, h2) of every key that has reached the threshold."""
-        tables = [t for level in self.levels for t in level]
-        frequent = [self._part(t, True).select("h1", "h2") for t in self.decided]
-        if tables:
-            frequent.append(self._merged(tables).filter(F.col("docs") >= self.threshold).select("h1", "h2"))
-        out = self.spark.createDataFrame([], "h1 long, h2 long")
-        for f in frequent:
-            out = out.unionByName(f)
-        out = scratch_table(out, "line-frequent")
-        self._drop(self.decided)
-        self.levels, self.decided = [], []
-        return out
+    def frequent(self) -> DataFrame:
+        """(h1, h2) of every key that has reached the threshold over all runs, written outside the store."""
+        if not self.runs:
+            return self.spark.createDataFrame([], "h1 long, h2 long")
+        rows = [self.spark.table(t).select("h1", "h2", "docs") for t in self.runs]
+        whole = rows[0] if len(rows) == 1 else reduce(DataFrame.unionByName, rows).groupBy("h1", "h2").agg(F.sum("docs").alias("docs"))
+        return scratch_table(whole.filter(F.col("docs") >= self.threshold).select("h1", "h2"), "line-frequent")
+
+    def close(self) -> None:
+        """Delete all tables and files of the store, those of a write that failed, too."""
+        self._drop([f"{self.name}_{k + 1}" for k in range(self.made)])
+        remove(self.spark, self.folder)
+        self.levels = []
 
 
 def frequent_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_docs: int = 10, batches: int = 4, fan_in: int = 2) -> DataFrame:
     """(h1, h2) of line keys that stand in min_docs documents or more. The text is read once; each batch's counts are then appended to the store in turn."""
     store = LineRuns(df.sparkSession, min_docs, fan_in)
-    counted = scratch_table(count_lines(df, id_col, text_col, batches), "line-counts", ["batch"])
-    for k in range(batches):
-        store.append(counted.filter(F.col("batch") == k))
-    return store.finish()
+    try:
+        counted = scratch_table(count_lines(df, id_col, text_col, batches), "line-counts", ["batch"])
+        for k in range(batches):
+            store.append(counted.filter(F.col("batch") == k))
+        return store.frequent()
+    finally:
+        store.close()
 
 
 def _cut(text: str, drop) -> tuple[str, int, int]:

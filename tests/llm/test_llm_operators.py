@@ -1,6 +1,7 @@
 """Each operator against a plain version of itself, on small inputs with nulls, empty texts, ties, repeats and clashing columns."""
 
 import hashlib
+import os
 import random
 import re
 import zlib
@@ -350,19 +351,50 @@ def test_first_fit_decreasing_takes_the_leftmost_bin():
 def test_line_runs(spark, limit):
     r = random.Random(4)
     lines = ["", "  ", "common line", " COMMON line\t", "Ä", "ä", "rare one", "x" * 3000, "\x0bcommon line\r"] + [f"line {k}" for k in range(30)]
-    rows = [(i, r.choice([None, ""]) if i % 9 == 0 else "\n".join(r.choice(lines) for _ in range(r.randint(1, 9))), None, None) for i in range(120)] + [(1, "common line", None, None)]
+    rows = [(i, r.choice([None, ""]) if i % 9 == 0 else "\n".join(r.choice(lines) for _ in range(r.randint(1, 9))), None, None) for i in range(120)] + [(1, "common line", None, None), (None, "common line\nrare one", None, None), (None, None, None, None)]
     key = lambda line: line.strip(" \t\n\x0b\x0c\r").encode().lower()
     docs = {}
     for k, (_, t, *_r) in enumerate(rows):
         for x in {key(line) for line in (t or "").split("\n")}:
             docs.setdefault(x, set()).add(k)
     often = {x for x, own in docs.items() if x and len(own) >= 10}
-    want = sorted((i, "\n".join(x for x in (t or "").split("\n") if key(x) not in often), (t or "").count("\n") + 1, sum(key(x) in often for x in (t or "").split("\n"))) for i, t, *_ in rows)
+    want = sorted((str(i), "\n".join(x for x in (t or "").split("\n") if key(x) not in often), (t or "").count("\n") + 1, sum(key(x) in often for x in (t or "").split("\n"))) for i, t, *_ in rows)
     df = frame(spark, rows).persist()
-    assert sorted(map(tuple, line_runs.drop_frequent_lines(df, broadcast_keys=limit).collect())) == want
+    assert sorted((str(x[0]), *x[1:]) for x in map(tuple, line_runs.drop_frequent_lines(df, broadcast_keys=limit).collect())) == want
     assert line_runs.drop_frequent_lines(df.limit(0), broadcast_keys=limit).count() == 0
 
 
+def test_line_runs_are_few_and_leave_nothing(spark, monkeypatch):
+    from basalt.llm.common import shared_dir
+
+    r = random.Random(8)
+    folder = shared_dir(spark).removeprefix("file:")
+    left = lambda: ([x.name for x in spark.catalog.listTables() if x.name.startswith("line_runs_")], [f for f in os.listdir(folder) if f.startswith("line_runs_")])
+    store, total, decided = line_runs.LineRuns(spark, 6, buckets=3), {}, set()
+    for k in range(16):
+        batch = {r.randrange(80): r.choice([1, 1, 2, 7]) for _ in range(40)}
+        for key, n in batch.items():
+            total[key] = total.get(key, 0) + n
+        store.append(spark.createDataFrame([(key, -key, n) for key, n in batch.items()], "h1 long, h2 long, docs long"))
+        assert len(store.runs) == (k + 1).bit_count() and len(left()[0]) == len(store.runs)
+        # A merge of two runs shuffles nothing.
+        plan = store._merged(store.runs[:2])._jdf.queryExecution().executedPlan().toString()
+        assert "Exchange" not in plan
+    got = {x.h1 for x in store.frequent().collect()}
+    store.close()
+    assert got == {key for key, n in total.items() if n >= 6} and left() == ([], [])
+
+    def broken(self, rows):
+        self.made += 1
+        rows.limit(1).write.parquet(f"{self.folder}/{self.name}_{self.made}")
+        raise RuntimeError("lost")
+
+    monkeypatch.setattr(line_runs.LineRuns, "_write", broken)
+    with pytest.raises(RuntimeError):
+        line_runs.frequent_lines(frame(spark, [(1, "a", None, None), (None, "a", None, None)]))
+    assert left() == ([], [])
+
+
 def test_top_k(spark):
     rng = np.random.default_rng(0)
     vectors = rng.normal(size=(300, 64))
