@@ -54,8 +54,18 @@ def _layer(weights: DataFrame, kind: str) -> messages.Layer:
     return layer._replace(left=layer.left.T, right=layer.right.T)
 
 
+def _element(k: int) -> Column:
+    """Element k of x, rounded; a zero has no sign."""
+    x = F.round(F.get("x", F.lit(k)), 6)
+    return F.when(x == 0, 0.0).otherwise(x).alias(f"x{k}")
+
+
 def _out(found: DataFrame) -> DataFrame:
-    return found.select("vec_id", *(F.round(F.get("x", F.lit(k)), 6).alias(f"x{k}") for k in range(_W)))
+    return found.select("vec_id", *map(_element, range(_W)))
+
+
+def _without_signed_zeros(keys: str, n: int, sql: str) -> str:
+    return f"SELECT {keys}, {', '.join(f'CASE WHEN x{k} = 0 THEN 0.0::DOUBLE ELSE x{k} END AS x{k}' for k in range(n))} FROM ({sql})"
 
 
 _SOFTMAX = f"""m AS (SELECT dst, h, max(z) AS z FROM z GROUP BY ALL),
@@ -63,31 +73,31 @@ o AS (SELECT z.dst, z.h, sum(exp(z.z - m.z)) AS s, {", ".join(f"sum(exp(z.z - m.
 SELECT dst AS vec_id, {", ".join(f"round(max(v{k % WIDTH} / s) FILTER (h = {k // WIDTH}) + any_value(w[22][{k + 1}]), 6) AS x{k}" for k in range(_W))} FROM o, weight GROUP BY dst"""
 
 
-@query(f"""WITH {_NODES}, {_ALL},
+@query(_without_signed_zeros("vec_id", _W, f"""WITH {_NODES}, {_ALL},
 q AS (SELECT dst, a.l, list_transform(range(1, {_W + 1}), lambda c: a.l[c] + b.r[c] + s0 * w[20][c] + s1 * w[21][c]) AS z, w[17] AS att FROM every JOIN p a ON a.vec_id = src JOIN p b ON b.vec_id = dst, weight),
 z AS (SELECT dst, l, h, list_sum(list_transform(range(1, {WIDTH + 1}), lambda k: att[h * {WIDTH} + k] * CASE WHEN z[h * {WIDTH} + k] > 0 THEN z[h * {WIDTH} + k] ELSE 0.2::DOUBLE * z[h * {WIDTH} + k] END)) AS z FROM q, range({HEADS}) t(h)),
-{_SOFTMAX}""")
+{_SOFTMAX}"""))
 def graph_attention(spark, d):
     """GR19: a layer of dynamic attention with edge types, two heads, over all vectors; node 7 is a hub."""
     nodes, edges, weights = _graph(spark, d)
     return _out(messages.attention(nodes, edges, _layer(weights, messages.GATV2), "vec_id", "x", edge_type="t"))
 
 
-@query(f"""WITH {_NODES}, {_ALL},
+@query(_without_signed_zeros("vec_id", _W, f"""WITH {_NODES}, {_ALL},
 q AS (SELECT dst, a.l, a.l AS ls, b.l AS lt, s0, s1, w FROM every JOIN p a ON a.vec_id = src JOIN p b ON b.vec_id = dst, weight),
 y AS (SELECT dst, l, h, list_sum(list_transform(range(1, {WIDTH + 1}), lambda k: ls[h * {WIDTH} + k] * w[17][h * {WIDTH} + k] + lt[h * {WIDTH} + k] * w[18][h * {WIDTH} + k] + (s0 * w[20][h * {WIDTH} + k] + s1 * w[21][h * {WIDTH} + k]) * w[19][h * {WIDTH} + k])) AS y FROM q, range({HEADS}) t(h)),
 z AS (SELECT dst, l, h, CASE WHEN y > 0 THEN y ELSE 0.2::DOUBLE * y END AS z FROM y),
-{_SOFTMAX}""")
+{_SOFTMAX}"""))
 def graph_attention_static(spark, d):
     """GR19: the same with static attention."""
     nodes, edges, weights = _graph(spark, d)
     return _out(messages.attention(nodes, edges, _layer(weights, messages.GAT), "vec_id", "x", edge_type="t"))
 
 
-@query(f"""WITH {_NODES}, weight AS (SELECT list(x ORDER BY vec_id) AS w FROM n WHERE vec_id < 24),
+@query(_without_signed_zeros("vec_id", _W, f"""WITH {_NODES}, weight AS (SELECT list(x ORDER BY vec_id) AS w FROM n WHERE vec_id < 24),
 means AS (SELECT dst, {", ".join(f"avg(x[{k}]) AS m{k}" for k in range(1, 65))} FROM e JOIN n ON n.vec_id = src GROUP BY dst),
 s AS (SELECT n.vec_id, x, CASE WHEN dst IS NULL THEN list_transform(range(64), lambda i: 0.0::DOUBLE) ELSE [{", ".join(f"m{k}" for k in range(1, 65))}] END AS mean FROM n LEFT JOIN means ON dst = vec_id)
-SELECT vec_id, {", ".join(f"round(list_dot_product(mean, w[{k + 1}]) + list_dot_product(x, w[{k + 1 + _W}]), 6) AS x{k}" for k in range(_W))} FROM s, weight""")
+SELECT vec_id, {", ".join(f"round(list_dot_product(mean, w[{k + 1}]) + list_dot_product(x, w[{k + 1 + _W}]), 6) AS x{k}" for k in range(_W))} FROM s, weight"""))
 def graph_sage(spark, d):
     """GR19: mean aggregation with weights."""
     nodes, edges, weights = _graph(spark, d)
@@ -301,7 +311,7 @@ def _encoder_rows(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("fn", F.transform("input_tokens", number).alias("ids"), pairs.alias("links"))
 
 
-@query(f"""WITH {_CODE}, wt AS (SELECT list(embedding::DOUBLE[] ORDER BY vec_id) AS w FROM embeddings WHERE vec_id < 54),
+@query(_without_signed_zeros("fn, place", _D, f"""WITH {_CODE}, wt AS (SELECT list(embedding::DOUBLE[] ORDER BY vec_id) AS w FROM embeddings WHERE vec_id < 54),
 o AS (SELECT fn, (list(string_split_regex(asm, '[ ,]+') ORDER BY block, pos, asm))[1:4] AS o FROM code GROUP BY fn),
 tk AS (SELECT fn, i, CASE WHEN i < 12 THEN i // 3 WHEN i < 16 THEN i - 12 END AS b, CASE WHEN i < 12 THEN 'l' WHEN i < 16 THEN 'n' ELSE 'g' END AS part, CASE WHEN i < 12 THEN o[i // 3 + 1][i % 3 + 1] END AS tok, CASE WHEN i < 16 THEN o[CASE WHEN i < 12 THEN i // 3 ELSE i - 12 END + 1][1] END AS op FROM o, range({_N}) r(i)),
 ids AS (SELECT *, CASE WHEN part = 'n' THEN 1 WHEN part = 'g' THEN 2 WHEN tok IS NULL THEN 0 ELSE (length(tok) + ascii(tok)) % 38 + 2 END AS id FROM tk),
@@ -312,11 +322,11 @@ s AS (SELECT a.fn, a.i, h, b.v, (a.q[2 * h + 1] * b.k[2 * h + 1] + a.q[2 * h + 2
       WHERE (b.part <> 'l' OR b.id <> 0) AND (a.part = 'g' OR b.part = 'g' OR (a.b = b.b AND NOT (a.part = 'n' AND b.part = 'n')) OR (a.part = 'n' AND b.part = 'n' AND (a.i = b.i OR a.op = b.op)))),
 m AS (SELECT fn, i, h, max(s) AS m FROM s GROUP BY ALL),
 r AS (SELECT s.fn, s.i, s.h, sum(exp(s - m) * v[2 * s.h + 1]) / sum(exp(s - m)) AS y1, sum(exp(s - m) * v[2 * s.h + 2]) / sum(exp(s - m)) AS y2 FROM s JOIN m ON m.fn = s.fn AND m.i = s.i AND m.h = s.h GROUP BY ALL)
-SELECT fn, i::INT AS place, {", ".join(f"round(max(y{k % 2 + 1}) FILTER (h = {k // 2}), 6) AS x{k}" for k in range(_D))} FROM r GROUP BY fn, i""")
+SELECT fn, i::INT AS place, {", ".join(f"round(max(y{k % 2 + 1}) FILTER (h = {k // 2}), 6) AS x{k}" for k in range(_D))} FROM r GROUP BY fn, i"""))
 def sparse_attention(spark, d):
     """VC9: hidden vectors of all tokens, against dense attention under the same mask in SQL."""
     found = sparse_encoder.encode(_encoder_rows(spark, d), "fn", "ids", "links", _LAYOUT, _encoder_weights(spark, d))
-    return found.select("fn", F.posexplode("hidden").alias("place", "x")).select("fn", "place", *(F.round(F.get("x", F.lit(k)), 6).alias(f"x{k}") for k in range(_D)))
+    return found.select("fn", F.posexplode("hidden").alias("place", "x")).select("fn", "place", *map(_element, range(_D)))
 
 
 @query()
