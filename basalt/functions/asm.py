@@ -1,199 +1,195 @@
-"""x86-64 operands and instructions: what an instruction defines and uses.
+"""x86-64 operands and instructions as column expressions: what an instruction defines and uses.
 
-Parsing branches too much for column expressions, so it is a Python function over one line of disassembly,
-applied in Arrow batches. Registers other than those of x86-64 aren't normalised.
+Operands follow one small grammar (`OPERAND`), instructions a table of kinds (`KINDS`); both are evaluated inside the JVM. Registers other than
+those of x86-64 aren't normalised. Null code counts as empty.
 """
 
 from __future__ import annotations
 
-import re
-from dataclasses import dataclass, field
-from functools import lru_cache
-
-GLOBAL, CONST, FLAGS = "GLOBAL", "CONST", "EFLAGS"
-
-
-def _aliases() -> dict[str, str]:
-    """Parts of registers to the whole, by naming rule."""
-    out = {}
-    for r in "abcd":
-        out |= {x: f"r{r}x" for x in (f"{r}l", f"{r}h", f"{r}x", f"e{r}x", f"r{r}x")}
-    for r in ("si", "di", "bp", "sp"):
-        out |= {x: f"r{r}" for x in (f"{r}l", r, f"e{r}", f"r{r}")}
-    for n in range(8, 16):
-        out |= {f"r{n}{s}": f"r{n}" for s in ("b", "w", "d", "")}
-    return out
+from collections.abc import Callable
 
+from pyspark.sql import Column
+from pyspark.sql import functions as F
 
-ALIASES = _aliases()
-REGISTERS = set(ALIASES.values())
+GLOBAL, CONST, FLAGS = "GLOBAL", "CONST", "EFLAGS"
 #: The order in which a register is looked for in an address; frame and stack pointers are never taken.
 ADDRESS_ORDER = ("rax", "rbx", "rcx", "rdx", "rsi", "rdi", *(f"r{n}" for n in range(8, 16)))
 #: Arguments of a call.
 ARGUMENTS = ("rdi", "rsi", "rdx", "rcx", "r8", "r9")
 #: Mnemonics that define the flags, and those that use them: fixed values.
-SETS_FLAGS = set("test add sub and or xor imul idiv cmp shl shr sar shld shrd rol ror rcl rcr sal sbb adc neg not inc dec mul div".split())
-USES_FLAGS = set(
-    """
+SETS_FLAGS = "test add sub and or xor imul idiv cmp shl shr sar shld shrd rol ror rcl rcr sal sbb adc neg not inc dec mul div".split()
+USES_FLAGS = """
     jnz jz jnb jb jnl jl jno jo jnp jp jns js jnc jc jnge jge jng jg jne je jna ja jnae jae jnbe jbe
     setnz setz setnb setb setnl setl setno seto setnp setp setns sets setnc setc setnge setge setng setg setne sete setna seta setnae setae setnbe setbe
     cmovnz cmovz cmovnb cmovb cmovnl cmovl cmovno cmovo cmovnp cmovp cmovns cmovs cmovnc cmovc cmovnge cmovge cmovng cmovg cmovne cmove cmovna cmova cmovnae cmovae cmovnbe cmovbe
     jle jcxz jecxz loop loope loopne adc
     """.split()
-)
 
-#: Size words and segments, which say nothing about what is accessed; labels with their numbers: fixed values.
-_SIZES = re.compile(r"(?:xmmword |dword |qword |word |byte |short )?ptr ")
-_SEGMENTS = re.compile(r"^(?:[csfdeg]s:)+")
-_LABELLED = re.compile(r"(?:(?:loc|off|unk|sub|arg|def|var)_(?P<number>[0-9A-F]*))?\s*(?:locret)?(?P<rest>.*)", re.S)
-_CODE = re.compile(r"offset|off_|loc_|unk_")
+#: Parts of registers and the whole ones, by naming rule: the parts' pattern, and the name of the whole.
+PARTS = ((r"^(?:[er]?([abcd])x|([abcd])[lh])\z", "r$1$2x"), (r"^(?:[er]?(si|di|bp|sp)|(si|di|bp|sp)l)\z", "r$1$2"), (r"^(r(?:[89]|1[0-5]))[bwd]?\z", "$1"))
+REGISTER = "|".join(pattern for pattern, _ in PARTS)
+#: Size words and segments, which say nothing about what is accessed; labels with their numbers; marks of code: fixed values.
+_SIZES = r"(?:xmmword |dword |qword |word |byte |short )?ptr "
+_SEGMENTS = r"^(?:[csfdeg]s:)+"
+_LABELLED = r"(?s)^(?:(?:loc|off|unk|sub|arg|def|var)_([0-9A-F]*))?\s*(?:locret)?(.*)\z"
+_CODE = "offset|off_|loc_|unk_"
+_HEX, _NUMBER = r"[+-]?[0-9A-F]*h", r"[+-]?[0-9]+|[+-]"
+#: An operand without its label: something in parentheses, a constant, an address, or a name.
+OPERAND = rf"(?s)^(?:(?<inner>\(.*\))|(?<constant>{_HEX}|{_NUMBER})|(?<address>\[.*\])|(?<name>.*))\z"
 
 
-def is_hex(x: str) -> bool:
-    return bool(re.fullmatch(r"[+-]?[0-9A-F]*h", x))
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """The body with its argument computed once."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
-def is_number(x: str) -> bool:
-    return bool(x) and bool(re.fullmatch(r"[+-]?\d*", x))
+def _bare(x: Column) -> Column:
+    return F.btrim(x, F.lit(" \t\n\x0b\f\r"))
 
 
-def is_address(x: str) -> bool:
-    return x.startswith("[") and x.endswith("]")
+def _whole(x: Column) -> Column:
+    """A register's part as the whole register; other names as they are."""
+    for pattern, whole in PARTS:
+        x = F.regexp_replace(x, pattern, whole)
+    return x
 
 
-def is_register(x: str) -> bool:
-    return x in ALIASES
+def is_register(x: Column) -> Column:
+    return x.rlike(REGISTER)
 
 
-def is_global_memory(x: str) -> bool:
-    """An address that isn't on the stack."""
-    return "stack" not in x and is_address(x) and "rbp" not in x and "rsp" not in x
+def is_hex(x: Column) -> Column:
+    return x.rlike(rf"^{_HEX}\z")
 
 
-def is_important(x: str) -> bool:
-    """A variable whose definition matters outside a function: memory off the stack and named data."""
-    x = x.strip()
-    if x == GLOBAL:
-        return True
-    if x in (CONST, FLAGS) or is_register(x) or is_number(x) or is_hex(x):
-        return False
-    return is_global_memory(x) if is_address(x) else "stack" not in x
+def is_number(x: Column) -> Column:
+    return x.rlike(rf"^(?:{_NUMBER})\z")
 
 
-def _address_term(term: str) -> str:
-    """A summand of an address: an index times its scale, a frame offset's name, or a whole register."""
-    x = term.strip()
-    if frame := re.match(r"(?:var_|arg_)", x):
-        return x[frame.end() :].strip()
-    return "*".join(p.strip() for p in x.split("*")) if "*" in x else ALIASES.get(x, x)
+def is_address(x: Column) -> Column:
+    return x.startswith("[") & x.endswith("]")
 
 
-def _address(x: str) -> str:
-    return f"[{'+'.join(map(_address_term, x[1:-1].split('+')))}]"
+def is_global_memory(x: Column) -> Column:
+    """An address that isn't on the stack."""
+    return is_address(x) & ~x.rlike("stack|rbp|rsp")
 
 
-def _by_name(operator: str, place: int, x: str) -> bool:
-    """Whether an operand is a name that stays as it is: imports, call targets, addresses of data."""
-    return operator == "extrn" or (operator, place) == ("call", 1) and len(x) > 3 or (operator, place) == ("lea", 2) and not (is_hex(x) or is_address(x))
+def is_important(x: Column) -> Column:
+    """A variable whose definition matters outside a function: memory off the stack and named data."""
+    return _let(_bare(x), lambda v: (v == GLOBAL) | ~(v.isin(CONST, FLAGS) | is_register(v) | is_number(v) | is_hex(v)) & F.when(is_address(v), is_global_memory(v)).otherwise(~v.contains("stack")))
 
 
-#: What an operand without its label can be, and its normal form; the first that fits counts. Arguments: mnemonic, place, operand; the label's number, operand.
-_FORMS = (
-    (lambda m, n, x: not x, lambda number, x: number),
-    (lambda m, n, x: x[0] + x[-1] == "()", lambda number, x: x[1:-1].strip()),
-    (_by_name, lambda number, x: x),
-    (lambda m, n, x: is_hex(x) or is_number(x), lambda number, x: CONST),
-    (lambda m, n, x: is_address(x), lambda number, x: number + _address(x)),
-    (lambda m, n, x: True, lambda number, x: number + ALIASES.get(x, x)),
-)
+def _address_term(term: Column) -> Column:
+    """A summand of an address: a frame offset's name, an index times its scale, or a whole register."""
+    return _let(_bare(term), lambda x: F.when(x.rlike("^(?:var_|arg_)"), _bare(F.substr(x, F.lit(5)))).when(x.contains("*"), F.regexp_replace(x, r"\s*\*\s*", "*")).otherwise(_whole(x)))
 
 
-def parse_operand(operator: str, place: int, operand: str) -> str:
-    """An operand in normal form: constants and code labels as CONST, whole registers, addresses as [a+b]."""
-    x = _SEGMENTS.sub("", _SIZES.sub("", operand.strip(" ")).replace("-", "+").strip()).strip()
-    to_code = _CODE.search(operand) or ("lea" in operator and "sub_" in operand) or (operator[:1] == "j" and not is_register(x))
-    if to_code:
-        return CONST
-    found = _LABELLED.fullmatch(x)
-    number, rest = found["number"] or "", found["rest"]
-    return next(form(number, rest) for fits, form in _FORMS if fits(operator, place, rest))
+def _address(x: Column) -> Column:
+    inside = F.substr(x, F.lit(2), F.length(x) - 2)
+    return F.concat(F.lit("["), F.array_join(F.transform(F.split(inside, r"\+"), _address_term), "+"), F.lit("]"))
 
 
-def address_register(x: str) -> str | None:
-    return next((r for r in ADDRESS_ORDER if r in x), None)
+def operand_form(operator: Column, place: Column, operand: Column) -> Column:
+    """An operand in normal form: constants and code labels as CONST, whole registers, addresses as [a+b]; imports, call targets and addresses of data keep their names. Places count from 1."""
+    sized = F.replace(F.regexp_replace(F.btrim(operand), _SIZES, ""), F.lit("-"), F.lit("+"))
+    clean = _bare(F.regexp_replace(_bare(sized), _SEGMENTS, ""))
 
+    def form(number: Column, rest: Column) -> Column:
+        group = lambda k: F.regexp_extract(rest, OPERAND, k)  # noqa: E731  '' where the operand is something else
+        named = (operator == "extrn") | (operator == "call") & (place == 1) & (F.length(rest) > 3) | (operator == "lea") & (place == 2) & ~(is_hex(rest) | is_address(rest))
+        return (
+            F.when(group(1) != "", _bare(F.substr(rest, F.lit(2), F.length(rest) - 2)))
+            .when(named & (rest != ""), rest)
+            .when(group(2) != "", F.lit(CONST))
+            .when(group(3) != "", F.concat(number, _address(rest)))
+            .otherwise(F.concat(number, _whole(rest)))
+        )
 
-@dataclass(frozen=True)
-class Kind:
-    """A class of instructions and what its operands are to it. Letters name variables: a, b the first and second operand; A, B the same with GLOBAL beside
-    memory off the stack; s the stack slot of the first operand; r the register of results."""
+    def labelled(x: Column) -> Column:
+        to_code = operand.rlike(_CODE) | operator.contains("lea") & operand.contains("sub_") | operator.startswith("j") & ~is_register(x)
+        parts = F.struct(F.regexp_extract(x, _LABELLED, 1).alias("number"), F.regexp_extract(x, _LABELLED, 2).alias("rest"))
+        return F.when(to_code, F.lit(CONST)).otherwise(_let(parts, lambda p: form(p["number"], p["rest"])))
 
-    mnemonic: re.Pattern
-    operands: int | None  # 2 for two or more; None for any number
-    same: bool  # only if the first two are equal
-    defs: str
-    uses: str
+    return _let(clean, labelled)
 
 
-def _kind(mnemonic: str, operands: int | None, defs: str, uses: str, same: bool = False) -> Kind:
-    return Kind(re.compile(mnemonic), operands, same, defs, uses)
+def address_register(x: Column) -> Column:
+    """The register that an address uses; null if it uses none."""
+    return F.coalesce(*(F.when(x.contains(r), F.lit(r)) for r in ADDRESS_ORDER))
 
 
-#: The first kind that fits counts. `test` is one that defines its first operand, unless flags are strict.
+def operand_kind(form: Column) -> Column:
+    """What a normal form is: register, number, hex, global, address (on the stack), name or empty."""
+    kinds = {"register": is_register, "number": is_number, "hex": is_hex, "global": is_global_memory, "address": is_address, "name": lambda x: x != ""}
+    return F.coalesce(*(F.when(test(form), F.lit(kind)) for kind, test in kinds.items()), F.lit("empty"))
+
+
+#: Classes of instructions, and what their operands are to them: pattern of the mnemonic, number of operands (2 for two or more; None for any), whether the first two
+#: must be equal, what is defined, what is used. Letters name variables: a, b the first and second operand; A, B the same with GLOBAL beside memory off the stack;
+#: s the stack slot of the first operand; r the register of results. The first that fits counts. `test` is one that defines its first operand, unless flags are strict.
 KINDS = (
-    _kind("^push$", None, "s", "a"),
-    _kind("^pop$", None, "a", "s"),
-    _kind("call", 1, "r", "A"),
-    _kind("j|ret", 1, "", "A"),
-    _kind("", 1, "a", "A"),
-    _kind("mov", 2, "A", "B"),
-    _kind("cmp", 2, "", "AB"),
-    _kind("xchg", 2, "", "", same=True),
-    _kind("xor", 2, "a", "", same=True),
-    _kind("", 2, "A", "AB"),
+    (r"^push\z", None, False, "s", "a"),
+    (r"^pop\z", None, False, "a", "s"),
+    ("call", 1, False, "r", "A"),
+    ("j|ret", 1, False, "", "A"),
+    ("", 1, False, "a", "A"),
+    ("mov", 2, False, "A", "B"),
+    ("cmp", 2, False, "", "AB"),
+    ("xchg", 2, True, "", ""),
+    ("xor", 2, True, "a", ""),
+    ("", 2, False, "A", "AB"),
 )
-STRICT_TEST = _kind("test", 2, "", "AB")
+STRICT_TEST = ("test", 2, False, "", "AB")
 
 
-@dataclass
-class Effects:
-    """What an instruction defines and uses, each variable once."""
+def _names(*xs: str | Column) -> Column:
+    return F.array(*(F.lit(x) for x in xs)) if xs else F.array().cast("array<string>")
 
-    operator: str
-    defs: list[str] = field(default_factory=list)
-    uses: list[str] = field(default_factory=list)
 
+def _only_if(condition: Column, name: str) -> Column:
+    return F.when(condition, _names(name)).otherwise(_names())
 
-def split_instruction(code: str) -> tuple[str, list[str]]:
-    """Mnemonic and up to three normalised operands; a comment after ';' is cut."""
-    operator, _, rest = code.split(";", 1)[0].partition(" ")
-    return operator, [parse_operand(operator, k, x) for k, x in enumerate(rest.split(",")[:3], 1)] if rest else []
 
+def _variables(letters: str, ops: Column) -> Column:
+    a, b = (F.coalesce(F.get(ops, F.lit(k)), F.lit("")) for k in (0, 1))
+    wide = lambda x: F.when(is_global_memory(x), _names(x, GLOBAL)).otherwise(_names(x))
+    named = {"a": _names(a), "b": _names(b), "A": wide(a), "B": wide(b), "s": _names(F.concat(F.lit("stack_"), a)), "r": _names("rax")}
+    return F.concat(_names(), *(named[letter] for letter in letters))
 
-def _variables(letters: str, ops: list[str]) -> list[str]:
-    out = []
-    for letter in letters:
-        x = "rax" if letter == "r" else ops[letter in "bB"] if ops else ""
-        out.append(f"stack_{x}" if letter == "s" else x)
-        if letter.isupper() and is_global_memory(x):
-            out.append(GLOBAL)
-    return out
 
+def effects(code: Column, strict_flags: bool = False) -> Column:
+    """(operator, defs, uses) of an instruction, by its kind; beside that, addresses use their register, returns the result, and flags are set and used by mnemonic.
 
-@lru_cache(maxsize=100_000)
-def effects(code: str, strict_flags: bool = False) -> Effects:
-    """What an instruction defines and uses, by its kind; beside that, addresses use their register, returns the result, and flags are set and used by mnemonic.
-
-    A third operand is only looked at for its address register. An instruction without operands has none of its kind's effects, `push` and `pop` apart.
+    A comment after ';' is cut. Of up to three operands the third is only looked at for its address register. Without operands there are none of a kind's effects, `push` and `pop` apart.
     """
-    operator, ops = split_instruction(code)
-    defs = [FLAGS] if operator in SETS_FLAGS else []
-    uses = [r for x in ops if is_address(x) and (r := address_register(x))]
-    uses += ["rax"] * ("ret" in operator) + [FLAGS] * (operator in USES_FLAGS)
-    n, same = min(len(ops), 2), len(ops) > 1 and ops[0] == ops[1]
-    for kind in (STRICT_TEST, *KINDS) if strict_flags else KINDS:
-        if kind.operands in (None, n) and kind.mnemonic.search(operator) and (same or not kind.same):
-            defs += _variables(kind.defs, ops)
-            uses += _variables(kind.uses, ops)
-            break
-    return Effects(operator, list(dict.fromkeys(defs)), list(dict.fromkeys(uses)))
+
+    def of(i: Column) -> Column:
+        operator, ops = i["operator"], i["ops"]
+        count, same = F.least(F.size(ops), F.lit(2)), (F.size(ops) > 1) & (F.get(ops, F.lit(0)) == F.get(ops, F.lit(1)))
+
+        def by_kind(place: int) -> Column:
+            cases = None
+            for mnemonic, operands, equal, *letters in (STRICT_TEST, *KINDS) if strict_flags else KINDS:
+                fits = operator.rlike(mnemonic) if mnemonic else F.lit(True)
+                fits = fits & (count == operands) if operands is not None else fits
+                fits = fits & same if equal else fits
+                found = _variables(letters[place], ops)
+                cases = F.when(fits, found) if cases is None else cases.when(fits, found)
+            return cases.otherwise(_names())
+
+        registers = F.array_compact(F.transform(ops, lambda x: F.when(is_address(x), address_register(x))))
+        uses = F.concat(registers, _only_if(operator.contains("ret"), "rax"), _only_if(operator.isin(USES_FLAGS), FLAGS), by_kind(1))
+        defs = F.concat(_only_if(operator.isin(SETS_FLAGS), FLAGS), by_kind(0))
+        return F.struct(operator.alias("operator"), F.array_distinct(defs).alias("defs"), F.array_distinct(uses).alias("uses"))
+
+    def split(i: Column) -> Column:
+        operands = F.when(i["rest"] == "", _names()).otherwise(F.slice(F.split(i["rest"], ","), 1, 3))
+        return F.struct(i["operator"].alias("operator"), F.transform(operands, lambda x, k: operand_form(i["operator"], k + 1, x)).alias("ops"))
+
+    def cut(line: Column) -> Column:
+        operator = F.substring_index(line, " ", 1)
+        return F.struct(operator.alias("operator"), F.substr(line, F.length(operator) + 2).alias("rest"))
+
+    line = F.substring_index(F.coalesce(code, F.lit("")), ";", 1)
+    return _let(_let(_let(line, cut), split), of)

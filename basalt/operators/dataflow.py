@@ -1,134 +1,60 @@
 """Def-use analysis of disassembled functions: reaching definitions, data dependences, importance slices.
 
-Instructions are numbered through a function's blocks in address order. A function's instructions are one row, gathered natively.
+Instructions are numbered through a function's blocks in address order. What they define and use, the last definitions of blocks, dependences within blocks and slices
+are expressions, windows and joins; only the breadth-first searches over a function's blocks or instructions are Python (`graphs.walks`).
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterable
-
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from basalt.functions import asm
-from basalt.operators.graphs import Graph, control_dependence, distances, edge_lists, graph_of, map_functions, reverse
+from basalt.operators.graphs import control_dependences, walks
+from basalt.sources.shared import kept
 
 MOST_INSTRUCTIONS = 2000
 
 
-class Code:
-    """A function's blocks with numbered instructions. Blocks are added while no more than 2000 instructions are there."""
-
-    def __init__(self, blocks: dict[int, list[str]], edges: Iterable[tuple[int, int]], strict_flags: bool = False):
-        self.blocks: dict[int, list[int]] = {}
-        self.asm: list[str] = []
-        self.block_of: list[int] = []
-        for b in sorted(blocks):
-            if len(self.asm) > MOST_INSTRUCTIONS:
-                break
-            self.blocks[b] = list(range(len(self.asm), len(self.asm) + len(blocks[b])))
-            self.asm += blocks[b]
-            self.block_of += [b] * len(blocks[b])
-        self.effects = [asm.effects(a, strict_flags) for a in self.asm]
-        self.graph: Graph = graph_of(((a, b) for a, b in edges if a in self.blocks and b in self.blocks), self.blocks)
-
-    def reaching(self) -> dict[int, dict[str, set[int]]]:
-        """By block and variable, the definitions that reach its start. GLOBAL is defined but never killed, CONST never defined."""
-        gen: dict[int, dict[str, set[int]]] = {}
-        for b, own in self.blocks.items():
-            last: dict[str, set[int]] = {}
-            for i in own:
-                for v in self.effects[i].defs:
-                    if v == asm.GLOBAL:
-                        last.setdefault(v, set()).add(i)
-                    elif v != asm.CONST:
-                        last[v] = {i}
-            gen[b] = last
-        pred = reverse(self.graph)
-        into: dict[int, dict[str, set[int]]] = {b: {} for b in self.blocks}
-        todo = set(self.blocks)
-        while todo:
-            b = min(todo)
-            todo.discard(b)
-            merged: dict[str, set[int]] = {}
-            for p in pred[b]:
-                for v, ds in self._out(into[p], gen[p]).items():
-                    merged[v] = merged.get(v, set()) | ds
-            if merged != into[b]:
-                into[b] = merged
-                todo.update(self.graph[b])
-        return into
-
-    @staticmethod
-    def _out(into: dict[str, set[int]], gen: dict[str, set[int]]) -> dict[str, set[int]]:
-        out = dict(into)
-        for v, ds in gen.items():
-            out[v] = out.get(v, set()) | ds if v == asm.GLOBAL else ds
-        return out
-
-    def dependences(self) -> list[tuple[int, int]]:
-        """Distinct (use, definition) pairs: the latest definition before it in its block, else all that reach the block."""
-        into, found = self.reaching(), set()
-        for b, own in self.blocks.items():
-            latest: dict[str, int] = {}
-            for i in own:
-                for v in self.effects[i].uses:
-                    found.update((i, d) for d in ([latest[v]] if v in latest else into[b].get(v, ())))
-                latest.update((v, i) for v in self.effects[i].defs)
-        return sorted(found)
-
-    def importance(self) -> list[tuple[int, int, float]]:
-        """(instruction, affected, share): how many important instructions (calls, returns, writes outside the frame) each one affects, by backward slices over data and control."""
-        into = self.reaching()
-        control: dict[int, list[int]] = {}
-        for n, p in control_dependence(self.graph):
-            control.setdefault(n, []).append(p)
-        important = [i for i, e in enumerate(self.effects) if any(map(asm.is_important, e.defs)) or "call" in e.operator or "ret" in e.operator]
-        affected: dict[int, set[int]] = {i: set() for i in range(len(self.asm))}
-        for root in important:
-            affected[root].add(root)
-            todo, seen = [root], set()
-            while todo:
-                i = todo.pop()
-                open_ = set(self.effects[i].uses) | (set(asm.ARGUMENTS) if "call" in self.effects[i].operator else set())
-                before = []
-                for j in range(i - 1, self.blocks[self.block_of[i]][0] - 1, -1):
-                    if hit := open_.intersection(self.effects[j].defs):
-                        open_ -= hit
-                        before.append(j)
-                before += [d for v in open_ for d in into[self.block_of[i]].get(v, ())]
-                before += [self.blocks[c][-1] for c in control.get(self.block_of[i], ()) if self.blocks[c]]
-                for j in before:
-                    if j not in seen:
-                        seen.add(j)
-                        affected[j].add(root)
-                        todo.append(j)
-        return [(i, len(a), len(a) / (1e-5 + len(important))) for i, a in affected.items()]
-
-
-def _per_function(instructions: DataFrame, edges: DataFrame | None, fn: str, run: Callable[[Code], Iterable[tuple]], schema: str) -> DataFrame:
-    """instructions: (fn, block, pos, asm); edges: (fn, src, dst). A function without instructions has no rows."""
-    rows = F.sort_array(F.collect_list(F.struct(F.col("block").cast("long").alias("block"), "pos", "asm")))
-    whole = instructions.groupBy(fn).agg(rows.alias("rows")).select(fn, F.transform("rows", lambda r: r["block"]).alias("code_blocks"), F.transform("rows", lambda r: r["asm"]).alias("code_asm"))
-    none = F.array().cast("array<array<bigint>>")
-    if edges is None:
-        whole = whole.withColumn("links", none)
-    else:
-        links = edge_lists(edges.filter("dst IS NOT NULL").select(F.col(fn).alias("edge_fn"), "src", "dst"), "edge_fn")  # a name of its own: both sides may come from one table
-        whole = whole.join(links, F.col(fn) == F.col("edge_fn"), "left").select(fn, "code_blocks", "code_asm", F.coalesce("links", none).alias("links"))
-
-    def of(blocks: list[int], asms: list[str], links: list[list[int]]) -> Iterable[tuple]:
-        by_block: dict[int, list[str]] = {}
-        for b, a in zip(blocks, asms, strict=True):
-            by_block.setdefault(b, []).append(a or "")
-        return run(Code(by_block, links))
-
-    return map_functions(whole, fn, of, schema)
-
-
-def instruction_effects(instructions: DataFrame, fn: str) -> DataFrame:
-    """(fn, instr, block, asm, operator, defs, uses)."""
-    return _per_function(instructions, None, fn, lambda c: [(i, c.block_of[i], a, e.operator, e.defs, e.uses) for i, (a, e) in enumerate(zip(c.asm, c.effects, strict=True))], "instr bigint, block bigint, asm string, operator string, defs array<string>, uses array<string>")
+def instruction_effects(instructions: DataFrame, fn: str, strict_flags: bool = False, most: int = MOST_INSTRUCTIONS) -> DataFrame:
+    """(fn, instr, block, asm, operator, defs, uses) of instructions (fn, block, pos, asm): numbered from 0 through the blocks. Null code is an empty instruction; rows without a block are left out."""
+    rows = instructions.filter("block IS NOT NULL").select(fn, F.col("block").cast("long").alias("block"), "pos", F.coalesce("asm", F.lit("")).alias("asm"))
+    found = numbered(rows, fn, ["block", "pos", "asm"], most).withColumn("effects", asm.effects(F.col("asm"), strict_flags))
+    return found.select(fn, "instr", "block", "asm", "effects.operator", "effects.defs", "effects.uses")
+
+
+def flow_within(instructions: DataFrame, edges: DataFrame, fn: str, most: int = MOST_INSTRUCTIONS) -> DataFrame:
+    """(fn, src, dst): the distinct edges among blocks that `numbered` doesn't cut. Blocks without instructions stay."""
+    sizes = instructions.filter("block IS NOT NULL").groupBy(fn, F.col("block").cast("long").alias("block")).agg(F.count(F.lit(1)).alias("n"))
+    before = F.sum("n").over(Window.partitionBy(fn).orderBy("block").rowsBetween(Window.unboundedPreceding, -1))
+    cut = sizes.withColumn("before", before).filter(F.col("before") > most).groupBy(F.col(fn).alias("cut_fn")).agg(F.min("block").alias("cut"))
+    links = edges.filter("dst IS NOT NULL").select(fn, F.col("src").cast("long").alias("src"), F.col("dst").cast("long").alias("dst")).distinct()
+    return links.join(cut, F.col(fn) == F.col("cut_fn"), "left").filter("cut IS NULL OR src < cut AND dst < cut").select(fn, "src", "dst")
+
+
+def _reaching(facts: DataFrame, flow: DataFrame, fn: str) -> DataFrame:
+    """(fn, block, var, def_instr): the definitions that reach a block's start. GLOBAL is defined but never killed, CONST never defined.
+
+    A block's last definition of a variable goes on until a block defines it again; one search for each such block.
+    """
+    defs = facts.select(fn, "block", "instr", F.explode("defs").alias("var")).filter(F.col("var") != asm.CONST)
+    named = F.col("var") == asm.GLOBAL
+    last = defs.groupBy(fn, "block", "var").agg(F.when(named, F.collect_list("instr")).otherwise(F.array(F.max("instr"))).alias("instrs"))
+    asked = last.groupBy(fn, F.col("var").alias("label")).agg(F.collect_list("block").alias("starts"))
+    asked = asked.withColumn("closed", F.when(F.col("label") == asm.GLOBAL, F.array().cast("array<bigint>")).otherwise(F.col("starts")))
+    found = walks(flow, asked, fn).select(fn, F.col("label").alias("var"), F.col("start").alias("block"), "node")
+    return found.join(last, [fn, "var", "block"]).select(fn, F.col("node").alias("block"), "var", F.explode("instrs").alias("def_instr"))
+
+
+def _definitions_met(facts: DataFrame, into: DataFrame, fn: str, uses: Column) -> DataFrame:
+    """(fn, use_instr, def_instr), distinct: for each variable used, the latest definition before it in its block, else all that reach the block."""
+    event = lambda vs, is_def: facts.select(fn, "block", "instr", F.explode(vs).alias("var"), F.lit(is_def).alias("is_def"))
+    # In a block an instruction uses before it defines.
+    so_far = Window.partitionBy(fn, "block", "var").orderBy("instr", "is_def").rowsBetween(Window.unboundedPreceding, -1)
+    events = event(uses, False).unionByName(event(F.col("defs"), True))
+    met = events.withColumn("near", F.last(F.when(F.col("is_def"), F.col("instr")), ignorenulls=True).over(so_far)).filter(~F.col("is_def"))
+    both = met.join(into, [fn, "block", "var"], "left").withColumn("def_instr", F.coalesce("near", "def_instr"))
+    return both.filter("def_instr IS NOT NULL").select(fn, F.col("instr").alias("use_instr"), "def_instr").distinct()
 
 
 def numbered(instructions: DataFrame, fn: str, order: list[str], most: int = MOST_INSTRUCTIONS) -> DataFrame:
@@ -142,32 +68,51 @@ def numbered(instructions: DataFrame, fn: str, order: list[str], most: int = MOS
 
 
 def operand_forms(df: DataFrame, key: str, operator: str, place: str, operand: str) -> DataFrame:
-    """(key, form, register, kind): an operand in normal form, the register that an address in it uses, and what it is: a register, number, hex number, address off the stack, another address, or another name; `important` if its definition matters outside the function."""
-
-    def run(m: str, n: int, x: str) -> list[tuple]:
-        form = asm.parse_operand(m or "", n, x or "")
-        kinds = (("register", asm.is_register), ("number", asm.is_number), ("hex", asm.is_hex), ("global", asm.is_global_memory), ("address", asm.is_address), ("name", bool))
-        kind = next((k for k, test in kinds if test(form)), "empty")
-        return [(form, asm.address_register(form) if asm.is_address(form) else None, kind, asm.is_important(form))]
-
-    return map_functions(df.select(key, operator, F.col(place).cast("int").alias(place), operand), key, run, "form string, register string, kind string, important boolean")
+    """(key, form, register, kind, important): an operand in normal form, the register that an address in it uses, and what it is: a register, number, hex number, address off the stack, another address, or another name; `important` if its definition matters outside the function. Nulls count as empty."""
+    text = lambda c: F.coalesce(F.col(c), F.lit(""))
+    found = df.select(key, asm.operand_form(text(operator), F.col(place), text(operand)).alias("form"))
+    return found.select(key, "form", F.when(asm.is_address(F.col("form")), asm.address_register(F.col("form"))).alias("register"), asm.operand_kind(F.col("form")).alias("kind"), asm.is_important(F.col("form")).alias("important"))
 
 
 def reaching_definitions(instructions: DataFrame, edges: DataFrame, fn: str) -> DataFrame:
-    return _per_function(instructions, edges, fn, lambda c: [(b, v, d) for b, vs in c.reaching().items() for v in sorted(vs) for d in sorted(vs[v])], "block bigint, var string, def_instr bigint")
+    """(fn, block, var, def_instr) of instructions (fn, block, pos, asm) and edges (fn, src, dst)."""
+    return _reaching(kept(instruction_effects(instructions, fn)), flow_within(instructions, edges, fn), fn)
 
 
 def data_dependences(instructions: DataFrame, edges: DataFrame, fn: str) -> DataFrame:
-    return _per_function(instructions, edges, fn, lambda c: c.dependences(), "use_instr bigint, def_instr bigint")
+    """(fn, use_instr, def_instr), distinct."""
+    facts = kept(instruction_effects(instructions, fn))
+    return _definitions_met(facts, _reaching(facts, flow_within(instructions, edges, fn), fn), fn, F.col("uses"))
 
 
 def importance(instructions: DataFrame, edges: DataFrame, fn: str) -> DataFrame:
-    return _per_function(instructions, edges, fn, lambda c: c.importance(), "instr bigint, affected bigint, importance double")
+    """(fn, instr, affected, importance): how many important instructions (calls, returns, writes outside the frame) each one affects, and their share, by backward slices over data and control.
+
+    A call is taken to use all registers of arguments; an instruction depends on the last one of each block that its block is controlled by.
+    """
+    facts, flow = kept(instruction_effects(instructions, fn)), kept(flow_within(instructions, edges, fn))
+    arguments = F.array_distinct(F.concat("uses", F.when(F.col("operator").contains("call"), F.array(*map(F.lit, asm.ARGUMENTS))).otherwise(F.array().cast("array<string>"))))
+    data = _definitions_met(facts, _reaching(facts, flow, fn), fn, arguments)
+    ends = facts.groupBy(fn, F.col("block").alias("depends_on")).agg(F.max("instr").alias("def_instr"))
+    control = control_dependences(flow, fn).join(ends, [fn, "depends_on"]).select(fn, F.col("node").alias("block"), "def_instr")
+    links = data.unionByName(facts.join(control, [fn, "block"]).select(fn, F.col("instr").alias("use_instr"), "def_instr"))
+    is_root = F.exists("defs", asm.is_important) | F.col("operator").rlike("call|ret")
+    roots = facts.filter(is_root).groupBy(fn).agg(F.collect_list("instr").alias("starts"))
+    asked = roots.select(fn, F.lit("").alias("label"), "starts", F.array().cast("array<bigint>").alias("closed"))
+    met = walks(links.select(fn, F.col("use_instr").alias("src"), F.col("def_instr").alias("dst")), asked, fn).filter("node <> start").groupBy(fn, F.col("node").alias("instr")).agg(F.count(F.lit(1)).alias("others"))
+    own = facts.select(fn, "instr", is_root.cast("long").alias("own")).withColumn("roots", F.sum("own").over(Window.partitionBy(fn)))
+    affected = F.col("own") + F.coalesce("others", F.lit(0))
+    return own.join(met, [fn, "instr"], "left").select(fn, "instr", affected.alias("affected"), (affected / (F.col("roots") + F.lit(1e-5))).alias("importance"))
 
 
 def code_features(instructions: DataFrame, edges: DataFrame, fn: str) -> DataFrame:
-    """A function's code and dependences as one nested record."""
-    return _per_function(instructions, edges, fn, lambda c: [([{"id": i, "asm": a.split(";")[0]} for i, a in enumerate(c.asm)], [{"use_id": u, "def_id": d} for u, d in c.dependences()])], "code array<struct<id:int,asm:string>>, data_dep array<struct<use_id:int,def_id:int>>")
+    """(fn, code, data_dep): a function's code and dependences as nested records, in order."""
+    facts = kept(instruction_effects(instructions, fn))
+    deps = _definitions_met(facts, _reaching(facts, flow_within(instructions, edges, fn), fn), fn, F.col("uses"))
+    number = lambda c, name: F.col(c).cast("int").alias(name)
+    code = facts.groupBy(fn).agg(F.sort_array(F.collect_list(F.struct(number("instr", "id"), F.substring_index("asm", ";", 1).alias("asm")))).alias("code"))
+    pairs = deps.groupBy(fn).agg(F.sort_array(F.collect_list(F.struct(number("use_instr", "use_id"), number("def_instr", "def_id")))).alias("data_dep"))
+    return code.join(pairs, fn, "left").select(fn, "code", F.coalesce("data_dep", F.array().cast("array<struct<use_id:int,def_id:int>>")).alias("data_dep"))
 
 
 def dependence_graph(deps: DataFrame, fn: str) -> DataFrame:
@@ -180,11 +125,13 @@ def dependence_graph(deps: DataFrame, fn: str) -> DataFrame:
 
 def dependence_distances(deps: DataFrame, fn: str, max_blocks: int) -> DataFrame:
     """(fn, positions): shortest distances among the first max_blocks instructions along dependences; -1 where there is none. Edges beyond are cut."""
-
-    def run(links: list[list[int]]) -> list[tuple]:
-        return [(distances(graph_of((u, d) for u, d in links if u < max_blocks and d < max_blocks), max_blocks),)]
-
-    return map_functions(edge_lists(deps, fn, "use_instr", "def_instr"), fn, run, "positions array<array<int>>")
+    deps = kept(deps.select(fn, F.col("use_instr").cast("long").alias("src"), F.col("def_instr").cast("long").alias("dst")))
+    near = deps.filter((F.col("src") < max_blocks) & (F.col("dst") < max_blocks))
+    asked = near.groupBy(fn).agg(F.collect_set("src").alias("starts")).select(fn, F.lit("").alias("label"), "starts", F.array().cast("array<bigint>").alias("closed"))
+    far = walks(near, asked, fn).groupBy(fn).agg(F.map_from_entries(F.collect_list(F.struct(F.col("start") * max_blocks + F.col("node"), "steps"))).alias("far"))
+    places = F.sequence(F.lit(0).cast("long"), F.lit(max_blocks - 1).cast("long")) if max_blocks > 0 else F.array().cast("array<bigint>")
+    distance = lambda a, b: F.when(a == b, F.lit(0)).otherwise(F.coalesce(F.col("far")[a * max_blocks + b].cast("int"), F.lit(-1)))
+    return deps.select(fn).distinct().join(far, fn, "left").select(fn, F.transform(places, lambda a: F.transform(places, lambda b: distance(a, b))).alias("positions"))
 
 
 def block_tokens(code: DataFrame, tokens: str, block_size: int, max_blocks: int, pad: str = "<pad>", inst: str = "<inst>", cls: str = "<cls>", node_size: int = 1, global_size: int = 1) -> DataFrame:

@@ -1,4 +1,4 @@
-"""Control-flow graphs of single functions: plain functions over adjacency, and a map that applies them.
+"""Control-flow graphs of single functions: searches, paths and post-dominance.
 
 A function's graph is small and independent of others: its edges are gathered into one row by a native aggregate, and rows go
 through Python in Arrow batches. One shuffle by function, no job for each iteration. Every choice is total: paths are ordered by (length, nodes).
@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.types import StructType
 
+from basalt.sources.shared import kept
+
 Graph = dict[int, list[int]]
 
 
@@ -198,21 +200,6 @@ def back_edges(g: Graph) -> set[tuple[int, int]]:
     return out
 
 
-def distances(g: Graph, n: int) -> list[list[int]]:
-    """Shortest path lengths among nodes 0..n-1, -1 where there is none."""
-    out = []
-    for a in range(n):
-        d, todo = {a: 0}, deque([a])
-        while todo:
-            x = todo.popleft()
-            for b in g.get(x, ()):
-                if b < n and b not in d:
-                    d[b] = d[x] + 1
-                    todo.append(b)
-        out.append([d.get(b, -1) for b in range(n)])
-    return out
-
-
 def map_functions(df: DataFrame, fn: str, run: Callable[..., Iterable[tuple]], schema: str, batch: int = 500) -> DataFrame:
     """Apply `run` to the columns behind the first of each row, which is a function's key: what it returns are rows behind the key. In Arrow batches."""
     kinds = StructType.fromDDL(schema)
@@ -264,14 +251,52 @@ def paths(edges: DataFrame, fn: str, k: int = 10) -> DataFrame:
     return per_function(edges, fn, lambda g: [covering_paths(g, k)], "path array<array<bigint>>, coverage double")
 
 
-def shortest_exit_paths(edges: DataFrame, fn: str) -> DataFrame:
-    """(fn, exit, length, path): from the entry to each exit that it reaches."""
+def onwards(g: dict[int, list[int]], start: int, closed: frozenset = frozenset()) -> dict[int, int]:
+    """What one or more steps from a node lead to, with the least number of steps; closed nodes are reached but not left again."""
+    found: dict[int, int] = {}
+    edge, steps = [start], 0
+    while edge:
+        steps += 1
+        edge = list({b for a in edge for b in g.get(a, ()) if b not in found})
+        found.update(dict.fromkeys(edge, steps))
+        edge = [b for b in edge if b not in closed]
+    return found
 
-    def run(g: Graph):
-        start, exits = entry_exits(g)
-        return [(e, len(p) - 1, p) for e in exits if (p := shortest_path(g, start, e))]
 
-    return per_function(edges, fn, run, "exit bigint, length bigint, path array<bigint>")
+def walks(edges: DataFrame, asked: DataFrame, fn: str) -> DataFrame:
+    """(fn, label, start, node, steps): breadth-first searches along a function's edges (fn, src, dst), from each of the starts in asked: (fn, label, starts, closed).
+
+    A function's edges and searches are one row, gathered natively; functions without edges have no rows.
+    """
+    links = edge_lists(edges.filter("dst IS NOT NULL").select(F.col(fn).alias("walk_fn"), "src", "dst"), "walk_fn")
+    whole = asked.groupBy(fn).agg(F.collect_list(F.struct("label", "starts", "closed")).alias("asked")).join(links, F.col(fn) == F.col("walk_fn")).select(fn, "links", "asked")
+
+    def run(links: list[list[int]], asked: list[dict]) -> Iterator[tuple]:
+        g: dict[int, list[int]] = {}
+        for a, b in links:
+            g.setdefault(a, []).append(b)
+        for one in asked:
+            closed = frozenset(one["closed"])
+            for start in one["starts"]:
+                yield from ((one["label"], start, node, steps) for node, steps in onwards(g, start, closed).items())
+
+    return map_functions(whole, fn, run, "label string, start bigint, node bigint, steps bigint")
+
+
+def shortest_exit_paths(edges: DataFrame, fn: str) -> DataFrame:
+    """(fn, exit, length, path): from the entry to each exit that it reaches. Searches go back from the exits; the smallest of the nodes nearest to the exit comes next."""
+    edges = kept(edges.select(fn, F.col("src").cast("long").alias("src"), F.col("dst").cast("long").alias("dst")).distinct())
+    ends = kept(entries_and_exits(edges, fn))
+    asked = ends.select(fn, F.lit("").alias("label"), F.col("exits").alias("starts"), F.array().cast("array<bigint>").alias("closed"))
+    far = walks(edges.filter("dst IS NOT NULL").select(fn, F.col("dst").alias("src"), F.col("src").alias("dst")), asked, fn).select(fn, F.col("start").alias("exit"), F.col("node").alias("dst"), "steps")
+    each = ends.select(fn, "entry", F.explode("exits").alias("exit"))
+    near = far.unionByName(each.select(fn, "exit", F.col("exit").alias("dst"), F.lit(0).cast("long").alias("steps")))
+    best = edges.filter("dst IS NOT NULL").join(near, [fn, "dst"]).groupBy(fn, "exit", "src").agg(F.min(F.struct("steps", "dst")).alias("next"))
+    following = best.groupBy(fn, "exit").agg(F.map_from_entries(F.collect_list(F.struct("src", "next"))).alias("next"))
+    found = each.join(following, [fn, "exit"], "left").withColumn("length", F.when(F.col("entry") == F.col("exit"), F.lit(0).cast("long")).otherwise(F.col("next")[F.col("entry")]["steps"] + 1)).filter("length IS NOT NULL")
+    turns = F.when(F.col("length") > 0, F.sequence(F.lit(1).cast("long"), "length")).otherwise(F.array().cast("array<bigint>"))
+    path = F.reduce(turns, F.array("entry"), lambda p, _: F.concat(p, F.array(F.col("next")[F.element_at(p, -1)]["dst"])))
+    return found.select(fn, "exit", "length", path.alias("path"))
 
 
 def post_dominance(edges: DataFrame, fn: str, classic: bool = False) -> DataFrame:

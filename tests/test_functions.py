@@ -18,6 +18,10 @@ def one(spark, column, **values):
     return row.select(column.alias("x")).first().x
 
 
+def effects_of(spark, code, strict=False):
+    return spark.createDataFrame([(code,)], "code string").select(asm.effects(F.col("code"), strict).alias("e")).first().e
+
+
 @pytest.mark.parametrize("s", ["", "a", "int f(a){return a;}", "é_1 ñ ß!", "a b", "x  y\n", "漢字 ok", "١٢"])
 def test_counts(spark, s):
     assert one(spark, T.token_count("s"), s=s) == len(re.findall(r"\w+|[^\s\w]", s))
@@ -83,14 +87,23 @@ def test_block_maps(spark):
         ("nop", set(), set()),
     ],
 )
-def test_effects(code, defs, uses):
-    e = asm.effects(code)
+def test_effects(spark, code, defs, uses):
+    e = effects_of(spark, code)
     assert set(e.defs) == defs and set(e.uses) == uses
 
 
-def test_registers_follow_their_names():
-    assert len(asm.ALIASES) == 68 and asm.ALIASES["sil"] == "rsi" and asm.ALIASES["r15w"] == "r15" and len(asm.REGISTERS) == 16
-    assert asm.effects("test eax, eax", True).defs == ["EFLAGS"]
+def test_registers_follow_their_names(spark):
+    made = {f"{p}{r}{s}" for p in ("", "e", "r") for r in (*"abcd", "si", "di", "bp", "sp", *map(str, range(18))) for s in ("", "l", "h", "x", "b", "w", "d")}
+    rows = spark.createDataFrame([(x,) for x in sorted(made)], "x string").filter(asm.is_register(F.col("x")))
+    whole = {r.x: r.form for r in rows.select("x", asm.operand_form(F.lit("mov"), F.lit(1), F.col("x")).alias("form")).collect()}
+    assert len(whole) == 68 and whole["sil"] == "rsi" and whole["r15w"] == "r15" and len(set(whole.values())) == 16
+    assert effects_of(spark, "test eax, eax", True).defs == ["EFLAGS"]
+
+
+def test_code_without_operands(spark):
+    """Null and empty code define and use nothing; an operand that is missing counts as an empty name."""
+    assert tuple(effects_of(spark, None)) == ("", [], []) and tuple(effects_of(spark, "")) == ("", [], [])
+    assert tuple(effects_of(spark, "push")) == ("push", ["stack_"], [""]) and effects_of(spark, "mov eax,").uses == [""]
 
 
 def test_c_functions():

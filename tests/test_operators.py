@@ -124,36 +124,110 @@ def test_diamond_paths(spark):
     assert ends == {"f": (1, [4], 4), "g": (7, [7], 1)}
     assert {tuple(x)[1:] for x in graphs.control_dependences(edges, "fn").collect()} == {(2, 1), (3, 1)}
     assert graphs.back_edges(graphs.graph_of([(1, 2), (2, 3), (3, 1), (3, 4)])) == {(3, 1)}
-    assert graphs.distances(graphs.graph_of([(0, 1), (1, 2)]), 3) == [[0, 1, 2], [-1, 0, 1], [-1, -1, 0]]
+    deps = spark.createDataFrame([("f", 0, 1), ("f", 1, 2), ("f", 2, 9), ("g", 5, 4)], "fn string, use_instr long, def_instr long")
+    far = {x.fn: x.positions for x in dataflow.dependence_distances(deps, "fn", 3).collect()}
+    assert far == {"f": [[0, 1, 2], [-1, 0, 1], [-1, -1, 0]], "g": [[0, -1, -1], [-1, 0, -1], [-1, -1, 0]]}
 
 
-@pytest.mark.parametrize("seed", range(3))
-def test_reaching_definitions_by_walks(seed):
-    r = random.Random(seed)
-    for _ in range(60):
-        g = random_graph(r, r.randint(1, 4))
-        regs = ["eax", "ebx", "[rcx]"]
-        blocks = {b: [r.choice([f"mov {r.choice(regs)}, {r.choice(regs[:2])}", "nop"]) for _ in range(r.randint(0, 3))] for b in g}
-        code = dataflow.Code(blocks, [(a, b) for a in g for b in g[a]])
-        want = {b: {} for b in g}
-        # Facts flow along edges until nothing is new.
-        facts, todo = set(), [(b, v, i) for b in g for i in code.blocks[b] for v in code.effects[i].defs if v == "GLOBAL" or not any(v in code.effects[j].defs for j in code.blocks[b] if j > i)]
-        todo = [(s, v, i) for b, v, i in todo for s in g[b]]
-        while todo:
-            f = todo.pop()
-            if f in facts:
-                continue
-            facts.add(f)
-            b, v, i = f
-            want[b].setdefault(v, set()).add(i)
-            if v == "GLOBAL" or not any(v in code.effects[j].defs for j in code.blocks[b]):
-                todo += [(s, v, i) for s in g[b]]
-        assert code.reaching() == want
+def test_exit_paths_by_single_searches(spark):
+    r = random.Random(3)
+    many = {k: random_graph(r, r.randint(1, 7)) for k in range(80)}
+    rows = [(k, a, b) for k, g in many.items() for a in g for b in [*g[a], None]]
+    want = set()
+    for k, g in many.items():
+        start, exits = graphs.entry_exits(g)
+        want |= {(k, e, len(p) - 1, tuple(p)) for e in exits if (p := graphs.shortest_path(g, start, e))}
+    got = graphs.shortest_exit_paths(spark.createDataFrame(rows, "fn long, src long, dst long"), "fn").collect()
+    assert {(x.fn, x.exit, x.length, tuple(x.path)) for x in got} == want and len(got) == len(want)
+
+
+def random_code(r, n):
+    """Graphs and blocks of moves by function; blocks may be empty."""
+    regs = ["eax", "ebx", "[rcx]"]
+    graphs_ = {k: random_graph(r, r.randint(1, 4)) for k in range(n)}
+    return graphs_, {k: {b: [r.choice([f"mov {r.choice(regs)}, {r.choice(regs[:2])}", "nop"]) for _ in range(r.randint(0, 3))] for b in g} for k, g in graphs_.items()}
 
 
-def test_instruction_limit():
-    code = dataflow.Code({k: ["nop"] * 1500 for k in range(4)}, [(0, 1), (1, 3)])
-    assert list(code.blocks) == [0, 1] and code.graph == {0: [1], 1: []}
+def code_rows(spark, graphs_, blocks):
+    edges = [(k, a, b) for k, g in graphs_.items() for a in g for b in g[a]]
+    instructions = [(k, b, n, a) for k, bs in blocks.items() for b, lines in bs.items() for n, a in enumerate(lines)]
+    return spark.createDataFrame(instructions, "fn long, block long, pos int, asm string"), spark.createDataFrame(edges, "fn long, src long, dst long")
+
+
+DEFINES = {"mov eax": ["rax"], "mov ebx": ["rbx"], "mov [rcx]": ["[rcx]", "GLOBAL"], "nop": []}
+READS = {"eax": ["rax"], "ebx": ["rbx"]}
+
+
+def brute_reaching(g, own, defs):
+    """Facts flow along edges until nothing is new."""
+    todo = [(s, v, i) for b in g for i in own[b] for v in defs[i] if v == "GLOBAL" or not any(v in defs[j] for j in own[b] if j > i) for s in g[b]]
+    facts = set()
+    while todo:
+        f = todo.pop()
+        if f in facts:
+            continue
+        facts.add(f)
+        b, v, i = f
+        if v == "GLOBAL" or not any(v in defs[j] for j in own[b]):
+            todo += [(s, v, i) for s in g[b]]
+    return facts
+
+
+def test_reaching_definitions_by_walks(spark):
+    many, blocks = random_code(random.Random(0), 180)
+    instructions, edges = code_rows(spark, many, blocks)
+    reaching, deps, slices, roots = set(), set(), {}, {}
+    for k, g in many.items():
+        lines, own = [], {}
+        for b in sorted(g):
+            own[b] = range(len(lines), len(lines) + len(blocks[k][b]))
+            lines += blocks[k][b]
+        defs = [DEFINES[a.split(",")[0]] for a in lines]
+        reads = [READS[a.split(", ")[1]] + ["rcx"] * ("[rcx]" in a) if a != "nop" else [] for a in lines]
+        into = brute_reaching(g, own, defs)
+        reaching |= {(k, *f) for f in into}
+        met = {}
+        for b in g:
+            for i in own[b]:
+                near = {v: max((j for j in own[b] if j < i and v in defs[j]), default=None) for v in reads[i]}
+                met[i] = {x for x in near.values() if x is not None} | {x for c, v, x in into if c == b and v in near and near[v] is None}
+        deps |= {(k, i, j) for i, js in met.items() for j in js}
+        control = graphs.control_dependence(g)
+        above = {i: met[i] | {own[c][-1] for n, c in control if n == b and own[c]} for b in g for i in own[b]}
+        important = [i for i, d in enumerate(defs) if "GLOBAL" in d]
+        for i in range(len(lines)):
+            slices[k, i] = 0
+        for root in important:
+            seen, todo = {root}, [root]
+            while todo:
+                fresh = above[todo.pop()] - seen
+                seen |= fresh
+                todo += fresh
+            for i in seen:
+                slices[k, i] += 1
+        roots[k] = len(important)
+    got = [tuple(x) for x in dataflow.reaching_definitions(instructions, edges, "fn").collect()]
+    assert set(got) == reaching and len(got) == len(reaching)
+    assert sorted(map(tuple, dataflow.data_dependences(instructions, edges, "fn").collect())) == sorted(deps)
+    affected = dataflow.importance(instructions, edges, "fn").collect()
+    assert {(x.fn, x.instr): x.affected for x in affected} == slices and len(affected) == len(slices)
+    assert all(x.importance == pytest.approx(x.affected / (roots[x.fn] + 1e-5)) for x in affected)
+    features = {x.fn: x for x in dataflow.code_features(instructions, edges, "fn").collect()}
+    assert {(k, d.use_id, d.def_id) for k, x in features.items() for d in x.data_dep} == deps and all([c.asm for c in x.code] == [a for b in sorted(many[k]) for a in blocks[k][b]] for k, x in features.items())
+
+
+def test_instruction_limit(spark):
+    instructions, edges = code_rows(spark, {7: {0: [1], 1: [3], 2: [], 3: []}}, {7: {k: ["nop"] * 1500 for k in range(4)}})
+    kept = dataflow.instruction_effects(instructions, "fn")
+    assert {x.block for x in kept.select("block").distinct().collect()} == {0, 1} and kept.count() == 3000
+    assert [tuple(x) for x in dataflow.flow_within(instructions, edges, "fn").collect()] == [(7, 0, 1)]
+
+
+def test_code_without_rows(spark):
+    instructions, edges = code_rows(spark, {1: {0: []}}, {1: {0: []}})
+    assert dataflow.data_dependences(instructions, edges, "fn").count() == dataflow.importance(instructions, edges, "fn").count() == graphs.shortest_exit_paths(edges, "fn").count() == 0
+    odd = spark.createDataFrame([(1, None, 0, "nop"), (1, 2, 0, None), (1, 2, None, "ret")], "fn long, block long, pos int, asm string")
+    assert [(x.instr, x.asm) for x in dataflow.instruction_effects(odd, "fn").orderBy("instr").collect()] == [(0, "ret"), (1, "")]
 
 
 def bleu(h, r):
