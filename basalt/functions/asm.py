@@ -151,11 +151,15 @@ def _only_if(condition: Column, name: str) -> Column:
     return F.when(condition, _names(name)).otherwise(_names())
 
 
-def _variables(letters: str, ops: Column) -> Column:
-    a, b = (F.coalesce(F.get(ops, F.lit(k)), F.lit("")) for k in (0, 1))
-    wide = lambda x: F.when(is_global_memory(x), _names(x, GLOBAL)).otherwise(_names(x))
-    named = {"a": _names(a), "b": _names(b), "A": wide(a), "B": wide(b), "s": _names(F.concat(F.lit("stack_"), a)), "r": _names("rax")}
-    return F.concat(_names(), *(named[letter] for letter in letters))
+def _variables(letters: Column, ops: Column) -> Column:
+    """What the letters of a kind name."""
+
+    def named(letter: Column) -> Column:
+        operand = F.coalesce(F.get(ops, letter.isin("b", "B").cast("int")), F.lit(""))
+        wide = lambda x: letter.isin("A", "B") & is_global_memory(x)
+        return F.when(letter == "r", _names("rax")).otherwise(_let(operand, lambda x: F.when(letter == "s", _names(F.concat(F.lit("stack_"), x))).when(wide(x), _names(x, GLOBAL)).otherwise(_names(x))))
+
+    return F.flatten(F.transform(letters, named))
 
 
 def effects(code: Column, strict_flags: bool = False) -> Column:
@@ -168,19 +172,16 @@ def effects(code: Column, strict_flags: bool = False) -> Column:
         operator, ops = i["operator"], i["ops"]
         count, same = F.least(F.size(ops), F.lit(2)), (F.size(ops) > 1) & (F.get(ops, F.lit(0)) == F.get(ops, F.lit(1)))
 
-        def by_kind(place: int) -> Column:
-            cases = None
-            for mnemonic, operands, equal, *letters in (STRICT_TEST, *KINDS) if strict_flags else KINDS:
-                fits = operator.rlike(mnemonic) if mnemonic else F.lit(True)
-                fits = fits & (count == operands) if operands is not None else fits
-                fits = fits & same if equal else fits
-                found = _variables(letters[place], ops)
-                cases = F.when(fits, found) if cases is None else cases.when(fits, found)
-            return cases.otherwise(_names())
+        def fits(mnemonic: str, operands: int | None, equal: bool) -> Column:
+            found = operator.rlike(mnemonic) if mnemonic else F.lit(True)
+            found = found if operands is None else found & (count == operands)
+            return found & same if equal else found
 
+        kinds = [F.when(fits(*rule), F.struct(_names(*defs).alias("defs"), _names(*uses).alias("uses"))) for *rule, defs, uses in ((STRICT_TEST, *KINDS) if strict_flags else KINDS)]
+        kind = F.coalesce(*kinds, F.struct(_names().alias("defs"), _names().alias("uses")))
         registers = F.array_compact(F.transform(ops, lambda x: F.when(is_address(x), address_register(x))))
-        uses = F.concat(registers, _only_if(operator.contains("ret"), "rax"), _only_if(operator.isin(USES_FLAGS), FLAGS), by_kind(1))
-        defs = F.concat(_only_if(operator.isin(SETS_FLAGS), FLAGS), by_kind(0))
+        uses = F.concat(registers, _only_if(operator.contains("ret"), "rax"), _only_if(operator.isin(USES_FLAGS), FLAGS), _variables(kind["uses"], ops))
+        defs = F.concat(_only_if(operator.isin(SETS_FLAGS), FLAGS), _variables(kind["defs"], ops))
         return F.struct(operator.alias("operator"), F.array_distinct(defs).alias("defs"), F.array_distinct(uses).alias("uses"))
 
     def split(i: Column) -> Column:
