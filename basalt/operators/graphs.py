@@ -98,21 +98,6 @@ def simple_paths(g: Graph, start: int, goal: int, k: int = 10) -> list[list[int]
     return found
 
 
-def covering_paths(g: Graph, k: int = 10) -> tuple[list[list[int]], float]:
-    """Up to three paths from entry to exits, and the share of nodes on them: the shortest to any exit; of the k shortest to each exit the one with most new nodes; and again. Repeats are left out, paths are in order."""
-    start, exits = entry_exits(g)
-    candidates = [p for goal in exits for p in simple_paths(g, start, goal, k)] if start is not None else []
-    if not candidates:
-        return [], 0.0
-    chosen = [min(candidates, key=lambda p: (len(p), p))]
-    covered = set(chosen[0])
-    for _ in range(2):
-        best = max(candidates, key=lambda p: len(set(p) - covered))  # the first of equals
-        chosen.append(best)
-        covered |= set(best)
-    return sorted({tuple(p) for p in chosen}), len(covered) / len(g)
-
-
 def is_path(g: Graph, path: list[int]) -> bool:
     return all(b in g.get(a, ()) for a, b in zip(path, path[1:], strict=False))
 
@@ -246,9 +231,39 @@ def entries_and_exits(edges: DataFrame, fn: str) -> DataFrame:
     )
 
 
+def candidate_paths(edges: DataFrame, ends: DataFrame, fn: str, k: int = 10) -> DataFrame:
+    """(fn, exit, rank, path): the k shortest simple paths from the entry to each exit, in order. ends: as of `entries_and_exits`."""
+    links = edge_lists(edges.select(F.col(fn).alias("links_fn"), "src", "dst"), "links_fn")
+    whole = ends.select(fn, "entry", "exits").join(links, F.col(fn) == F.col("links_fn")).select(fn, "entry", "exits", "links")
+
+    def run(entry: int, exits: list[int], links: list[list]) -> Iterator[tuple]:
+        g = _graph(links)
+        yield from ((goal, n, p) for goal in exits for n, p in enumerate(simple_paths(g, entry, goal, k)))
+
+    return map_functions(whole, fn, run, "exit bigint, rank bigint, path array<bigint>")
+
+
 def paths(edges: DataFrame, fn: str, k: int = 10) -> DataFrame:
-    """(fn, path, coverage): the covering paths of each function."""
-    return per_function(edges, fn, lambda g: [covering_paths(g, k)], "path array<array<bigint>>, coverage double")
+    """(fn, path, coverage): up to three paths of each function from its entry to exits, in order, and the share of nodes on them.
+
+    Of the k shortest simple paths to each exit: the shortest of all; then twice the one with most new nodes (of equals that to the smallest exit, there the first). Repeats are
+    left out. A function without a path to an exit has none, and covers 0.
+    """
+    edges = kept(edges.select(fn, F.col("src").cast("long").alias("src"), F.col("dst").cast("long").alias("dst")).distinct())
+    ends = kept(entries_and_exits(edges, fn))
+    found = candidate_paths(edges, ends, fn, k).groupBy(fn).agg(F.sort_array(F.collect_list(F.struct("exit", "rank", "path"))).alias("found"))
+    nodes = F.array().cast("array<bigint>")
+
+    def most_new(covered: Column) -> Column:
+        scored = F.transform("candidates", lambda p, n: F.struct(F.size(F.array_except(p, covered)).alias("new"), (-n).alias("earlier"), p.alias("path")))
+        return F.array_max(scored)["path"]
+
+    some = found.select(fn, F.transform("found", lambda x: x["path"]).alias("candidates"))
+    some = some.withColumn("first", F.array_min(F.transform("candidates", lambda p: F.struct(F.size(p).alias("n"), p.alias("path"))))["path"])
+    some = some.withColumn("second", most_new(F.col("first"))).withColumn("covered", F.array_union("first", "second"))
+    some = some.withColumn("third", most_new(F.col("covered"))).withColumn("covered", F.array_union("covered", "third"))
+    chosen = F.when(F.col("first").isNull(), F.array().cast("array<array<bigint>>")).otherwise(F.array_sort(F.array_distinct(F.array("first", "second", "third"))))
+    return ends.select(fn, "n_nodes").join(some, fn, "left").select(fn, chosen.alias("path"), (F.size(F.coalesce("covered", nodes)) / F.col("n_nodes")).alias("coverage"))
 
 
 def onwards(g: dict[int, list[int]], start: int, closed: frozenset = frozenset()) -> dict[int, int]:

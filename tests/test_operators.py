@@ -93,25 +93,45 @@ def test_post_dominators_by_all_walks(seed):
 def test_self_loop_and_zero():
     g = graphs.graph_of([(1, 2), (2, 2), (2, 3)])
     assert graphs.post_dominators(g)[2] == {2} and graphs.post_dominators(g, True)[2] == {2, 3}
-    assert graphs.covering_paths(graphs.graph_of([(0, 1)])) == ([(0, 1)], 1.0)
-    assert graphs.covering_paths(graphs.graph_of([(1, 2), (2, 1)])) == ([], 0.0)
     assert graphs.entry_exits({}) == (None, [])
 
 
+def every_path(g, a, b):
+    every, todo = [], [[a]]
+    while todo:
+        p = todo.pop()
+        if p[-1] == b:
+            every.append(p)
+            continue
+        todo += [[*p, x] for x in g[p[-1]] if x not in p]
+    return sorted(every, key=lambda p: (len(p), p))
+
+
+def test_path_covers_by_enumeration(spark):
+    r = random.Random(8)
+    many = {0: graphs.graph_of([(0, 1)]), 1: graphs.graph_of([(1, 2), (2, 1)])} | {k: random_graph(r, r.randint(1, 8)) for k in range(2, 90)}
+    want = {}
+    for f, g in many.items():
+        start, exits = graphs.entry_exits(g)
+        candidates = [p for e in exits for p in every_path(g, start, e)[:4]]
+        chosen, covered = [], set()
+        for turn in range(3 if candidates else 0):
+            best = max(candidates, key=lambda p: len(set(p) - covered)) if turn else min(candidates, key=lambda p: (len(p), p))
+            chosen.append(best)
+            covered |= set(best)
+        want[f] = (sorted(map(list, {tuple(p) for p in chosen})), len(covered) / len(g))
+    rows = [(f, a, b) for f, g in many.items() for a in g for b in [*g[a], None]]
+    got = {x.fn: (x.path, x.coverage) for x in graphs.paths(spark.createDataFrame(rows, "fn long, src long, dst long"), "fn", 4).collect()}
+    assert got == want and got[0] == ([[0, 1]], 1.0) and got[1] == ([], 0.0)
+
+
 @pytest.mark.parametrize("seed", range(3))
 def test_simple_paths_by_enumeration(seed):
     r = random.Random(seed)
     for _ in range(100):
         g = random_graph(r, r.randint(2, 6))
         a, b = r.sample(list(g), 2)
-        every, todo = [], [[a]]
-        while todo:
-            p = todo.pop()
-            if p[-1] == b:
-                every.append(p)
-                continue
-            todo += [[*p, x] for x in g[p[-1]] if x not in p]
-        every.sort(key=lambda p: (len(p), p))
+        every = every_path(g, a, b)
         assert graphs.simple_paths(g, a, b, 5) == every[:5]
         assert all(graphs.is_path(g, p) for p in every) and graphs.shortest_path(g, a, b) == (every[0] if every else None)
 
