@@ -293,9 +293,11 @@ def walks(edges: DataFrame, asked: DataFrame, fn: str) -> DataFrame:
         for one in asked:
             closed = frozenset(one["closed"])
             for start in one["starts"]:
-                yield from ((one["label"], start, node, steps) for node, steps in onwards(g, start, closed).items())
+                found = onwards(g, start, closed)
+                yield one["label"], start, list(found), list(found.values())
 
-    return map_functions(whole, fn, run, "label string, start bigint, node bigint, steps bigint")
+    found = map_functions(whole, fn, run, "label string, start bigint, nodes array<bigint>, steps array<bigint>")
+    return found.select(fn, "label", "start", F.inline(F.arrays_zip(F.col("nodes").alias("node"), F.col("steps").alias("steps"))).alias("node", "steps"))
 
 
 def shortest_exit_paths(edges: DataFrame, fn: str) -> DataFrame:
