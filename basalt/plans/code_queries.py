@@ -283,9 +283,10 @@ def noise_functions(spark, d):
 @query(r"""WITH t AS (SELECT doc_id, len(regexp_extract_all(coalesce(text, ''), '[\p{L}\p{N}\p{M}\p{Pc}]+|[^\s\p{L}\p{N}\p{M}\p{Pc}]')) AS n FROM documents) SELECT doc_id FROM t WHERE doc_id % 7 <> 0 AND doc_id % 5 > 1 AND n + 12 > 30 AND n + 12 < 9192""")
 def harvest_gate(spark, d):
     """SC7: decompiled, of medium size, no noise."""
-    docs = table(spark, d, "documents").select("doc_id", F.regexp_replace(T.text("text"), r"[{};/]", " ").alias("text"))
+    # What would make code of the text becomes another sign each: a blank in its place would take a token.
+    docs = table(spark, d, "documents").select("doc_id", F.translate(T.text("text"), "{};/", "####").alias("text"))
     body = F.when(F.col("doc_id") % 5 == 0, F.concat(F.lit("int f(int a)\n{\n  return g("), "text", F.lit(");\n}"))).when(F.col("doc_id") % 5 == 1, F.concat(F.lit("// attributes: thunk\nint f() "), "text"))
-    code = F.when(F.col("doc_id") % 7 != 0, F.coalesce(body, F.concat(F.lit("f(){a;b;}c;"), "text")))
+    code = F.when(F.col("doc_id") % 7 != 0, F.coalesce(body, F.concat(F.lit("f(){a;b;}c;;"), "text")))
     return docs.withColumn("code", code).filter(T.harvested("code")).select("doc_id")
 
 

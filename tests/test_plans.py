@@ -177,6 +177,20 @@ def test_queries_match_their_sql(spark, name):
     assert canon([tuple(r) for r in df.collect()], df.columns) == canon(want.fetchall(), want.columns)
 
 
+def test_harvest_gate_counts_tokens_as_its_sql(spark, tmp_path):
+    import duckdb
+
+    words = lambda n: " ".join(["word"] * n)
+    texts = [words(18), words(19), words(14) + " {;}/", words(15) + " {;}/", "/* {" + words(10) + "} */ //", None, words(9179), words(9180), ";" * 19, "x}"]
+    rows = [(k * 35 + 2, t) for k, t in enumerate(texts)] + [(k * 35 + 5, t) for k, t in enumerate(texts)]
+    spark.createDataFrame(rows, "doc_id long, text string").coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{tmp_path}/documents.parquet/*.parquet')")
+    want = sorted(con.sql(ORACLE_SQL["harvest_gate"]).fetchall())
+    assert want == [(k * 35 + 2,) for k in (1, 3, 6, 8)]
+    assert sorted(tuple(r) for r in QUERIES["harvest_gate"](spark, str(tmp_path)).collect()) == want
+
+
 def test_entry(spark):
     import __spark_entry__ as entry
 
