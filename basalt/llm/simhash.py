@@ -166,7 +166,8 @@ def links(fps: DataFrame, crowd: int = 16) -> DataFrame:
     # Of a pair, the smaller is looked for at home: if its anchor is crowded, both go to the finer code.
     some = not crowded.isEmpty()
     home = (homes.join(crowded, "anchor", "left_anti") if some else homes).select("anchor", F.col("fp").alias("a"))
-    compared = home.join(replicas.withColumnRenamed("fp", "b"), "anchor").filter((F.col("a") < F.col("b")) & _near(F.col("a"), F.col("b"))).select("a", "b")
+    # Spark takes mapInArrow to return as many rows as it gets: without the hint it would broadcast replicas, which are 61 times as many.
+    compared = home.join(replicas.withColumnRenamed("fp", "b").hint("merge"), "anchor").filter((F.col("a") < F.col("b")) & _near(F.col("a"), F.col("b"))).select("a", "b")
     if not some:
         return compared.distinct()
     fine = replicas.join(crowded, "anchor", "left_semi").select("fp").distinct()

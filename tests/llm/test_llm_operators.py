@@ -147,6 +147,13 @@ def test_near_duplicates(spark, rows):
     assert got == want
     assert simhash.near_duplicates(df.limit(0)).count() == 0
 
+def test_replicas_are_not_broadcast(spark, tmp_path):
+    """Each fingerprint has 61 replicas, which Spark's estimate takes for one."""
+    r = random.Random(8)
+    spark.createDataFrame([(simhash.signed(r.getrandbits(64)),) for _ in range(200)], "fp long").write.parquet(str(tmp_path / "t"))
+    plan = simhash.links(spark.read.parquet(str(tmp_path / "t")))._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin [anchor" in plan and "Broadcast" not in plan
+
 
 def jaccard(a, b, k=5):
     x, y = ({tuple(t.encode().lower().split()[i : i + k]) for i in range(max(1, len(t.split()) - k + 1))} for t in (a, b))
