@@ -26,8 +26,9 @@ Golay code over 23 chosen bits and the code of all words over a few more, and th
 goes to one anchor of each code, and two that are alike meet at one of them at least (the chance is in `meeting`). At an
 anchor all are compared in full. An anchor with more than `crowd` fingerprints deals them to finer anchors, those of two codes together, then of three
 and of four; so work stays linear in a large group of near copies, whose members have so many chances to be linked that the group holds.
-At each anchor forests of its closest pairs stand for all its links. Links so close that the similarity is beyond doubt are taken as they are; others
+At each anchor a forest of its closest pairs stands for all its links. Links so close that the similarity is beyond doubt are taken as they are; others
 that would join two groups are checked by LONG further bits of both texts and then by their shingles, so that texts below the similarity aren't chained together.
+Where a link of a forest is refused, all pairs of that anchor that still are in two groups are checked in the same way, so that none is lost with it.
 """
 
 from __future__ import annotations
@@ -49,8 +50,8 @@ SHINGLE, SEED, BITS, MAX_DISTANCE = 3, 42, 64, 2
 WIDE, CODES, RAW, DEPTH = 256, 80, 6, 4
 #: Further bits that decide where WIDE ones leave doubt, before the shingles themselves do.
 LONG = 1024
-#: Forests of links that an anchor gives: a link in doubt that is refused has others beside it.
-FORESTS = 3
+#: Forests of links that an anchor gives. More would only spare some anchors from being looked at again (`unjoined`).
+FORESTS = 1
 #: Generator polynomial of the binary Golay code, and its length, redundancy and covering radius.
 _G, _N, _R, _RADIUS = 0b110001110101, 23, 11, 3
 _LOW = 12
@@ -367,9 +368,18 @@ def _run_links(keys: np.ndarray, fps: np.ndarray, most: int, sure: int = -1) ->
 
 
 def wide_links(fps: DataFrame, most: int, crowd: int = 128, sure: int = -1) -> DataFrame:
-    """(a, b, distance): links between different wide fingerprints of at most so many differing bits that meet at an anchor, as far as they are needed to connect what all of them connect, those above `sure` several times over. fps: distinct fp (binary).
+    """(a, b, distance): links between different wide fingerprints of at most so many differing bits that meet at an anchor, as far as they are needed to connect what all of them connect. fps: distinct fp (binary)."""
+    return _closest(meetings(fps, most, crowd, sure)[0], most)
 
-    In a crowd at the finest anchors members are compared with pivots: the first member, and each later one that is near no pivot before it."""
+
+def _closest(found: DataFrame, most: int) -> DataFrame:
+    return found.filter(F.col("distance") <= most).groupBy("a", "b").agg(F.min("distance").alias("distance"))
+
+
+def meetings(fps: DataFrame, most: int, crowd: int = 128, sure: int = -1) -> tuple[DataFrame, DataFrame]:
+    """Links (a, b, distance, key) as of `wide_links`, with the anchor at which each was found, and the places (key, fp) at which fingerprints have met.
+
+    In a crowd at the finest anchors members are compared with pivots: the first member, and each later one that is near no pivot before it. That there is such a one is told by a row of more than `most` bits."""
     codes, raw = code_sizes(fps.count())
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -388,13 +398,13 @@ def wide_links(fps: DataFrame, most: int, crowd: int = 128, sure: int = -1) -> D
             process_memo("simhash")
             held, crowded, pivots = None, None, None  # rows of the last key so far; that key, if it is a crowd; its pivots
 
-            def out(a: np.ndarray | None, b: np.ndarray, value: np.ndarray) -> pa.RecordBatch:
+            def out(a: np.ndarray | None, b: np.ndarray, value: np.ndarray, at: np.ndarray) -> pa.RecordBatch:
                 wrap = lambda rows: pa.array([r.tobytes() for r in rows], pa.binary())
-                return pa.RecordBatch.from_arrays([pa.nulls(len(b), pa.binary()) if a is None else wrap(a), wrap(b), pa.array(value, pa.int64())], names=["a", "b", "value"])
+                return pa.RecordBatch.from_arrays([pa.nulls(len(b), pa.binary()) if a is None else wrap(a), wrap(b), pa.array(value, pa.int64()), pa.array(at, pa.int64())], names=["a", "b", "value", "at"])
 
             def overflow(keys: np.ndarray, fps: np.ndarray) -> pa.RecordBatch:
                 if depth < DEPTH:
-                    return out(None, fps, _keys(homes(fps, codes, raw), (keys.view(np.uint64) >> np.uint64(54)).astype(np.int64), depth + 1))
+                    return out(None, fps, _keys(homes(fps, codes, raw), (keys.view(np.uint64) >> np.uint64(54)).astype(np.int64), depth + 1), keys)
                 nonlocal pivots
                 left, right, distance = [], [], []
                 rest, begin = np.arange(len(fps)), 0
@@ -412,8 +422,12 @@ def wide_links(fps: DataFrame, most: int, crowd: int = 128, sure: int = -1) -> D
                     begin, rest = len(pivots), rest[~near_any]
                     if not len(rest):
                         break
-                    pivots = np.concatenate([pivots, fps[rest[:1]]])
-                return out(np.concatenate(left), np.concatenate(right), np.concatenate(distance))
+                    left.append(pivots[:1])
+                    right.append(fps[rest[:1]])
+                    distance.append(np.bitwise_count(pivots[:1].view(np.uint64) ^ right[-1].view(np.uint64)).sum(axis=1, dtype=np.int64))
+                    pivots = np.concatenate([pivots, right[-1]])
+                left = np.concatenate(left)
+                return out(left, np.concatenate(right), np.concatenate(distance), np.full(len(left), keys[0]))
 
             for batch in chain(batches, (None,)):
                 if batch is None:
@@ -449,20 +463,33 @@ def wide_links(fps: DataFrame, most: int, crowd: int = 128, sure: int = -1) -> D
                     keys, fps = keys[fit], fps[fit]
                     a, b, distance = _run_links(keys, np.ascontiguousarray(fps), most, sure)
                     if len(b):
-                        yield out(fps[a], fps[b], distance)
+                        yield out(fps[a], fps[b], distance, keys[a])
 
         return run
 
-    rows, found = fps.select("fp").mapInArrow(spread, "key long, fp binary"), None
+    rows, found, places = fps.select("fp").mapInArrow(spread, "key long, fp binary"), None, None
     for depth in range(1, DEPTH + 1):
+        places = rows if places is None else places.unionByName(rows)
         sorted_rows = rows.repartition("key").sortWithinPartitions("key", "fp")
-        level = scratch_table(sorted_rows.mapInArrow(compare(depth), "a binary, b binary, value long"), f"simhash-links-{depth}")
-        own = level.filter("a IS NOT NULL").select("a", "b", F.col("value").alias("distance"))
+        level = scratch_table(sorted_rows.mapInArrow(compare(depth), "a binary, b binary, value long, at long"), f"simhash-links-{depth}")
+        own = level.filter("a IS NOT NULL").select("a", "b", F.col("value").alias("distance"), F.col("at").alias("key"))
         found = own if found is None else found.unionByName(own)
         rows = level.filter("a IS NULL").select(F.col("value").alias("key"), F.col("b").alias("fp"))
         if rows.isEmpty():
             break
-    return found.groupBy("a", "b").agg(F.min("distance").alias("distance"))
+    return found, places
+
+
+def unjoined(places: DataFrame, keys: DataFrame, roots: DataFrame, most: int) -> DataFrame:
+    """(a, b), distinct: all pairs of at most so many differing bits that meet at one of the anchors (keys) and are in two groups. roots: (node, root); what isn't there is a group of its own."""
+    own = places.join(keys, "key", "left_semi").distinct()
+    words = [F.conv(F.hex(F.substring("fp", 8 * k + 1, 8)), 16, -10).cast("long").alias(f"w{k}") for k in range(WIDE // 64)]
+    own = own.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("key", "fp", F.coalesce("root", "fp").alias("root"), *words)
+    own = scratch_table(own, "simhash-again")
+    a, b = (own.select("key", *(F.col(c).alias(f"{side}_{c}") for c in own.columns[1:])) for side in "ab")
+    apart = sum((F.bit_count(F.col(f"a_w{k}").bitwiseXOR(F.col(f"b_w{k}"))) for k in range(len(words))), F.lit(0))
+    met = a.hint("merge").join(b, (a["key"] == b["key"]) & (F.col("a_fp") < F.col("b_fp")) & (F.col("a_root") != F.col("b_root")) & (apart <= most))
+    return met.select(F.col("a_fp").alias("a"), F.col("b_fp").alias("b")).distinct()
 
 
 def representatives(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8, crowd: int = 128, broadcast_rows: int = 1_000_000) -> DataFrame:
@@ -512,40 +539,52 @@ def representatives(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     rows = placed.select(F.col(id_col).alias("id"), F.col(mark).alias("place"), F.col(text_col).alias("text")).mapInArrow(run, f"id {df.schema[id_col].dataType.simpleString()}, place long, fp binary")
     rows = scratch_table(rows, "simhash")
 
-    def link(fps: DataFrame) -> DataFrame:
-        sure_bits = wide_distance(similarity, WIDE, -3)
-        found = scratch_table(wide_links(fps, wide_distance(similarity, WIDE, 2), crowd, sure_bits), "simhash-found")
-        doubt = F.col("distance") > sure_bits
-        sure = found.filter(~doubt).select("a", "b")
-        roots = components(sure)
-        # A text in the middle of a large group has very many links: up to a fifth of broadcast_rows roots (64 bytes each) go to the links instead.
-        few = roots.count() <= broadcast_rows // 5
-        root_of = lambda c: (F.broadcast if few else lambda x: x)(roots.select(F.col("node").alias(c), F.col("root").alias(f"{c}_root")))
-        joins = found.filter(doubt).join(root_of("a"), "a", "left").join(root_of("b"), "b", "left")
-        joins = scratch_table(joins.filter(F.coalesce("a_root", "a") != F.coalesce("b_root", "b")).select("a", "b").distinct(), "simhash-doubt")
-        if joins.isEmpty():
-            return sure
-
-        def of(pairs: DataFrame, run, schema: str, value: str) -> DataFrame:
-            """(fp, value) of one text of each fingerprint in the pairs."""
-            asked = pairs.select(F.col("a").alias("fp")).union(pairs.select(F.col("b").alias("fp"))).distinct()
-            places = scratch_table(rows.join(asked, "fp", "left_semi").groupBy("fp").agg(F.min("place").alias("place")), "simhash-asked")
-            texts = placed.select(F.col(mark).alias("place"), F.col(text_col).alias("text")).join(here(places.select("place")), "place", "left_semi")
-            return scratch_table(texts.mapInArrow(run, schema).join(places, "place").select("fp", value), f"simhash-{value}")
+    def of(pairs: DataFrame, run, schema: str, value: str) -> DataFrame:
+        """(fp, value) of one text of each fingerprint in the pairs."""
+        asked = pairs.select(F.col("a").alias("fp")).union(pairs.select(F.col("b").alias("fp"))).distinct()
+        places = scratch_table(rows.join(asked, "fp", "left_semi").groupBy("fp").agg(F.min("place").alias("place")), "simhash-asked")
+        texts = placed.select(F.col(mark).alias("place"), F.col(text_col).alias("text")).join(here(places.select("place")), "place", "left_semi")
+        return scratch_table(texts.mapInArrow(run, schema).join(places, "place").select("fp", value), f"simhash-{value}")
 
+    def alike(pairs: DataFrame) -> DataFrame:
+        """Those pairs (a, b) whose texts are near copies."""
         both = lambda pairs, values, c: pairs.join(values.select(F.col("fp").alias("a"), F.col(c).alias("x")), "a").join(values.select(F.col("fp").alias("b"), F.col(c).alias("y")), "b")
         apart = F.aggregate(F.zip_with("x", "y", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda total, n: total + n)
-        told = both(joins, of(joins, further, "place long, bits array<long>", "bits"), "bits").select("a", "b", apart.alias("apart"))
+        told = both(pairs, of(pairs, further, "place long, bits array<long>", "bits"), "bits").select("a", "b", apart.alias("apart"))
         told = scratch_table(told.filter(F.col("apart") <= wide_distance(similarity, LONG, 2)), "simhash-told")
         clear = F.col("apart") <= wide_distance(similarity, LONG, -3)
         # What even these bits leave in doubt is settled by the shingles of both texts.
-        open_ = scratch_table(told.filter(~clear).select("a", "b"), "simhash-open")
-        sure = sure.unionByName(told.filter(clear).select("a", "b"))
+        open_, sure = scratch_table(told.filter(~clear).select("a", "b"), "simhash-open"), told.filter(clear).select("a", "b")
         if open_.isEmpty():
             return sure
         exact = both(open_, of(open_, sets, "place long, shingles binary", "shingles"), "shingles").select("a", "b", "x", "y").mapInArrow(similar, "a binary, b binary")
         return sure.unionByName(scratch_table(exact, "simhash-exact"))
 
+    def link(fps: DataFrame) -> DataFrame:
+        sure_bits, most = wide_distance(similarity, WIDE, -3), wide_distance(similarity, WIDE, 2)
+        met, places = meetings(fps, most, crowd, sure_bits)
+        found = scratch_table(_closest(met, most), "simhash-found")
+        doubt = F.col("distance") > sure_bits
+        sure = found.filter(~doubt).select("a", "b")
+        roots = components(sure)
+        # A text in the middle of a large group has very many links: up to a fifth of broadcast_rows roots (64 bytes each) go to the links instead.
+        few = roots.count() <= broadcast_rows // 5
+        root_of = lambda c: (F.broadcast if few else lambda x: x)(roots.select(F.col("node").alias(c), F.col("root").alias(f"{c}_root")))
+        joins = found.filter(doubt).join(root_of("a"), "a", "left").join(root_of("b"), "b", "left")
+        joins = scratch_table(joins.filter(F.coalesce("a_root", "a") != F.coalesce("b_root", "b")).select("a", "b").distinct(), "simhash-doubt")
+        if not joins.isEmpty():
+            told = scratch_table(alike(joins), "simhash-alike")
+            sure = sure.unionByName(told)
+            # A refused link, or a member that was compared with some pivots alone, may stand for others.
+            met = met.join(joins.join(told, ["a", "b"], "left_anti").withColumn("refused", F.lit(True)), ["a", "b"], "left").filter((F.col("distance") > most) | F.col("refused"))
+        else:
+            met = met.filter(F.col("distance") > most)
+        keys = scratch_table(met.select("key").distinct(), "simhash-keys")
+        if keys.isEmpty():
+            return sure
+        rest = scratch_table(unjoined(places, keys, components(sure), most).join(joins, ["a", "b"], "left_anti"), "simhash-rest")
+        return sure if rest.isEmpty() else sure.unionByName(alike(rest))
+
     # Null ids last, so that a row with an id stays if there is one.
     whole = F.min(F.struct(F.col("id").isNull().alias("none"), F.col("id"), F.col("place")))
     first = _component_minimum(rows, whole, link)
