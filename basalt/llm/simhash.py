@@ -480,16 +480,21 @@ def meetings(fps: DataFrame, most: int, crowd: int = 128, sure: int = -1) -> tup
     return found, places
 
 
-def unjoined(places: DataFrame, keys: DataFrame, roots: DataFrame, most: int) -> DataFrame:
-    """(a, b), distinct: all pairs of at most so many differing bits that meet at one of the anchors (keys) and are in two groups. roots: (node, root); what isn't there is a group of its own."""
+def unjoined(places: DataFrame, keys: DataFrame, roots: DataFrame, most: int, further: Callable[[DataFrame], DataFrame], most_further: int) -> DataFrame:
+    """(a, b, apart), distinct: all pairs of at most so many differing bits, and of at most so many of the LONG further ones (apart), that meet at one of the anchors (keys) and are in two groups.
+
+    roots: (node, root); what isn't there is a group of its own. further: from (fp), distinct, to (fp, bits), the further bits as longs. They are compared in the join itself: in a large group of texts below the similarity nearly all pairs that WIDE bits leave
+    in doubt are refused by these, and none of them is made a row."""
     own = places.join(keys, "key", "left_semi").distinct()
+    own = scratch_table(own.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("key", "fp", F.coalesce("root", "fp").alias("root")), "simhash-again")
     words = [F.conv(F.hex(F.substring("fp", 8 * k + 1, 8)), 16, -10).cast("long").alias(f"w{k}") for k in range(WIDE // 64)]
-    own = own.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("key", "fp", F.coalesce("root", "fp").alias("root"), *words)
-    own = scratch_table(own, "simhash-again")
+    more = [F.get("bits", F.lit(k)).alias(f"x{k}") for k in range(LONG // 64)]
+    own = own.join(further(own.select("fp").distinct()), "fp").select("key", "fp", "root", *words, *more)
     a, b = (own.select("key", *(F.col(c).alias(f"{side}_{c}") for c in own.columns[1:])) for side in "ab")
-    apart = sum((F.bit_count(F.col(f"a_w{k}").bitwiseXOR(F.col(f"b_w{k}"))) for k in range(len(words))), F.lit(0))
-    met = a.hint("merge").join(b, (a["key"] == b["key"]) & (F.col("a_fp") < F.col("b_fp")) & (F.col("a_root") != F.col("b_root")) & (apart <= most))
-    return met.select(F.col("a_fp").alias("a"), F.col("b_fp").alias("b")).distinct()
+    apart = lambda name, n: sum((F.bit_count(F.col(f"a_{name}{k}").bitwiseXOR(F.col(f"b_{name}{k}"))) for k in range(n)), F.lit(0))
+    near = (apart("w", len(words)) <= most) & (apart("x", len(more)) <= most_further)
+    met = a.hint("merge").join(b, (a["key"] == b["key"]) & (F.col("a_fp") < F.col("b_fp")) & (F.col("a_root") != F.col("b_root")) & near)
+    return met.select(F.col("a_fp").alias("a"), F.col("b_fp").alias("b"), apart("x", len(more)).alias("apart")).distinct()
 
 
 def representatives(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8, crowd: int = 128, broadcast_rows: int = 1_000_000) -> DataFrame:
@@ -539,25 +544,31 @@ def representatives(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     rows = placed.select(F.col(id_col).alias("id"), F.col(mark).alias("place"), F.col(text_col).alias("text")).mapInArrow(run, f"id {df.schema[id_col].dataType.simpleString()}, place long, fp binary")
     rows = scratch_table(rows, "simhash")
 
-    def of(pairs: DataFrame, run, schema: str, value: str) -> DataFrame:
-        """(fp, value) of one text of each fingerprint in the pairs."""
-        asked = pairs.select(F.col("a").alias("fp")).union(pairs.select(F.col("b").alias("fp"))).distinct()
+    def of(asked: DataFrame, run, schema: str, value: str) -> DataFrame:
+        """(fp, value) of one text of each fingerprint asked (fp), distinct."""
         places = scratch_table(rows.join(asked, "fp", "left_semi").groupBy("fp").agg(F.min("place").alias("place")), "simhash-asked")
         texts = placed.select(F.col(mark).alias("place"), F.col(text_col).alias("text")).join(here(places.select("place")), "place", "left_semi")
         return scratch_table(texts.mapInArrow(run, schema).join(places, "place").select("fp", value), f"simhash-{value}")
 
+    ends = lambda pairs: pairs.select(F.col("a").alias("fp")).union(pairs.select(F.col("b").alias("fp"))).distinct()
+    both = lambda pairs, values, c: pairs.join(values.select(F.col("fp").alias("a"), F.col(c).alias("x")), "a").join(values.select(F.col("fp").alias("b"), F.col(c).alias("y")), "b")
+    long_bits = lambda asked: of(asked, further, "place long, bits array<long>", "bits")
+    most_long = wide_distance(similarity, LONG, 2)
+
     def alike(pairs: DataFrame) -> DataFrame:
         """Those pairs (a, b) whose texts are near copies."""
-        both = lambda pairs, values, c: pairs.join(values.select(F.col("fp").alias("a"), F.col(c).alias("x")), "a").join(values.select(F.col("fp").alias("b"), F.col(c).alias("y")), "b")
         apart = F.aggregate(F.zip_with("x", "y", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda total, n: total + n)
-        told = both(pairs, of(pairs, further, "place long, bits array<long>", "bits"), "bits").select("a", "b", apart.alias("apart"))
-        told = scratch_table(told.filter(F.col("apart") <= wide_distance(similarity, LONG, 2)), "simhash-told")
+        told = both(pairs, long_bits(ends(pairs)), "bits").select("a", "b", apart.alias("apart"))
+        return settled(scratch_table(told.filter(F.col("apart") <= most_long), "simhash-told"))
+
+    def settled(told: DataFrame) -> DataFrame:
+        """Of pairs (a, b, apart) that LONG bits don't refuse those whose texts are near copies."""
         clear = F.col("apart") <= wide_distance(similarity, LONG, -3)
         # What even these bits leave in doubt is settled by the shingles of both texts.
         open_, sure = scratch_table(told.filter(~clear).select("a", "b"), "simhash-open"), told.filter(clear).select("a", "b")
         if open_.isEmpty():
             return sure
-        exact = both(open_, of(open_, sets, "place long, shingles binary", "shingles"), "shingles").select("a", "b", "x", "y").mapInArrow(similar, "a binary, b binary")
+        exact = both(open_, of(ends(open_), sets, "place long, shingles binary", "shingles"), "shingles").select("a", "b", "x", "y").mapInArrow(similar, "a binary, b binary")
         return sure.unionByName(scratch_table(exact, "simhash-exact"))
 
     def link(fps: DataFrame) -> DataFrame:
@@ -582,8 +593,8 @@ def representatives(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
         keys = scratch_table(met.select("key").distinct(), "simhash-keys")
         if keys.isEmpty():
             return sure
-        rest = scratch_table(unjoined(places, keys, components(sure), most).join(joins, ["a", "b"], "left_anti"), "simhash-rest")
-        return sure if rest.isEmpty() else sure.unionByName(alike(rest))
+        rest = scratch_table(unjoined(places, keys, components(sure), most, long_bits, most_long).join(joins, ["a", "b"], "left_anti"), "simhash-rest")
+        return sure if rest.isEmpty() else sure.unionByName(settled(rest))
 
     # Null ids last, so that a row with an id stays if there is one.
     whole = F.min(F.struct(F.col("id").isNull().alias("none"), F.col("id"), F.col("place")))

@@ -302,6 +302,26 @@ def test_a_refused_link_loses_no_other(spark, tmp_path):
     assert stays == set(group)
 
 
+def test_pairs_that_further_bits_refuse_are_no_rows(spark, tmp_path, monkeypatch):
+    """A large group whose texts are mostly just below the similarity: of all its pairs only those that the further bits leave open are made rows of the second look."""
+    r = random.Random(1)
+    word = lambda: "".join(r.choice("abcdefghij") for _ in range(6))
+    base, texts = [word() for _ in range(60)], []
+    for _ in range(200):
+        copy = list(base)
+        for k in r.sample(range(len(copy)), 2):
+            copy[k] = word()
+        texts.append(" ".join(copy))
+    frame(spark, [(k, t, None, None) for k, t in enumerate(texts)]).write.parquet(str(tmp_path / "t"))
+    made, scratch_table = {}, simhash.scratch_table
+    monkeypatch.setattr(simhash, "scratch_table", lambda df, name, *a, **b: made.setdefault(name, scratch_table(df, name, *a, **b)))
+    simhash.representatives(spark.read.parquet(str(tmp_path / "t"))).collect()
+    long = {simhash.wide_fingerprint(t): np.frombuffer(simhash.wide_fingerprint(t, 5, simhash.LONG, simhash.WIDE // 64), np.uint8) for t in texts}
+    pairs = [(bytes(x.a), bytes(x.b)) for x in made["simhash-rest"].collect()]
+    assert pairs
+    assert all(np.bitwise_count(long[a] ^ long[b]).sum() <= simhash.wide_distance(0.8, simhash.LONG, 2) for a, b in pairs)
+
+
 def test_chance_of_meeting():
     """Of pairs that differ in the bits expected at a similarity of 0.85 nine in ten meet at an anchor, of closer ones nearly all; more codes keep that for larger inputs."""
     assert [simhash.wide_distance(0.8, 256, k) for k in (-2, 0, 1)] == [27, 39, 45] and simhash.code_sizes(10**5) == (80, 6)
