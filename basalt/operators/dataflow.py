@@ -6,28 +6,40 @@ are expressions, windows and joins; only the breadth-first searches over a funct
 
 from __future__ import annotations
 
+from collections import defaultdict
+from collections.abc import Iterator
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from basalt.functions import asm
-from basalt.operators.graphs import control_dependences, walks
+from basalt.operators.graphs import control_dependences, edge_lists, map_functions, onwards, walks
 from basalt.sources.shared import kept
 
 MOST_INSTRUCTIONS = 2000
 
 
-def instruction_effects(instructions: DataFrame, fn: str, strict_flags: bool = False, most: int = MOST_INSTRUCTIONS) -> DataFrame:
-    """(fn, instr, block, asm, operator, defs, uses) of instructions (fn, block, pos, asm): numbered from 0 through the blocks. Null code is an empty instruction; rows without a block are left out."""
+def block_sizes(instructions: DataFrame, fn: str) -> DataFrame:
+    """(fn, block, n), written once: how many instructions each block has."""
+    return kept(instructions.filter("block IS NOT NULL").groupBy(fn, F.col("block").cast("long").alias("block")).agg(F.count(F.lit(1)).alias("n")))
+
+
+def _cuts(sizes: DataFrame, fn: str, block: str, most: int) -> DataFrame:
+    """(cut_fn, cut): of functions that are too long, the first block that has over `most` instructions before it."""
+    before = F.sum("n").over(Window.partitionBy(fn).orderBy(block).rowsBetween(Window.unboundedPreceding, -1))
+    return sizes.withColumn("before", before).filter(F.col("before") > most).groupBy(F.col(fn).alias("cut_fn")).agg(F.min(block).alias("cut"))
+
+
+def instruction_effects(instructions: DataFrame, fn: str, strict_flags: bool = False, most: int = MOST_INSTRUCTIONS, sizes: DataFrame | None = None) -> DataFrame:
+    """(fn, instr, block, asm, operator, defs, uses) of instructions (fn, block, pos, asm): numbered from 0 through the blocks. Null code is an empty instruction; rows without a block are left out. sizes: those of `block_sizes`, if they are there already."""
     rows = instructions.filter("block IS NOT NULL").select(fn, F.col("block").cast("long").alias("block"), "pos", F.coalesce("asm", F.lit("")).alias("asm"))
-    found = numbered(rows, fn, ["block", "pos", "asm"], most).withColumn("effects", asm.effects(F.col("asm"), strict_flags))
+    found = numbered(rows, fn, ["block", "pos", "asm"], most, sizes).withColumn("effects", asm.effects(F.col("asm"), strict_flags))
     return found.select(fn, "instr", "block", "asm", "effects.operator", "effects.defs", "effects.uses")
 
 
-def flow_within(instructions: DataFrame, edges: DataFrame, fn: str, most: int = MOST_INSTRUCTIONS) -> DataFrame:
-    """(fn, src, dst): the distinct edges among blocks that `numbered` doesn't cut. Blocks without instructions stay."""
-    sizes = instructions.filter("block IS NOT NULL").groupBy(fn, F.col("block").cast("long").alias("block")).agg(F.count(F.lit(1)).alias("n"))
-    before = F.sum("n").over(Window.partitionBy(fn).orderBy("block").rowsBetween(Window.unboundedPreceding, -1))
-    cut = sizes.withColumn("before", before).filter(F.col("before") > most).groupBy(F.col(fn).alias("cut_fn")).agg(F.min("block").alias("cut"))
+def flow_within(instructions: DataFrame, edges: DataFrame, fn: str, most: int = MOST_INSTRUCTIONS, sizes: DataFrame | None = None) -> DataFrame:
+    """(fn, src, dst): the distinct edges among blocks that `numbered` doesn't cut. Blocks without instructions stay. sizes: those of `block_sizes`, if they are there already."""
+    cut = _cuts(block_sizes(instructions, fn) if sizes is None else sizes, fn, "block", most)
     links = edges.filter("dst IS NOT NULL").select(fn, F.col("src").cast("long").alias("src"), F.col("dst").cast("long").alias("dst")).distinct()
     return links.join(cut, F.col(fn) == F.col("cut_fn"), "left").filter("cut IS NULL OR src < cut AND dst < cut").select(fn, "src", "dst")
 
@@ -46,25 +58,62 @@ def _reaching(facts: DataFrame, flow: DataFrame, fn: str) -> DataFrame:
     return found.join(last, [fn, "var", "block"]).select(fn, F.col("node").alias("block"), "var", F.explode("instrs").alias("def_instr"))
 
 
-def _definitions_met(facts: DataFrame, into: DataFrame, fn: str, uses: Column) -> DataFrame:
-    """(fn, use_instr, def_instr), distinct: for each variable used, the latest definition before it in its block, else all that reach the block."""
-    event = lambda vs, is_def: facts.select(fn, "block", "instr", F.explode(vs).alias("var"), F.lit(is_def).alias("is_def"))
+def _events(facts: DataFrame, fn: str, uses: Column) -> DataFrame:
+    """(fn, block, var, instr, is_def, near): each use, with the latest definition before it in its block, and each block's last definition of a variable (all of GLOBAL, none of CONST). Partitions by function or block stay."""
+    named = lambda vs, is_def: F.transform(vs, lambda v: F.struct(v.alias("var"), F.lit(is_def).alias("is_def")))
+    events = facts.select(fn, "block", "instr", F.inline(F.concat(named(uses, False), named(F.col("defs"), True))))
     # In a block an instruction uses before it defines.
-    so_far = Window.partitionBy(fn, "block", "var").orderBy("instr", "is_def").rowsBetween(Window.unboundedPreceding, -1)
-    events = event(uses, False).unionByName(event(F.col("defs"), True))
-    met = events.withColumn("near", F.last(F.when(F.col("is_def"), F.col("instr")), ignorenulls=True).over(so_far)).filter(~F.col("is_def"))
-    both = met.join(into, [fn, "block", "var"], "left").withColumn("def_instr", F.coalesce("near", "def_instr"))
-    return both.filter("def_instr IS NOT NULL").select(fn, F.col("instr").alias("use_instr"), "def_instr").distinct()
+    own = Window.partitionBy(fn, "block", "var")
+    so_far = own.orderBy("instr", "is_def").rowsBetween(Window.unboundedPreceding, -1)
+    definition = F.when(F.col("is_def"), F.col("instr"))
+    events = events.withColumn("near", F.last(definition, ignorenulls=True).over(so_far)).withColumn("last_def", F.max(definition).over(own))
+    goes_on = (F.col("var") != asm.CONST) & ((F.col("instr") == F.col("last_def")) | (F.col("var") == asm.GLOBAL))
+    return events.filter(~F.col("is_def") | goes_on).drop("last_def")
+
 
+def _definitions_met(events: DataFrame, flow: DataFrame, fn: str) -> DataFrame:
+    """(fn, use_instr, def_instr), distinct: for each variable used, the latest definition before it in its block, else all that reach the block. events: of `_events`, written.
 
-def numbered(instructions: DataFrame, fn: str, order: list[str], most: int = MOST_INSTRUCTIONS) -> DataFrame:
-    """Add `instr`, an instruction's number in its function from 0 by order (the block first), natively. A block is left out if the blocks before it have over `most` instructions."""
+    Of what reaches a block only the variables that it uses before it defines them are asked for, and only blocks that use them are told.
+    """
+    near = events.filter("NOT is_def AND near IS NOT NULL").select(fn, F.col("instr").alias("use_instr"), F.col("near").alias("def_instr"))
+    at = lambda is_def: F.collect_list(F.when(F.col("is_def") == is_def, F.struct("block", "instr")))
+    # Dealt by function before they are gathered: partial lists would not be shorter.
+    open_ = events.filter("is_def OR near IS NULL").select(fn, "var", "block", "instr", "is_def").repartition(fn)
+    asked = open_.groupBy(fn, "var").agg(at(True).alias("defs"), at(False).alias("uses")).filter((F.size("defs") > 0) & (F.size("uses") > 0))
+    links = edge_lists(flow.select(F.col(fn).alias("walk_fn"), "src", "dst"), "walk_fn")
+    whole = asked.groupBy(fn).agg(F.collect_list(F.struct("var", "defs", "uses")).alias("asked")).join(links, F.col(fn) == F.col("walk_fn")).select(fn, "links", "asked")
+    ever = asm.GLOBAL
+
+    def run(links: list[list[int]], asked: list[dict]) -> Iterator[tuple]:
+        g = defaultdict(list)
+        for a, b in links:
+            g[a].append(b)
+        for one in asked:
+            defs, uses = defaultdict(list), defaultdict(list)
+            for by, found in ((defs, one["defs"]), (uses, one["uses"])):
+                for x in found:
+                    by[x["block"]].append(x["instr"])
+            closed = frozenset() if one["var"] == ever else frozenset(defs)
+            for start, own in defs.items():
+                for node in onwards(g, start, closed):
+                    if node in uses:
+                        yield uses[node], own
+
+    met = map_functions(whole, fn, run, "uses array<bigint>, defs array<bigint>").select(fn, F.explode("uses").alias("use_instr"), "defs")
+    return near.unionByName(met.select(fn, "use_instr", F.explode("defs").alias("def_instr"))).distinct()
+
+
+def numbered(instructions: DataFrame, fn: str, order: list[str], most: int = MOST_INSTRUCTIONS, sizes: DataFrame | None = None) -> DataFrame:
+    """Add `instr`, an instruction's number in its function from 0 by order (the block first), natively. A block is left out if the blocks before it have over `most` instructions. sizes: (fn, block, n), if they are there already.
+
+    What is left of a function after that is numbered in one partition; instructions that are dealt by function already aren't shuffled."""
     block = order[0]
-    sizes = instructions.groupBy(fn, block).agg(F.count(F.lit(1)).alias("n"))
-    before = F.coalesce(F.sum("n").over(Window.partitionBy(fn).orderBy(block).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    kept = sizes.select(fn, block, before.alias("before")).filter(F.col("before") <= most)
-    inside = F.row_number().over(Window.partitionBy(fn, block).orderBy(*order[1:])) - 1
-    return instructions.join(kept, [fn, block]).withColumn("instr", (F.col("before") + inside).cast("long")).drop("before")
+    sizes = instructions.groupBy(fn, block).agg(F.count(F.lit(1)).alias("n")) if sizes is None else sizes
+    placed = instructions.filter(F.col(fn).isNotNull() & F.col(block).isNotNull())
+    short = placed.join(_cuts(sizes, fn, block, most), F.col(fn) == F.col("cut_fn"), "left").filter(F.col("cut").isNull() | (F.col(block) < F.col("cut")))
+    inside = F.row_number().over(Window.partitionBy(fn).orderBy(*order)) - 1
+    return short.drop("cut_fn", "cut").withColumn("instr", inside.cast("long"))
 
 
 def operand_forms(df: DataFrame, key: str, operator: str, place: str, operand: str) -> DataFrame:
@@ -81,8 +130,9 @@ def reaching_definitions(instructions: DataFrame, edges: DataFrame, fn: str) ->
 
 def data_dependences(instructions: DataFrame, edges: DataFrame, fn: str) -> DataFrame:
     """(fn, use_instr, def_instr), distinct."""
-    facts = kept(instruction_effects(instructions, fn))
-    return _definitions_met(facts, _reaching(facts, flow_within(instructions, edges, fn), fn), fn, F.col("uses"))
+    sizes = block_sizes(instructions, fn)
+    events = kept(_events(instruction_effects(instructions, fn, sizes=sizes), fn, F.col("uses")))
+    return _definitions_met(events, flow_within(instructions, edges, fn, sizes=sizes), fn)
 
 
 def importance(instructions: DataFrame, edges: DataFrame, fn: str) -> DataFrame:
@@ -92,7 +142,7 @@ def importance(instructions: DataFrame, edges: DataFrame, fn: str) -> DataFrame:
     """
     facts, flow = kept(instruction_effects(instructions, fn)), kept(flow_within(instructions, edges, fn))
     arguments = F.array_distinct(F.concat("uses", F.when(F.col("operator").contains("call"), F.array(*map(F.lit, asm.ARGUMENTS))).otherwise(F.array().cast("array<string>"))))
-    data = _definitions_met(facts, _reaching(facts, flow, fn), fn, arguments)
+    data = _definitions_met(kept(_events(facts, fn, arguments)), flow, fn)
     ends = facts.groupBy(fn, F.col("block").alias("depends_on")).agg(F.max("instr").alias("def_instr"))
     control = control_dependences(flow, fn).join(ends, [fn, "depends_on"]).select(fn, F.col("node").alias("block"), "def_instr")
     links = data.unionByName(facts.join(control, [fn, "block"]).select(fn, F.col("instr").alias("use_instr"), "def_instr"))
@@ -108,7 +158,7 @@ def importance(instructions: DataFrame, edges: DataFrame, fn: str) -> DataFrame:
 def code_features(instructions: DataFrame, edges: DataFrame, fn: str) -> DataFrame:
     """(fn, code, data_dep): a function's code and dependences as nested records, in order."""
     facts = kept(instruction_effects(instructions, fn))
-    deps = _definitions_met(facts, _reaching(facts, flow_within(instructions, edges, fn), fn), fn, F.col("uses"))
+    deps = _definitions_met(kept(_events(facts, fn, F.col("uses"))), flow_within(instructions, edges, fn), fn)
     number = lambda c, name: F.col(c).cast("int").alias(name)
     code = facts.groupBy(fn).agg(F.sort_array(F.collect_list(F.struct(number("instr", "id"), F.substring_index("asm", ";", 1).alias("asm")))).alias("code"))
     pairs = deps.groupBy(fn).agg(F.sort_array(F.collect_list(F.struct(number("use_instr", "use_id"), number("def_instr", "def_id")))).alias("data_dep"))

@@ -44,11 +44,14 @@ def _filled(template: Column, a: Column, b: Column, n: Column) -> Column:
 
 def _instructions(spark: SparkSession, d: str) -> DataFrame:
     """(fn, block, pos, asm)."""
-    lines = table(spark, d, "lineitem").join(table(spark, d, "orders").select(F.col("o_orderkey").alias("l_orderkey"), "o_custkey"), "l_orderkey")
-    form = F.get(F.array(*(F.lit(f) for f, _, _ in FORMS)), ((F.col("l_partkey") + F.col("l_linenumber")) % len(FORMS)).cast("int"))
-    asm = _filled(form, (F.col("l_suppkey") % 5).cast("int"), (F.col("l_partkey") % 5).cast("int"), F.col("l_quantity").cast("int"))
-    block = F.dense_rank().over(Window.partitionBy("o_custkey").orderBy("l_orderkey")).cast("long")
-    return lines.select(F.col("o_custkey").alias("fn"), block.alias("block"), F.col("l_linenumber").alias("pos"), asm.alias("asm"))
+    # Of keys only what chooses a line's form and registers is shuffled; the text is made behind the shuffles.
+    small = {"form": (F.col("l_partkey") + F.col("l_linenumber")) % len(FORMS), "a": F.col("l_suppkey") % 5, "b": F.col("l_partkey") % 5, "n": F.col("l_quantity")}
+    lines = table(spark, d, "lineitem").select("l_orderkey", F.col("l_linenumber").alias("pos"), *(x.cast("int").alias(c) for c, x in small.items()))
+    lines = lines.join(table(spark, d, "orders").select(F.col("o_orderkey").alias("l_orderkey"), F.col("o_custkey").alias("fn")), "l_orderkey")
+    block = F.dense_rank().over(Window.partitionBy("fn").orderBy("l_orderkey")).cast("long")
+    placed = lines.withColumn("block", block)
+    asm = _filled(F.get(F.array(*(F.lit(f) for f, _, _ in FORMS)), F.col("form")), F.col("a"), F.col("b"), F.col("n"))
+    return placed.select("fn", "block", "pos", asm.alias("asm"))
 
 
 def _flow(spark: SparkSession, d: str) -> DataFrame:

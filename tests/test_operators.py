@@ -2,6 +2,7 @@
 
 import math
 import random
+import re
 from collections import Counter
 from itertools import permutations
 
@@ -457,3 +458,17 @@ def test_bleu_of_several_references_takes_the_closest_length():
     assert metrics._bleu_counts("a b c".split(), ["a b c d e".split(), "a x".split()])[:3] == (3, 2, 3)
     assert metrics._bleu_counts("a a b".split(), ["a b".split(), "a a a".split()])[2:4] == (3, 2)
     assert metrics._bleu_counts([], [[]]) == (0, 0, 0, 0, 0, 0)
+
+
+def test_definitions_that_reach_a_block_are_not_dealt_by_variable(spark):
+    """Memory that many blocks write and none reads: the written definitions and the blocks they reach are no rows that are shuffled, and instructions are dealt once, by function."""
+    rows = [(f, b, 0, "mov dword ptr [rax+8], rbx") for f in range(3) for b in range(1, 20)] + [(f, 20, 0, "mov rcx, rax") for f in range(3)]
+    code = spark.createDataFrame(rows, "fn long, block long, pos long, asm string")
+    edges = spark.createDataFrame([(f, b, b + 1) for f in range(3) for b in range(1, 20)], "fn long, src long, dst long")
+    found = dataflow.data_dependences(code, edges, "fn")
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert not re.search(r"hashpartitioning\([^)]*\b(var|block)#", plan)
+    assert found.count() == 0
+    again = dataflow.data_dependences(code.unionByName(spark.createDataFrame([(0, 1, 1, "mov rdx, [rax+8]"), (1, 20, 1, "mov rdx, [rax+8]")], code.schema)), edges, "fn")
+    assert {(0, 1, 0)} <= {tuple(x) for x in again.collect()}
+    assert {(x.use_instr, x.def_instr) for x in again.filter("fn = 1").collect()} >= {(20, 18)}
