@@ -9,16 +9,20 @@ a corpus are native expressions.
 from __future__ import annotations
 
 import heapq
+import math
 from collections import defaultdict
 from collections.abc import Iterator, Sequence
 from typing import NamedTuple
 
+import numpy as np
 import pandas as pd
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from basalt.functions import text as T
 from basalt.functions.stems import stem
+from basalt.sources.shared import kept
 
 #: Weights of the matches' kinds, of precision against recall, of fragmentation, and of content words against function words. Fixed values.
 EXACT, STEM, SYNONYM, PARAPHRASE = range(4)
@@ -26,6 +30,8 @@ WEIGHTS = (1.0, 0.6, 0.8, 0.6)
 ALPHA, BETA, GAMMA, DELTA = 0.85, 0.2, 0.6, 0.75
 #: Words of a paraphrase at most.
 PHRASE = 4
+#: Bits of the bitmap of paraphrases, as a power of two.
+MOST_BITS = 27
 SIDES = ("hypothesis", "reference")
 
 
@@ -120,7 +126,58 @@ def _needed(pairs: DataFrame, key: str, side: str, sizes: Sequence[int], table:
     runs = F.flatten(F.transform(F.array(*map(F.lit, sizes)), lambda n: F.transform(F.when(F.size(side) >= n, F.sequence(F.lit(1), F.size(side) - n + 1)).otherwise(F.array().cast("array<int>")), lambda i: F.array_join(F.slice(side, i, n), " "))))
     asked = pairs.select(key, F.explode(F.array_distinct(runs)).alias("run"))
     # Only what meets the table goes on to the samples.
-    return asked.join(table, "run").groupBy(key, "run").agg(F.sort_array(F.collect_set("value")).alias("values")).groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct("run", "values"))).alias(name))
+    return _mapped(asked.join(table, "run"), key, name)
+
+
+def _mapped(found: DataFrame, key: str, name: str) -> DataFrame:
+    """(key, name): a map from each run of (key, run, value) to its values. One shuffle, by sample."""
+    return found.repartition(key).groupBy(key, "run").agg(F.sort_array(F.collect_set("value")).alias("values")).groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct("run", "values"))).alias(name))
+
+
+def _said(rows: DataFrame, key: str, table: DataFrame, name: str) -> DataFrame:
+    """(key, name): as `_needed`, of a table (run, value) only what has its run in the sample's hypothesis and its value in its reference, as a frequent run may have as many values as there are samples.
+
+    A bitmap of the table's hashes, of MOST_BITS bits at most (16 MB broadcast), tells which pairs of runs may be there; those are joined with the table. A larger table fills it more: more pairs are joined, none is lost.
+    """
+    spark = rows.sparkSession
+    table = kept(table.distinct())
+    bits = min(MOST_BITS, max(16, math.ceil(math.log2(32 * max(1, table.count())))))
+    words = lambda c: F.size(F.split(c, " "))
+    sizes = [tuple(x) for x in table.select(words("run"), words("value")).distinct().filter(F.greatest(words("run"), words("value")) <= PHRASE).collect()]
+    run_hash, value_hash = F.xxhash64("run"), F.shiftleft(F.xxhash64("value"), 1)
+    places = lambda h: (h.bitwiseAND((1 << bits) - 1), F.shiftrightunsigned(h, 32).bitwiseAND((1 << bits) - 1))
+    at = table.select(F.explode(F.array(*(p for h in (run_hash, value_hash, run_hash.bitwiseXOR(value_hash)) for p in places(h)))).alias("at"))
+    parts = at.groupBy(F.shiftright("at", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(at & 63 as int))")).alias("bits")).toArrow()
+    filled = np.zeros(1 << bits - 6, np.uint64)
+    filled[parts["word"].to_numpy()] = parts["bits"].to_numpy().view(np.uint64)
+    shared = spark.sparkContext.broadcast(filled)
+
+    def may_be(h: np.ndarray) -> np.ndarray:
+        hit = np.ones(h.shape, bool)
+        for p in (h & np.uint64((1 << bits) - 1), h >> np.uint64(32) & np.uint64((1 << bits) - 1)):
+            hit &= (shared.value[p >> np.uint64(6)] >> (p & np.uint64(63)) & np.uint64(1)).astype(bool)
+        return hit
+
+    def runs_of(tokens_of: Sequence[str], n: int, shift: int) -> tuple[list[str], np.ndarray]:
+        runs = list({" ".join(tokens_of[i : i + n]) for i in range(len(tokens_of) - n + 1)})
+        hashes = np.array([xxhash.xxh64_intdigest(r.encode(), 42) for r in runs], np.uint64) << np.uint64(shift)
+        near = np.flatnonzero(may_be(hashes))
+        return [runs[k] for k in near], hashes[near]
+
+    def pairs_of(h: Sequence[str], r: Sequence[str]) -> list[dict]:
+        left, right = {n: runs_of(h, n, 0) for n in {a for a, _ in sizes}}, {n: runs_of(r, n, 1) for n in {b for _, b in sizes}}
+        found = []
+        for a, b in sizes:
+            (xs, x), (ys, y) = left[a], right[b]
+            found += [{"run": xs[i], "value": ys[j]} for i, j in zip(*np.nonzero(may_be(x[:, None] ^ y[None])), strict=True)]
+        return found
+
+    def run(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        for hs, rs in batches:
+            yield pd.Series([pairs_of(h, r) for h, r in zip(hs, rs, strict=True)])
+
+    asked = rows.select(key, F.inline(F.pandas_udf(run, "array<struct<run:string,value:string>>")("hypothesis", "reference")))
+    return _mapped(asked.join(table, ["run", "value"]), key, name)
 
 
 def meteor_counts(pairs: DataFrame, key: str, hypothesis: str, reference: str, synonyms: DataFrame | None = None, paraphrases: DataFrame | None = None, function_words: Sequence[str] = (), beam: int = 40, kinds: Sequence[int] = KINDS) -> DataFrame:
@@ -129,17 +186,20 @@ def meteor_counts(pairs: DataFrame, key: str, hypothesis: str, reference: str, s
     Keys: distinct, none null. Null texts are empty. function_words: a short list, such as the most frequent words of a language. Nulls in the tables match nothing.
     """
     rows = pairs.select(key, tokens(hypothesis).alias("hypothesis"), tokens(reference).alias("reference"))
+    # Texts are shorter than their lists of words: these are made anew behind the joins.
+    whole = pairs.select(key, F.col(hypothesis).alias("hypothesis"), F.col(reference).alias("reference"))
     if synonyms is not None:
         table = synonyms.select(F.lower("word").alias("run"), F.col("class").cast("string").alias("value")).dropna()
         both = rows.select(key, F.concat("hypothesis", "reference").alias("both"))
-        rows = rows.join(_needed(both, key, "both", [1], table, "classes"), key, "left")
+        whole = whole.join(_needed(both, key, "both", [1], table, "classes"), key, "left")
     else:
-        rows = rows.withColumn("classes", F.lit(None).cast("map<string,array<string>>"))
+        whole = whole.withColumn("classes", F.lit(None).cast("map<string,array<string>>"))
     if paraphrases is not None:
         table = paraphrases.select(F.lower("a").alias("run"), F.lower("b").alias("value")).dropna()
-        rows = rows.join(_needed(rows.select(key, "hypothesis"), key, "hypothesis", range(1, PHRASE + 1), table, "phrases"), key, "left")
+        whole = whole.join(_said(rows, key, table, "phrases"), key, "left")
     else:
-        rows = rows.withColumn("phrases", F.lit(None).cast("map<string,array<string>>"))
+        whole = whole.withColumn("phrases", F.lit(None).cast("map<string,array<string>>"))
+    rows = whole.withColumn("hypothesis", tokens("hypothesis")).withColumn("reference", tokens("reference"))
     known = frozenset(w.lower() for w in function_words)
 
     def run(batches: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.Series]:

@@ -217,7 +217,7 @@ def meteor_exact(spark, d):
 @query()
 def meteor_full(spark, d):
     """TX6: exact, stem, synonym and paraphrase matches, with tables made of the texts."""
-    pairs = _pairs(spark, d)
+    pairs = kept(_pairs(spark, d))
     return meteor.meteor(pairs, "sample", "hypothesis", "reference", **_meteor_tables(pairs), function_words=["the", "of", "la", "de", "que", "and"]).select("sample", F.round("meteor", 6).alias("meteor"))
 
 

@@ -79,3 +79,12 @@ def test_scores(spark):
     total = {c: sum(x[c] for x in counts.values()) for c in M.COUNTS}
     assert M.corpus_meteor(M.meteor_counts(df, "k", "h", "r", **tables)).first().meteor == pytest.approx(100 * plain_score(total))
     assert M.meteor(df.limit(0), "k", "h", "r", **tables).count() == 0 and M.corpus_meteor(M.meteor_counts(df.limit(0), "k", "h", "r")).first().meteor == 0
+
+
+def test_a_frequent_run_brings_only_what_the_reference_says(spark):
+    """One run has a paraphrase for every sample: a sample gets its own, not all of them."""
+    n = 60
+    rows = spark.createDataFrame([(k, ["so", "it", "is", f"h{k}"], [f"r{k}", f"s{k}", "end"]) for k in range(n)], "id long, hypothesis array<string>, reference array<string>")
+    table = spark.createDataFrame([("so it", f"r{k} s{k}") for k in range(n)] + [("is h3", "end"), ("it is", "r3 s3"), ("no", "end")], "run string, value string")
+    said = {x.id: x.phrases for x in M._said(rows, "id", table, "phrases").collect()}
+    assert said == {k: {"so it": [f"r{k} s{k}"]} | ({"is h3": ["end"], "it is": ["r3 s3"]} if k == 3 else {}) for k in range(n)}
