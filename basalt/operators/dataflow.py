@@ -1,27 +1,30 @@
 """Def-use analysis of disassembled functions: reaching definitions, data dependences, importance slices.
 
 Instructions are numbered through a function's blocks in address order. What they define and use, the last definitions of blocks, dependences within blocks and slices
-are expressions, windows and joins; only the breadth-first searches over a function's blocks or instructions are Python (`graphs.walks`).
+are expressions, windows and joins; only the breadth-first searches over a function's blocks or instructions are Python (`graphs.walks`, `_meetings`).
 """
 
 from __future__ import annotations
 
 from collections import defaultdict
 from collections.abc import Iterator
+from itertools import groupby
+from operator import itemgetter
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from basalt.functions import asm
-from basalt.operators.graphs import control_dependences, edge_lists, map_functions, onwards, walks
+from basalt.operators.graphs import control_dependences, onwards, walks
 from basalt.sources.shared import kept
 
 MOST_INSTRUCTIONS = 2000
 
 
-def block_sizes(instructions: DataFrame, fn: str) -> DataFrame:
-    """(fn, block, n), written once: how many instructions each block has."""
-    return kept(instructions.filter("block IS NOT NULL").groupBy(fn, F.col("block").cast("long").alias("block")).agg(F.count(F.lit(1)).alias("n")))
+def _block_sizes(instructions: DataFrame, fn: str, block: str) -> DataFrame:
+    """(fn, block, n): how many instructions each block has."""
+    return instructions.groupBy(fn, block).agg(F.count(F.lit(1)).alias("n"))
 
 
 def _cuts(sizes: DataFrame, fn: str, block: str, most: int) -> DataFrame:
@@ -30,17 +33,19 @@ def _cuts(sizes: DataFrame, fn: str, block: str, most: int) -> DataFrame:
     return sizes.withColumn("before", before).filter(F.col("before") > most).groupBy(F.col(fn).alias("cut_fn")).agg(F.min(block).alias("cut"))
 
 
-def instruction_effects(instructions: DataFrame, fn: str, strict_flags: bool = False, most: int = MOST_INSTRUCTIONS, sizes: DataFrame | None = None) -> DataFrame:
-    """(fn, instr, block, asm, operator, defs, uses) of instructions (fn, block, pos, asm): numbered from 0 through the blocks. Null code is an empty instruction; rows without a block are left out. sizes: those of `block_sizes`, if they are there already."""
+def instruction_effects(instructions: DataFrame, fn: str, strict_flags: bool = False, most: int | None = MOST_INSTRUCTIONS) -> DataFrame:
+    """(fn, instr, block, asm, operator, defs, uses) of instructions (fn, block, pos, asm): numbered from 0 through the blocks, as by `numbered`. Null code is an empty instruction; rows without a block are left out."""
     rows = instructions.filter("block IS NOT NULL").select(fn, F.col("block").cast("long").alias("block"), "pos", F.coalesce("asm", F.lit("")).alias("asm"))
-    found = numbered(rows, fn, ["block", "pos", "asm"], most, sizes).withColumn("effects", asm.effects(F.col("asm"), strict_flags))
+    found = numbered(rows, fn, ["block", "pos", "asm"], most).withColumn("effects", asm.effects(F.col("asm"), strict_flags))
     return found.select(fn, "instr", "block", "asm", "effects.operator", "effects.defs", "effects.uses")
 
 
-def flow_within(instructions: DataFrame, edges: DataFrame, fn: str, most: int = MOST_INSTRUCTIONS, sizes: DataFrame | None = None) -> DataFrame:
-    """(fn, src, dst): the distinct edges among blocks that `numbered` doesn't cut. Blocks without instructions stay. sizes: those of `block_sizes`, if they are there already."""
-    cut = _cuts(block_sizes(instructions, fn) if sizes is None else sizes, fn, "block", most)
+def flow_within(instructions: DataFrame, edges: DataFrame, fn: str, most: int | None = MOST_INSTRUCTIONS) -> DataFrame:
+    """(fn, src, dst): the distinct edges among blocks that `numbered` doesn't cut. Blocks without instructions stay."""
     links = edges.filter("dst IS NOT NULL").select(fn, F.col("src").cast("long").alias("src"), F.col("dst").cast("long").alias("dst")).distinct()
+    if most is None:
+        return links
+    cut = _cuts(kept(_block_sizes(instructions.filter("block IS NOT NULL").select(fn, F.col("block").cast("long").alias("block")), fn, "block")), fn, "block", most)
     return links.join(cut, F.col(fn) == F.col("cut_fn"), "left").filter("cut IS NULL OR src < cut AND dst < cut").select(fn, "src", "dst")
 
 
@@ -71,49 +76,77 @@ def _events(facts: DataFrame, fn: str, uses: Column) -> DataFrame:
     return events.filter(~F.col("is_def") | goes_on).drop("last_def")
 
 
+def _meetings(g: dict[int, list[int]], back: dict[int, list[int]], defs: dict[int, list[int]], uses: dict[int, list[int]], closed: frozenset) -> Iterator[tuple[list[int], list[int]]]:
+    """(uses, definitions) of each two blocks of which the second's definitions reach the first. g, back: edges and the same backwards. Searches start on the side that has fewer blocks."""
+    if len(defs) <= len(uses):
+        for start, own in defs.items():
+            yield from ((uses[node], own) for node in onwards(g, start, closed) if node in uses)
+    else:
+        for start, own in uses.items():
+            yield from ((own, defs[node]) for node in onwards(back, start, closed) if node in defs)
+
+
 def _definitions_met(events: DataFrame, flow: DataFrame, fn: str) -> DataFrame:
     """(fn, use_instr, def_instr), distinct: for each variable used, the latest definition before it in its block, else all that reach the block. events: of `_events`, written.
 
     Of what reaches a block only the variables that it uses before it defines them are asked for, and only blocks that use them are told.
+    Functions may be of any size: their rows are sorted, not gathered, and of one function the edges and a variable's rows are held at a time.
     """
     near = events.filter("NOT is_def AND near IS NOT NULL").select(fn, F.col("instr").alias("use_instr"), F.col("near").alias("def_instr"))
-    at = lambda is_def: F.collect_list(F.when(F.col("is_def") == is_def, F.struct("block", "instr")))
-    # Dealt by function before they are gathered: partial lists would not be shorter.
-    open_ = events.filter("is_def OR near IS NULL").select(fn, "var", "block", "instr", "is_def").repartition(fn)
-    asked = open_.groupBy(fn, "var").agg(at(True).alias("defs"), at(False).alias("uses")).filter((F.size("defs") > 0) & (F.size("uses") > 0))
-    links = edge_lists(flow.select(F.col(fn).alias("walk_fn"), "src", "dst"), "walk_fn")
-    whole = asked.groupBy(fn).agg(F.collect_list(F.struct("var", "defs", "uses")).alias("asked")).join(links, F.col(fn) == F.col("walk_fn")).select(fn, "links", "asked")
-    ever = asm.GLOBAL
-
-    def run(links: list[list[int]], asked: list[dict]) -> Iterator[tuple]:
-        g = defaultdict(list)
-        for a, b in links:
-            g[a].append(b)
-        for one in asked:
-            defs, uses = defaultdict(list), defaultdict(list)
-            for by, found in ((defs, one["defs"]), (uses, one["uses"])):
-                for x in found:
-                    by[x["block"]].append(x["instr"])
-            closed = frozenset() if one["var"] == ever else frozenset(defs)
-            for start, own in defs.items():
-                for node in onwards(g, start, closed):
-                    if node in uses:
-                        yield uses[node], own
-
-    met = map_functions(whole, fn, run, "uses array<bigint>, defs array<bigint>").select(fn, F.explode("uses").alias("use_instr"), "defs")
-    return near.unionByName(met.select(fn, "use_instr", F.explode("defs").alias("def_instr"))).distinct()
-
-
-def numbered(instructions: DataFrame, fn: str, order: list[str], most: int = MOST_INSTRUCTIONS, sizes: DataFrame | None = None) -> DataFrame:
-    """Add `instr`, an instruction's number in its function from 0 by order (the block first), natively. A block is left out if the blocks before it have over `most` instructions. sizes: (fn, block, n), if they are there already.
+    open_ = events.filter("is_def OR near IS NULL").select(fn, "var", "block", "instr", "is_def")
+    # A function's edges come before its variables, as rows without one.
+    links = flow.filter(F.col(fn).isNotNull()).select(fn, F.lit(None).cast("string").alias("var"), F.col("src").alias("block"), F.col("dst").alias("instr"), F.lit(False).alias("is_def"))
+    placed = links.unionByName(open_).repartition(fn).sortWithinPartitions(fn, F.col("var").asc_nulls_first())
+    ever, most = asm.GLOBAL, 50_000
+
+    def met(rows: Iterator[tuple]) -> Iterator[tuple]:
+        for key, own in groupby(rows, itemgetter(0)):
+            g, back = defaultdict(list), defaultdict(list)
+            for var, found in groupby(own, itemgetter(1)):
+                defs, uses = defaultdict(list), defaultdict(list)
+                for _, _, a, b, is_def in found:
+                    if var is None:
+                        g[a].append(b)
+                        back[b].append(a)
+                    else:
+                        (defs if is_def else uses)[a].append(b)
+                yield from ((key, *pair) for pair in _meetings(g, back, defs, uses, frozenset() if var == ever else frozenset(defs)))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kind, numbers = None, pa.list_(pa.int64())
+        batch = lambda out: pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (kind, numbers, numbers), strict=True)], names=[fn, "uses", "defs"])
+
+        def rows() -> Iterator[tuple]:
+            nonlocal kind
+            for b in batches:
+                kind = b.schema.types[0]
+                yield from zip(*(c.to_pylist() for c in b.columns), strict=True)
+
+        out, n = [], 0
+        for row in met(rows()):
+            out.append(row)
+            n += len(row[1]) + len(row[2])
+            if n >= most:
+                yield batch(out)
+                out, n = [], 0
+        if out:
+            yield batch(out)
+
+    found = placed.mapInArrow(run, f"`{fn}` {events.schema[fn].dataType.simpleString()}, uses array<bigint>, defs array<bigint>").select(fn, F.explode("uses").alias("use_instr"), "defs")
+    return near.unionByName(found.select(fn, "use_instr", F.explode("defs").alias("def_instr"))).distinct()
+
+
+def numbered(instructions: DataFrame, fn: str, order: list[str], most: int | None = MOST_INSTRUCTIONS) -> DataFrame:
+    """Add `instr`, an instruction's number in its function from 0 by order (the block first), natively. A block is left out if the blocks before it have over `most` instructions; none is if that is None.
 
     What is left of a function after that is numbered in one partition; instructions that are dealt by function already aren't shuffled."""
     block = order[0]
-    sizes = instructions.groupBy(fn, block).agg(F.count(F.lit(1)).alias("n")) if sizes is None else sizes
     placed = instructions.filter(F.col(fn).isNotNull() & F.col(block).isNotNull())
-    short = placed.join(_cuts(sizes, fn, block, most), F.col(fn) == F.col("cut_fn"), "left").filter(F.col("cut").isNull() | (F.col(block) < F.col("cut")))
+    if most is not None:
+        cut = _cuts(_block_sizes(instructions, fn, block), fn, block, most)
+        placed = placed.join(cut, F.col(fn) == F.col("cut_fn"), "left").filter(F.col("cut").isNull() | (F.col(block) < F.col("cut"))).drop("cut_fn", "cut")
     inside = F.row_number().over(Window.partitionBy(fn).orderBy(*order)) - 1
-    return short.drop("cut_fn", "cut").withColumn("instr", inside.cast("long"))
+    return placed.withColumn("instr", inside.cast("long"))
 
 
 def operand_forms(df: DataFrame, key: str, operator: str, place: str, operand: str) -> DataFrame:
@@ -129,10 +162,9 @@ def reaching_definitions(instructions: DataFrame, edges: DataFrame, fn: str) ->
 
 
 def data_dependences(instructions: DataFrame, edges: DataFrame, fn: str) -> DataFrame:
-    """(fn, use_instr, def_instr), distinct."""
-    sizes = block_sizes(instructions, fn)
-    events = kept(_events(instruction_effects(instructions, fn, sizes=sizes), fn, F.col("uses")))
-    return _definitions_met(events, flow_within(instructions, edges, fn, sizes=sizes), fn)
+    """(fn, use_instr, def_instr), distinct, of whole functions: none is cut, however long."""
+    events = kept(_events(instruction_effects(instructions, fn, most=None), fn, F.col("uses")))
+    return _definitions_met(events, flow_within(instructions, edges, fn, most=None), fn)
 
 
 def importance(instructions: DataFrame, edges: DataFrame, fn: str) -> DataFrame:

@@ -244,6 +244,35 @@ def test_instruction_limit(spark):
     assert [tuple(x) for x in dataflow.flow_within(instructions, edges, "fn").collect()] == [(7, 0, 1)]
 
 
+def test_dependences_of_whole_long_functions(spark):
+    """No block is cut, however many instructions come before it. In one function few blocks write memory and many read it, in the other it is the other way round; a variable's rows span Arrow batches."""
+    r = random.Random(5)
+    many = {k: {b: sorted({b + 1, r.randrange(60)}) if b < 59 else [] for b in range(60)} for k in range(2)}
+    rare, frequent = ("mov [rcx], ebx", "mov eax, [rcx]"), ("mov eax, [rcx]", "mov [rcx], ebx")
+    blocks = {k: {b: r.sample(["nop"] * 46 + ["mov eax, ebx", "mov ebx, eax"] + [frequent[k]] * 2 + [rare[k]] * (b % 20 == 7), 50) for b in many[k]} for k in many}
+    want = set()
+    for k, g in many.items():
+        lines = [a for b in g for a in blocks[k][b]]
+        own = {b: range(50 * b, 50 * b + 50) for b in g}
+        defs = [DEFINES[a.split(",")[0]] for a in lines]
+        reads = [[] if a == "nop" else READS.get(a.split(", ")[1], ["[rcx]", "GLOBAL"]) + ["rcx"] * ("[rcx]" in a) for a in lines]
+        into = brute_reaching(g, own, defs)
+        for b in g:
+            for i in own[b]:
+                for v in reads[i]:
+                    near = max((j for j in own[b] if j < i and v in defs[j]), default=None)
+                    want |= {(k, i, x) for c, u, x in into if c == b and u == v} if near is None else {(k, i, near)}
+    assert max(i for _, i, _ in want) > 2900
+    instructions, edges = code_rows(spark, many, blocks)
+    size = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        got = [tuple(x) for x in dataflow.data_dependences(instructions, edges, "fn").collect()]
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", size)
+    assert set(got) == want and len(got) == len(want)
+
+
 def test_code_without_rows(spark):
     instructions, edges = code_rows(spark, {1: {0: []}}, {1: {0: []}})
     assert dataflow.data_dependences(instructions, edges, "fn").count() == dataflow.importance(instructions, edges, "fn").count() == graphs.shortest_exit_paths(edges, "fn").count() == 0
